@@ -146,9 +146,9 @@ def abandon(execs: DataFrame, job_ids: DataFrame, now) -> DataFrame:
     flag = job_ids.select("job_id").distinct().withColumn("__hit", F.lit(True))
     out = execs.join(flag, "job_id", "left")
     hit = F.col("__hit") & (F.col("status") == "STARTED")
-    out = out.withColumn("status", F.when(hit, "ABANDONED").otherwise(F.col("status")))
     fin = F.col("finished_at") if "finished_at" in execs.columns else F.lit(None).cast("timestamp_ntz")
-    return out.withColumn("finished_at", F.when(hit, ts(now)).otherwise(fin)).drop("__hit")
+    out = out.withColumn("finished_at", F.when(hit, ts(now)).otherwise(fin))
+    return out.withColumn("status", F.when(hit, "ABANDONED").otherwise(F.col("status"))).drop("__hit")
 
 
 # J11 / J13 --------------------------------------------------------------------

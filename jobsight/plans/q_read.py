@@ -37,3 +37,321 @@ LEFT JOIN (SELECT queue_id, count(*) AS dlq FROM dead_letter_entries GROUP BY qu
 def a1_tenant_queue_stats(spark, d):
     o = Ops(spark, d)
     return A.tenant_queue_stats(o.queues, o.projects, o.jobs, o.dead_letter_entries)
+
+
+# ================================================================== shared bits
+from ..operators import filters as Fl  # noqa: E402
+from ..operators import merge as U  # noqa: E402
+from ..operators import windows as W  # noqa: E402
+from ..schema import DECLARED_TRANSITIONS  # noqa: E402
+from ..sources.fixtures import EVENTS_NOW, JOBS_NOW, read  # noqa: E402
+
+NOW_SQL = f"TIMESTAMP '{JOBS_NOW}'"
+ENOW_SQL = f"TIMESTAMP '{EVENTS_NOW}'"
+
+
+# ---------------------------------------------------------------- S3
+@register("s3_decode_messages_good", with_views("""
+SELECT * FROM (SELECT msg_id, header_job_id, body, ts,
+  coalesce(TRY_CAST(header_job_id AS BIGINT), TRY_CAST(json_extract_string(body, '$.k') AS BIGINT)) AS job_id
+  FROM messages) m WHERE job_id IS NOT NULL""", "messages"))
+def s3_good(spark, d):
+    good, _ = Fl.decode_messages(Ops(spark, d).messages, body_path="$.k")
+    return good
+
+
+@register("s3_decode_messages_rejected", with_views("""
+SELECT msg_id, header_job_id, body, ts,
+  CASE WHEN TRY_CAST(header_job_id AS BIGINT) IS NULL AND (body IS NULL OR NOT coalesce(json_valid(body), false))
+       THEN 'bad_payload' ELSE 'no_job_id' END AS reject_reason
+FROM messages WHERE coalesce(TRY_CAST(header_job_id AS BIGINT), TRY_CAST(json_extract_string(body, '$.k') AS BIGINT)) IS NULL
+""", "messages"))
+def s3_rejected(spark, d):
+    _, rej = Fl.decode_messages(Ops(spark, d).messages, body_path="$.k")
+    return rej
+
+
+# ---------------------------------------------------------------- F
+@register("f1_replayed_jobs_by_key", with_views("""
+SELECT job_id, queue_id, status FROM jobs
+WHERE job_id IN (SELECT replayed_to_job_id FROM dead_letter_entries)""", "jobs", "dead_letter_entries"))
+def f1(spark, d):
+    o = Ops(spark, d)
+    keys = o.dead_letter_entries.select(F.col("replayed_to_job_id").alias("job_id"))
+    return Fl.by_keys(o.jobs, keys, "job_id").select("job_id", "queue_id", "status")
+
+
+@register("f2_filter_jobs", with_views("""
+SELECT job_id, queue_id, priority, status FROM jobs WHERE status = 'QUEUED' AND priority >= 10""", "jobs"))
+def f2(spark, d):
+    return Fl.filter_jobs(Ops(spark, d).jobs, status="QUEUED", priority_min=10) \
+        .select("job_id", "queue_id", "priority", "status")
+
+
+_F3_REQ = """(SELECT o_orderkey // {g} {sign} AS request_id,
+   string_agg(CAST(o_orderkey AS VARCHAR), ',') || ',bad,' AS ids FROM orders GROUP BY o_orderkey // {g})"""
+
+
+def _f3_requests(spark, d):
+    o = read(spark, d, "orders")
+
+    def reqs(g, sign):
+        return (o.groupBy(F.expr(f"o_orderkey div {g}").alias("g"))
+                 .agg(F.concat(F.concat_ws(",", F.collect_list(F.col("o_orderkey").cast("string"))),
+                               F.lit(",bad,")).alias("ids"))
+                 .select((F.col("g") * sign).alias("request_id"), "ids"))
+    # 50-id requests (accepted) and 120-id requests (over the 100-id limit)
+    return reqs(50, 1).unionByName(reqs(120, -1))
+
+
+_F3_PARSED = f"""(SELECT request_id, list_filter(list_transform(string_split(ids, ','),
+      lambda s: TRY_CAST(s AS BIGINT)), lambda x: x IS NOT NULL) AS l
+   FROM ({_F3_REQ.format(g=50, sign='')} UNION ALL {_F3_REQ.format(g=120, sign='* -1')}) r)"""
+
+
+@register("f3_id_list_accepted", f"""SELECT request_id, unnest(l) AS id FROM {_F3_PARSED} p WHERE len(l) <= 100""")
+def f3_ok(spark, d):
+    ok, _ = Fl.parse_id_list(_f3_requests(spark, d))
+    return ok
+
+
+@register("f3_id_list_rejected", f"""SELECT request_id, CAST(len(l) AS BIGINT) AS n_ids FROM {_F3_PARSED} p WHERE len(l) > 100""")
+def f3_rej(spark, d):
+    _, rej = Fl.parse_id_list(_f3_requests(spark, d))
+    return rej
+
+
+@register("f4_live_queues", with_views("""
+SELECT queue_id, project_id FROM queues WHERE NOT is_paused
+  AND project_id IN (SELECT project_id FROM projects WHERE NOT is_archived)""", "queues", "projects"))
+def f4(spark, d):
+    o = Ops(spark, d)
+    return Fl.unpaused(o.queues).join(Fl.non_archived(o.projects).select("project_id"), "project_id",
+                                      "left_semi").select("queue_id", "project_id")
+
+
+@register("f5_due_work", with_views(f"""
+SELECT 'scheduled' AS rule, job_id FROM jobs WHERE status = 'SCHEDULED' AND scheduled_for IS NOT NULL AND scheduled_for <= {NOW_SQL}
+UNION ALL SELECT 'retry', job_id FROM jobs WHERE status = 'RETRY_WAIT' AND next_retry_at IS NOT NULL AND next_retry_at <= {NOW_SQL}
+UNION ALL SELECT 'stale_lease', job_id FROM jobs WHERE status IN ('RUNNING', 'CLAIMED') AND lease_expires_at IS NOT NULL
+  AND lease_expires_at < {NOW_SQL} - INTERVAL 10 SECOND
+UNION ALL SELECT 'queued_aged', job_id FROM jobs WHERE status = 'QUEUED' AND queued_at < {NOW_SQL} - INTERVAL 30 SECOND""", "jobs"))
+def f5(spark, d):
+    j = Ops(spark, d).jobs
+    return W.union_all([Fl.due(j, r, JOBS_NOW).select(F.lit(r).alias("rule"), "job_id")
+                        for r in ("scheduled", "retry", "stale_lease", "queued_aged")])
+
+
+@register("f6_search_jobs", with_views("""
+SELECT job_id, idempotency_key FROM jobs
+WHERE contains(lower(concat_ws(' ', CAST(job_id AS VARCHAR), idempotency_key)), lower('K1'))""", "jobs"))
+def f6(spark, d):
+    return Fl.search_jobs(Ops(spark, d).jobs, "K1").select("job_id", "idempotency_key")
+
+
+@register("f7_violations", with_views("""
+SELECT 'jobs' AS tbl, job_id AS id, 'duplicate_idempotency_key' AS rule FROM jobs
+  WHERE idempotency_key IS NOT NULL AND (queue_id, idempotency_key) IN
+    (SELECT queue_id, idempotency_key FROM jobs WHERE idempotency_key IS NOT NULL GROUP BY ALL HAVING count(*) > 1)
+UNION ALL SELECT 'jobs', job_id, r FROM (SELECT job_id, unnest([
+    CASE WHEN NOT (priority BETWEEN 0 AND 100) THEN 'priority_0_100' END,
+    CASE WHEN NOT (max_attempts BETWEEN 1 AND 100) THEN 'max_attempts_1_100' END,
+    CASE WHEN NOT (base_delay_secs >= 0) THEN 'base_delay_nonnegative' END,
+    CASE WHEN NOT (base_delay_secs <= max_delay_secs) THEN 'base_delay_le_max' END,
+    CASE WHEN NOT (shard_id >= 0) THEN 'shard_id_nonnegative' END]) AS r FROM jobs) x WHERE r IS NOT NULL
+UNION ALL SELECT 'queues', queue_id, r FROM (SELECT queue_id, unnest([
+    CASE WHEN NOT (max_concurrency BETWEEN 1 AND 1000) THEN 'max_concurrency_1_1000' END,
+    CASE WHEN NOT (shard_count BETWEEN 1 AND 128) THEN 'shard_count_1_128' END,
+    CASE WHEN NOT (rate_limit > 0) THEN 'rate_limit_positive' END,
+    CASE WHEN NOT (length(name) BETWEEN 1 AND 100) THEN 'name_length_1_100' END]) AS r FROM queues) y WHERE r IS NOT NULL
+UNION ALL SELECT 'workflow_edges', child_id, 'no_self_edge' FROM cyclic_edges WHERE parent_id = child_id
+""", "jobs", "queues", "cyclic_edges"))
+def f7(spark, d):
+    o = Ops(spark, d)
+    jr = Fl.rules("jobs")
+    qr = Fl.rules("queues")
+    jobs_rules = {k: jr[k] for k in ("priority_0_100", "max_attempts_1_100", "base_delay_nonnegative",
+                                     "base_delay_le_max", "shard_id_nonnegative")}
+    queue_rules = {k: qr[k] for k in ("max_concurrency_1_1000", "shard_count_1_128", "rate_limit_positive",
+                                      "name_length_1_100")}
+    parts = [
+        Fl.unique_violations(o.jobs, ["queue_id", "idempotency_key"], "job_id", "duplicate_idempotency_key")
+          .select(F.lit("jobs").alias("tbl"), F.col("job_id").alias("id"), "rule"),
+        Fl.violations(o.jobs, jobs_rules, "job_id").select(F.lit("jobs").alias("tbl"),
+                                                           F.col("job_id").alias("id"), "rule"),
+        Fl.violations(o.queues, queue_rules, "queue_id").select(F.lit("queues").alias("tbl"),
+                                                                F.col("queue_id").alias("id"), "rule"),
+        Fl.violations(o.cyclic_edges, Fl.rules("workflow_edges"), "child_id")
+          .select(F.lit("workflow_edges").alias("tbl"), F.col("child_id").alias("id"), "rule"),
+    ]
+    return W.union_all(parts)
+
+
+@register("f8_orphans", with_views("""
+SELECT 'jobs.lease_owner' AS fk, job_id AS id FROM jobs WHERE lease_owner IS NOT NULL
+  AND lease_owner NOT IN (SELECT worker_id FROM workers)
+UNION ALL SELECT 'dead_letter_entries.replayed_to_job_id', dlq_id FROM dead_letter_entries
+  WHERE replayed_to_job_id IS NOT NULL AND replayed_to_job_id NOT IN (SELECT job_id FROM jobs)""",
+    "jobs", "workers", "dead_letter_entries"))
+def f8(spark, d):
+    o = Ops(spark, d)
+    a = Fl.orphans(o.jobs, "lease_owner", o.workers, "worker_id").select(
+        F.lit("jobs.lease_owner").alias("fk"), F.col("job_id").alias("id"))
+    b = Fl.orphans(o.dead_letter_entries, "replayed_to_job_id", o.jobs, "job_id").select(
+        F.lit("dead_letter_entries.replayed_to_job_id").alias("fk"), F.col("dlq_id").alias("id"))
+    return a.unionByName(b)
+
+
+# ---------------------------------------------------------------- J
+@register("j1_job_context", with_views("""
+SELECT j.job_id, j.queue_id, p.project_id, p.org_id FROM jobs j JOIN queues q ON q.queue_id = j.queue_id
+JOIN projects p ON p.project_id = q.project_id""", "jobs", "queues", "projects"))
+def j1(spark, d):
+    o = Ops(spark, d)
+    return J.with_context(o.jobs.select("job_id", "queue_id"), o.queues, o.projects)
+
+
+@register("j2_visible_orgs", with_views("""
+SELECT o.org_id, o.name, m.user_id, m.role FROM organizations o JOIN org_memberships m ON m.org_id = o.org_id""",
+    "organizations", "org_memberships"))
+def j2(spark, d):
+    o = Ops(spark, d)
+    return J.orgs_visible_to(o.organizations, o.org_memberships)
+
+
+_PAIRS_SQL = """(SELECT DISTINCT j.lease_owner AS user_id, p.org_id FROM jobs j JOIN queues q ON q.queue_id = j.queue_id
+  JOIN projects p ON p.project_id = q.project_id WHERE j.lease_owner IS NOT NULL)"""
+
+
+def _pairs(o):
+    j = o.jobs.filter(F.col("lease_owner").isNotNull()).select("queue_id", F.col("lease_owner").alias("user_id"))
+    return J.with_context(j, o.queues, o.projects).select("user_id", "org_id").distinct()
+
+
+@register("j3_has_access", with_views(f"""
+SELECT r.user_id, r.org_id, EXISTS (SELECT 1 FROM org_memberships m WHERE m.user_id = r.user_id AND m.org_id = r.org_id) AS allowed
+FROM {_PAIRS_SQL} r""", "jobs", "queues", "projects", "org_memberships"))
+def j3(spark, d):
+    o = Ops(spark, d)
+    return J.has_access(_pairs(o), o.org_memberships)
+
+
+@register("j4_role_allows", with_views(f"""
+SELECT r.user_id, r.org_id,
+  CASE WHEN m.role IS NULL THEN 'not_in_org' WHEN m.role IN ('owner', 'admin') THEN 'ok' ELSE 'insufficient' END AS reason,
+  coalesce(m.role IN ('owner', 'admin'), false) AS allowed
+FROM {_PAIRS_SQL} r LEFT JOIN org_memberships m ON m.user_id = r.user_id AND m.org_id = r.org_id""",
+    "jobs", "queues", "projects", "org_memberships"))
+def j4(spark, d):
+    o = Ops(spark, d)
+    return J.role_allows(_pairs(o), o.org_memberships)
+
+
+@register("j5_queued_without_outbox", with_views(f"""
+SELECT job_id, queue_id FROM jobs j WHERE status = 'QUEUED' AND queued_at < {NOW_SQL} - INTERVAL 30 SECOND
+  AND NOT EXISTS (SELECT 1 FROM outbox_events e WHERE e.job_id = j.job_id)""", "jobs", "outbox_events"))
+def j5(spark, d):
+    o = Ops(spark, d)
+    return J.missing(Fl.due(o.jobs, "queued_aged", JOBS_NOW), o.outbox_events, "job_id").select("job_id", "queue_id")
+
+
+@register("j6_worker_view", with_views(f"""
+SELECT w.worker_id, w.worker_name, w.last_heartbeat_at,
+  CASE WHEN w.last_heartbeat_at IS NULL THEN 'OFFLINE'
+       WHEN w.last_heartbeat_at > {ENOW_SQL} - INTERVAL 3600 SECOND THEN 'ONLINE'
+       WHEN w.last_heartbeat_at > {ENOW_SQL} - INTERVAL 43200 SECOND THEN 'STALE' ELSE 'OFFLINE' END AS status,
+  coalesce(r.n, 0) AS running_jobs
+FROM workers w LEFT JOIN (SELECT lease_owner, count(*) AS n FROM jobs WHERE status = 'RUNNING' GROUP BY lease_owner) r
+  ON r.lease_owner = w.worker_id""", "workers", "jobs"))
+def j6(spark, d):
+    o = Ops(spark, d)
+    return J.worker_view(o.workers, o.jobs, EVENTS_NOW, 3600, 43200).select(
+        "worker_id", "worker_name", "last_heartbeat_at", "status", "running_jobs")
+
+
+@register("j7_capacity_slots", with_views("""
+SELECT queue_id, CAST(unnest(range(0, max_concurrency)) AS BIGINT) AS slot_index FROM queues""", "queues"))
+def j7(spark, d):
+    return J.capacity_slots(Ops(spark, d).queues)
+
+
+def _renewals(o):
+    j = o.jobs.filter(F.col("status").isin("RUNNING", "CLAIMED"))
+    return j.select("job_id", F.col("lease_owner").alias("worker_id"),
+                    F.when(F.col("job_id") % 3 == 0, F.col("lease_epoch") + 1)
+                     .otherwise(F.col("lease_epoch")).alias("epoch"))
+
+
+@register("j8_lease_renewals", with_views(f"""
+WITH r AS (SELECT job_id, lease_owner AS worker_id,
+    CASE WHEN job_id % 3 = 0 THEN lease_epoch + 1 ELSE lease_epoch END AS epoch
+  FROM jobs WHERE status IN ('RUNNING', 'CLAIMED'))
+SELECT r.job_id, r.worker_id, r.epoch, {NOW_SQL} + INTERVAL 30 SECOND AS lease_expires_at
+FROM r JOIN jobs j ON j.job_id = r.job_id AND j.lease_owner = r.worker_id AND j.lease_epoch = r.epoch
+  AND j.status = 'RUNNING'
+WHERE EXISTS (SELECT 1 FROM capacity_tokens t WHERE t.job_id = r.job_id AND t.worker_id = r.worker_id)""",
+    "jobs", "capacity_tokens"))
+def j8(spark, d):
+    o = Ops(spark, d)
+    new_jobs, _, ok = J.apply_renewals(o.jobs, o.capacity_tokens, _renewals(o), JOBS_NOW)
+    return ok.join(new_jobs.select("job_id", "lease_expires_at"), "job_id")
+
+
+def _reports(o):
+    j = o.jobs.filter(F.col("status").isin("CLAIMED", "RUNNING", "COMPLETED"))
+    k = F.col("job_id")
+    return j.select(F.when(k % 5 == 2, k + 1_000_000_000).otherwise(k).alias("job_id"),
+                    F.when(k % 5 == 0, k % 100 + 1).otherwise(k % 100).alias("worker_id"),
+                    F.when(k % 5 == 1, F.col("lease_epoch") - 1).otherwise(F.col("lease_epoch")).alias("epoch"))
+
+
+@register("j9_fence_reports", with_views("""
+WITH r AS (SELECT CASE WHEN job_id % 5 = 2 THEN job_id + 1000000000 ELSE job_id END AS job_id,
+    CASE WHEN job_id % 5 = 0 THEN job_id % 100 + 1 ELSE job_id % 100 END AS worker_id,
+    CASE WHEN job_id % 5 = 1 THEN lease_epoch - 1 ELSE lease_epoch END AS epoch
+  FROM jobs WHERE status IN ('CLAIMED', 'RUNNING', 'COMPLETED'))
+SELECT r.job_id, r.worker_id, r.epoch,
+  CASE WHEN j.job_id IS NULL THEN 'unknown_job' WHEN r.worker_id IS DISTINCT FROM j.lease_owner THEN 'wrong_owner'
+       WHEN r.epoch IS DISTINCT FROM j.lease_epoch THEN 'stale_epoch' WHEN j.status <> 'RUNNING' THEN 'not_running'
+       ELSE 'accepted' END AS verdict
+FROM r LEFT JOIN jobs j ON j.job_id = r.job_id""", "jobs"))
+def j9(spark, d):
+    o = Ops(spark, d)
+    return J.fence(_reports(o), o.jobs)
+
+
+@register("j10_abandon_executions", with_views(f"""
+SELECT execution_id, job_id, 'ABANDONED' AS status, {NOW_SQL} AS finished_at FROM executions
+WHERE status = 'STARTED' AND job_id IN (SELECT job_id FROM jobs WHERE status IN ('RUNNING', 'CLAIMED')
+  AND lease_expires_at IS NOT NULL AND lease_expires_at < {NOW_SQL} - INTERVAL 10 SECOND)""", "executions", "jobs"))
+def j10(spark, d):
+    o = Ops(spark, d)
+    stale = Fl.due(o.jobs, "stale_lease", JOBS_NOW).select("job_id")
+    out = J.abandon(o.executions, stale, JOBS_NOW)
+    return out.filter(F.col("finished_at").isNotNull()).select("execution_id", "job_id", "status", "finished_at")
+
+
+@register("j11_dlq_with_summary", with_views("""
+SELECT d.dlq_id, d.error_kind, s.summary FROM dead_letter_entries d JOIN failure_summaries s ON s.dlq_id = d.dlq_id""",
+    "dead_letter_entries", "failure_summaries"))
+def j11(spark, d):
+    o = Ops(spark, d)
+    return J.dlq_with_summary(o.dead_letter_entries, o.failure_summaries, "inner").select("dlq_id", "error_kind", "summary")
+
+
+@register("j12_workflow_view", with_views("""
+SELECT j.workflow_id, e.parent_id, e.child_id FROM workflow_edges e JOIN jobs j ON j.job_id = e.parent_id
+UNION SELECT j.workflow_id, e.parent_id, e.child_id FROM workflow_edges e JOIN jobs j ON j.job_id = e.child_id""",
+    "workflow_edges", "jobs"))
+def j12(spark, d):
+    o = Ops(spark, d)
+    return J.workflow_view(o.jobs, o.workflow_edges)
+
+
+@register("j13_replay_lineage", with_views("""
+SELECT d.dlq_id, d.replayed_to_job_id, j.status AS replay_status, j.attempt AS replay_attempt
+FROM dead_letter_entries d LEFT JOIN jobs j ON j.job_id = d.replayed_to_job_id""", "dead_letter_entries", "jobs"))
+def j13(spark, d):
+    o = Ops(spark, d)
+    return J.replay_lineage(o.dead_letter_entries, o.jobs).select(
+        "dlq_id", "replayed_to_job_id", "replay_status", "replay_attempt")
