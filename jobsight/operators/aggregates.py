@@ -17,7 +17,8 @@ def _count_if(cond: Column) -> Column:
     return F.sum(F.when(cond, 1).otherwise(0)).cast("long")
 
 
-def _status_counts(status: Column = F.col("status")) -> list[Column]:
+def _status_counts(status: Column | None = None) -> list[Column]:
+    status = F.col("status") if status is None else status
     return [_count_if(status == s).alias(n) for n, s in STAT_STATUSES]
 
 

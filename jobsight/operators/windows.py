@@ -98,7 +98,7 @@ def allocate(queues: DataFrame, tokens: DataFrame, jobs: DataFrame, now, worker_
 
 # W4 ---------------------------------------------------------------------------
 def offered_load(arrivals: DataFrame, window_secs=None, limit=None, queues: DataFrame | None = None,
-                 key: str = "queue_id", ts_col: str = "at", id_col: str = "arrival_id") -> DataFrame:
+                 key: str = "queue_id", ts_col: str = "event_ts", id_col: str = "arrival_id") -> DataFrame:
     """Per arrival: arrivals of its queue in [at - window, at] (itself included)
     and whether that exceeds the limit. Offered load, not admission (see T4).
 
@@ -139,7 +139,7 @@ def transition_matrix(spark, pairs=DECLARED_TRANSITIONS) -> DataFrame:
     return spark.createDataFrame(list(pairs), "from_status string, to_status string")
 
 
-def audit_transitions(events: DataFrame, matrix: DataFrame, key: str = "job_id", ts_col: str = "at",
+def audit_transitions(events: DataFrame, matrix: DataFrame, key: str = "job_id", ts_col: str = "event_ts",
                       id_col: str = "event_id") -> DataFrame:
     """Previous status per job and whether the step is an allowed edge. A job's
     first event is allowed when it enters a creation state."""
@@ -154,7 +154,7 @@ def audit_transitions(events: DataFrame, matrix: DataFrame, key: str = "job_id",
 
 
 # W6 ---------------------------------------------------------------------------
-def lease_epochs(claims: DataFrame, key: str = "job_id", ts_col: str = "at",
+def lease_epochs(claims: DataFrame, key: str = "job_id", ts_col: str = "event_ts",
                  id_col: str = "event_id") -> DataFrame:
     w = Window.partitionBy(key).orderBy(ts_col, id_col)
     x = (claims.withColumn("epoch", F.row_number().over(w).cast("long"))

@@ -355,3 +355,388 @@ def j13(spark, d):
     o = Ops(spark, d)
     return J.replay_lineage(o.dead_letter_entries, o.jobs).select(
         "dlq_id", "replayed_to_job_id", "replay_status", "replay_attempt")
+
+
+# ---------------------------------------------------------------- A
+_STATS_COLS = """CAST(sum(CASE WHEN status = 'QUEUED' THEN 1 ELSE 0 END) AS BIGINT) AS queued,
+    CAST(sum(CASE WHEN status = 'RUNNING' THEN 1 ELSE 0 END) AS BIGINT) AS running,
+    CAST(sum(CASE WHEN status = 'RETRY_WAIT' THEN 1 ELSE 0 END) AS BIGINT) AS retry_wait,
+    CAST(sum(CASE WHEN status = 'COMPLETED' THEN 1 ELSE 0 END) AS BIGINT) AS completed,
+    CAST(sum(CASE WHEN status = 'FAILED' THEN 1 ELSE 0 END) AS BIGINT) AS failed,
+    CAST(sum(CASE WHEN status = 'SCHEDULED' THEN 1 ELSE 0 END) AS BIGINT) AS scheduled,
+    CAST(sum(CASE WHEN status = 'CLAIMED' THEN 1 ELSE 0 END) AS BIGINT) AS claimed"""
+
+
+@register("a2_batch_queue_stats", with_views(f"""
+SELECT j.*, coalesce(d.dlq, 0) AS dlq FROM (SELECT queue_id, {_STATS_COLS} FROM jobs
+  WHERE queue_id IN (SELECT queue_id FROM queues WHERE NOT is_paused) GROUP BY queue_id) j
+LEFT JOIN (SELECT queue_id, count(*) AS dlq FROM dead_letter_entries GROUP BY queue_id) d ON d.queue_id = j.queue_id""",
+    "jobs", "queues", "dead_letter_entries"))
+def a2(spark, d):
+    o = Ops(spark, d)
+    return A.batch_queue_stats(o.jobs, o.dead_letter_entries, Fl.unpaused(o.queues).select("queue_id"))
+
+
+_SNAP_SQL = """(SELECT q.project_id, j.status, count(*) AS n FROM jobs j JOIN queues q ON q.queue_id = j.queue_id
+   JOIN projects p ON p.project_id = q.project_id GROUP BY ALL
+ UNION ALL SELECT q.project_id, 'DLQ', count(*) FROM dead_letter_entries d JOIN queues q ON q.queue_id = d.queue_id
+   JOIN projects p ON p.project_id = q.project_id GROUP BY ALL)"""
+
+
+@register("a3_project_snapshot", with_views(f"SELECT * FROM {_SNAP_SQL} s",
+                                            "jobs", "queues", "projects", "dead_letter_entries"))
+def a3(spark, d):
+    o = Ops(spark, d)
+    return A.project_snapshot(o.jobs, o.dead_letter_entries, o.queues, o.projects)
+
+
+@register("a3_snapshot_json", with_views(f"""
+SELECT project_id, '{{' || string_agg('"' || status || '":' || CAST(n AS VARCHAR), ',' ORDER BY status) || '}}' AS snapshot
+FROM {_SNAP_SQL} s GROUP BY project_id""", "jobs", "queues", "projects", "dead_letter_entries"))
+def a3j(spark, d):
+    o = Ops(spark, d)
+    return A.snapshot_json(A.project_snapshot(o.jobs, o.dead_letter_entries, o.queues, o.projects))
+
+
+@register("a4_user_metrics", with_views("""
+WITH po AS (SELECT p.org_id, count(*) AS total_jobs,
+    sum(CASE WHEN status = 'QUEUED' THEN 1 ELSE 0 END) AS queued, sum(CASE WHEN status = 'RUNNING' THEN 1 ELSE 0 END) AS running,
+    sum(CASE WHEN status = 'COMPLETED' THEN 1 ELSE 0 END) AS completed, sum(CASE WHEN status = 'FAILED' THEN 1 ELSE 0 END) AS failed,
+    sum(CASE WHEN status = 'RETRY_WAIT' THEN 1 ELSE 0 END) AS retry_wait
+  FROM jobs j JOIN queues q ON q.queue_id = j.queue_id JOIN projects p ON p.project_id = q.project_id GROUP BY p.org_id),
+pd AS (SELECT p.org_id, count(*) AS dlq FROM dead_letter_entries d JOIN queues q ON q.queue_id = d.queue_id
+  JOIN projects p ON p.project_id = q.project_id GROUP BY p.org_id)
+SELECT m.user_id, CAST(coalesce(sum(total_jobs), 0) AS BIGINT) AS total_jobs, CAST(coalesce(sum(queued), 0) AS BIGINT) AS queued,
+  CAST(coalesce(sum(running), 0) AS BIGINT) AS running, CAST(coalesce(sum(completed), 0) AS BIGINT) AS completed,
+  CAST(coalesce(sum(failed), 0) AS BIGINT) AS failed, CAST(coalesce(sum(retry_wait), 0) AS BIGINT) AS retry_wait,
+  CAST(coalesce(sum(dlq), 0) AS BIGINT) AS dlq
+FROM org_memberships m LEFT JOIN po ON po.org_id = m.org_id LEFT JOIN pd ON pd.org_id = m.org_id GROUP BY m.user_id""",
+    "jobs", "queues", "projects", "dead_letter_entries", "org_memberships"))
+def a4(spark, d):
+    o = Ops(spark, d)
+    return A.user_metrics(o.jobs, o.dead_letter_entries, o.queues, o.projects, o.org_memberships)
+
+
+@register("a5_count_pages_by_queue", with_views("""
+SELECT queue_id, count(*) AS total, (count(*) + 19) // 20 AS pages FROM jobs WHERE status = 'FAILED' GROUP BY queue_id""",
+    "jobs"))
+def a5(spark, d):
+    return A.count_by(Fl.filter_jobs(Ops(spark, d).jobs, status="FAILED"), "queue_id", 20)
+
+
+@register("a5_count_pages_total", with_views("""
+SELECT count(*) AS total, CAST(20 AS BIGINT) AS page_size, (count(*) + 19) // 20 AS pages FROM jobs
+WHERE status = 'QUEUED' AND priority >= 5""", "jobs"))
+def a5t(spark, d):
+    return A.count_pages(Fl.filter_jobs(Ops(spark, d).jobs, status="QUEUED", priority_min=5), 20)
+
+
+def _access_requests(spark, d):
+    o = read(spark, d, "orders")
+    return o.select(F.expr("o_orderkey div 10").alias("request_id"),
+                    F.expr("(o_orderkey div 10) % 100").alias("user_id"), F.col("o_custkey").alias("queue_id"))
+
+
+@register("a6_can_access_all", with_views("""
+WITH r AS (SELECT DISTINCT o_orderkey // 10 AS request_id, (o_orderkey // 10) % 100 AS user_id, o_custkey AS queue_id FROM orders),
+v AS (SELECT r.request_id, count(*) AS visible FROM r JOIN queues q ON q.queue_id = r.queue_id
+  JOIN projects p ON p.project_id = q.project_id JOIN org_memberships m ON m.org_id = p.org_id AND m.user_id = r.user_id
+  GROUP BY r.request_id)
+SELECT w.request_id, w.user_id, w.requested, coalesce(v.visible, 0) AS visible, coalesce(v.visible, 0) = w.requested AS all_visible
+FROM (SELECT request_id, user_id, count(*) AS requested FROM r GROUP BY ALL) w LEFT JOIN v ON v.request_id = w.request_id""",
+    "queues", "projects", "org_memberships"))
+def a6(spark, d):
+    o = Ops(spark, d)
+    return A.can_access_all(_access_requests(spark, d), o.queues, o.projects, o.org_memberships)
+
+
+@register("a7_batch_progress", with_views("""
+SELECT b.batch_id, b.total_jobs, coalesce(c, 0) AS completed_jobs, coalesce(f, 0) AS failed_jobs,
+  CASE WHEN coalesce(c, 0) + coalesce(f, 0) >= b.total_jobs AND coalesce(f, 0) = 0 THEN 'COMPLETED'
+       WHEN coalesce(c, 0) + coalesce(f, 0) >= b.total_jobs AND coalesce(c, 0) = 0 THEN 'FAILED'
+       WHEN coalesce(c, 0) + coalesce(f, 0) >= b.total_jobs OR coalesce(f, 0) > 0 THEN 'PARTIALLY_COMPLETED'
+       WHEN coalesce(c, 0) > 0 THEN 'RUNNING' ELSE 'QUEUED' END AS status
+FROM batches b LEFT JOIN (SELECT batch_id, CAST(sum(CASE WHEN status = 'COMPLETED' THEN 1 ELSE 0 END) AS BIGINT) AS c,
+  CAST(sum(CASE WHEN status = 'FAILED' THEN 1 ELSE 0 END) AS BIGINT) AS f FROM jobs GROUP BY batch_id) g ON g.batch_id = b.batch_id""",
+    "batches", "jobs"))
+def a7(spark, d):
+    o = Ops(spark, d)
+    return A.batch_progress(o.batches, o.jobs)
+
+
+@register("a8_capacity_usage", with_views("""
+SELECT q.queue_id, q.max_concurrency, coalesce(r.n, 0) AS running, greatest(q.max_concurrency - coalesce(r.n, 0), 0) AS free_slots,
+  CAST(least(100, round(coalesce(r.n, 0) / greatest(q.max_concurrency, 1) * 100)) AS BIGINT) AS pct_used
+FROM queues q LEFT JOIN (SELECT queue_id, count(*) AS n FROM jobs WHERE status IN ('CLAIMED', 'RUNNING') GROUP BY queue_id) r
+  ON r.queue_id = q.queue_id""", "queues", "jobs"))
+def a8(spark, d):
+    o = Ops(spark, d)
+    return A.capacity_usage(o.queues, o.jobs)
+
+
+@register("a9_running_per_worker", with_views("""
+SELECT lease_owner AS worker_id, count(*) AS running_jobs FROM jobs WHERE status = 'RUNNING' AND lease_owner IS NOT NULL
+GROUP BY lease_owner""", "jobs"))
+def a9(spark, d):
+    return A.running_per_worker(Ops(spark, d).jobs)
+
+
+_TREND_SQL = """count(duration_ms) AS n, round(avg(duration_ms), 2) AS avg, round(min(duration_ms), 2) AS min,
+  round(quantile_cont(duration_ms, 0.5), 2) AS med, round(max(duration_ms), 2) AS max,
+  round(quantile_cont(duration_ms, 0.9), 2) AS p90, round(quantile_cont(duration_ms, 0.95), 2) AS p95,
+  round(quantile_cont(duration_ms, 0.99), 2) AS p99"""
+
+
+@register("a10_duration_trend", with_views(f"""
+SELECT status, {_TREND_SQL.replace('duration_ms', 'CAST(duration_ms AS DOUBLE)')} FROM executions GROUP BY status""",
+    "executions"))
+def a10(spark, d):
+    return A.trend(Ops(spark, d).executions, "duration_ms", ["status"])
+
+
+@register("a11_worker_slo", with_views("""
+SELECT worker_id, count(duration_ms) AS n, round(avg(CASE WHEN status = 'COMPLETED' THEN 1.0 ELSE 0.0 END), 4) AS success_rate,
+  round(quantile_cont(CAST(duration_ms AS DOUBLE), 0.95), 2) AS p95, round(quantile_cont(CAST(duration_ms AS DOUBLE), 0.99), 2) AS p99,
+  round(avg(CASE WHEN status = 'COMPLETED' THEN 1.0 ELSE 0.0 END), 4) > 0.99 AS rate_ok,
+  round(quantile_cont(CAST(duration_ms AS DOUBLE), 0.95), 2) < 100000.0 AS p95_ok,
+  round(quantile_cont(CAST(duration_ms AS DOUBLE), 0.99), 2) < 100000.0 AS p99_ok
+FROM executions GROUP BY worker_id""", "executions"))
+def a11(spark, d):
+    e = Ops(spark, d).executions.withColumn("ok", F.col("status") == "COMPLETED")
+    return A.slo(e, "duration_ms", "ok", ["worker_id"], 0.99, 100000.0, 100000.0)
+
+
+@register("a12_attempt_summary", with_views("""
+SELECT job_id, count(*) AS attempts,
+  CAST(sum(CASE WHEN status = 'STARTED' THEN 1 ELSE 0 END) AS BIGINT) AS started,
+  CAST(sum(CASE WHEN status = 'COMPLETED' THEN 1 ELSE 0 END) AS BIGINT) AS completed,
+  CAST(sum(CASE WHEN status = 'FAILED' THEN 1 ELSE 0 END) AS BIGINT) AS failed,
+  CAST(sum(CASE WHEN status = 'ABANDONED' THEN 1 ELSE 0 END) AS BIGINT) AS abandoned,
+  arg_max(status, (started_at, attempt, execution_id)) AS last_status,
+  CAST(coalesce(sum(duration_ms), 0) AS BIGINT) AS total_duration_ms
+FROM executions GROUP BY job_id""", "executions"))
+def a12(spark, d):
+    return A.attempt_summary(Ops(spark, d).executions)
+
+
+@register("a13_dlq_rollup", with_views("""
+SELECT queue_id, error_kind, reason, count(*) AS entries,
+  CAST(sum(CASE WHEN replayed_to_job_id IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS replayed,
+  round(avg(CASE WHEN replayed_to_job_id IS NOT NULL THEN 1.0 ELSE 0.0 END), 4) AS replayed_share
+FROM dead_letter_entries GROUP BY ALL""", "dead_letter_entries"))
+def a13(spark, d):
+    return A.dlq_rollup(Ops(spark, d).dead_letter_entries)
+
+
+# ---------------------------------------------------------------- W
+@register("w1_latest_logs", with_views("""
+SELECT log_id, job_id, created_at, rn FROM (SELECT log_id, job_id, created_at,
+  row_number() OVER (PARTITION BY job_id ORDER BY created_at DESC, log_id DESC) AS rn FROM job_logs) x WHERE rn <= 3""",
+    "job_logs"))
+def w1(spark, d):
+    return W.latest_logs(Ops(spark, d).job_logs, 3).select("log_id", "job_id", "created_at", "rn")
+
+
+@register("w2_dispatch_rank", with_views("""
+SELECT job_id, queue_id, row_number() OVER (PARTITION BY queue_id ORDER BY priority DESC, created_at, job_id) AS dispatch_rank
+FROM jobs WHERE status = 'QUEUED'""", "jobs"))
+def w2(spark, d):
+    return W.dispatch_rank(Ops(spark, d).jobs).select("job_id", "queue_id", "dispatch_rank")
+
+
+@register("w3_allocate_claims", with_views(f"""
+WITH live AS (SELECT queue_id FROM queues WHERE NOT is_paused),
+c AS (SELECT *, row_number() OVER (PARTITION BY queue_id ORDER BY priority DESC, created_at, job_id) AS rk FROM jobs
+  WHERE status IN ('QUEUED', 'RETRY_WAIT') AND (lease_expires_at IS NULL OR lease_expires_at < {NOW_SQL})
+    AND queue_id IN (SELECT queue_id FROM live)),
+f AS (SELECT queue_id, slot_index, row_number() OVER (PARTITION BY queue_id ORDER BY slot_index) AS rk FROM capacity_tokens
+  WHERE worker_id IS NULL AND job_id IS NULL AND queue_id IN (SELECT queue_id FROM live))
+SELECT c.job_id, c.queue_id, f.slot_index, 'CLAIMED' AS status, c.attempt + 1 AS attempt, c.lease_epoch + 1 AS lease_epoch,
+  CAST(7 AS BIGINT) AS lease_owner, {NOW_SQL} + INTERVAL 30 SECOND AS lease_expires_at
+FROM c JOIN f ON f.queue_id = c.queue_id AND f.rk = c.rk""", "queues", "jobs", "capacity_tokens"))
+def w3(spark, d):
+    o = Ops(spark, d)
+    claimed, _, _ = W.allocate(o.queues, o.capacity_tokens, o.jobs, JOBS_NOW, worker_id=7)
+    return claimed.select("job_id", "queue_id", "slot_index", "status", "attempt", "lease_epoch",
+                          "lease_owner", "lease_expires_at")
+
+
+@register("w4_offered_load", with_views("""
+SELECT arrival_id, queue_id, event_ts, offered, offered > 3 AS over_limit FROM (SELECT arrival_id, queue_id, event_ts,
+  count(*) OVER (PARTITION BY queue_id ORDER BY event_ts RANGE BETWEEN INTERVAL 3600 SECOND PRECEDING AND CURRENT ROW) AS offered
+  FROM arrivals) x""", "arrivals"))
+def w4(spark, d):
+    return W.offered_load(Ops(spark, d).arrivals, 3600, 3)
+
+
+_MATRIX_SQL = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in DECLARED_TRANSITIONS) + ") m(from_status, to_status)"
+
+
+@register("w5_audit_transitions", with_views(f"""
+SELECT x.event_id, x.job_id, x.event_ts, x.from_status, x.status,
+  CASE WHEN x.from_status IS NULL THEN x.status IN ('QUEUED', 'SCHEDULED', 'WAITING') ELSE m.to_status IS NOT NULL END AS allowed
+FROM (SELECT event_id, job_id, event_ts, status, lag(status) OVER (PARTITION BY job_id ORDER BY event_ts, event_id) AS from_status
+  FROM status_events) x LEFT JOIN {_MATRIX_SQL} ON m.from_status = x.from_status AND m.to_status = x.status""",
+    "status_events"))
+def w5(spark, d):
+    o = Ops(spark, d)
+    ev = o.status_events.select("event_id", "job_id", "event_ts", "status")
+    return W.audit_transitions(ev, W.transition_matrix(spark)).select(
+        "event_id", "job_id", "event_ts", "from_status", "status", "allowed")
+
+
+@register("w6_lease_epochs", with_views("""
+SELECT event_id, job_id, worker_id, event_ts, epoch, prev_owner, coalesce(prev_owner <> worker_id, false) AS takeover FROM (
+  SELECT event_id, job_id, worker_id, event_ts, row_number() OVER w AS epoch, lag(worker_id) OVER w AS prev_owner
+  FROM lease_events WHERE kind = 'claim' WINDOW w AS (PARTITION BY job_id ORDER BY event_ts, event_id)) x""", "lease_events"))
+def w6(spark, d):
+    c = Ops(spark, d).lease_events.filter(F.col("kind") == "claim").select("event_id", "job_id", "worker_id", "event_ts")
+    return W.lease_epochs(c)
+
+
+@register("w7_latest_heartbeat", with_views("""
+SELECT worker_id, heartbeat_id, heartbeat_at, running_jobs FROM (SELECT *,
+  row_number() OVER (PARTITION BY worker_id ORDER BY heartbeat_at DESC, heartbeat_id DESC) AS rn FROM worker_heartbeats) x
+WHERE rn = 1""", "worker_heartbeats"))
+def w7(spark, d):
+    return W.latest_by(Ops(spark, d).worker_heartbeats, "worker_id", "heartbeat_at", "heartbeat_id")
+
+
+# ---------------------------------------------------------------- L
+@register("l1_page_failed_jobs", with_views("""
+SELECT job_id, queue_id, created_at FROM jobs WHERE status = 'FAILED' ORDER BY created_at DESC, job_id LIMIT 20 OFFSET 40""",
+    "jobs"))
+def l1(spark, d):
+    j = Fl.filter_jobs(Ops(spark, d).jobs, status="FAILED").select("job_id", "queue_id", "created_at")
+    return W.page(j, W.LISTING_ORDERS["jobs"], 3, 20)
+
+
+@register("l2_dlq_listing", with_views("""
+SELECT dlq_id, queue_id, moved_at, row_number() OVER (PARTITION BY queue_id ORDER BY moved_at DESC, dlq_id) AS position
+FROM dead_letter_entries""", "dead_letter_entries"))
+def l2(spark, d):
+    dl = Ops(spark, d).dead_letter_entries.select("dlq_id", "queue_id", "moved_at")
+    return W.listing_ranked(dl, W.LISTING_ORDERS["dead_letter_entries"], "queue_id")
+
+
+@register("l4_outbox_batch", with_views(f"""
+SELECT event_id, job_id, priority, created_at, 'relay-9' AS relay_owner_id, {NOW_SQL} + INTERVAL 30 SECOND AS relay_locked_until
+FROM outbox_events WHERE published_at IS NULL AND (relay_locked_until IS NULL OR relay_locked_until < {NOW_SQL})
+ORDER BY priority DESC, created_at, event_id LIMIT 100""", "outbox_events"))
+def l4(spark, d):
+    ob = Ops(spark, d).outbox_events
+    return W.outbox_batch(ob, "relay-9", JOBS_NOW).select(
+        "event_id", "job_id", "priority", "created_at", "relay_owner_id", "relay_locked_until")
+
+
+@register("l5_pending_summaries", with_views("""
+SELECT dlq_id, error_kind, final_error, attempt, moved_at,
+  format('Summarize this failed background job for an operator. Do not invent facts. Return JSON only with summary, root_cause, remediation. Error kind: {}. Final error: {}. Attempts: {}.',
+    coalesce(error_kind, 'unknown'), coalesce(final_error, 'no error message recorded'), CAST(attempt AS VARCHAR)) AS prompt
+FROM dead_letter_entries d WHERE NOT EXISTS (SELECT 1 FROM failure_summaries s WHERE s.dlq_id = d.dlq_id)
+ORDER BY moved_at, dlq_id LIMIT 5""", "dead_letter_entries", "failure_summaries"))
+def l5(spark, d):
+    o = Ops(spark, d)
+    return W.pending_summaries(o.dead_letter_entries, o.failure_summaries).select(
+        "dlq_id", "error_kind", "final_error", "attempt", "moved_at", "prompt")
+
+
+# ---------------------------------------------------------------- U
+@register("u1_union_counts", with_views("""
+SELECT 'jobs' AS source, status AS label, count(*) AS n FROM jobs GROUP BY status
+UNION ALL SELECT 'dead_letter_entries', reason, count(*) FROM dead_letter_entries GROUP BY reason""",
+    "jobs", "dead_letter_entries"))
+def u1(spark, d):
+    o = Ops(spark, d)
+    a = o.jobs.groupBy(F.col("status").alias("label")).agg(F.count(F.lit(1)).alias("n")) \
+        .withColumn("source", F.lit("jobs"))
+    b = o.dead_letter_entries.groupBy(F.col("reason").alias("label")).agg(F.count(F.lit(1)).alias("n")) \
+        .withColumn("source", F.lit("dead_letter_entries"))
+    return U.union_counts(a, b)
+
+
+@register("u2_insert_ignore_satisfaction", with_views("""
+WITH done AS (SELECT e.parent_id, e.child_id FROM workflow_edges e JOIN jobs j ON j.job_id = e.parent_id WHERE j.status = 'COMPLETED')
+SELECT DISTINCT parent_id, child_id FROM done d WHERE NOT EXISTS
+  (SELECT 1 FROM done t WHERE t.child_id % 2 = 0 AND t.parent_id = d.parent_id AND t.child_id = d.child_id)""",
+    "workflow_edges", "jobs"))
+def u2(spark, d):
+    o = Ops(spark, d)
+    done = o.workflow_edges.join(o.jobs.filter(F.col("status") == "COMPLETED")
+                                 .select(F.col("job_id").alias("parent_id")), "parent_id", "left_semi")
+    existing = done.filter(F.col("child_id") % 2 == 0)  # satisfaction rows already present
+    _, inserted = U.insert_ignore(existing, done, ["parent_id", "child_id"])
+    return inserted
+
+
+@register("u3_upsert_workers", with_views("""
+WITH n AS (SELECT worker_id, arg_max(started_at, (started_at, execution_id)) AS last_heartbeat_at FROM executions GROUP BY worker_id)
+SELECT coalesce(w.worker_id, n.worker_id) AS worker_id, w.worker_name, w.max_concurrency, w.started_at,
+  CASE WHEN n.worker_id IS NOT NULL THEN n.last_heartbeat_at ELSE w.last_heartbeat_at END AS last_heartbeat_at
+FROM workers w FULL OUTER JOIN n ON n.worker_id = w.worker_id""", "workers", "executions"))
+def u3(spark, d):
+    o = Ops(spark, d)
+    new = o.executions.select("worker_id", F.col("started_at").alias("last_heartbeat_at"), "execution_id")
+    return U.upsert(o.workers, new, "worker_id", ["last_heartbeat_at", "execution_id"], ["last_heartbeat_at"])
+
+
+_U4_SQL = """WITH k AS (SELECT job_id, queue_id, idempotency_key,
+    first_value(job_id) OVER (PARTITION BY queue_id, idempotency_key ORDER BY created_at, job_id) AS w
+  FROM jobs WHERE idempotency_key IS NOT NULL)"""
+
+
+@register("u4_idempotency_conflicts", with_views(_U4_SQL + """
+SELECT job_id, queue_id, idempotency_key, w AS conflicts_with FROM k WHERE job_id <> w""", "jobs"))
+def u4c(spark, d):
+    _, conflicts = U.idempotency_split(Ops(spark, d).jobs)
+    return conflicts.select("job_id", "queue_id", "idempotency_key", "conflicts_with")
+
+
+@register("u4_idempotency_accepted", with_views(_U4_SQL + """
+SELECT job_id, queue_id, idempotency_key FROM k WHERE job_id = w
+UNION ALL SELECT job_id, queue_id, idempotency_key FROM jobs WHERE idempotency_key IS NULL""", "jobs"))
+def u4a(spark, d):
+    accepted, _ = U.idempotency_split(Ops(spark, d).jobs)
+    return accepted.select("job_id", "queue_id", "idempotency_key")
+
+
+@register("u5_patch_queue_config", with_views("""
+SELECT q.queue_id, coalesce(p.max_concurrency, q.max_concurrency) AS max_concurrency,
+  coalesce(p.default_priority, q.default_priority) AS default_priority, q.is_paused, q.shard_count
+FROM queues q LEFT JOIN (SELECT c_custkey AS queue_id,
+    CASE WHEN c_acctbal > 0 THEN CAST(floor(c_acctbal) AS BIGINT) % 100 + 1 END AS max_concurrency,
+    CASE WHEN c_mktsegment = 'BUILDING' THEN CAST(9 AS BIGINT) END AS default_priority FROM customer) p
+  ON p.queue_id = q.queue_id""", "queues"))
+def u5(spark, d):
+    o = Ops(spark, d)
+    c = read(spark, d, "customer")
+    patches = c.select(F.col("c_custkey").alias("queue_id"),
+                       F.when(F.col("c_acctbal") > 0, F.floor("c_acctbal").cast("long") % 100 + 1).alias("max_concurrency"),
+                       F.when(F.col("c_mktsegment") == "BUILDING", F.lit(9).cast("long")).alias("default_priority"))
+    q = o.queues.select("queue_id", "max_concurrency", "default_priority", "is_paused", "shard_count")
+    return U.patch(q, patches, "queue_id", "coalesce")
+
+
+@register("u6_delete_published_outbox", with_views("""
+SELECT event_id, job_id FROM outbox_events o WHERE NOT EXISTS (SELECT 1 FROM outbox_events k
+  WHERE k.published_at IS NOT NULL AND k.relay_owner_id IS NOT NULL AND k.event_id = o.event_id AND k.relay_owner_id = o.relay_owner_id)""",
+    "outbox_events"))
+def u6(spark, d):
+    ob = Ops(spark, d).outbox_events
+    keys = ob.filter(F.col("published_at").isNotNull() & F.col("relay_owner_id").isNotNull()) \
+        .select("event_id", "relay_owner_id")
+    return U.delete_matching(ob, keys, ["event_id", "relay_owner_id"]).select("event_id", "job_id")
+
+
+@register("u7_resync_slots", with_views("""
+WITH nq AS (SELECT queue_id, queue_id % 5 + 1 AS max_concurrency FROM queues)
+SELECT t.queue_id, t.slot_index, t.worker_id, t.job_id FROM capacity_tokens t LEFT JOIN nq ON nq.queue_id = t.queue_id
+  WHERE t.slot_index < coalesce(nq.max_concurrency, 0) OR t.worker_id IS NOT NULL OR t.job_id IS NOT NULL
+UNION ALL
+SELECT s.queue_id, s.slot_index, NULL, NULL FROM (SELECT queue_id, CAST(unnest(range(0, max_concurrency)) AS BIGINT) AS slot_index FROM nq) s
+  WHERE NOT EXISTS (SELECT 1 FROM capacity_tokens t WHERE t.queue_id = s.queue_id AND t.slot_index = s.slot_index)""",
+    "capacity_tokens", "queues"))
+def u7(spark, d):
+    o = Ops(spark, d)
+    nq = o.queues.select("queue_id", (F.col("queue_id") % 5 + 1).alias("max_concurrency"))
+    return U.resync_slots(o.capacity_tokens, nq).select("queue_id", "slot_index", "worker_id", "job_id")

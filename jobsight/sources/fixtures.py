@@ -226,14 +226,14 @@ def _status_events(spark, d):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id") \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return e.select(F.col("event_id"), F.col("user_id").alias("job_id"), st.alias("status"),
-                    F.col("ts").alias("at"),
+                    F.col("ts").alias("event_ts"),
                     F.sum(F.when(et == "view", 1).otherwise(0)).over(w).cast("long").alias("epoch"))
 
 
 def _arrivals(spark, d):
     e = read(spark, d, "events")
     return e.select(F.col("event_id").alias("arrival_id"), F.col("event_type").alias("queue_id"),
-                    F.col("ts").alias("at"))
+                    F.col("ts").alias("event_ts"))
 
 
 def _lease_events(spark, d):
@@ -243,7 +243,7 @@ def _lease_events(spark, d):
                     (F.col("event_id") % 5).alias("worker_id"),
                     F.when(et == "view", "claim").when(et == "click", "renew")
                      .otherwise("complete").alias("kind"),
-                    F.col("ts").alias("at"))
+                    F.col("ts").alias("event_ts"))
 
 
 def _messages(spark, d):
@@ -419,13 +419,13 @@ VIEW_SQL: dict[str, str] = {
         props AS message, ts AS created_at FROM events""",
     "status_events": """SELECT event_id, user_id AS job_id,
         CASE event_type WHEN 'signup' THEN 'QUEUED' WHEN 'view' THEN 'CLAIMED' WHEN 'click' THEN 'RUNNING'
-             WHEN 'purchase' THEN 'COMPLETED' ELSE 'FAILED' END AS status, ts AS at,
+             WHEN 'purchase' THEN 'COMPLETED' ELSE 'FAILED' END AS status, ts AS event_ts,
         CAST(sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id
              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS epoch FROM events""",
-    "arrivals": "SELECT event_id AS arrival_id, event_type AS queue_id, ts AS at FROM events",
+    "arrivals": "SELECT event_id AS arrival_id, event_type AS queue_id, ts AS event_ts FROM events",
     "lease_events": """SELECT event_id, user_id AS job_id, event_id % 5 AS worker_id,
         CASE event_type WHEN 'view' THEN 'claim' WHEN 'click' THEN 'renew' ELSE 'complete' END AS kind,
-        ts AS at FROM events WHERE event_type IN ('view', 'click', 'purchase')""",
+        ts AS event_ts FROM events WHERE event_type IN ('view', 'click', 'purchase')""",
     "messages": """SELECT * FROM (SELECT event_id AS msg_id,
           CASE WHEN event_id % 3 <> 0 THEN CAST(user_id AS VARCHAR) END AS header_job_id,
           CASE WHEN event_id % 6 <> 0 THEN props END AS body, ts FROM events) m
