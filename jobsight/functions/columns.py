@@ -156,7 +156,8 @@ def payload_force_unknown(payload) -> Column:
 
 
 def to_json_object(**fields) -> Column:
-    return F.to_json(F.struct(*[_v(v).alias(k) for k, v in fields.items()]))
+    """JSON object text; null fields are written as null (not dropped)."""
+    return F.to_json(F.struct(*[_v(v).alias(k) for k, v in fields.items()]), {"ignoreNullFields": "false"})
 
 
 # G15 / G16 / G19 --------------------------------------------------------------
@@ -185,3 +186,19 @@ def failure_prompt(error_kind, final_error, attempt) -> Column:
     return F.format_string(FAILURE_PROMPT, F.coalesce(_v(error_kind), F.lit(FAILURE_PROMPT_DEFAULTS[0])),
                            F.coalesce(_v(final_error), F.lit(FAILURE_PROMPT_DEFAULTS[1])),
                            _v(attempt).cast("string"))
+
+
+# Derived keys -------------------------------------------------------------------
+def derived_id(*parts) -> Column:
+    """Deterministic 60-bit id from the parts: the first 15 hex digits of
+    sha256(concat_ws(':', parts)). Replaces random UUIDs so reruns (and task
+    retries) produce the same keys."""
+    cols = [p if isinstance(p, Column) else F.lit(str(p)) for p in parts]
+    h = F.sha2(F.concat_ws(":", *[c.cast("string") for c in cols]), 256)
+    return F.conv(F.substr(h, F.lit(1), F.lit(15)), 16, 10).cast("long")
+
+
+def derived_id_sql(*parts: str) -> str:
+    """DuckDB text of ``derived_id`` for the oracle (parts are SQL expressions)."""
+    inner = " || ':' || ".join(f"CAST({p} AS VARCHAR)" for p in parts)
+    return f"CAST(('0x' || substr(sha256({inner}), 1, 15)) AS BIGINT)"
