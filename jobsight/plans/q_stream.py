@@ -1,5 +1,170 @@
-"""Registered queries."""
+"""Registered queries for streaming operators (T1–T8), sinks (S4, S5), exact
+admission (T4) and handlers (X1). Streaming queries run with an availableNow
+trigger over the supplied files and return the sink's contents."""
 
 from __future__ import annotations
 
-from .registry import register  # noqa: F401
+from pyspark.sql import functions as F
+
+from ..operators import handlers as X
+from ..operators.admission import admit
+from ..session import checkpoint_dir
+from ..sources.fixtures import EVENTS_NOW, JOBS_NOW, Ops, build, with_views
+from ..streaming import operators as T
+from ..streaming.runner import append_events, publish_once, run_to_table
+from .registry import register
+from .tick import run_tick
+from .q_write import outbox_sql, _DUE
+
+
+@register("t1_dedup_messages", with_views("SELECT DISTINCT msg_id, header_job_id, body FROM messages", "messages"))
+def t1(spark, d):
+    s = build(spark, d, "messages", stream=True)
+    return run_to_table(T.dedup_messages(s), "t1").select("msg_id", "header_job_id", "body")
+
+
+@register("t2_status_snapshot", with_views("""
+SELECT status, count(*) AS n FROM (SELECT job_id, arg_max(status, (event_ts, event_id)) AS status FROM status_events
+  GROUP BY job_id) x GROUP BY status""", "status_events"))
+def t2(spark, d):
+    return T.snapshot_stream(_status_stream(spark, d), "t2")
+
+
+def _status_stream(spark, d):
+    """status events as a stream over the events file (epoch carried as NULL)."""
+    from ..streaming.runner import stream_table
+    ev = stream_table(spark, d, "events")
+    et = F.col("event_type")
+    st = (F.when(et == "signup", "QUEUED").when(et == "view", "CLAIMED").when(et == "click", "RUNNING")
+           .when(et == "purchase", "COMPLETED").otherwise("FAILED"))
+    return ev.select("event_id", F.col("user_id").alias("job_id"), st.alias("status"),
+                     F.col("ts").alias("event_ts"), F.lit(None).cast("long").alias("epoch"))
+
+
+@register("t3_liveness_sessions", with_views("""
+SELECT worker_id, min(heartbeat_at) AS session_start, max(heartbeat_at) + INTERVAL 1 HOUR AS session_end, count(*) AS beats
+FROM (SELECT *, sum(CASE WHEN prev IS NULL OR heartbeat_at - prev >= INTERVAL 1 HOUR THEN 1 ELSE 0 END)
+        OVER (PARTITION BY worker_id ORDER BY heartbeat_at, heartbeat_id) AS sid
+      FROM (SELECT *, lag(heartbeat_at) OVER (PARTITION BY worker_id ORDER BY heartbeat_at, heartbeat_id) AS prev
+            FROM worker_heartbeats) a) b
+GROUP BY worker_id, sid""", "worker_heartbeats"))
+def t3(spark, d):
+    hb = build(spark, d, "worker_heartbeats", stream=True)
+    return run_to_table(T.liveness_sessions(hb, "1 hour"), "t3", mode="complete")
+
+
+@register("t3_liveness_edges", with_views(f"""
+SELECT worker_id, heartbeat_at + INTERVAL 3600 SECOND AS edge_at, 'ONLINE' AS from_status, 'STALE' AS to_status
+  FROM (SELECT *, lead(heartbeat_at) OVER (PARTITION BY worker_id ORDER BY heartbeat_at, heartbeat_id) AS nxt FROM worker_heartbeats) x
+  WHERE coalesce(nxt, {f"TIMESTAMP '{EVENTS_NOW}'"}) > heartbeat_at + INTERVAL 3600 SECOND
+UNION ALL
+SELECT worker_id, heartbeat_at + INTERVAL 43200 SECOND, 'STALE', 'OFFLINE'
+  FROM (SELECT *, lead(heartbeat_at) OVER (PARTITION BY worker_id ORDER BY heartbeat_at, heartbeat_id) AS nxt FROM worker_heartbeats) x
+  WHERE coalesce(nxt, {f"TIMESTAMP '{EVENTS_NOW}'"}) > heartbeat_at + INTERVAL 43200 SECOND
+UNION ALL
+SELECT worker_id, heartbeat_at, CASE WHEN heartbeat_at - prev > INTERVAL 43200 SECOND THEN 'OFFLINE' ELSE 'STALE' END, 'ONLINE'
+  FROM (SELECT *, lag(heartbeat_at) OVER (PARTITION BY worker_id ORDER BY heartbeat_at, heartbeat_id) AS prev FROM worker_heartbeats) x
+  WHERE heartbeat_at - prev > INTERVAL 3600 SECOND""", "worker_heartbeats"))
+def t3e(spark, d):
+    from ..streaming.liveness import liveness_edges
+    return liveness_edges(Ops(spark, d).worker_heartbeats, EVENTS_NOW, 3600, 43200)
+
+
+@register("t4_admission_batch", note="sequential rule; checked against a brute-force model in tests")
+def t4(spark, d):
+    return admit(Ops(spark, d).arrivals, limit=3, window_secs=3600)
+
+
+@register("t4_admission_stream", note="stream twin of t4_admission_batch")
+def t4s(spark, d):
+    a = build(spark, d, "arrivals", stream=True)
+    out = run_to_table(T.admit_stream(a, 3, 3600), "t4")
+    return out.withColumn("event_ts", F.col("event_ts").cast("timestamp_ntz"))
+
+
+@register("t5_lifecycle_stream", note="stateful state machine; checked against a Python model in tests")
+def t5(spark, d):
+    ev = _status_stream(spark, d)
+    return run_to_table(T.lifecycle_stream(ev), "t5")
+
+
+_LEASE_SQL = f"""SELECT job_id, worker_id, event_id, event_ts + INTERVAL 30 SECOND AS expired_at FROM (
+  SELECT *, lead(event_ts) OVER w AS nxt,
+    last_value(CASE WHEN kind = 'claim' THEN worker_id END IGNORE NULLS) OVER w2 AS holder,
+    last_value(CASE WHEN kind IN ('claim', 'complete') THEN kind END IGNORE NULLS) OVER w2 AS phase
+  FROM lease_events WINDOW w AS (PARTITION BY job_id ORDER BY event_ts, event_id),
+    w2 AS (PARTITION BY job_id ORDER BY event_ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) x
+WHERE (kind = 'claim' OR (kind = 'renew' AND worker_id = holder AND phase = 'claim'))
+  AND coalesce(nxt, TIMESTAMP '{EVENTS_NOW}') > event_ts + INTERVAL 40 SECOND"""
+
+
+@register("t6_lease_expiries", with_views(_LEASE_SQL, "lease_events"))
+def t6(spark, d):
+    from ..streaming.liveness import lease_expiries
+    return lease_expiries(Ops(spark, d).lease_events, EVENTS_NOW, 30, 10)
+
+
+@register("t6_lease_stream", note="event-time timers; stream twin of t6_lease_expiries (final leases)")
+def t6s(spark, d):
+    ev = build(spark, d, "lease_events", stream=True)
+    out = run_to_table(T.lease_stream(ev), "t6")
+    return out.withColumn("expired_at", F.col("expired_at").cast("timestamp_ntz"))
+
+
+@register("t7_dag_stream", with_views("""
+SELECT e.child_id, CAST(count(DISTINCT e.parent_id) AS BIGINT) AS parents FROM workflow_edges e
+  LEFT JOIN jobs p ON p.job_id = e.parent_id AND p.status = 'COMPLETED'
+GROUP BY e.child_id HAVING count(DISTINCT e.parent_id) = count(DISTINCT p.job_id)""", "workflow_edges", "jobs"))
+def t7(spark, d):
+    completions = build(spark, d, "jobs", stream=True).filter(F.col("status") == "COMPLETED")
+    return run_to_table(T.dag_stream(completions, Ops(spark, d).workflow_edges), "t7")
+
+
+@register("t8_tick_outbox", with_views("\nUNION ALL\n".join([
+    outbox_sql(f"(SELECT * FROM jobs WHERE {_DUE['stale']})", "reclaim").replace("SELECT ", "SELECT 'reclaim' AS source, ", 1),
+    outbox_sql(f"""(SELECT * FROM jobs j WHERE {_DUE['aged']}
+      AND NOT EXISTS (SELECT 1 FROM outbox_events e WHERE e.job_id = j.job_id))""", "backfill")
+    .replace("SELECT ", "SELECT 'backfill' AS source, ", 1),
+    outbox_sql(f"(SELECT * FROM jobs WHERE {_DUE['scheduled']})", "promote").replace("SELECT ", "SELECT 'promote' AS source, ", 1),
+    outbox_sql(f"(SELECT * FROM jobs WHERE {_DUE['retry']})", "requeue").replace("SELECT ", "SELECT 'requeue' AS source, ", 1),
+]), "jobs", "queues", "projects", "outbox_events"))
+def t8(spark, d):
+    return run_tick(Ops(spark, d), JOBS_NOW)["outbox"]
+
+
+@register("x1_handlers", with_views("""
+SELECT job_id, coalesce(json_extract_string(payload, '$.type'), 'echo') AS type,
+  CASE t WHEN 'echo' THEN 'ok' WHEN 'sleep' THEN 'ok' WHEN 'always_fail' THEN 'retry'
+    WHEN 'external_payment' THEN CASE WHEN fu OR attempt = 1 THEN 'unknown' ELSE 'ok' END ELSE 'permanent' END AS outcome,
+  CASE t WHEN 'echo' THEN payload WHEN 'sleep' THEN '{"slept_secs":' || CAST(secs AS VARCHAR) || '}'
+    WHEN 'external_payment' THEN CASE WHEN fu OR attempt = 1 THEN NULL ELSE '{"paid":true}' END END AS result,
+  CASE t WHEN 'echo' THEN NULL WHEN 'sleep' THEN NULL WHEN 'always_fail' THEN 'always fails'
+    WHEN 'external_payment' THEN CASE WHEN fu OR attempt = 1 THEN 'payment request sent but response timeout' END
+    ELSE 'no handler for type ' || t END AS error_message,
+  CASE t WHEN 'echo' THEN NULL WHEN 'sleep' THEN NULL WHEN 'always_fail' THEN 'handler_error'
+    WHEN 'external_payment' THEN CASE WHEN fu OR attempt = 1 THEN 'external_timeout' END ELSE 'no_handler' END AS error_kind
+FROM (SELECT *, coalesce(json_extract_string(payload, '$.type'), 'echo') AS t,
+  coalesce(TRY_CAST(json_extract_string(payload, '$.secs') AS BIGINT), 1) AS secs,
+  coalesce(TRY_CAST(json_extract_string(payload, '$.force_unknown') AS BOOLEAN), false) AS fu FROM jobs) j""", "jobs"))
+def x1(spark, d):
+    return X.apply_handlers(Ops(spark, d).jobs)
+
+
+@register("s4_publish_once", with_views("SELECT DISTINCT msg_id, header_job_id, body FROM messages", "messages"))
+def s4(spark, d):
+    import uuid
+    target = f"{checkpoint_dir(spark)}/published-{uuid.uuid4().hex}"
+    msgs = Ops(spark, d).messages
+    publish_once(msgs, target)
+    publish_once(msgs, target)  # a redelivered batch appends nothing
+    return spark.read.parquet(target).select("msg_id", "header_job_id", "body")
+
+
+@register("s5_append_events", with_views("""
+SELECT CAST(CAST(heartbeat_at AS DATE) AS VARCHAR) AS event_date, count(*) AS n FROM worker_heartbeats GROUP BY ALL""", "worker_heartbeats"))
+def s5(spark, d):
+    import uuid
+    path = f"{checkpoint_dir(spark)}/heartbeats-{uuid.uuid4().hex}"
+    append_events(Ops(spark, d).worker_heartbeats, path, "heartbeat_at")
+    return (spark.read.parquet(path).groupBy(F.col("event_date").cast("string").alias("event_date"))
+                 .agg(F.count(F.lit(1)).alias("n")))

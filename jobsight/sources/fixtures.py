@@ -9,6 +9,8 @@ engines agree; every integer column is BIGINT.
 
 from __future__ import annotations
 
+import contextvars
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +31,14 @@ BASE_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "li
                "conversations"]
 
 
+_STREAM = contextvars.ContextVar("jobsight_stream_views", default=False)
+
+
 def read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A supplied table: batch scan, or a file stream while building stream views."""
+    if _STREAM.get():
+        from ..streaming.runner import stream_table
+        return stream_table(spark, d, name)
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
@@ -319,8 +328,14 @@ _BUILDERS = {
 }
 
 
-def build(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return _BUILDERS[name](spark, d)
+def build(spark: SparkSession, d: str, name: str, stream: bool = False) -> DataFrame:
+    """A view as a batch DataFrame, or (``stream=True``) as a streaming one over
+    the same files; only projection/filter views can stream."""
+    tok = _STREAM.set(stream)
+    try:
+        return _BUILDERS[name](spark, d)
+    finally:
+        _STREAM.reset(tok)
 
 
 class Ops:
