@@ -139,8 +139,12 @@ def next_fire(schedules: DataFrame, now, id_col: str = "schedule_id", cron_col:
     tz = F.col(tz_col)
     t0 = (ts(now) + F.expr("INTERVAL 1 MICROSECOND")).cast("timestamp")
     d0 = F.date_sub(F.to_date(F.from_utc_timestamp(t0, tz)), 1)
-    cands = F.slice(F.filter(F.sequence(d0, F.date_add(d0, horizon_days), F.expr("INTERVAL 1 DAY")),
-                             lambda day: _day_matches(F.col("__cron"), day)), 1, 3)
+    def first3(days):
+        return F.slice(F.filter(F.sequence(d0, F.date_add(d0, days), F.expr("INTERVAL 1 DAY")),
+                                lambda day: _day_matches(F.col("__cron"), day)), 1, 3)
+    # a short search first; the long horizon is evaluated only for rare calendars
+    short = first3(40)
+    cands = F.when(F.size(short) >= 3, short).otherwise(first3(horizon_days))
     fires = _fires(good, cands, t0, None, id_col, tz_col)
     return fires.groupBy(id_col).agg(F.min("fire_time").alias("next_fire_at"))
 

@@ -7,6 +7,7 @@ from the last checkpoint, not from the start."""
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,15 +92,17 @@ def release(jobs: DataFrame, edges: DataFrame, satisfaction: DataFrame, queues:
 
 # D4 ---------------------------------------------------------------------------
 def _peel(edges: DataFrame, src: str, dst: str, max_rounds: int) -> DataFrame:
-    """Repeatedly drop edges whose ``src`` node has no incoming edge (Kahn)."""
-    cur = edges
+    """Repeatedly drop edges whose ``src`` node has no incoming edge (Kahn).
+    Each round's edge set is persisted (recomputable from lineage if an executor
+    is lost) and a reliable checkpoint cuts the lineage every few rounds."""
+    cur = edges.persist(StorageLevel.MEMORY_AND_DISK)
     count = cur.count()
     for r in range(1, max_rounds + 1):
         alive = cur.select(F.col(dst).alias(src)).distinct()
         nxt = cur.join(alive, src, "left_semi")
-        if r % CHECKPOINT_EVERY == 0:
-            nxt = cut_lineage(nxt)
+        nxt = cut_lineage(nxt) if r % CHECKPOINT_EVERY == 0 else nxt.persist(StorageLevel.MEMORY_AND_DISK)
         n = nxt.count()
+        cur.unpersist()
         if n == count:
             return nxt
         cur, count = nxt, n
@@ -126,17 +129,17 @@ def cycles(edges: DataFrame, max_rounds: int = 10_000):
 # D5 ---------------------------------------------------------------------------
 def ancestors(edges: DataFrame, max_depth: int = 100) -> DataFrame:
     """(node_id, ancestor_id, depth) with the shortest depth, up to max_depth.
-    Each round extends only the pairs first found in the previous round."""
-    e = edges.select("parent_id", "child_id").distinct()
+    Each round extends only the pairs first found in the previous round; the
+    new pairs are persisted once and counted, so a round is one Spark job."""
+    e = edges.select("parent_id", "child_id").distinct().persist(StorageLevel.MEMORY_AND_DISK)
     frontier = e.select(F.col("child_id").alias("node_id"), F.col("parent_id").alias("ancestor_id"))
     found = frontier.withColumn("depth", F.lit(1).cast("long"))
     for depth in range(2, max_depth + 1):
         step = (frontier.join(e, frontier.ancestor_id == e.child_id)
                         .select("node_id", F.col("parent_id").alias("ancestor_id")).distinct())
         new = step.join(found.select("node_id", "ancestor_id"), ["node_id", "ancestor_id"], "left_anti")
-        if depth % CHECKPOINT_EVERY == 0:
-            new = cut_lineage(new)
-        if new.isEmpty():
+        new = cut_lineage(new) if depth % CHECKPOINT_EVERY == 0 else new.persist(StorageLevel.MEMORY_AND_DISK)
+        if new.count() == 0:
             break
         found = found.unionByName(new.withColumn("depth", F.lit(depth).cast("long")))
         if depth % CHECKPOINT_EVERY == 0:
