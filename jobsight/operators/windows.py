@@ -37,6 +37,32 @@ def latest_logs(logs: DataFrame, n: int = 100, key: str = "job_id", ts_col: str
     return logs.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n)
 
 
+# skew-safe numbering ------------------------------------------------------------
+def row_number_in_groups(df: DataFrame, group: list[str], order, name: str = "rn",
+                         partitions: int | None = None) -> DataFrame:
+    """``row_number() over (partition by group order by order)`` without sending a
+    whole group to one task.
+
+    Rows are range-partitioned and sorted on (group, order), so a hot group is
+    split over several partitions. Inside a sorted partition the rows of a group
+    are contiguous and ``monotonically_increasing_id`` counts them; a small
+    table of (partition, group) → first id and size gives, by a running sum over
+    partitions (at most #partitions rows per group), each piece's offset."""
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(g).asc_nulls_first() for g in group] + _order(order)
+    s = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+           .withColumn("__pid", F.spark_partition_id()).withColumn("__mono", F.monotonically_increasing_id()))
+    stats = s.groupBy("__pid", *group).agg(F.min("__mono").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*group).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    stats = stats.withColumn("__off", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    st = stats.select(*[F.col(c).alias(f"__s_{c}") for c in ["__pid", *group]], "__first", "__off")
+    cond = reduce(lambda a, b: a & b, [s[c].eqNullSafe(st[f"__s_{c}"]) for c in ["__pid", *group]])
+    out = s.join(st, cond)
+    return (out.withColumn(name, (F.col("__mono") - F.col("__first") + 1 + F.col("__off")).cast("int"))
+               .drop("__pid", "__mono", "__first", "__off", *[f"__s_{c}" for c in ["__pid", *group]]))
+
+
 # W2 ---------------------------------------------------------------------------
 DISPATCH_ORDER = [("priority", "desc"), ("created_at", "asc"), ("job_id", "asc")]
 
@@ -45,10 +71,14 @@ def dispatch_rank(jobs: DataFrame, statuses=("QUEUED",), top: int | None = None)
     """Rank of each waiting job inside its queue: priority desc, created_at, id.
 
     ``top`` bounds the rank (constant), which turns the window into a partial
-    top-k before the shuffle; without it every waiting job is ranked."""
-    w = Window.partitionBy("queue_id").orderBy(*_order(DISPATCH_ORDER))
-    out = jobs.filter(F.col("status").isin(*statuses)).withColumn("dispatch_rank", F.row_number().over(w))
-    return out.filter(F.col("dispatch_rank") <= top) if top else out
+    top-k before the shuffle. Without it every waiting job is ranked with the
+    skew-safe numbering (a hot queue is split over many tasks)."""
+    waiting = jobs.filter(F.col("status").isin(*statuses))
+    if top:
+        w = Window.partitionBy("queue_id").orderBy(*_order(DISPATCH_ORDER))
+        out = waiting.withColumn("dispatch_rank", F.row_number().over(w))
+        return out.filter(F.col("dispatch_rank") <= top)
+    return row_number_in_groups(waiting, ["queue_id"], DISPATCH_ORDER, "dispatch_rank")
 
 
 # W3 ---------------------------------------------------------------------------
@@ -195,9 +225,10 @@ def listing(df: DataFrame, order) -> DataFrame:
 
 
 def listing_ranked(df: DataFrame, order, group: str | None = None) -> DataFrame:
-    """Listing position as a column (per group when given)."""
-    w = (Window.partitionBy(group) if group else Window).orderBy(*_order(order))
-    return df.withColumn("position", F.row_number().over(w).cast("long"))
+    """Listing position as a column (per group when given; global otherwise),
+    numbered with the skew-safe range-partitioned scheme."""
+    out = row_number_in_groups(df, [group] if group else [], order, "position")
+    return out.withColumn("position", F.col("position").cast("long"))
 
 
 # L3 ---------------------------------------------------------------------------

@@ -238,3 +238,20 @@ def test_manual_retry_conflicts(spark):
     assert [(r.job_id, r.status, r.attempt) for r in ch.collect()] == [(1, "QUEUED", 0)]
     assert ob.count() == 1
     assert sorted((r.job_id, r.reason) for r in conf.collect()) == [(2, "not_retryable"), (99, "not_found")]
+
+
+def test_hot_queue_rank_is_split_and_exact(spark):
+    """One queue holds half of all jobs: the skew-safe numbering spreads it over
+    several partitions and still equals row_number over the queue."""
+    from pyspark.sql import Window
+    rows = [(i, 0 if i % 2 == 0 else i % 17, "QUEUED", i % 5, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=i % 97))
+            for i in range(4000)]
+    j = spark.createDataFrame(rows, "job_id long, queue_id long, status string, priority long, created_at timestamp_ntz")
+    got = W.dispatch_rank(j)
+    w = Window.partitionBy("queue_id").orderBy(F.col("priority").desc(), "created_at", "job_id")
+    exp = j.withColumn("r", F.row_number().over(w))
+    diff = got.join(exp, "job_id").filter(F.col("dispatch_rank") != F.col("r")).count()
+    assert diff == 0 and got.count() == 4000
+    pieces = (j.repartitionByRange(8, "queue_id", F.col("priority").desc(), "created_at", "job_id")
+               .filter("queue_id = 0").select(F.spark_partition_id().alias("p")).distinct().count())
+    assert pieces > 1
