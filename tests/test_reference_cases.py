@@ -255,3 +255,19 @@ def test_hot_queue_rank_is_split_and_exact(spark):
     pieces = (j.repartitionByRange(8, "queue_id", F.col("priority").desc(), "created_at", "job_id")
                .filter("queue_id = 0").select(F.spark_partition_id().alias("p")).distinct().count())
     assert pieces > 1
+
+
+def test_typed_scan_roundtrip(spark, tmp_path):
+    from jobsight.sources.fixtures import Ops
+    from jobsight.sources.tables import load_ops, save_ops
+    ops = Ops(spark, SF)
+    names = ["queues", "jobs", "projects", "dead_letter_entries"]
+    save_ops(ops, str(tmp_path), names)
+    stored = load_ops(spark, str(tmp_path))
+    assert stored.jobs.count() == ops.jobs.count()
+    from jobsight.operators.aggregates import tenant_queue_stats
+    a = tenant_queue_stats(stored.queues, stored.projects, stored.jobs, stored.dead_letter_entries)
+    b = tenant_queue_stats(ops.queues, ops.projects, ops.jobs, ops.dead_letter_entries)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    plan = stored.jobs.filter("status = 'QUEUED'").select("job_id")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(status), EqualTo(status,QUEUED)]" in plan
