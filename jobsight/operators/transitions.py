@@ -34,6 +34,14 @@ def outbox_for(changed: DataFrame, queues: DataFrame, projects: DataFrame, now,
         F.lit(None).cast("timestamp_ntz").alias("published_at"))
 
 
+def _one_per_job(df: DataFrame) -> DataFrame:
+    """One report per job, picked deterministically (reused by several outputs,
+    so every branch must see the same pick)."""
+    from .merge import first_per_key
+    order = [c for c in ("execution_id", "epoch", "worker_id") if c in df.columns]
+    return first_per_key(df, "job_id", order or [c for c in df.columns if c != "job_id"])
+
+
 def _set(df: DataFrame, **cols) -> DataFrame:
     """Set several columns at once (all evaluated against the input row)."""
     return df.withColumns(cols)
@@ -100,7 +108,7 @@ def apply_completions(jobs: DataFrame, execs: DataFrame, tokens: DataFrame, repo
     duration, the token freed. Returns (jobs, executions, freed tokens, verdicts)."""
     n = ts(now)
     verdicts = fence(reports, jobs)
-    ok = verdicts.filter(F.col("verdict") == "accepted").dropDuplicates(["job_id"])
+    ok = _one_per_job(verdicts.filter(F.col("verdict") == "accepted"))
     res = ok.select("job_id", *(["result"] if "result" in reports.columns else []))
     j = jobs.join(res, "job_id")
     changed = _set(j, status=F.lit("COMPLETED"), completed_at=n, lease_owner=F.lit(None).cast("long"),
@@ -131,7 +139,7 @@ def apply_failures(jobs: DataFrame, execs: DataFrame, reports: DataFrame, now):
     verdict = F.when((F.col("verdict") == "accepted") & (F.col("outcome") == "unknown")
                      & (F.col("__st") != "RUNNING"), "not_running").otherwise(F.col("verdict"))
     v = v.withColumn("verdict", verdict).drop("__st")
-    ok = v.filter(F.col("verdict") == "accepted").dropDuplicates(["job_id"]).select(
+    ok = _one_per_job(v.filter(F.col("verdict") == "accepted")).select(
         "job_id", "execution_id", "outcome", F.col("error_message").alias("__msg"),
         F.col("error_kind").alias("__kind"))
     x = jobs.join(ok, "job_id")

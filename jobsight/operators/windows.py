@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import epoch_micros, failure_prompt
 from ..schema import DECLARED_TRANSITIONS, DEFAULT_LEASE_SECS, OUTBOX_BATCH, OUTBOX_LOCK_SECS
-from ..session import secs, ts
+from ..session import cut_lineage, secs, ts
 from .filters import due_condition
 
 
@@ -47,12 +47,17 @@ def row_number_in_groups(df: DataFrame, group: list[str], order, name: str = "rn
     split over several partitions. Inside a sorted partition the rows of a group
     are contiguous and ``monotonically_increasing_id`` counts them; a small
     table of (partition, group) → first id and size gives, by a running sum over
-    partitions (at most #partitions rows per group), each piece's offset."""
+    partitions (at most #partitions rows per group), each piece's offset.
+    The numbered frame is checkpointed once, so every use sees one partitioning."""
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(g).asc_nulls_first() for g in group] + _order(order)
     s = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
            .withColumn("__pid", F.spark_partition_id()).withColumn("__mono", F.monotonically_increasing_id()))
+    # The range bounds come from sampling, so two evaluations of this frame could
+    # cut different partitions: pin one evaluation with a reliable checkpoint
+    # (it also survives executor loss) and derive stats and rows from it.
+    s = cut_lineage(s)
     stats = s.groupBy("__pid", *group).agg(F.min("__mono").alias("__first"), F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*group).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.withColumn("__off", F.coalesce(F.sum("__n").over(before), F.lit(0)))
@@ -63,6 +68,17 @@ def row_number_in_groups(df: DataFrame, group: list[str], order, name: str = "rn
                .drop("__pid", "__mono", "__first", "__off", *[f"__s_{c}" for c in ["__pid", *group]]))
 
 
+def lag_in_groups(df: DataFrame, group: list[str], order, cols: list[str], prefix: str = "prev_",
+                  rn: str = "__rn") -> DataFrame:
+    """``lag(col) over (partition by group order by order)`` for ``cols`` without a
+    per-group window: skew-safe row numbers, then an equi-join of each row with
+    its predecessor on (group, rn) — hash-partitioned on the pair, so a hot
+    group is spread over all tasks."""
+    r = row_number_in_groups(df, group, order, rn)
+    prev = r.select(*group, (F.col(rn) + 1).alias(rn), *[F.col(c).alias(prefix + c) for c in cols])
+    return r.join(prev, [*group, rn], "left")
+
+
 # W2 ---------------------------------------------------------------------------
 DISPATCH_ORDER = [("priority", "desc"), ("created_at", "asc"), ("job_id", "asc")]
 
@@ -170,11 +186,17 @@ def transition_matrix(spark, pairs=DECLARED_TRANSITIONS) -> DataFrame:
 
 
 def audit_transitions(events: DataFrame, matrix: DataFrame, key: str = "job_id", ts_col: str = "event_ts",
-                      id_col: str = "event_id") -> DataFrame:
+                      id_col: str = "event_id", skew_safe: bool = True) -> DataFrame:
     """Previous status per job and whether the step is an allowed edge. A job's
-    first event is allowed when it enters a creation state."""
-    w = Window.partitionBy(key).orderBy(ts_col, id_col)
-    x = events.withColumn("from_status", F.lag("status").over(w))
+    first event is allowed when it enters a creation state. ``skew_safe`` finds
+    the previous event with range-partitioned numbering instead of a per-job
+    window (one job may own a large share of the events)."""
+    if skew_safe:
+        x = lag_in_groups(events, [key], [ts_col, id_col], ["status"]).withColumnRenamed(
+            "prev_status", "from_status").drop("__rn")
+    else:
+        w = Window.partitionBy(key).orderBy(ts_col, id_col)
+        x = events.withColumn("from_status", F.lag("status").over(w))
     m = F.broadcast(matrix.select("from_status", F.col("to_status").alias("status"))
                     .withColumn("__ok", F.lit(True)))  # fixed-size literal table
     x = x.join(m, ["from_status", "status"], "left")
@@ -185,10 +207,15 @@ def audit_transitions(events: DataFrame, matrix: DataFrame, key: str = "job_id",
 
 # W6 ---------------------------------------------------------------------------
 def lease_epochs(claims: DataFrame, key: str = "job_id", ts_col: str = "event_ts",
-                 id_col: str = "event_id") -> DataFrame:
-    w = Window.partitionBy(key).orderBy(ts_col, id_col)
-    x = (claims.withColumn("epoch", F.row_number().over(w).cast("long"))
-               .withColumn("prev_owner", F.lag("worker_id").over(w)))
+                 id_col: str = "event_id", skew_safe: bool = True) -> DataFrame:
+    """epoch = claim ordinal per job, previous owner, takeover flag."""
+    if skew_safe:
+        x = (lag_in_groups(claims, [key], [ts_col, id_col], ["worker_id"], rn="epoch")
+             .withColumn("epoch", F.col("epoch").cast("long")).withColumnRenamed("prev_worker_id", "prev_owner"))
+    else:
+        w = Window.partitionBy(key).orderBy(ts_col, id_col)
+        x = (claims.withColumn("epoch", F.row_number().over(w).cast("long"))
+                   .withColumn("prev_owner", F.lag("worker_id").over(w)))
     return x.withColumn("takeover", F.coalesce(F.col("prev_owner") != F.col("worker_id"), F.lit(False)))
 
 

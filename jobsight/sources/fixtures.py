@@ -279,14 +279,18 @@ def _scheduled_jobs(spark, d):
 
 
 def _workflow_edges(spark, d):
+    """Consecutive orders of a customer: lag 1 → order and lag 2 → order.
+
+    Positions come from skew-safe numbering (a customer may own a large share of
+    all orders) and predecessors from equi-joins on (customer, position)."""
+    from ..operators.windows import row_number_in_groups
     o = read(spark, d, "orders").select("o_orderkey", "o_custkey")
-    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    x = o.select("o_orderkey", F.lag("o_orderkey", 1).over(w).alias("p1"),
-                 F.lag("o_orderkey", 2).over(w).alias("p2"))
-    e = x.select(F.explode(F.array(
-        F.struct(F.col("p1").alias("parent_id"), F.col("o_orderkey").alias("child_id")),
-        F.struct(F.col("p2").alias("parent_id"), F.col("o_orderkey").alias("child_id")))).alias("e"))
-    return e.select("e.parent_id", "e.child_id").filter(F.col("parent_id").isNotNull())
+    r = row_number_in_groups(o, ["o_custkey"], ["o_orderkey"], "__rn")
+    parts = []
+    for lag in (1, 2):
+        prev = r.select("o_custkey", (F.col("__rn") + lag).alias("__rn"), F.col("o_orderkey").alias("parent_id"))
+        parts.append(r.join(prev, ["o_custkey", "__rn"]).select("parent_id", F.col("o_orderkey").alias("child_id")))
+    return parts[0].unionByName(parts[1])
 
 
 def _cyclic_edges(spark, d):
