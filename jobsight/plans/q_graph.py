@@ -102,8 +102,8 @@ def _wf_requests(spark, d):
     chain = F.filter(chain, lambda e: e["child"] < n)
     selfloop = F.when(F.col("workflow_request_id") % 7 == 0,
                       F.array(F.struct(F.lit(0).alias("parent"), F.lit(0).alias("child"))))
-    return g.withColumn("edges", F.concat(chain, F.coalesce(selfloop, F.array().cast(chain.dataType if False else
-                                                                                      "array<struct<parent:int,child:int>>"))))
+    none = F.array().cast("array<struct<parent:int,child:int>>")
+    return g.withColumn("edges", F.concat(chain, F.coalesce(selfloop, none)))
 
 
 @register("d1_workflow_jobs", with_views(f"""
@@ -177,3 +177,12 @@ WITH RECURSIVE anc(node_id, ancestor_id, depth) AS (SELECT child_id, parent_id,
 SELECT node_id, ancestor_id, CAST(min(depth) AS BIGINT) AS depth FROM anc GROUP BY ALL""", "workflow_edges"))
 def d5(spark, d):
     return D.ancestors(Ops(spark, d).workflow_edges, 100)
+
+
+@register("d1_workflow_edges", with_views(f"""
+SELECT {derived_id_sql("'wfjob'", "g", "pos - 1")} AS parent_id, {derived_id_sql("'wfjob'", "g", "pos")} AS child_id
+FROM (SELECT o_orderkey // 10 AS g, row_number() OVER (PARTITION BY o_orderkey // 10 ORDER BY o_orderkey) - 1 AS pos
+      FROM orders) x WHERE pos >= 1 AND g % 7 <> 0""", "queues"))
+def d1e(spark, d):
+    o = Ops(spark, d)
+    return D.create_workflows(_wf_requests(spark, d), o.queues, o.projects, JOBS_NOW)[1]

@@ -740,3 +740,54 @@ def u7(spark, d):
     o = Ops(spark, d)
     nq = o.queues.select("queue_id", (F.col("queue_id") % 5 + 1).alias("max_concurrency"))
     return U.resync_slots(o.capacity_tokens, nq).select("queue_id", "slot_index", "worker_id", "job_id")
+
+
+# ---------------------------------------------------------------- per-queue limits
+def _job_arrivals(o):
+    return o.jobs.select(F.col("job_id").alias("arrival_id"), "queue_id", F.col("created_at").alias("event_ts"))
+
+
+@register("w4_offered_load_queues", with_views("""
+SELECT arrival_id, queue_id, event_ts, offered, coalesce(offered > rate_limit, false) AS over_limit FROM (
+  SELECT j.job_id AS arrival_id, j.queue_id, j.created_at AS event_ts, q.rate_limit,
+    count(*) OVER (PARTITION BY j.queue_id ORDER BY j.created_at RANGE BETWEEN INTERVAL 3600 SECOND PRECEDING AND CURRENT ROW)
+      AS offered
+  FROM jobs j JOIN queues q ON q.queue_id = j.queue_id) x""", "jobs", "queues"))
+def w4q(spark, d):
+    """Offered load per real queue with each queue's own window and limit."""
+    o = Ops(spark, d)
+    return W.offered_load(_job_arrivals(o), queues=o.queues)
+
+
+@register("a2_batch_queue_stats_reference", with_views(f"""
+SELECT queue_id, {_STATS_COLS}, CAST(0 AS BIGINT) AS dlq FROM jobs
+WHERE queue_id IN (SELECT queue_id FROM queues WHERE NOT is_paused) GROUP BY queue_id""", "jobs", "queues"))
+def a2ref(spark, d):
+    """A2 with the reference's constant dlq = 0 (parity flag)."""
+    o = Ops(spark, d)
+    return A.batch_queue_stats(o.jobs, o.dead_letter_entries, Fl.unpaused(o.queues).select("queue_id"), dlq_zero=True)
+
+
+@register("u5_patch_overwrite", with_views("""
+SELECT q.queue_id, CASE WHEN p.queue_id IS NOT NULL THEN p.rate_limit ELSE q.rate_limit END AS rate_limit, q.max_concurrency
+FROM queues q LEFT JOIN (SELECT c_custkey AS queue_id,
+    CASE WHEN c_acctbal > 5000 THEN CAST(floor(c_acctbal / 1000) AS BIGINT) END AS rate_limit
+  FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')) p ON p.queue_id = q.queue_id""", "queues"))
+def u5o(spark, d):
+    """Overwrite mode: a matched NULL clears the value (as next_fire_at updates do)."""
+    o = Ops(spark, d)
+    c = read(spark, d, "customer").filter(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"))
+    patches = c.select(F.col("c_custkey").alias("queue_id"),
+                       F.when(F.col("c_acctbal") > 5000, F.floor(F.col("c_acctbal") / 1000).cast("long")).alias("rate_limit"))
+    return U.patch(o.queues.select("queue_id", "rate_limit", "max_concurrency"), patches, "queue_id", "overwrite")
+
+
+@register("j2_visible_dlq_counts", with_views("""
+SELECT m.user_id, d.queue_id, count(*) AS entries FROM dead_letter_entries d JOIN queues q ON q.queue_id = d.queue_id
+  JOIN projects p ON p.project_id = q.project_id JOIN org_memberships m ON m.org_id = p.org_id
+GROUP BY m.user_id, d.queue_id""", "dead_letter_entries", "queues", "projects", "org_memberships"))
+def j2d(spark, d):
+    """DLQ rows visible to each user (membership-scoped), counted per queue."""
+    o = Ops(spark, d)
+    v = J.visible_to(o.dead_letter_entries.select("dlq_id", "queue_id"), o.queues, o.projects, o.org_memberships)
+    return v.groupBy("user_id", "queue_id").agg(F.count(F.lit(1)).alias("entries"))

@@ -168,3 +168,10 @@ def s5(spark, d):
     append_events(Ops(spark, d).worker_heartbeats, path, "heartbeat_at")
     return (spark.read.parquet(path).groupBy(F.col("event_date").cast("string").alias("event_date"))
                  .agg(F.count(F.lit(1)).alias("n")))
+
+
+@register("t4_admission_queues", note="exact admission per real queue (own limit and window); rows-only")
+def t4q(spark, d):
+    o = Ops(spark, d)
+    arr = o.jobs.select(F.col("job_id").alias("arrival_id"), "queue_id", F.col("created_at").alias("event_ts"))
+    return admit(arr, queues=o.queues)
