@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import epoch_micros, failure_prompt
 from ..schema import DECLARED_TRANSITIONS, DEFAULT_LEASE_SECS, OUTBOX_BATCH, OUTBOX_LOCK_SECS
@@ -68,6 +69,42 @@ def row_number_in_groups(df: DataFrame, group: list[str], order, name: str = "rn
                .drop("__pid", "__mono", "__first", "__off", *[f"__s_{c}" for c in ["__pid", *group]]))
 
 
+def running_sum_in_groups(df: DataFrame, group: list[str], order, value: str, name: str,
+                          partitions: int | None = None) -> DataFrame:
+    """``sum(value) over (partition by group order by order rows unbounded
+    preceding)`` without a per-group window: range-partition and sort, one Arrow
+    pass per partition for the local running sums, then add each piece's offset
+    (sum of the same group's earlier pieces, from a small per-(partition, group)
+    table). The locally summed frame is checkpointed once."""
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(g).asc_nulls_first() for g in group] + _order(order)
+    s = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("__pid", F.spark_partition_id())
+    schema = T.StructType(list(s.schema.fields) + [T.StructField("__cum", T.LongType())])
+
+    def local(batches):
+        cur, acc = None, 0
+        for pdf in batches:
+            ks = list(zip(*[pdf[g] for g in group])) if group else [()] * len(pdf)
+            vals = pdf[value].fillna(0).astype("int64").tolist()
+            out = []
+            for k, v in zip(ks, vals):
+                if k != cur:
+                    cur, acc = k, 0
+                acc += v
+                out.append(acc)
+            yield pdf.assign(__cum=out)
+
+    s = cut_lineage(s.mapInPandas(local, schema))
+    stats = s.groupBy("__pid", *group).agg(F.max("__cum").alias("__tot"))
+    before = Window.partitionBy(*group).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    stats = stats.withColumn("__off", F.coalesce(F.sum("__tot").over(before), F.lit(0)))
+    st = stats.select(*[F.col(c).alias(f"__s_{c}") for c in ["__pid", *group]], "__off")
+    cond = reduce(lambda a, b: a & b, [s[c].eqNullSafe(st[f"__s_{c}"]) for c in ["__pid", *group]])
+    return (s.join(st, cond).withColumn(name, (F.col("__cum") + F.col("__off")).cast("long"))
+             .drop("__pid", "__cum", "__off", *[f"__s_{c}" for c in ["__pid", *group]]))
+
+
 def lag_in_groups(df: DataFrame, group: list[str], order, cols: list[str], prefix: str = "prev_",
                   rn: str = "__rn") -> DataFrame:
     """``lag(col) over (partition by group order by order)`` for ``cols`` without a

@@ -228,15 +228,16 @@ _STATUS_OF_EVENT = {"signup": "QUEUED", "view": "CLAIMED", "click": "RUNNING",
 
 
 def _status_events(spark, d):
+    """epoch = the user-wise count of view (claim) events so far, as a skew-safe
+    running sum (one user may own a large share of the events)."""
+    from ..operators.windows import running_sum_in_groups
     e = read(spark, d, "events")
     et = F.col("event_type")
     st = F.when(et == "signup", "QUEUED").when(et == "view", "CLAIMED") \
         .when(et == "click", "RUNNING").when(et == "purchase", "COMPLETED").otherwise("FAILED")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id") \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return e.select(F.col("event_id"), F.col("user_id").alias("job_id"), st.alias("status"),
-                    F.col("ts").alias("event_ts"),
-                    F.sum(F.when(et == "view", 1).otherwise(0)).over(w).cast("long").alias("epoch"))
+    x = e.select(F.col("event_id"), F.col("user_id").alias("job_id"), st.alias("status"),
+                 F.col("ts").alias("event_ts"), F.when(et == "view", 1).otherwise(0).alias("__v"))
+    return running_sum_in_groups(x, ["job_id"], ["event_ts", "event_id"], "__v", "epoch").drop("__v")
 
 
 def _arrivals(spark, d):

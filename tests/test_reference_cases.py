@@ -271,3 +271,18 @@ def test_typed_scan_roundtrip(spark, tmp_path):
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
     plan = stored.jobs.filter("status = 'QUEUED'").select("job_id")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(status), EqualTo(status,QUEUED)]" in plan
+
+
+def test_hot_group_running_sum_and_lag(spark):
+    from pyspark.sql import Window
+    rows = [(i, 0 if i % 3 else i % 11, i % 7, i % 2) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, g long, t long, v long")
+    got = W.running_sum_in_groups(df, ["g"], ["t", "id"], "v", "cs")
+    w = Window.partitionBy("g").orderBy("t", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    exp = df.withColumn("e", F.sum("v").over(w))
+    assert got.join(exp, "id").filter(F.col("cs") != F.col("e")).count() == 0 and got.count() == 3000
+    lag = W.lag_in_groups(df, ["g"], ["t", "id"], ["id"])
+    w2 = Window.partitionBy("g").orderBy("t", "id")
+    exp2 = df.withColumn("p", F.lag("id").over(w2))
+    bad = lag.join(exp2.select("id", "p"), "id").filter(~F.col("prev_id").eqNullSafe(F.col("p"))).count()
+    assert bad == 0 and lag.count() == 3000
