@@ -91,19 +91,31 @@ def _day_matches(c: Column, day: Column) -> Column:
 
 
 def _fires(good: DataFrame, days: Column, t0: Column, t1: Column | None, id_col: str, tz_col: str) -> DataFrame:
-    """Explode candidate local days × times of day → UTC fire times in [t0, t1)."""
+    """Explode candidate local days × times of day → UTC fire times in [t0, t1).
+
+    The zone offset is looked up twice per day (at local midnight and at the
+    next midnight); on the usual day without a transition every fire is local
+    time minus that offset. Only on a transition day is each time converted and
+    round-tripped (DST gap skipped, ambiguous → earlier instant)."""
     tz = F.col(tz_col)
     c = F.col("__cron")
     tod = F.flatten(F.transform(c["hour"], lambda h: F.flatten(F.transform(
         c["min"], lambda m: F.transform(c["sec"], lambda x: h * 3600 + m * 60 + x)))))
     x = good.select(id_col, tz_col, "__cron", tod.alias("__tod"), F.explode(days).alias("__day"))
     x = x.filter(_day_matches(c, F.col("__day")))
-    local = (x.select(id_col, tz_col, "__day", F.explode("__tod").alias("__s"))
-              .select(id_col, tz_col, (F.col("__day").cast("timestamp")
-                                       + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0),
-                                                            F.col("__s").cast("decimal(18,6)"))).alias("__local")))
-    local = local.withColumn("__utc", F.to_utc_timestamp(F.col("__local"), tz))
-    keep = (F.from_utc_timestamp(F.col("__utc"), tz) == F.col("__local")) & (F.col("__utc") >= t0)
+    mid0 = F.col("__day").cast("timestamp")
+    mid1 = F.date_add(F.col("__day"), 1).cast("timestamp")
+    x = x.select(id_col, tz_col, "__tod", mid0.alias("__mid"),
+                 (mid0 - F.to_utc_timestamp(mid0, tz)).alias("__off0"),
+                 (mid1 - F.to_utc_timestamp(mid1, tz)).alias("__off1"))
+    local = (x.select(id_col, tz_col, "__mid", "__off0", "__off1", F.explode("__tod").alias("__s"))
+              .withColumn("__local", F.col("__mid") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0),
+                                                                         F.col("__s").cast("decimal(18,6)"))))
+    stable = F.col("__off0") == F.col("__off1")
+    utc = F.when(stable, F.col("__local") - F.col("__off0")).otherwise(F.to_utc_timestamp(F.col("__local"), tz))
+    local = local.withColumn("__utc", utc)
+    exists = stable | (F.from_utc_timestamp(F.col("__utc"), tz) == F.col("__local"))
+    keep = exists & (F.col("__utc") >= t0)
     if t1 is not None:
         keep = keep & (F.col("__utc") < t1)
     return local.filter(keep).select(id_col, F.col("__utc").cast("timestamp_ntz").alias("fire_time"))
