@@ -39,8 +39,20 @@ def latest_logs(logs: DataFrame, n: int = 100, key: str = "job_id", ts_col: str
 
 
 # skew-safe numbering ------------------------------------------------------------
+MAX_GROUP_ROWS = 2_000_000  # a group this size sorts comfortably inside one task
+
+
+def groups_bounded(df: DataFrame, group: list[str], max_rows: int = MAX_GROUP_ROWS) -> bool:
+    """True when no group holds more than ``max_rows`` rows. One partial
+    aggregation over the key columns only; it stops at the first oversized group."""
+    if not group:
+        return df.limit(max_rows + 1).count() <= max_rows
+    big = df.groupBy(*group).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > max_rows)
+    return big.limit(1).count() == 0
+
+
 def row_number_in_groups(df: DataFrame, group: list[str], order, name: str = "rn",
-                         partitions: int | None = None) -> DataFrame:
+                         partitions: int | None = None, max_group_rows: int | None = MAX_GROUP_ROWS) -> DataFrame:
     """``row_number() over (partition by group order by order)`` without sending a
     whole group to one task.
 
@@ -49,7 +61,12 @@ def row_number_in_groups(df: DataFrame, group: list[str], order, name: str = "rn
     are contiguous and ``monotonically_increasing_id`` counts them; a small
     table of (partition, group) → first id and size gives, by a running sum over
     partitions (at most #partitions rows per group), each piece's offset.
-    The numbered frame is checkpointed once, so every use sees one partitioning."""
+    The numbered frame is checkpointed once, so every use sees one partitioning.
+    When a size probe shows every group within ``max_group_rows`` the plain
+    window is used instead (``max_group_rows=None`` forces the split path)."""
+    if max_group_rows and groups_bounded(df, group, max_group_rows):
+        w = (Window.partitionBy(*group) if group else Window).orderBy(*_order(order))
+        return df.withColumn(name, F.row_number().over(w))
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(g).asc_nulls_first() for g in group] + _order(order)
@@ -70,12 +87,16 @@ def row_number_in_groups(df: DataFrame, group: list[str], order, name: str = "rn
 
 
 def running_sum_in_groups(df: DataFrame, group: list[str], order, value: str, name: str,
-                          partitions: int | None = None) -> DataFrame:
+                          partitions: int | None = None, max_group_rows: int | None = MAX_GROUP_ROWS) -> DataFrame:
     """``sum(value) over (partition by group order by order rows unbounded
     preceding)`` without a per-group window: range-partition and sort, one Arrow
     pass per partition for the local running sums, then add each piece's offset
     (sum of the same group's earlier pieces, from a small per-(partition, group)
     table). The locally summed frame is checkpointed once."""
+    if max_group_rows and groups_bounded(df, group, max_group_rows):
+        w = ((Window.partitionBy(*group) if group else Window).orderBy(*_order(order))
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        return df.withColumn(name, F.coalesce(F.sum(value).over(w), F.lit(0)).cast("long"))
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(g).asc_nulls_first() for g in group] + _order(order)
@@ -106,12 +127,15 @@ def running_sum_in_groups(df: DataFrame, group: list[str], order, value: str, na
 
 
 def lag_in_groups(df: DataFrame, group: list[str], order, cols: list[str], prefix: str = "prev_",
-                  rn: str = "__rn") -> DataFrame:
+                  rn: str = "__rn", max_group_rows: int | None = MAX_GROUP_ROWS) -> DataFrame:
     """``lag(col) over (partition by group order by order)`` for ``cols`` without a
     per-group window: skew-safe row numbers, then an equi-join of each row with
     its predecessor on (group, rn) — hash-partitioned on the pair, so a hot
     group is spread over all tasks."""
-    r = row_number_in_groups(df, group, order, rn)
+    if max_group_rows and groups_bounded(df, group, max_group_rows):
+        w = (Window.partitionBy(*group) if group else Window).orderBy(*_order(order))
+        return df.withColumns({rn: F.row_number().over(w), **{prefix + c: F.lag(c).over(w) for c in cols}})
+    r = row_number_in_groups(df, group, order, rn, max_group_rows=None)
     prev = r.select(*group, (F.col(rn) + 1).alias(rn), *[F.col(c).alias(prefix + c) for c in cols])
     return r.join(prev, [*group, rn], "left")
 

@@ -247,7 +247,8 @@ def test_hot_queue_rank_is_split_and_exact(spark):
     rows = [(i, 0 if i % 2 == 0 else i % 17, "QUEUED", i % 5, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=i % 97))
             for i in range(4000)]
     j = spark.createDataFrame(rows, "job_id long, queue_id long, status string, priority long, created_at timestamp_ntz")
-    got = W.dispatch_rank(j)
+    got = W.row_number_in_groups(j.filter("status = 'QUEUED'"), ["queue_id"], W.DISPATCH_ORDER, "dispatch_rank",
+                                 max_group_rows=None)
     w = Window.partitionBy("queue_id").orderBy(F.col("priority").desc(), "created_at", "job_id")
     exp = j.withColumn("r", F.row_number().over(w))
     diff = got.join(exp, "job_id").filter(F.col("dispatch_rank") != F.col("r")).count()
@@ -277,11 +278,13 @@ def test_hot_group_running_sum_and_lag(spark):
     from pyspark.sql import Window
     rows = [(i, 0 if i % 3 else i % 11, i % 7, i % 2) for i in range(3000)]
     df = spark.createDataFrame(rows, "id long, g long, t long, v long")
-    got = W.running_sum_in_groups(df, ["g"], ["t", "id"], "v", "cs")
+    got = W.running_sum_in_groups(df, ["g"], ["t", "id"], "v", "cs", max_group_rows=None)
     w = Window.partitionBy("g").orderBy("t", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     exp = df.withColumn("e", F.sum("v").over(w))
     assert got.join(exp, "id").filter(F.col("cs") != F.col("e")).count() == 0 and got.count() == 3000
-    lag = W.lag_in_groups(df, ["g"], ["t", "id"], ["id"])
+    small = W.running_sum_in_groups(df, ["g"], ["t", "id"], "v", "cs")  # probe picks the window path
+    assert small.join(exp, "id").filter(F.col("cs") != F.col("e")).count() == 0
+    lag = W.lag_in_groups(df, ["g"], ["t", "id"], ["id"], max_group_rows=None)
     w2 = Window.partitionBy("g").orderBy("t", "id")
     exp2 = df.withColumn("p", F.lag("id").over(w2))
     bad = lag.join(exp2.select("id", "p"), "id").filter(~F.col("prev_id").eqNullSafe(F.col("p"))).count()
