@@ -35,7 +35,7 @@ def latest_logs(logs: DataFrame, n: int = 100, key: str = "job_id", ts_col: str
     """Newest n rows per key (n clamped to 1..500)."""
     n = max(1, min(500, int(n)))
     w = Window.partitionBy(key).orderBy(F.col(ts_col).desc(), F.col(id_col).desc())
-    return logs.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n)
+    return logs.withColumn("rn", F.row_number().over(w).cast("long")).filter(F.col("rn") <= n)
 
 
 # skew-safe numbering ------------------------------------------------------------
@@ -66,7 +66,7 @@ def row_number_in_groups(df: DataFrame, group: list[str], order, name: str = "rn
     window is used instead (``max_group_rows=None`` forces the split path)."""
     if max_group_rows and groups_bounded(df, group, max_group_rows):
         w = (Window.partitionBy(*group) if group else Window).orderBy(*_order(order))
-        return df.withColumn(name, F.row_number().over(w))
+        return df.withColumn(name, F.row_number().over(w).cast("long"))
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(g).asc_nulls_first() for g in group] + _order(order)
@@ -82,7 +82,7 @@ def row_number_in_groups(df: DataFrame, group: list[str], order, name: str = "rn
     st = stats.select(*[F.col(c).alias(f"__s_{c}") for c in ["__pid", *group]], "__first", "__off")
     cond = reduce(lambda a, b: a & b, [s[c].eqNullSafe(st[f"__s_{c}"]) for c in ["__pid", *group]])
     out = s.join(st, cond)
-    return (out.withColumn(name, (F.col("__mono") - F.col("__first") + 1 + F.col("__off")).cast("int"))
+    return (out.withColumn(name, (F.col("__mono") - F.col("__first") + 1 + F.col("__off")).cast("long"))
                .drop("__pid", "__mono", "__first", "__off", *[f"__s_{c}" for c in ["__pid", *group]]))
 
 
@@ -153,7 +153,7 @@ def dispatch_rank(jobs: DataFrame, statuses=("QUEUED",), top: int | None = None)
     waiting = jobs.filter(F.col("status").isin(*statuses))
     if top:
         w = Window.partitionBy("queue_id").orderBy(*_order(DISPATCH_ORDER))
-        out = waiting.withColumn("dispatch_rank", F.row_number().over(w))
+        out = waiting.withColumn("dispatch_rank", F.row_number().over(w).cast("long"))
         return out.filter(F.col("dispatch_rank") <= top)
     return row_number_in_groups(waiting, ["queue_id"], DISPATCH_ORDER, "dispatch_rank")
 
