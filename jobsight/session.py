@@ -52,7 +52,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not conf:
-        conf = tempfile.mkdtemp(prefix="jobsight-ckpt-")
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+        conf = tempfile.mkdtemp(prefix="jobsight-ckpt-")  # local mode only (tests)
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
 

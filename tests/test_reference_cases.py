@@ -289,3 +289,20 @@ def test_hot_group_running_sum_and_lag(spark):
     exp2 = df.withColumn("p", F.lag("id").over(w2))
     bad = lag.join(exp2.select("id", "p"), "id").filter(~F.col("prev_id").eqNullSafe(F.col("p"))).count()
     assert bad == 0 and lag.count() == 3000
+
+
+def test_tick_per_micro_batch(spark, tmp_path):
+    """T8 foreachBatch form: one tick per micro-batch, outputs in epoch folders."""
+    from jobsight.plans.tick import run_tick, tick_batch
+    from jobsight.sources.fixtures import Ops, JOBS_NOW
+    from jobsight.streaming.runner import stream_table
+    ops = Ops(spark, SF)
+    one = run_tick(ops, JOBS_NOW)
+    assert one["outbox"].count() == one["outbox"].select("event_id").distinct().count() > 0
+    trig = stream_table(spark, SF, "orders").select(
+        (F.col("o_orderdate") + F.expr("INTERVAL 1000 DAYS")).alias("event_ts"))
+    out = str(tmp_path / "tick")
+    q = (trig.writeStream.foreachBatch(tick_batch(lambda b: ops, out))
+         .option("checkpointLocation", out + "-ckpt").trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert spark.read.parquet(out + "/outbox").count() > 0
