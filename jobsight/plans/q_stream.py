@@ -175,3 +175,10 @@ def t4q(spark, d):
     o = Ops(spark, d)
     arr = o.jobs.select(F.col("job_id").alias("arrival_id"), "queue_id", F.col("created_at").alias("event_ts"))
     return admit(arr, queues=o.queues)
+
+
+@register("t3_liveness_stream", note="event-time timers; stream twin of t3_liveness_edges (closed by the watermark)")
+def t3s(spark, d):
+    hb = build(spark, d, "worker_heartbeats", stream=True)
+    out = run_to_table(T.liveness_stream(hb, 3600, 43200), "t3-edges")
+    return out.withColumn("edge_at", F.col("edge_at").cast("timestamp_ntz"))

@@ -145,27 +145,26 @@ RECLAIM_SCHEMA = "job_id long, worker_id long, expired_at timestamp"
 
 def _lease_monitor(lease_us: int, grace_us: int):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
-        if state.hasTimedOut:
-            worker, until = state.get
-            state.remove()
-            yield pd.DataFrame([(key[0], worker, pd.Timestamp(until, unit="us"))],
-                               columns=["job_id", "worker_id", "expired_at"])
-            return
+        wm_us = state.getCurrentWatermarkMs() * 1000
         cur = state.get if state.exists else None
-        for pdf in pdfs:
-            for kind, w, t in sorted(zip(pdf["kind"], pdf["worker_id"], pdf["__t"]), key=lambda r: r[2]):
-                if kind == "complete":
-                    cur = None
-                elif kind == "claim" or (cur is not None and kind == "renew" and cur[0] == w):
-                    cur = (int(w), int(t) + lease_us)
+        if not state.hasTimedOut:
+            for pdf in pdfs:
+                for kind, w, t in sorted(zip(pdf["kind"], pdf["worker_id"], pdf["__t"]), key=lambda r: r[2]):
+                    if kind == "complete":
+                        cur = None
+                    elif kind == "claim" or (cur is not None and kind == "renew" and cur[0] == w):
+                        cur = (int(w), int(t) + lease_us)
         if cur is None:
             if state.exists:
                 state.remove()
-        else:
-            state.update(cur)
-            state.setTimeoutTimestamp((cur[1] + grace_us) // 1000)
-        return
-        yield  # noqa: unreachable - makes this a generator
+            return
+        if cur[1] + grace_us < wm_us or state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([(key[0], cur[0], pd.Timestamp(cur[1], unit="us"))],
+                               columns=["job_id", "worker_id", "expired_at"])
+            return
+        state.update(cur)
+        state.setTimeoutTimestamp((cur[1] + grace_us) // 1000 + 1)
     return fn
 
 
@@ -206,3 +205,66 @@ def dag_stream(completions: DataFrame, edges: DataFrame) -> DataFrame:
                       .join(indeg, "child_id"))
     return sat.groupBy("child_id").applyInPandasWithState(
         _dag_state, READY_SCHEMA, "seen array<long>, done boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+# T3 (edges) -------------------------------------------------------------------
+EDGE_SCHEMA = "worker_id long, edge_at timestamp, from_status string, to_status string"
+
+
+def _liveness_state(online_us: int, stale_us: int):
+    def due_edges(w, last, status, wm_us):
+        """Edges after ``last`` whose time the watermark has passed; new status."""
+        rows = []
+        if status == "ONLINE" and last + online_us < wm_us:
+            rows.append((w, last + online_us, "ONLINE", "STALE"))
+            status = "STALE"
+        if status == "STALE" and last + stale_us < wm_us:
+            rows.append((w, last + stale_us, "STALE", "OFFLINE"))
+            status = "OFFLINE"
+        return rows, status
+
+    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
+        w = key[0]
+        wm_us = state.getCurrentWatermarkMs() * 1000
+        last, status = state.get if state.exists else (None, None)
+        rows = []
+        if not state.hasTimedOut:
+            for pdf in pdfs:
+                for t in sorted(int(x) for x in pdf["__t"]):
+                    if last is not None and t > last:
+                        if t > last + online_us and status == "ONLINE":
+                            rows.append((w, last + online_us, "ONLINE", "STALE"))
+                        if t > last + stale_us and status in ("ONLINE", "STALE"):
+                            rows.append((w, last + stale_us, "STALE", "OFFLINE"))
+                        if t > last + online_us:
+                            rows.append((w, t, "OFFLINE" if t > last + stale_us else "STALE", "ONLINE"))
+                    if last is None or t > last:
+                        last, status = t, "ONLINE"
+        more, status = due_edges(w, last, status, wm_us)
+        rows += more
+        if status == "OFFLINE":
+            state.remove()
+        else:
+            state.update((last, status))
+            state.setTimeoutTimestamp((last + (online_us if status == "ONLINE" else stale_us)) // 1000 + 1)
+        if rows:
+            yield _edges_frame(rows)
+    return fn
+
+
+def _edges_frame(rows):
+    df = pd.DataFrame(rows, columns=["worker_id", "edge_at", "from_status", "to_status"])
+    df["edge_at"] = pd.to_datetime(df["edge_at"], unit="us")
+    return df
+
+
+def liveness_stream(hb: DataFrame, online_secs: int = 15, stale_secs: int = 60, ts_col: str = "heartbeat_at",
+                    watermark: str = "0 seconds") -> DataFrame:
+    """ONLINE→STALE→OFFLINE→ONLINE edges per worker from heartbeats: gaps inside
+    the data give edges directly; after the last heartbeat, event-time timeouts
+    (fired when the watermark passes) emit the STALE and OFFLINE edges."""
+    x = (hb.withColumn("__ts", F.col(ts_col).cast("timestamp")).withWatermark("__ts", watermark)
+           .select("worker_id", "__ts", F.unix_micros("__ts").alias("__t")))
+    return x.groupBy("worker_id").applyInPandasWithState(
+        _liveness_state(online_secs * 1_000_000, stale_secs * 1_000_000), EDGE_SCHEMA,
+        "last long, status string", "append", GroupStateTimeout.EventTimeTimeout)

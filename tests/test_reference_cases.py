@@ -306,3 +306,20 @@ def test_tick_per_micro_batch(spark, tmp_path):
          .option("checkpointLocation", out + "-ckpt").trigger(availableNow=True).start())
     q.awaitTermination()
     assert spark.read.parquet(out + "/outbox").count() > 0
+
+
+def test_stream_timers_agree_with_batch_twins(spark):
+    q = all_queries()
+    s = q["t3_liveness_stream"].fn(spark, SF)
+    b = q["t3_liveness_edges"].fn(spark, SF)
+    assert s.count() > 0 and s.exceptAll(b.select(*s.columns)).count() == 0
+    s6 = q["t6_lease_stream"].fn(spark, SF).select("job_id", "worker_id", "expired_at")
+    b6 = q["t6_lease_expiries"].fn(spark, SF).select("job_id", "worker_id", "expired_at")
+    assert s6.count() > 0 and s6.exceptAll(b6).count() == 0
+
+
+def test_stream_admission_equals_batch(spark):
+    q = all_queries()
+    a = q["t4_admission_batch"].fn(spark, SF).select("arrival_id", "accepted")
+    s = q["t4_admission_stream"].fn(spark, SF).select("arrival_id", "accepted")
+    assert a.count() == s.count() and a.exceptAll(s).count() == 0
