@@ -61,10 +61,9 @@ def parse_cron(expr: Column) -> Column:
     parsed = {}
     for i, (name, lo, hi) in enumerate(FIELDS):
         tok = F.try_element_at(toks, F.lit(i + 1)) if i < 6 else F.when(n == 7, F.try_element_at(toks, F.lit(7))).otherwise(F.lit("*"))
-        if name == "month":
-            tok = _names(tok, MONTH_NAMES)
-        elif name == "dow":
-            tok = _names(tok, DOW_NAMES)
+        if name in ("month", "dow"):  # names are rare: only rewrite fields that have letters
+            tok = F.when(tok.rlike("[A-Za-z]"), _names(tok, MONTH_NAMES if name == "month" else DOW_NAMES)) \
+                   .otherwise(tok)
         parsed[name] = parse_field(tok, lo, hi)
     ok = expr.isNotNull() & n.isin(6, 7)
     for p in parsed.values():

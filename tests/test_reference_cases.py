@@ -323,3 +323,15 @@ def test_stream_admission_equals_batch(spark):
     a = q["t4_admission_batch"].fn(spark, SF).select("arrival_id", "accepted")
     s = q["t4_admission_stream"].fn(spark, SF).select("arrival_id", "accepted")
     assert a.count() == s.count() and a.exceptAll(s).count() == 0
+
+
+def test_cron_names_lists_and_year(spark):
+    s = _sched(spark, [("0 0 12 ? JAN,jul MON-FRI", "UTC"), ("0 0 12 * * SUN 2024", "UTC"),
+                       ("0 0 12 * * SUN 2025", "UTC"), ("*/20 5-6 3 1 1 *", "UTC")])
+    fires, rej = C.occurrences(s, "2024-01-01 00:00:00", "2024-01-15 00:00:00")
+    by = {}
+    for r in fires.collect():
+        by.setdefault(r.schedule_id, []).append(r.fire_time.day)
+    assert sorted(by[0]) == [1, 2, 3, 4, 5, 8, 9, 10, 11, 12] and sorted(by[1]) == [7, 14]
+    assert 2 not in by and rej.count() == 0
+    assert len(by[3]) == 6  # seconds 0,20,40 of minutes 5 and 6 at 03:00 on Jan 1
