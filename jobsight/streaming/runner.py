@@ -77,12 +77,9 @@ def publish_once(batch: DataFrame, target: str, key: str = "msg_id") -> None:
     """At-least-once delivery made idempotent: rows whose key is already in the
     target folder (or repeated in the batch) are not appended again."""
     spark = batch.sparkSession
-    fresh = batch.dropDuplicates([key])
-    try:
-        existing = spark.read.parquet(target).select(key)
-        fresh = fresh.join(existing, key, "left_anti")
-    except Exception:  # noqa: BLE001 - first write: target does not exist yet
-        pass
+    batch.limit(0).write.mode("append").parquet(target)  # creates the target on first use
+    existing = spark.read.parquet(target).select(key)
+    fresh = batch.dropDuplicates([key]).join(existing, key, "left_anti")
     fresh.write.mode("append").parquet(target)
 
 
