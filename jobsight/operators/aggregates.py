@@ -163,10 +163,17 @@ def running_per_worker(jobs: DataFrame) -> DataFrame:
 
 
 # A10 / A11 --------------------------------------------------------------------
-def trend(df: DataFrame, metric: str, by: list[str], approx: bool = False,
-          accuracy: int = 10000) -> DataFrame:
-    """avg, min, med, max, p90, p95, p99 of ``metric`` per group. ``approx`` uses
-    the mergeable sketch (bounded memory per group), else exact percentiles."""
+def trend(df: DataFrame, metric: str, by: list[str], approx: bool | None = None,
+          accuracy: int = 10000, max_exact_rows: int = 2_000_000) -> DataFrame:
+    """avg, min, med, max, p90, p95, p99 of ``metric`` per group.
+
+    Exact percentiles keep every distinct value of a group in one aggregation
+    buffer; ``approx`` uses the mergeable quantile sketch (bounded memory per
+    group). ``approx=None`` decides by a size probe: exact while every group has
+    at most ``max_exact_rows`` rows, the sketch otherwise."""
+    if approx is None:
+        from .windows import groups_bounded
+        approx = not groups_bounded(df, by, max_exact_rows)
     m = F.col(metric).cast("double")
     pct = (lambda p: F.percentile_approx(m, p, accuracy).cast("double")) if approx \
         else (lambda p: F.percentile(m, F.lit(p)))

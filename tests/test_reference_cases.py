@@ -335,3 +335,14 @@ def test_cron_names_lists_and_year(spark):
     assert sorted(by[0]) == [1, 2, 3, 4, 5, 8, 9, 10, 11, 12] and sorted(by[1]) == [7, 14]
     assert 2 not in by and rej.count() == 0
     assert len(by[3]) == 6  # seconds 0,20,40 of minutes 5 and 6 at 03:00 on Jan 1
+
+
+def test_trend_switches_to_sketch_for_large_groups(spark):
+    from jobsight.operators import aggregates as A
+    from jobsight.sources.fixtures import Ops
+    e = Ops(spark, SF).executions
+    exact = {r.status: r.p95 for r in A.trend(e, "duration_ms", ["status"]).collect()}
+    sketch = {r.status: r.p95 for r in A.trend(e, "duration_ms", ["status"], max_exact_rows=10).collect()}
+    assert exact.keys() == sketch.keys()
+    for k in exact:  # the sketch returns an observed value close to the exact percentile
+        assert abs(exact[k] - sketch[k]) <= 0.02 * max(abs(exact[k]), 1.0)
