@@ -3,9 +3,10 @@
 Only *accepted* arrivals count against a queue's trailing window, so each
 decision depends on the earlier decisions of the same queue: the rule is
 sequential per queue. Spark hash-partitions arrivals by queue and sorts each
-partition by (queue, time, id); one Arrow-batched pass per partition then keeps
-only the accepted timestamps still inside the window for the current queue (at
-most ``limit`` of them), so memory is O(limit) whatever the queue's size.
+partition by (queue, time, id); one Arrow-batched pass per partition keeps only
+the last ``limit`` accepted timestamps of the current queue, so memory is
+O(limit) whatever the queue's size, and jumps from one acceptance to the next
+by binary search instead of visiting each rejected arrival.
 
 Scale note: a hot queue is decided by one task (the rule admits no split: the
 k-th decision needs all earlier ones), but that task streams sorted rows with
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 from collections import deque
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,21 +28,40 @@ OUT_SCHEMA = "arrival_id long, queue_id string, event_ts timestamp_ntz, accepted
 
 
 def _admit_partitions(batches):
+    """One pass over sorted (queue, time, id) rows. The next accepted arrival is
+    found by a binary search: with the last ``limit`` accepted times in hand, it
+    is the first later arrival past (oldest of them) + window. Work is
+    O(accepted · log rows) per queue and memory O(limit); every other arrival is
+    a rejection and is never visited one by one."""
     cur_key, window = None, deque()
     for pdf in batches:
-        acc = []
-        for key, t, w_us, lim in zip(pdf["__k"], pdf["__t"], pdf["__w"], pdf["__lim"]):
-            if key != cur_key:
-                cur_key, window = key, deque()
-            if pd.isna(lim):
-                acc.append(True)
-                continue
-            while window and window[0] < t - w_us:
-                window.popleft()
-            ok = len(window) + 1 <= lim
-            if ok:
-                window.append(t)
-            acc.append(bool(ok))
+        keys = pdf["__k"].to_numpy(dtype=object)
+        t = pdf["__t"].to_numpy(dtype="int64")
+        acc = np.zeros(len(pdf), dtype=bool)
+        if len(pdf):
+            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            ends = np.r_[starts[1:], len(pdf)]
+            for a, b in zip(starts, ends):
+                if keys[a] != cur_key:
+                    cur_key, window = keys[a], deque()
+                lim, w_us = pdf["__lim"].iloc[a], pdf["__w"].iloc[a]
+                if pd.isna(lim):
+                    acc[a:b] = True
+                    continue
+                lim, w_us = int(lim), int(w_us)
+                if lim <= 0:
+                    continue
+                seg, pos = t[a:b], 0
+                while pos < len(seg):
+                    j = pos if len(window) < lim else max(
+                        pos, int(np.searchsorted(seg, window[0] + w_us, side="right")))
+                    if j >= len(seg):
+                        break
+                    acc[a + j] = True
+                    window.append(int(seg[j]))
+                    if len(window) > lim:
+                        window.popleft()
+                    pos = j + 1
         out = pdf[["__id", "__k", "__ts"]].copy()
         out.columns = ["arrival_id", "queue_id", "event_ts"]
         out["accepted"] = acc

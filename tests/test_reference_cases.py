@@ -346,3 +346,23 @@ def test_trend_switches_to_sketch_for_large_groups(spark):
     assert exact.keys() == sketch.keys()
     for k in exact:  # the sketch returns an observed value close to the exact percentile
         assert abs(exact[k] - sketch[k]) <= 0.02 * max(abs(exact[k]), 1.0)
+
+
+def test_admission_hot_queue_and_edge_limits(spark):
+    """Dense hot queue (many arrivals per window, equal timestamps), a NULL limit
+    (accept all) and a zero limit, against the brute-force model."""
+    base = dt.datetime(2024, 1, 1)
+    rows = []
+    for i in range(6000):
+        q = "hot" if i % 3 else ("free" if i % 2 else "zero")
+        rows.append((i, q, base + dt.timedelta(seconds=(i * 7) % 5000 // 2)))
+    a = spark.createDataFrame(rows, "arrival_id long, queue_id string, event_ts timestamp_ntz")
+    qs = spark.createDataFrame([("hot", 5, 60), ("free", None, 60), ("zero", 0, 60)],
+                               "queue_id string, rate_limit long, rate_window_secs long")
+    got = {r.arrival_id: r.accepted for r in admission.admit(a, queues=qs).collect()}
+    us = lambda x: int(x.replace(tzinfo=dt.timezone.utc).timestamp() * 1_000_000)
+    hot = [(q, us(t), i) for i, q, t in rows if q == "hot"]
+    exp = _admit_model(hot, 5, 60 * 1_000_000)
+    assert {i: got[i] for i in exp} == exp and 0 < sum(exp.values()) < len(exp)
+    assert all(got[i] for i, q, _ in rows if q == "free")
+    assert not any(got[i] for i, q, _ in rows if q == "zero")
