@@ -182,3 +182,17 @@ def t3s(spark, d):
     hb = build(spark, d, "worker_heartbeats", stream=True)
     out = run_to_table(T.liveness_stream(hb, 3600, 43200), "t3-edges")
     return out.withColumn("edge_at", F.col("edge_at").cast("timestamp_ntz"))
+
+
+@register("t2_project_snapshot_stream", with_views("""
+SELECT q.project_id, j.status, count(*) AS n FROM jobs j JOIN queues q ON q.queue_id = j.queue_id
+  JOIN projects p ON p.project_id = q.project_id GROUP BY ALL""", "jobs", "queues", "projects"))
+def t2p(spark, d):
+    """Per-project status snapshot from a job stream joined to the static tenant
+    tables (stream-static join), latest status per job held in state."""
+    from ..operators.joins import with_context
+    o = Ops(spark, d)
+    jobs = build(spark, d, "jobs", stream=True).select(
+        "job_id", "queue_id", "status", F.col("updated_at").alias("event_ts"), F.col("job_id").alias("event_id"))
+    ctx = with_context(jobs, o.queues, o.projects)
+    return T.snapshot_stream(ctx, "t2p", scope="project_id")

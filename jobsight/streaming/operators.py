@@ -26,38 +26,44 @@ def dedup_messages(stream: DataFrame, ts_col: str = "ts", key: str = "msg_id",
 
 
 # T2 ---------------------------------------------------------------------------
-DELTA_SCHEMA = "job_id long, status string, delta long"
+DELTA_SCHEMA = "job_id long, scope long, status string, delta long"
 
 
 def _latest_status(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
-    cur = state.get if state.exists else None  # (ts_micros, event_id, status)
+    cur = state.get if state.exists else None  # (ts_micros, event_id, status, scope)
     for pdf in pdfs:
-        for t, eid, st in zip(pdf["__t"], pdf["event_id"], pdf["status"]):
+        for t, eid, st, sc in zip(pdf["__t"], pdf["event_id"], pdf["status"], pdf["__scope"]):
             if cur is None or (t, eid) > (cur[0], cur[1]):
-                prev = cur[2] if cur is not None else None
-                cur = (int(t), int(eid), st)
-                if prev != st:
-                    rows = [(key[0], st, 1)] + ([(key[0], prev, -1)] if prev is not None else [])
-                    yield pd.DataFrame(rows, columns=["job_id", "status", "delta"])
+                prev = cur
+                sc = None if pd.isna(sc) else int(sc)
+                cur = (int(t), int(eid), st, sc)
+                if prev is None or prev[2] != st or prev[3] != sc:
+                    rows = [(key[0], sc, st, 1)] + ([(key[0], prev[3], prev[2], -1)] if prev is not None else [])
+                    yield pd.DataFrame(rows, columns=["job_id", "scope", "status", "delta"])
     if cur is not None:
         state.update(cur)
 
 
-def status_deltas(events: DataFrame, ts_col: str = "event_ts") -> DataFrame:
-    """Per job, ±1 deltas whenever its latest status (by time, id) changes."""
-    x = events.select("job_id", "event_id", "status",
+def status_deltas(events: DataFrame, ts_col: str = "event_ts", scope: str | None = None) -> DataFrame:
+    """Per job, ±1 deltas whenever its latest status (by time, id) changes; an
+    optional ``scope`` column (e.g. project_id) travels with the deltas."""
+    sc = F.col(scope).cast("long") if scope else F.lit(None).cast("long")
+    x = events.select("job_id", "event_id", "status", sc.alias("__scope"),
                       F.unix_micros(F.col(ts_col).cast("timestamp")).alias("__t"))
     return x.groupBy("job_id").applyInPandasWithState(
-        _latest_status, DELTA_SCHEMA, "t long, eid long, status string", "append", GroupStateTimeout.NoTimeout)
+        _latest_status, DELTA_SCHEMA, "t long, eid long, status string, scope long", "append",
+        GroupStateTimeout.NoTimeout)
 
 
-def snapshot_stream(events: DataFrame, name: str = "snapshot") -> DataFrame:
-    """Counts of jobs by latest status: deltas are produced by a stateful step and
-    summed in a second step (complete mode); returns the final snapshot."""
+def snapshot_stream(events: DataFrame, name: str = "snapshot", scope: str | None = None) -> DataFrame:
+    """Counts of jobs by latest status (per ``scope`` when given): deltas come from
+    a stateful step keyed by job and are summed in a second step over the
+    written deltas; returns the final snapshot."""
     from .runner import run_to_table
-    deltas = run_to_table(status_deltas(events), f"{name}-deltas")
-    return (deltas.groupBy("status").agg(F.sum("delta").cast("long").alias("n"))
-                  .filter(F.col("n") != 0))
+    deltas = run_to_table(status_deltas(events, scope=scope), f"{name}-deltas")
+    keys = (["scope"] if scope else []) + ["status"]
+    out = (deltas.groupBy(*keys).agg(F.sum("delta").cast("long").alias("n")).filter(F.col("n") != 0))
+    return out.withColumnRenamed("scope", scope) if scope else out
 
 
 # T3 ---------------------------------------------------------------------------
