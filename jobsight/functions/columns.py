@@ -9,10 +9,6 @@ from ..schema import JOB_KINDS, JOB_STATUSES, WORKER_ONLINE_SECS, WORKER_STALE_S
 from ..session import secs, ts
 
 
-def _c(x) -> Column:
-    return x if isinstance(x, Column) else F.col(x)
-
-
 def _v(x) -> Column:
     """Column from a name or a Column; python numbers become literals."""
     if isinstance(x, Column):

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import epoch_micros, failure_prompt
 from ..schema import DECLARED_TRANSITIONS, DEFAULT_LEASE_SECS, OUTBOX_BATCH, OUTBOX_LOCK_SECS
-from ..session import cut_lineage, secs, ts
+from ..session import bounded_broadcast, cut_lineage, secs, ts
 from .filters import due_condition
 
 
@@ -258,8 +258,8 @@ def audit_transitions(events: DataFrame, matrix: DataFrame, key: str = "job_id",
     else:
         w = Window.partitionBy(key).orderBy(ts_col, id_col)
         x = events.withColumn("from_status", F.lag("status").over(w))
-    m = F.broadcast(matrix.select("from_status", F.col("to_status").alias("status"))
-                    .withColumn("__ok", F.lit(True)))  # fixed-size literal table
+    m = bounded_broadcast(matrix.select("from_status", F.col("to_status").alias("status"))
+                          .withColumn("__ok", F.lit(True)), 10_000)  # a transition matrix: proven small
     x = x.join(m, ["from_status", "status"], "left")
     allowed = F.when(F.col("from_status").isNull(), F.col("status").isin(*INITIAL_STATUSES)) \
         .otherwise(F.coalesce(F.col("__ok"), F.lit(False)))
