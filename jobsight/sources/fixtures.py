@@ -148,14 +148,15 @@ def _jobs(spark, d):
 
 
 def _executions(spark, d):
-    li = read(spark, d, "lineitem")
-    # an order has a handful of lines: the per-order window is bounded
-    w = Window.partitionBy("l_orderkey").orderBy(
-        "l_shipdate", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    from ..operators.windows import row_number_in_groups
+    li = read(spark, d, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_returnflag",
+        "l_linestatus", "l_linenumber", "l_quantity")
     rf = F.col("l_returnflag")
-    a = F.row_number().over(w).cast("long")
-    x = li.select("l_orderkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_returnflag",
-                  "l_linestatus", "l_linenumber", a.alias("attempt"))
+    # attempt = position of the line inside its order; numbered with the size
+    # probe (plain window for ordinary orders, range-split path for a huge one)
+    x = row_number_in_groups(li, ["l_orderkey"], ["l_shipdate", "l_partkey", "l_suppkey", "l_linenumber",
+                                                  "l_quantity", "l_extendedprice"], "attempt")
     return x.select(
         (F.col("l_orderkey") * 100 + F.col("attempt")).alias("execution_id"),
         F.col("l_orderkey").alias("job_id"), F.col("l_suppkey").alias("worker_id"),
