@@ -68,9 +68,13 @@ def snapshot_stream(events: DataFrame, name: str = "snapshot", scope: str | None
 
 # T3 ---------------------------------------------------------------------------
 def liveness_sessions(hb: DataFrame, gap: str = "1 hour", ts_col: str = "heartbeat_at",
-                      key: str = "worker_id") -> DataFrame:
-    """Heartbeat sessions per worker: a gap longer than ``gap`` starts a new one."""
+                      key: str = "worker_id", watermark: str | None = None) -> DataFrame:
+    """Heartbeat sessions per worker: a gap of ``gap`` or more starts a new one.
+    With ``watermark`` the query runs in append mode and state for closed
+    sessions is dropped (unbounded streams); without it, complete mode."""
     x = hb.withColumn(ts_col, F.col(ts_col).cast("timestamp"))
+    if watermark:
+        x = x.withWatermark(ts_col, watermark)
     s = x.groupBy(key, F.session_window(ts_col, gap).alias("s")).agg(F.count(F.lit(1)).alias("beats"))
     return s.select(key, F.col("s.start").cast("timestamp_ntz").alias("session_start"),
                     F.col("s.end").cast("timestamp_ntz").alias("session_end"), "beats")

@@ -366,3 +366,14 @@ def test_admission_hot_queue_and_edge_limits(spark):
     assert {i: got[i] for i in exp} == exp and 0 < sum(exp.values()) < len(exp)
     assert all(got[i] for i, q, _ in rows if q == "free")
     assert not any(got[i] for i, q, _ in rows if q == "zero")
+
+
+def test_sessions_append_mode_with_watermark(spark):
+    from jobsight.sources.fixtures import build
+    from jobsight.streaming import operators as T
+    from jobsight.streaming.runner import run_to_table
+    hb = build(spark, SF, "worker_heartbeats", stream=True)
+    closed = run_to_table(T.liveness_sessions(hb, "1 hour", watermark="1 hour"), "t3-append")
+    full = all_queries()["t3_liveness_sessions"].fn(spark, SF)
+    # append mode emits only sessions closed by the watermark; each equals a complete-mode session
+    assert closed.count() > 0 and closed.exceptAll(full.select(*closed.columns)).count() == 0
