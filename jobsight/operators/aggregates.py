@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .joins import visible_to, with_context
+from .joins import with_context
 
 STAT_STATUSES = [("queued", "QUEUED"), ("running", "RUNNING"), ("retry_wait", "RETRY_WAIT"),
                  ("completed", "COMPLETED"), ("failed", "FAILED"), ("scheduled", "SCHEDULED"),

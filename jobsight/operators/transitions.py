@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as G
-from ..schema import DEFAULT_LEASE_SECS, JOB_STATUSES
 from ..session import secs, ts
 from .filters import due_condition
 from .joins import abandon, fence, with_context

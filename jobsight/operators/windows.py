@@ -170,10 +170,10 @@ def allocate(queues: DataFrame, tokens: DataFrame, jobs: DataFrame, now, worker_
     desc, created_at, id are matched to free slots ranked by slot_index on
     (queue, rank). Returns (claimed jobs, updated tokens, STARTED executions)."""
     n = ts(now)
-    live = unpaused_ids = queues.filter(~F.col("is_paused")).select("queue_id")
+    live = queues.filter(~F.col("is_paused")).select("queue_id")
     claimable = (jobs.filter(F.col("status").isin("QUEUED", "RETRY_WAIT"))
                      .filter(F.col("lease_expires_at").isNull() | (F.col("lease_expires_at") < n))
-                     .join(unpaused_ids, "queue_id", "left_semi"))
+                     .join(live, "queue_id", "left_semi"))
     wj = Window.partitionBy("queue_id").orderBy(*_order(DISPATCH_ORDER))
     ranked = claimable.withColumn("__rank", F.row_number().over(wj)).filter(F.col("__rank") <= MAX_SLOTS)
     ws = Window.partitionBy("queue_id").orderBy("slot_index")
