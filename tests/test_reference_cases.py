@@ -377,3 +377,16 @@ def test_sessions_append_mode_with_watermark(spark):
     full = all_queries()["t3_liveness_sessions"].fn(spark, SF)
     # append mode emits only sessions closed by the watermark; each equals a complete-mode session
     assert closed.count() > 0 and closed.exceptAll(full.select(*closed.columns)).count() == 0
+
+
+def test_offered_load_per_queue_windows(spark):
+    base = dt.datetime(2024, 1, 1)
+    rows = [(i, "a" if i % 2 else "b", base + dt.timedelta(seconds=(i * 37) % 900)) for i in range(400)]
+    a = spark.createDataFrame(rows, "arrival_id long, queue_id string, event_ts timestamp_ntz")
+    qs = spark.createDataFrame([("a", 5, 60), ("b", None, 200)], "queue_id string, rate_limit long, rate_window_secs long")
+    got = {r.arrival_id: (r.offered, r.over_limit) for r in W.offered_load(a, queues=qs).collect()}
+    win = {"a": 60, "b": 200}
+    lim = {"a": 5, "b": None}
+    for i, q, t in rows:
+        n = sum(1 for _, q2, u in rows if q2 == q and t - dt.timedelta(seconds=win[q]) <= u <= t)
+        assert got[i] == (n, lim[q] is not None and n > lim[q])
