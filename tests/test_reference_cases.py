@@ -390,3 +390,20 @@ def test_offered_load_per_queue_windows(spark):
     for i, q, t in rows:
         n = sum(1 for _, q2, u in rows if q2 == q and t - dt.timedelta(seconds=win[q]) <= u <= t)
         assert got[i] == (n, lim[q] is not None and n > lim[q])
+
+
+def test_upsert_and_slot_resync_edges(spark):
+    t = spark.createDataFrame([(1, "w1", 4), (2, "w2", 2)], "worker_id long, worker_name string, max_concurrency long")
+    n = spark.createDataFrame([(1, None, 1), (1, "w1b", 2), (3, "w3", 1)], "worker_id long, worker_name string, v long")
+    out = {r.worker_id: r.worker_name for r in U.upsert(t, n, "worker_id", ["v"], ["worker_name"]).collect()}
+    assert out == {1: "w1b", 2: "w2", 3: "w3"}  # last row per key wins; unmatched target kept; new key inserted
+    n2 = spark.createDataFrame([(2, None, 1)], "worker_id long, worker_name string, v long")
+    out2 = {r.worker_id: r.worker_name for r in U.upsert(t, n2, "worker_id", ["v"], ["worker_name"]).collect()}
+    assert out2[2] is None  # a NULL in the new row is written, as DO UPDATE SET col = EXCLUDED.col
+    tokens = spark.createDataFrame([(1, 0, None, None), (1, 1, None, None), (1, 2, 7, 70), (1, 3, None, None)],
+                                   "queue_id long, slot_index long, worker_id long, job_id long")
+    shrink = spark.createDataFrame([(1, 2)], "queue_id long, max_concurrency long")
+    kept = sorted(r.slot_index for r in U.resync_slots(tokens, shrink).collect())
+    assert kept == [0, 1, 2]  # free slot 3 dropped, held slot 2 kept until released
+    grow = spark.createDataFrame([(1, 6)], "queue_id long, max_concurrency long")
+    assert sorted(r.slot_index for r in U.resync_slots(tokens, grow).collect()) == [0, 1, 2, 3, 4, 5]
