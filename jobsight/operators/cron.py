@@ -144,18 +144,20 @@ def occurrences(schedules: DataFrame, start, end, id_col: str = "schedule_id",
 def next_fire(schedules: DataFrame, now, id_col: str = "schedule_id", cron_col: str = "cron_expr",
               tz_col: str = "timezone", horizon_days: int = 5 * 366) -> DataFrame:
     """First fire strictly after ``now`` per valid cron schedule, in one pass:
-    the first three matching local days within the horizon are found with an
+    the first four matching local days within the horizon are found with an
     array filter (no explode), then only those days are expanded."""
     good, _ = _split(schedules, id_col, cron_col, tz_col)
     tz = F.col(tz_col)
     t0 = (ts(now) + F.expr("INTERVAL 1 MICROSECOND")).cast("timestamp")
     d0 = F.date_sub(F.to_date(F.from_utc_timestamp(t0, tz)), 1)
-    def first3(days):
+    # Candidates start the day before local today (zone offsets) and need two
+    # matching days after today: a DST gap can remove a day's only fire time.
+    def first4(days):
         return F.slice(F.filter(F.sequence(d0, F.date_add(d0, days), F.expr("INTERVAL 1 DAY")),
-                                lambda day: _day_matches(F.col("__cron"), day)), 1, 3)
+                                lambda day: _day_matches(F.col("__cron"), day)), 1, 4)
     # a short search first; the long horizon is evaluated only for rare calendars
-    short = first3(40)
-    cands = F.when(F.size(short) >= 3, short).otherwise(first3(horizon_days))
+    short = first4(40)
+    cands = F.when(F.size(short) >= 4, short).otherwise(first4(horizon_days))
     fires = _fires(good, cands, t0, None, id_col, tz_col)
     return fires.groupBy(id_col).agg(F.min("fire_time").alias("next_fire_at"))
 

@@ -407,3 +407,12 @@ def test_upsert_and_slot_resync_edges(spark):
     assert kept == [0, 1, 2]  # free slot 3 dropped, held slot 2 kept until released
     grow = spark.createDataFrame([(1, 6)], "queue_id long, max_concurrency long")
     assert sorted(r.slot_index for r in U.resync_slots(tokens, grow).collect()) == [0, 1, 2, 3, 4, 5]
+
+
+def test_next_fire_across_dst_gap(spark):
+    """A daily 02:30 New York cron on the evening before the spring-forward day:
+    02:30 does not exist on Mar 10, so the next fire is Mar 11 02:30 EDT."""
+    s = _sched(spark, [("0 30 2 * * *", "America/New_York"), ("0 0 0 29 2 *", "UTC")])
+    got = {r.schedule_id: r.next_fire_at for r in C.advance(s, "2024-03-09 17:00:00").collect()}
+    assert got[0] == dt.datetime(2024, 3, 11, 6, 30)
+    assert got[1] == dt.datetime(2028, 2, 29, 0, 0)  # rare calendar: long horizon
