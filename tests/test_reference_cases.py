@@ -416,3 +416,11 @@ def test_next_fire_across_dst_gap(spark):
     got = {r.schedule_id: r.next_fire_at for r in C.advance(s, "2024-03-09 17:00:00").collect()}
     assert got[0] == dt.datetime(2024, 3, 11, 6, 30)
     assert got[1] == dt.datetime(2028, 2, 29, 0, 0)  # rare calendar: long horizon
+
+
+def test_cron_midnight_transition(spark):
+    """Havana springs forward at 00:00 on 2024-03-10: the 00:30 fire of that day does not exist."""
+    s = _sched(spark, [("0 30 0 * * *", "America/Havana")])
+    f, _ = C.occurrences(s, "2024-03-08 00:00:00", "2024-03-13 00:00:00")
+    assert sorted(str(r.fire_time) for r in f.collect()) == [
+        "2024-03-08 05:30:00", "2024-03-09 05:30:00", "2024-03-11 04:30:00", "2024-03-12 04:30:00"]
