@@ -131,9 +131,13 @@ def fence(reports: DataFrame, jobs: DataFrame, require_running: bool = True) ->
                     F.col("lease_epoch").alias("__epoch"), F.col("status").alias("__status"),
                     F.lit(True).alias("__exists"))
     out = reports.join(j, "job_id", "left")
+    # SQL equality: a NULL owner or epoch never matches (a job without a lease
+    # accepts no report)
+    same_owner = F.coalesce(F.col("worker_id") == F.col("__owner"), F.lit(False))
+    same_epoch = F.coalesce(F.col("epoch") == F.col("__epoch"), F.lit(False))
     verdict = (F.when(F.col("__exists").isNull(), "unknown_job")
-                .when(~F.col("worker_id").eqNullSafe(F.col("__owner")), "wrong_owner")
-                .when(~F.col("epoch").eqNullSafe(F.col("__epoch")), "stale_epoch"))
+                .when(~same_owner, "wrong_owner")
+                .when(~same_epoch, "stale_epoch"))
     if require_running:
         verdict = verdict.when(F.col("__status") != "RUNNING", "not_running")
     verdict = verdict.otherwise("accepted")

@@ -311,8 +311,8 @@ WITH r AS (SELECT CASE WHEN job_id % 5 = 2 THEN job_id + 1000000000 ELSE job_id
     CASE WHEN job_id % 5 = 1 THEN lease_epoch - 1 ELSE lease_epoch END AS epoch
   FROM jobs WHERE status IN ('CLAIMED', 'RUNNING', 'COMPLETED'))
 SELECT r.job_id, r.worker_id, r.epoch,
-  CASE WHEN j.job_id IS NULL THEN 'unknown_job' WHEN r.worker_id IS DISTINCT FROM j.lease_owner THEN 'wrong_owner'
-       WHEN r.epoch IS DISTINCT FROM j.lease_epoch THEN 'stale_epoch' WHEN j.status <> 'RUNNING' THEN 'not_running'
+  CASE WHEN j.job_id IS NULL THEN 'unknown_job' WHEN NOT coalesce(r.worker_id = j.lease_owner, false) THEN 'wrong_owner'
+       WHEN NOT coalesce(r.epoch = j.lease_epoch, false) THEN 'stale_epoch' WHEN j.status <> 'RUNNING' THEN 'not_running'
        ELSE 'accepted' END AS verdict
 FROM r LEFT JOIN jobs j ON j.job_id = r.job_id""", "jobs"))
 def j9(spark, d):

@@ -424,3 +424,11 @@ def test_cron_midnight_transition(spark):
     f, _ = C.occurrences(s, "2024-03-08 00:00:00", "2024-03-13 00:00:00")
     assert sorted(str(r.fire_time) for r in f.collect()) == [
         "2024-03-08 05:30:00", "2024-03-09 05:30:00", "2024-03-11 04:30:00", "2024-03-12 04:30:00"]
+
+
+def test_fence_null_owner_never_matches(spark):
+    jobs = spark.createDataFrame([(1, None, 0, "QUEUED"), (2, 7, 1, "RUNNING")],
+                                 "job_id long, lease_owner long, lease_epoch long, status string")
+    reports = spark.createDataFrame([(1, None, 0), (2, 7, 1), (2, 7, None)], "job_id long, worker_id long, epoch long")
+    got = {(r.job_id, r.epoch): r.verdict for r in J.fence(reports, jobs, require_running=False).collect()}
+    assert got == {(1, 0): "wrong_owner", (2, None): "stale_epoch", (2, 1): "accepted"}
