@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .joins import capacity_slots
@@ -34,7 +34,9 @@ def first_per_key(df: DataFrame, key, order, last: bool = False) -> DataFrame:
 def insert_ignore(target: DataFrame, new: DataFrame, key, order=None):
     """ON CONFLICT DO NOTHING: returns (merged, inserted)."""
     ks = _keys(key)
-    n = first_per_key(new, ks, order or ks) if order or len(new.columns) > len(ks) else new.distinct()
+    rest = [c for c in new.columns if c not in ks]
+    # one row per key, picked deterministically (by ``order``, else by the other columns)
+    n = first_per_key(new, ks, order or rest) if rest else new.distinct()
     inserted = n.join(target.select(*ks), ks, "left_anti")
     return target.unionByName(inserted.select(*target.columns)), inserted
 
@@ -124,8 +126,3 @@ def resync_slots(tokens: DataFrame, queues: DataFrame) -> DataFrame:
         if c not in add.columns:
             add = add.withColumn(c, F.lit(None).cast(tokens.schema[c].dataType))
     return keep.unionByName(add.select(*keep.columns))
-
-
-def rank_within(df: DataFrame, key, order, name: str = "rn") -> DataFrame:
-    w = Window.partitionBy(*_keys(key)).orderBy(*order)
-    return df.withColumn(name, F.row_number().over(w))
