@@ -24,31 +24,47 @@ RESULT_SCHEMA = ("job_id long, type string, outcome string, result string, "
 Handler = Callable[[pd.DataFrame], pd.DataFrame]
 
 
+# ---- fixed values: outcome texts of the built-in handlers ----------------------
+ALWAYS_FAIL_MESSAGE = "intentional test failure"
+ALWAYS_FAIL_KIND = "test_failure"
+UNKNOWN_MESSAGE = "payment request sent but response timeout - unknown if succeeded"
+UNKNOWN_KIND = "external_timeout"
+NO_HANDLER_MESSAGE = "no handler registered for job type '{}'"
+NO_HANDLER_KIND = "no_handler"
+# -------------------------------------------------------------------------------
+
+
+def _json(obj) -> str:
+    """Compact JSON with keys in sorted order (the reference's serializer sorts keys)."""
+    return json.dumps(obj, separators=(",", ":"), sort_keys=True)
+
+
 def _ok(df: pd.DataFrame, result: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"outcome": "ok", "result": result.values, "error_message": None,
                          "error_kind": None}, index=df.index)
 
 
 def echo_handler(df: pd.DataFrame) -> pd.DataFrame:
-    return _ok(df, df["payload"])
+    return _ok(df, df["attempt"].map(lambda a: _json({"echoed": True, "attempt": int(a)})))
 
 
 def sleep_handler(df: pd.DataFrame) -> pd.DataFrame:
-    return _ok(df, df["secs"].map(lambda s: json.dumps({"slept_secs": int(s)}, separators=(",", ":"))))
+    return _ok(df, df["secs"].map(lambda s: _json({"slept_secs": int(s)})))
 
 
 def always_fail_handler(df: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"outcome": "retry", "result": None, "error_message": "always fails",
-                         "error_kind": "handler_error"}, index=df.index)
+    return pd.DataFrame({"outcome": "retry", "result": None, "error_message": ALWAYS_FAIL_MESSAGE,
+                         "error_kind": ALWAYS_FAIL_KIND}, index=df.index)
 
 
 def external_payment_handler(df: pd.DataFrame) -> pd.DataFrame:
     unknown = df["force_unknown"].astype(bool) | (df["attempt"] == 1)
+    ok_result = df["job_id"].map(lambda j: _json({"payment": "confirmed", "idempotency": int(j)}))
     return pd.DataFrame({
         "outcome": unknown.map({True: "unknown", False: "ok"}),
-        "result": unknown.map({True: None, False: '{"paid":true}'}),
-        "error_message": unknown.map({True: "payment request sent but response timeout", False: None}),
-        "error_kind": unknown.map({True: "external_timeout", False: None})}, index=df.index)
+        "result": ok_result.where(~unknown, None),
+        "error_message": unknown.map({True: UNKNOWN_MESSAGE, False: None}),
+        "error_kind": unknown.map({True: UNKNOWN_KIND, False: None})}, index=df.index)
 
 
 DEFAULT_HANDLERS: dict[str, Handler] = {
@@ -71,8 +87,8 @@ def apply_handlers(jobs: DataFrame, handlers: dict[str, Handler] | None = None)
                 fn = registry.get(typ)
                 if fn is None:
                     res = pd.DataFrame({"outcome": "permanent", "result": None,
-                                        "error_message": f"no handler for type {typ}",
-                                        "error_kind": "no_handler"}, index=grp.index)
+                                        "error_message": NO_HANDLER_MESSAGE.format(typ),
+                                        "error_kind": NO_HANDLER_KIND}, index=grp.index)
                 else:
                     res = fn(grp)
                 parts.append(pd.concat([grp[["job_id", "type"]], res], axis=1))

@@ -133,15 +133,18 @@ def t8(spark, d):
 
 
 @register("x1_handlers", with_views("""
-SELECT job_id, coalesce(json_extract_string(payload, '$.type'), 'echo') AS type,
+SELECT job_id, t AS type,
   CASE t WHEN 'echo' THEN 'ok' WHEN 'sleep' THEN 'ok' WHEN 'always_fail' THEN 'retry'
     WHEN 'external_payment' THEN CASE WHEN fu OR attempt = 1 THEN 'unknown' ELSE 'ok' END ELSE 'permanent' END AS outcome,
-  CASE t WHEN 'echo' THEN payload WHEN 'sleep' THEN '{"slept_secs":' || CAST(secs AS VARCHAR) || '}'
-    WHEN 'external_payment' THEN CASE WHEN fu OR attempt = 1 THEN NULL ELSE '{"paid":true}' END END AS result,
-  CASE t WHEN 'echo' THEN NULL WHEN 'sleep' THEN NULL WHEN 'always_fail' THEN 'always fails'
-    WHEN 'external_payment' THEN CASE WHEN fu OR attempt = 1 THEN 'payment request sent but response timeout' END
-    ELSE 'no handler for type ' || t END AS error_message,
-  CASE t WHEN 'echo' THEN NULL WHEN 'sleep' THEN NULL WHEN 'always_fail' THEN 'handler_error'
+  CASE t WHEN 'echo' THEN '{"attempt":' || CAST(attempt AS VARCHAR) || ',"echoed":true}'
+    WHEN 'sleep' THEN '{"slept_secs":' || CAST(secs AS VARCHAR) || '}'
+    WHEN 'external_payment' THEN CASE WHEN fu OR attempt = 1 THEN NULL
+      ELSE '{"idempotency":' || CAST(job_id AS VARCHAR) || ',"payment":"confirmed"}' END END AS result,
+  CASE t WHEN 'echo' THEN NULL WHEN 'sleep' THEN NULL WHEN 'always_fail' THEN 'intentional test failure'
+    WHEN 'external_payment' THEN CASE WHEN fu OR attempt = 1
+      THEN 'payment request sent but response timeout - unknown if succeeded' END
+    ELSE format('no handler registered for job type ''{}''', t) END AS error_message,
+  CASE t WHEN 'echo' THEN NULL WHEN 'sleep' THEN NULL WHEN 'always_fail' THEN 'test_failure'
     WHEN 'external_payment' THEN CASE WHEN fu OR attempt = 1 THEN 'external_timeout' END ELSE 'no_handler' END AS error_kind
 FROM (SELECT *, coalesce(json_extract_string(payload, '$.type'), 'echo') AS t,
   coalesce(TRY_CAST(json_extract_string(payload, '$.secs') AS BIGINT), 1) AS secs,
