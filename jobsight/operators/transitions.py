@@ -185,7 +185,7 @@ def replay(dlq: DataFrame, queues: DataFrame, projects: DataFrame, now, skip_rep
         F.lit(5).cast("long").alias("base_delay_secs"), F.lit(3600).cast("long").alias("max_delay_secs"),
         F.col("dlq_id").alias("replayed_from_dlq_id"), F.col("job_id").alias("original_job_id"),
         n.alias("created_at"), n.alias("queued_at"), n.alias("updated_at"))
-    marked = src.withColumn("replayed_to_job_id", new_id)
+    marked = src.withColumn("replayed_to_job_id", new_id).withColumn("replayed_at", n)
     return jobs, marked, outbox_for(jobs, queues, projects, now, "replay")
 
 
