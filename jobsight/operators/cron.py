@@ -184,7 +184,8 @@ def advance(schedules: DataFrame, now, queues: DataFrame | None = None, id_col:
 def fire(schedules: DataFrame, existing: DataFrame, queues: DataFrame, projects: DataFrame, now,
          id_col: str = "schedule_id"):
     """Fire every due schedule once per (schedule, fire_time): new recurring jobs
-    (max_attempts = queue.max_receives, exponential 5/3600), their outbox rows,
+    (max_attempts = queue.max_receives or 3, exponential 5/3600, scheduled_for =
+    fire time), their outbox rows,
     the new occurrence rows, and the schedules advanced past the fire time.
     Returns (jobs, outbox, occurrences, schedules)."""
     from .filters import due_condition
@@ -199,10 +200,12 @@ def fire(schedules: DataFrame, existing: DataFrame, queues: DataFrame, projects:
     jobs = src.join(q, "queue_id").select(
         jid.alias("job_id"), "queue_id", F.lit(0).cast("long").alias("shard_id"),
         F.lit("recurring").alias("kind"), F.lit("QUEUED").alias("status"), "payload", "priority",
-        F.lit(0).cast("long").alias("attempt"), F.col("max_receives").cast("long").alias("max_attempts"),
+        F.lit(0).cast("long").alias("attempt"),
+        F.coalesce(F.col("max_receives").cast("long"), F.lit(3).cast("long")).alias("max_attempts"),
         F.lit("exponential").alias("retry_strategy"), F.lit(5).cast("long").alias("base_delay_secs"),
         F.lit(3600).cast("long").alias("max_delay_secs"), F.col(id_col).alias("scheduled_job_id"),
-        "fire_time", n.alias("created_at"), n.alias("queued_at"), n.alias("updated_at"))
+        "fire_time", F.col("fire_time").alias("scheduled_for"), n.alias("created_at"), n.alias("queued_at"),
+        n.alias("updated_at"))
     outbox = outbox_for(jobs, queues, projects, now, "cron")
     new_occ = new_occ.join(jobs.select(F.col("scheduled_job_id").alias(id_col), "fire_time",
                                        F.col("job_id").alias("created_job_id")), [id_col, "fire_time"], "left")
@@ -214,5 +217,7 @@ def fire(schedules: DataFrame, existing: DataFrame, queues: DataFrame, projects:
     moved = moved.withColumns({
         "next_fire_at": F.when(F.col("__fired").isNotNull(), F.col("__next")).otherwise(F.col("next_fire_at")),
         "is_active": F.when(F.col("__fired").isNotNull(), F.col("__act")).otherwise(F.col("is_active")),
-        "last_fired_at": F.when(F.col("__fired").isNotNull(), n)}).drop("__next", "__act", "__fired")
+        "last_fired_at": F.when(F.col("__fired").isNotNull(), F.col("__fired")).otherwise(
+            F.col("last_fired_at") if "last_fired_at" in schedules.columns
+            else F.lit(None).cast("timestamp_ntz"))}).drop("__next", "__act", "__fired")
     return jobs, outbox, new_occ, moved

@@ -76,16 +76,16 @@ def l3(spark, d):
 
 @register("c4_fire_jobs", with_views(f"""
 SELECT {derived_id_sql("'cron'", "x.schedule_id", "CAST(x.next_fire_at AS VARCHAR)")} AS job_id, x.queue_id,
-  x.schedule_id AS scheduled_job_id, x.next_fire_at AS fire_time, q.max_receives AS max_attempts, x.priority,
-  'recurring' AS kind, 'QUEUED' AS status
+  x.schedule_id AS scheduled_job_id, x.next_fire_at AS fire_time, x.next_fire_at AS scheduled_for,
+  coalesce(q.max_receives, 3) AS max_attempts, x.priority, 'recurring' AS kind, 'QUEUED' AS status
 FROM {_NEXT_SQL} x JOIN queues q ON q.queue_id = x.queue_id
 WHERE x.is_active AND x.next_fire_at <= TIMESTAMP '{FIRE_NOW}'""", "scheduled_jobs", "queues"))
 def c4(spark, d):
     o = Ops(spark, d)
     empty = spark.createDataFrame([], "schedule_id long, fire_time timestamp_ntz")
     jobs, _, _, _ = C.fire(_advanced(spark, d), empty, o.queues, o.projects, FIRE_NOW)
-    return jobs.select("job_id", "queue_id", "scheduled_job_id", "fire_time", "max_attempts", "priority",
-                       "kind", "status")
+    return jobs.select("job_id", "queue_id", "scheduled_job_id", "fire_time", "scheduled_for", "max_attempts",
+                       "priority", "kind", "status")
 
 
 # ---------------------------------------------------------------- D
