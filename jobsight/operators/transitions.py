@@ -256,21 +256,38 @@ def create_jobs(requests: DataFrame, queues: DataFrame, projects: DataFrame, now
 
 def create_batches(batch_requests: DataFrame, queues: DataFrame, projects: DataFrame, now,
                    items_col: str = "items", max_items: int = 1000):
-    """Batch requests (batch_request_id, queue_id, items: array<struct>) →
-    1..max_items jobs per batch. Empty or oversized batches are rejected whole.
-    Returns (batches, jobs, outbox, rejects)."""
+    """Batch requests (batch_request_id, queue_id, items: array<struct(payload,
+    priority, idempotency_key)>, optional request-level priority, max_attempts,
+    retry_strategy) → 1..max_items jobs of kind ``batch`` per batch. Item
+    priority falls back to the request's, then the queue default. A batch is
+    all-or-nothing: an empty or oversized batch, or one with any invalid item,
+    creates nothing and is reported once. Returns (batches, jobs, outbox, rejects)."""
     size = F.size(items_col)
     bad = batch_requests.filter((size < 1) | (size > max_items))
     good = batch_requests.filter((size >= 1) & (size <= max_items))
     bid = G.derived_id(F.lit("batch"), F.col("batch_request_id"))
-    batches = good.select(bid.alias("batch_id"), "queue_id", size.cast("long").alias("total_jobs"),
-                          F.lit("QUEUED").alias("status"), ts(now).alias("created_at"))
+    req_level = [c for c in ("priority", "max_attempts", "retry_strategy") if c in batch_requests.columns]
     items = good.select(bid.alias("batch_id"), "batch_request_id", "queue_id",
+                        *[F.col(c).alias(f"__req_{c}") for c in req_level],
                         F.posexplode(items_col).alias("position", "item"))
-    req = items.select(F.concat_ws("/", F.col("batch_request_id").cast("string"),
-                                   F.col("position").cast("string")).alias("request_id"),
-                       "queue_id", "batch_id", "item.*")
+    fields = set(items.schema["item"].dataType.fieldNames())
+    item_prio = F.col("item.priority").cast("long") if "priority" in fields else F.lit(None).cast("long")
+    req_prio = F.col("__req_priority").cast("long") if "priority" in req_level else F.lit(None).cast("long")
+    req = items.select(
+        F.concat_ws("/", F.col("batch_request_id").cast("string"), F.col("position").cast("string")).alias("request_id"),
+        "batch_request_id", "queue_id", "batch_id",
+        (F.col("item.payload") if "payload" in fields else F.lit(None).cast("string")).alias("payload"),
+        (F.col("item.idempotency_key") if "idempotency_key" in fields
+         else F.lit(None).cast("string")).alias("body_key"),
+        F.coalesce(item_prio, req_prio).alias("priority"), F.lit("batch").alias("kind"),
+        *[F.col(f"__req_{c}").alias(c) for c in req_level if c != "priority"])
     jobs, outbox, item_rejects = create_jobs(req, queues, projects, now)
+    failed = (item_rejects.join(req.select("request_id", "batch_request_id", "batch_id"), "request_id")
+                          .groupBy("batch_request_id", "batch_id").agg(F.min("reason").alias("reason")))
+    jobs = jobs.join(failed.select("batch_id"), "batch_id", "left_anti")
+    outbox = outbox.join(jobs.select("job_id"), "job_id", "left_semi")
+    batches = (good.select(bid.alias("batch_id"), "queue_id", size.cast("long").alias("total_jobs"),
+                           F.lit("QUEUED").alias("status"), ts(now).alias("created_at"))
+                   .join(failed.select("batch_id"), "batch_id", "left_anti"))
     rejects = bad.select("batch_request_id", F.lit("batch_size").alias("reason"))
-    return batches, jobs, outbox, rejects.unionByName(
-        item_rejects.select(F.col("request_id").alias("batch_request_id"), "reason"))
+    return batches, jobs, outbox, rejects.unionByName(failed.select("batch_request_id", "reason"))

@@ -432,3 +432,19 @@ def test_fence_null_owner_never_matches(spark):
     reports = spark.createDataFrame([(1, None, 0), (2, 7, 1), (2, 7, None)], "job_id long, worker_id long, epoch long")
     got = {(r.job_id, r.epoch): r.verdict for r in J.fence(reports, jobs, require_running=False).collect()}
     assert got == {(1, 0): "wrong_owner", (2, None): "stale_epoch", (2, 1): "accepted"}
+
+
+def test_batch_all_or_nothing_and_priority_fallback(spark):
+    q = spark.createDataFrame([(1, 1, 5, 1)], "queue_id long, project_id long, default_priority long, shard_count long")
+    p = spark.createDataFrame([(1, 1)], "project_id long, org_id long")
+    item = "struct<payload:string,priority:bigint,idempotency_key:string>"
+    reqs = spark.createDataFrame(
+        [(1, 1, 7, [("{}", None, None), ("{}", 50, "k")]),      # item priority falls back to the request's 7
+         (2, 1, None, [("{}", None, None), ("{}", 500, None)]),  # one invalid item: nothing is created
+         (3, 1, None, [])],                                        # empty batch
+        f"batch_request_id long, queue_id long, priority long, items array<{item}>")
+    batches, jobs, outbox, rejects = B.create_batches(reqs, q, p, "2024-01-01 00:00:00")
+    assert batches.count() == 1 and outbox.count() == 2
+    assert sorted((r.priority, r.kind) for r in jobs.collect()) == [(7, "batch"), (50, "batch")]
+    assert sorted((r.batch_request_id, r.reason) for r in rejects.collect()) == [
+        (2, "priority_out_of_range"), (3, "batch_size")]
