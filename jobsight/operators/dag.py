@@ -26,36 +26,56 @@ class RoundLimitExceeded(RuntimeError):
 # D1 ---------------------------------------------------------------------------
 def create_workflows(requests: DataFrame, queues: DataFrame, projects: DataFrame, now,
                      id_col: str = "workflow_request_id"):
-    """Requests (id, queue_id, jobs: array<struct(payload, priority)>, edges:
-    array<struct(parent, child)> of 0-based indexes). A request with an index out
-    of range or a self-loop is rejected whole. Children start WAITING, roots
-    QUEUED (with outbox rows). Returns (jobs, edges, outbox, rejects)."""
+    """Requests (id, [project_id], [queue_id], jobs: array<struct(payload,
+    priority, [queue_id])>, edges: array<struct(parent, child)> of 0-based
+    indexes). A job's queue is its own or the request's; its priority its own or
+    the queue default. A request is rejected whole when an index is out of
+    range, an edge is a self-loop, a queue is missing, or (with project_id) a
+    queue belongs to another project. Children start WAITING, roots QUEUED with
+    an outbox row; 3 attempts, kind immediate. Returns (jobs, edges, outbox, rejects)."""
     n_jobs = F.size("jobs")
     bad_edge = F.exists("edges", lambda e: (e["parent"] < 0) | (e["child"] < 0) | (e["parent"] >= n_jobs)
                         | (e["child"] >= n_jobs) | (e["parent"] == e["child"]))
     flagged = requests.withColumn("__bad", F.coalesce(bad_edge, F.lit(False)) | (n_jobs < 1))
-    rejects = flagged.filter("__bad").select(id_col, F.lit("invalid_edges").alias("reason"))
+    edge_rejects = flagged.filter("__bad").select(id_col, F.lit("invalid_edges").alias("reason"))
     good = flagged.filter(~F.col("__bad"))
     wid = G.derived_id(F.lit("workflow"), F.col(id_col))
-    jobs = good.select(id_col, "queue_id", wid.alias("workflow_id"), F.posexplode("jobs").alias("idx", "j"))
-    jobs = jobs.withColumn("job_id", G.derived_id(F.lit("wfjob"), F.col(id_col), F.col("idx")))
-    edges = good.select(id_col, F.explode("edges").alias("e")).select(
-        id_col, F.col("e.parent").cast("long").alias("p"), F.col("e.child").cast("long").alias("c")).distinct()
+    fields = set(requests.schema["jobs"].dataType.elementType.fieldNames())
+    req_q = F.col("queue_id") if "queue_id" in requests.columns else F.lit(None).cast("long")
+    req_p = F.col("project_id") if "project_id" in requests.columns else F.lit(None).cast("long")
+    jobs = good.select(id_col, req_q.alias("__rq"), req_p.alias("__rp"), wid.alias("workflow_id"),
+                       F.posexplode("jobs").alias("idx", "j"))
+    item_q = F.col("j.queue_id").cast("long") if "queue_id" in fields else F.lit(None).cast("long")
+    jobs = jobs.withColumn("queue_id", F.coalesce(item_q, F.col("__rq"))) \
+               .withColumn("job_id", G.derived_id(F.lit("wfjob"), F.col(id_col), F.col("idx")))
+    q = queues.select("queue_id", F.col("project_id").alias("__qp"), F.col("default_priority").alias("__dp"))
+    jobs = jobs.join(q, "queue_id", "left")
+    problem = (F.when(F.col("__qp").isNull(), "queue_not_found")
+                .when(F.col("__rp").isNotNull() & (F.col("__qp") != F.col("__rp")), "queue_not_in_project"))
+    job_rejects = (jobs.withColumn("__why", problem).filter(F.col("__why").isNotNull())
+                       .groupBy(id_col).agg(F.min("__why").alias("reason")))
+    jobs = jobs.join(job_rejects.select(id_col), id_col, "left_anti")
+    edges = good.join(job_rejects.select(id_col), id_col, "left_anti") \
+        .select(id_col, F.explode("edges").alias("e")).select(
+            id_col, F.col("e.parent").cast("long").alias("p"), F.col("e.child").cast("long").alias("c")).distinct()
     ids = jobs.select(id_col, "idx", "job_id")
     id_edges = (edges.join(ids.withColumnRenamed("idx", "p").withColumnRenamed("job_id", "parent_id"), [id_col, "p"])
                      .join(ids.withColumnRenamed("idx", "c").withColumnRenamed("job_id", "child_id"), [id_col, "c"])
                      .select("parent_id", "child_id"))
     children = id_edges.select(F.col("child_id").alias("job_id")).distinct().withColumn("__child", F.lit(True))
     n = ts(now)
+    item_prio = F.col("j.priority").cast("long") if "priority" in fields else F.lit(None).cast("long")
     out = (jobs.join(children, "job_id", "left")
                .select("job_id", "queue_id", "workflow_id", F.col(id_col),
                        F.col("idx").cast("long").alias("position"),
                        F.when(F.col("__child"), "WAITING").otherwise("QUEUED").alias("status"),
-                       F.col("j.payload").alias("payload"),
-                       F.coalesce(F.col("j.priority").cast("long"), F.lit(5).cast("long")).alias("priority"),
-                       F.lit(0).cast("long").alias("shard_id"), n.alias("created_at")))
+                       (F.col("j.payload") if "payload" in fields else F.lit(None).cast("string")).alias("payload"),
+                       F.coalesce(item_prio, F.col("__dp").cast("long")).alias("priority"),
+                       F.lit("immediate").alias("kind"), F.lit(3).cast("long").alias("max_attempts"),
+                       F.lit(0).cast("long").alias("shard_id"), n.alias("created_at"),
+                       F.when(~F.coalesce(F.col("__child"), F.lit(False)), n).alias("queued_at")))
     outbox = outbox_for(out.filter(F.col("status") == "QUEUED"), queues, projects, now, "workflow")
-    return out, id_edges, outbox, rejects
+    return out, id_edges, outbox, edge_rejects.unionByName(job_rejects)
 
 
 # D2 ---------------------------------------------------------------------------

@@ -448,3 +448,22 @@ def test_batch_all_or_nothing_and_priority_fallback(spark):
     assert sorted((r.priority, r.kind) for r in jobs.collect()) == [(7, "batch"), (50, "batch")]
     assert sorted((r.batch_request_id, r.reason) for r in rejects.collect()) == [
         (2, "priority_out_of_range"), (3, "batch_size")]
+
+
+def test_workflow_creation_rules(spark):
+    q = spark.createDataFrame([(1, 10, 4, 1), (2, 20, 6, 1)],
+                              "queue_id long, project_id long, default_priority long, shard_count long")
+    p = spark.createDataFrame([(10, 1), (20, 2)], "project_id long, org_id long")
+    job = "struct<payload:string,priority:bigint,queue_id:bigint>"
+    edge = "struct<parent:int,child:int>"
+    reqs = spark.createDataFrame([
+        (1, 10, [("{}", None, 1), ("{}", 9, 1), ("{}", None, 1)], [(0, 2), (1, 2)]),  # A,B -> C
+        (2, 10, [("{}", None, 1), ("{}", None, 2)], [(0, 1)]),                        # queue 2 is in project 20
+        (3, 10, [("{}", None, 1)], [(0, 0)]),                                         # self loop
+    ], f"workflow_request_id long, project_id long, jobs array<{job}>, edges array<{edge}>")
+    jobs, edges, outbox, rejects = D.create_workflows(reqs, q, p, "2024-01-01 00:00:00")
+    got = sorted((r.position, r.status, r.priority) for r in jobs.collect())
+    assert got == [(0, "QUEUED", 4), (1, "QUEUED", 9), (2, "WAITING", 4)]
+    assert edges.count() == 2 and outbox.count() == 2
+    assert sorted((r.workflow_request_id, r.reason) for r in rejects.collect()) == [
+        (2, "queue_not_in_project"), (3, "invalid_edges")]
