@@ -210,7 +210,7 @@ def fire(schedules: DataFrame, existing: DataFrame, queues: DataFrame, projects:
     new_occ = new_occ.join(jobs.select(F.col("scheduled_job_id").alias(id_col), "fire_time",
                                        F.col("job_id").alias("created_job_id")), [id_col, "fire_time"], "left")
     fired = due.select(id_col, F.col("next_fire_at").alias("__fired"))
-    adv = advance(due.drop("next_fire_at"), now)
+    adv = advance(due.drop("next_fire_at"), now, queues=queues)  # a missing queue deactivates
     moved = (schedules.join(adv.select(id_col, F.col("next_fire_at").alias("__next"),
                                        F.col("is_active").alias("__act")), id_col, "left")
                       .join(fired, id_col, "left"))

@@ -467,3 +467,14 @@ def test_workflow_creation_rules(spark):
     assert edges.count() == 2 and outbox.count() == 2
     assert sorted((r.workflow_request_id, r.reason) for r in rejects.collect()) == [
         (2, "queue_not_in_project"), (3, "invalid_edges")]
+
+
+def test_fire_deactivates_schedule_of_missing_queue(spark):
+    s = _sched(spark, [("0 * * * * *", "UTC")]).withColumn(
+        "next_fire_at", F.lit("2024-01-01 00:01:00").cast("timestamp_ntz")).withColumn("queue_id", F.lit(99).cast("long"))
+    q = spark.createDataFrame([(1, 3, 1, 1)], "queue_id long, max_receives long, shard_count long, project_id long")
+    p = spark.createDataFrame([(1, 1)], "project_id long, org_id long")
+    occ = spark.createDataFrame([], "schedule_id long, fire_time timestamp_ntz")
+    jobs, _, _, sched = C.fire(s, occ, q, p, "2024-01-01 00:01:30")
+    assert jobs.count() == 0
+    assert [(r.is_active, r.next_fire_at) for r in sched.collect()] == [(False, None)]
