@@ -163,15 +163,19 @@ def next_fire(schedules: DataFrame, now, id_col: str = "schedule_id", cron_col:
 
 
 def advance(schedules: DataFrame, now, queues: DataFrame | None = None, id_col: str = "schedule_id") -> DataFrame:
-    """next_fire_at after ``now`` for every schedule. Run-once schedules keep
-    run_once_at until it has passed, then go inactive; a bad cron or zone, no
-    fire within the horizon, or a missing queue deactivates the schedule."""
-    n = ts(now)
+    """next_fire_at after ``now`` for every schedule. A run-once schedule keeps
+    run_once_at until it has fired (``last_fired_at``), then goes inactive; a bad
+    cron or zone, no fire within the horizon, or a missing queue deactivates
+    the schedule."""
     base = schedules.drop("next_fire_at")
     found = next_fire(base, now, id_col)
     out = base.join(found, id_col, "left")
     once = F.col("cron_expr").isNull() & F.col("run_once_at").isNotNull()
-    next_at = F.when(once, F.when(F.col("run_once_at") > n, F.col("run_once_at"))).otherwise(F.col("next_fire_at"))
+    # a run-once schedule stays due at run_once_at (even if that is already past)
+    # until it has fired: last_fired_at at or after run_once_at
+    fired = F.col("last_fired_at") if "last_fired_at" in out.columns else F.lit(None).cast("timestamp_ntz")
+    once_next = F.when(fired.isNull() | (fired < F.col("run_once_at")), F.col("run_once_at"))
+    next_at = F.when(once, once_next).otherwise(F.col("next_fire_at"))
     active = F.col("is_active") & next_at.isNotNull()
     if queues is not None:
         out = out.join(queues.select(F.col("queue_id"), F.lit(True).alias("__q")), "queue_id", "left")
@@ -210,7 +214,8 @@ def fire(schedules: DataFrame, existing: DataFrame, queues: DataFrame, projects:
     new_occ = new_occ.join(jobs.select(F.col("scheduled_job_id").alias(id_col), "fire_time",
                                        F.col("job_id").alias("created_job_id")), [id_col, "fire_time"], "left")
     fired = due.select(id_col, F.col("next_fire_at").alias("__fired"))
-    adv = advance(due.drop("next_fire_at"), now, queues=queues)  # a missing queue deactivates
+    # advance past the fire just made; a missing queue deactivates
+    adv = advance(due.withColumn("last_fired_at", F.col("next_fire_at")).drop("next_fire_at"), now, queues=queues)
     moved = (schedules.join(adv.select(id_col, F.col("next_fire_at").alias("__next"),
                                        F.col("is_active").alias("__act")), id_col, "left")
                       .join(fired, id_col, "left"))

@@ -478,3 +478,19 @@ def test_fire_deactivates_schedule_of_missing_queue(spark):
     jobs, _, _, sched = C.fire(s, occ, q, p, "2024-01-01 00:01:30")
     assert jobs.count() == 0
     assert [(r.is_active, r.next_fire_at) for r in sched.collect()] == [(False, None)]
+
+
+def test_run_once_schedule_fires_once(spark):
+    s = spark.createDataFrame(
+        [(1, 1, None, "UTC", dt.datetime(2024, 1, 1, 0, 0), True, 0, "{}", None)],
+        "schedule_id long, queue_id long, cron_expr string, timezone string, run_once_at timestamp_ntz, "
+        "is_active boolean, priority long, payload string, next_fire_at timestamp_ntz")
+    q = spark.createDataFrame([(1, 3, 1, 1)], "queue_id long, max_receives long, shard_count long, project_id long")
+    p = spark.createDataFrame([(1, 1)], "project_id long, org_id long")
+    adv = C.advance(s, "2024-01-02 00:00:00", queues=q)  # run_once_at already past: still due
+    assert [(r.is_active, r.next_fire_at) for r in adv.collect()] == [(True, dt.datetime(2024, 1, 1))]
+    occ = spark.createDataFrame([], "schedule_id long, fire_time timestamp_ntz")
+    jobs, _, _, sched = C.fire(adv, occ, q, p, "2024-01-02 00:00:00")
+    assert jobs.count() == 1
+    assert [(r.is_active, r.next_fire_at, r.last_fired_at) for r in sched.collect()] == [
+        (False, None, dt.datetime(2024, 1, 1))]
