@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, packing, pii, simhash
+from . import decontaminate, language, packing, pii, simhash
 from .common import table
 
 
@@ -17,6 +17,10 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.op3(table(spark, sf_dir, "documents"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.op5(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -25,4 +29,4 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.op10(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_language, op6_packing, op10_pii)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_language, op5_decontaminate, op6_packing, op10_pii)}
