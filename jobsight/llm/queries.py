@@ -5,10 +5,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, packing, pii, simhash
+from . import decontaminate, dedup_spans, language, packing, pii, simhash
 from .common import table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_spans.op1(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op2(table(spark, sf_dir, "documents"))
 
@@ -29,4 +33,4 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.op10(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_language, op5_decontaminate, op6_packing, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_simhash, op3_language, op5_decontaminate, op6_packing, op10_pii)}
