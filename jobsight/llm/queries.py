@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, dedup_spans, language, packing, pii, simhash
+from . import chat, decontaminate, dedup_spans, html_text, language, packing, pii, quality, simhash, token_counts
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.op3(table(spark, sf_dir, "documents"))
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.op4(table(spark, sf_dir, "conversations"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op5(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -29,8 +33,22 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op7(table(spark, sf_dir, "documents"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.op8(table(spark, sf_dir, "documents"))
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.op9(table(spark, sf_dir, "pages"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.op10(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_simhash, op3_language, op5_decontaminate, op6_packing, op10_pii)}
+QUERIES = {f.__name__: f for f in (
+    op1_suffix_dedup, op2_simhash, op3_language, op4_chat, op5_decontaminate, op6_packing,
+    op7_quality, op8_token_counts, op9_html_text, op10_pii)}
