@@ -27,8 +27,10 @@ CENTROIDS = 4
 ROUNDS = 12
 PIECE = 1 << 20
 # A text is rejected below this part of the lowest cosine of the training sample in its
-# length band: far outside anything seen, so ordinary texts of a known language stay.
+# length band, and never above REJECT_MOST: far outside anything seen, so that texts of a
+# known language stay, repetitive ones too.
 REJECT_PART = 0.6
+REJECT_MOST = 0.2
 _BANDS = 24
 
 UNKNOWN = "und"
@@ -210,7 +212,7 @@ def _floors(x, own, chars, cent, owner) -> np.ndarray:
     floor[~np.isfinite(floor)] = last[-1] if len(last) else 0.0
     low = int(np.min(band)) if len(band) else 0
     floor[:low] = 0.0                                     # shorter than any training text
-    return floor
+    return np.minimum(floor, REJECT_MOST)
 
 
 _OUT = "lang_pred string, score double, accepted boolean"
@@ -251,8 +253,8 @@ def keep_known(docs: DataFrame, model: Model | None = None) -> DataFrame:
     centroid). The prediction rides with the whole row, so nothing is joined back."""
     model = model or fit(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [f"`{c}`" for c in docs.columns]
-    source = docs.select(*names, F.col("text").cast("string").alias("__lang_text"))
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])    # any column names may come in
+    source = plain.select("*", F.col(f"c{docs.columns.index('text')}").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -260,4 +262,4 @@ def keep_known(docs: DataFrame, model: Model | None = None) -> DataFrame:
             ok = pa.array([m.predict(t.as_py())[2] for t in b.column(b.num_columns - 1)], pa.bool_())
             yield pa.RecordBatch.from_arrays(b.columns[:-1], schema=pa.schema(list(b.schema)[:-1])).filter(ok)
 
-    return source.mapInArrow(run, docs.schema)
+    return source.mapInArrow(run, plain.schema).toDF(*docs.columns)
