@@ -168,7 +168,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Mo
                 g = gram_counts(text)
                 if g is not None:
                     at = np.flatnonzero(g)
-                    rows.append((lang, len(text), at.astype(np.int32).tobytes(), g[at].tobytes()))
+                    rows.append((lang, len(text), at.astype(np.uint16).tobytes(), np.log1p(g[at]).astype(np.float16).tobytes()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[i] for r in rows], t) for i, t in
                  enumerate((pa.string(), pa.int64(), pa.binary(), pa.binary()))],
@@ -184,7 +184,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Mo
         for r in rows:
             if r["lang"] == lang:
                 g = np.zeros(DIM, np.float32)
-                g[np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["n"], np.float32)
+                g[np.frombuffer(r["at"], np.uint16)] = np.expm1(np.frombuffer(r["n"], np.float16).astype(np.float32))
                 x.append(weigh(g, idf))
                 chars.append(r["chars"])
                 own.append(i)
