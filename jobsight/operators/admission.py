@@ -2,16 +2,16 @@
 
 Only *accepted* arrivals count against a queue's trailing window, so each
 decision depends on the earlier decisions of the same queue: the rule is
-sequential per queue. Spark hash-partitions arrivals by queue and sorts each
-partition by (queue, time, id); one Arrow-batched pass per partition keeps only
-the last ``limit`` accepted timestamps of the current queue, so memory is
-O(limit) whatever the queue's size, and jumps from one acceptance to the next
-by binary search instead of visiting each rejected arrival.
+sequential between gaps: after a gap longer than the window nothing counts any
+more, so a queue is cut there into segments that are decided independently. Spark
+deals arrivals by (queue, segment) and sorts each partition by time and id; one
+Arrow-batched pass keeps only the last ``limit`` accepted timestamps of the current
+segment, so memory is O(limit), and jumps from one acceptance to the next by binary
+search instead of visiting each rejected arrival.
 
-Scale note: a hot queue is decided by one task (the rule admits no split: the
-k-th decision needs all earlier ones), but that task streams sorted rows with
-constant memory; other queues run in parallel. Offered load (W4) is the
-parallel approximation and over-counts."""
+Scale note: only a queue that never pauses for a whole window stays one segment
+(there each decision needs the one before); its task streams sorted rows with
+constant memory."""
 
 from __future__ import annotations
 
@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import epoch_micros
+from .windows import lag_in_groups, running_sum_in_groups
 
 OUT_SCHEMA = "arrival_id long, queue_id string, event_ts timestamp_ntz, accepted boolean"
 
@@ -39,11 +40,12 @@ def _admit_partitions(batches):
         t = pdf["__t"].to_numpy(dtype="int64")
         acc = np.zeros(len(pdf), dtype=bool)
         if len(pdf):
-            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            segs = pdf["__seg"].to_numpy(dtype="int64")
+            starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (segs[1:] != segs[:-1])])
             ends = np.r_[starts[1:], len(pdf)]
             for a, b in zip(starts, ends):
-                if keys[a] != cur_key:
-                    cur_key, window = keys[a], deque()
+                if (keys[a], segs[a]) != cur_key:
+                    cur_key, window = (keys[a], segs[a]), deque()
                 lim, w_us = pdf["__lim"].iloc[a], pdf["__w"].iloc[a]
                 if pd.isna(lim):
                     acc[a:b] = True
@@ -83,6 +85,12 @@ def admit(arrivals: DataFrame, limit=None, window_secs=None, queues: DataFrame |
         a = a.withColumn("__lim", F.lit(limit).cast("long")).withColumn(
             "__w", F.lit(int(window_secs) * 1_000_000).cast("long"))
     a = a.withColumn("__t", epoch_micros("__ts"))
+    # segments: a running count of the gaps longer than the window
+    when = [F.floor(F.col("__t") / 86_400_000_000)]
+    a = lag_in_groups(a, ["__k"], ["__t", "__id"], ["__t"], when)
+    gap = F.col("prev___t").isNull() | (F.col("__t") - F.col("prev___t") > F.coalesce("__w", F.lit(0)))
+    a = running_sum_in_groups(a.withColumn("__gap", gap.cast("long")), ["__k"], ["__t", "__id"], "__gap", "__seg", when) \
+        .drop("__gap", "prev___t", "__rn")
     parts = [partitions] if partitions else []
-    ordered = a.repartition(*parts, "__k").sortWithinPartitions("__k", "__t", "__id")
+    ordered = a.repartition(*parts, "__k", "__seg").sortWithinPartitions("__k", "__seg", "__t", "__id")
     return ordered.mapInPandas(_admit_partitions, OUT_SCHEMA)

@@ -35,7 +35,13 @@ def queue_stats(queues: DataFrame, jobs: DataFrame, dlq: DataFrame) -> DataFrame
 def tenant_queue_stats(queues: DataFrame, projects: DataFrame, jobs: DataFrame,
                        dlq: DataFrame) -> DataFrame:
     """A1 with the tenant context (org_id, project_id) of each queue."""
-    return with_context(queue_stats(queues, jobs, dlq), queues, projects)
+    js = jobs.groupBy("queue_id").agg(*_status_counts())
+    ds = dlq.groupBy("queue_id").agg(F.count(F.lit(1)).alias("dlq"))
+    names = [n for n, _ in STAT_STATUSES] + ["dlq"]
+    out = queues.select("queue_id", "project_id").join(projects.select("project_id", "org_id"), "project_id") \
+        .join(js, "queue_id", "left").join(ds, "queue_id", "left")
+    return out.select("queue_id", *[F.coalesce(F.col(n), F.lit(0).cast("long")).alias(n) for n in names],
+                      "project_id", "org_id")
 
 
 # A2 ---------------------------------------------------------------------------
@@ -52,14 +58,16 @@ def batch_queue_stats(jobs: DataFrame, dlq: DataFrame, ids: DataFrame,
 
 
 # A3 ---------------------------------------------------------------------------
+def _per_queue(rows: DataFrame, *keys: str) -> DataFrame:
+    """Row counts by queue (and ``keys``), before any join: a few rows a queue."""
+    return rows.groupBy("queue_id", *keys).agg(F.count(F.lit(1)).alias("n"))
+
+
 def project_snapshot(jobs: DataFrame, dlq: DataFrame, queues: DataFrame,
                      projects: DataFrame) -> DataFrame:
     """Long form (project_id, status, n) of job counts, plus ('DLQ', n)."""
-    js = with_context(jobs.select("queue_id", "status"), queues, projects)
-    a = js.groupBy("project_id", "status").agg(F.count(F.lit(1)).alias("n"))
-    ds = with_context(dlq.select("queue_id"), queues, projects)
-    b = ds.groupBy("project_id").agg(F.count(F.lit(1)).alias("n")).withColumn("status", F.lit("DLQ"))
-    return a.unionByName(b)
+    counts = _per_queue(jobs, "status").unionByName(_per_queue(dlq).withColumn("status", F.lit("DLQ")))
+    return with_context(counts, queues, projects).groupBy("project_id", "status").agg(F.sum("n").alias("n"))
 
 
 def snapshot_json(long_counts: DataFrame, key: str = "project_id") -> DataFrame:
@@ -78,17 +86,18 @@ def user_metrics(jobs: DataFrame, dlq: DataFrame, queues: DataFrame, projects: D
                  memberships: DataFrame, users: DataFrame | None = None) -> DataFrame:
     """Per user: total visible jobs (DLQ excluded) and the counts by status plus dlq.
 
-    Counts are aggregated per org first (partial aggregation over jobs), then
-    joined to memberships; the membership fan-out touches one row per org."""
-    j = with_context(jobs.select("queue_id", "status"), queues, projects)
-    per_org = j.groupBy("org_id").agg(F.count(F.lit(1)).alias("total_jobs"),
-                                      *[_count_if(F.col("status") == s).alias(n) for n, s in METRIC_COUNTS])
-    d = with_context(dlq.select("queue_id"), queues, projects)
-    per_org_dlq = d.groupBy("org_id").agg(F.count(F.lit(1)).alias("dlq"))
+    Rows are counted by queue and status before any join, then by org; the membership
+    fan-out touches one row per org."""
+    counts = _per_queue(jobs, "status").unionByName(_per_queue(dlq).withColumn("status", F.lit(None).cast("string")))
+    j = with_context(counts, queues, projects)
+    of = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(0)).cast("long")
+    per_org = j.groupBy("org_id").agg(of(F.col("status").isNotNull()).alias("total_jobs"),
+                                      *[of(F.col("status") == s).alias(n) for n, s in METRIC_COUNTS],
+                                      of(F.col("status").isNull()).alias("dlq"))
     m = memberships.select("org_id", "user_id")
     if users is not None:
         m = m.join(users.select("user_id").distinct(), "user_id", "left_semi")
-    x = m.join(per_org, "org_id", "left").join(per_org_dlq, "org_id", "left")
+    x = m.join(per_org, "org_id", "left")
     cols = ["total_jobs"] + [n for n, _ in METRIC_COUNTS] + ["dlq"]
     return x.groupBy("user_id").agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in cols])
 
@@ -163,32 +172,62 @@ def running_per_worker(jobs: DataFrame) -> DataFrame:
 
 
 # A10 / A11 --------------------------------------------------------------------
-def trend(df: DataFrame, metric: str, by: list[str], approx: bool | None = None,
-          accuracy: int = 10000, max_exact_rows: int = 2_000_000) -> DataFrame:
+TREND_POINTS = {"med": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+
+
+def trend(df: DataFrame, metric: str, by: list[str], approx: bool = False, accuracy: int = 10000) -> DataFrame:
     """avg, min, med, max, p90, p95, p99 of ``metric`` per group.
 
-    Exact percentiles keep every distinct value of a group in one aggregation
-    buffer; ``approx`` uses the mergeable quantile sketch (bounded memory per
-    group). ``approx=None`` decides by a size probe: exact while every group has
-    at most ``max_exact_rows`` rows, the sketch otherwise."""
-    if approx is None:
-        from .windows import groups_bounded
-        approx = not groups_bounded(df, by, max_exact_rows)
-    m = F.col(metric).cast("double")
-    pct = (lambda p: F.percentile_approx(m, p, accuracy).cast("double")) if approx \
-        else (lambda p: F.percentile(m, F.lit(p)))
-    return df.groupBy(*by).agg(
-        F.count(m).alias("n"), F.round(F.avg(m), 2).alias("avg"), F.round(F.min(m), 2).alias("min"),
-        F.round(pct(0.5), 2).alias("med"), F.round(F.max(m), 2).alias("max"),
-        F.round(pct(0.9), 2).alias("p90"), F.round(pct(0.95), 2).alias("p95"),
-        F.round(pct(0.99), 2).alias("p99"))
+    Exact (linear interpolation between ranks) whatever the size: values are counted per
+    (group, value), the counts run up in value order, cut into ranges of the value's
+    logarithm, and the ranks asked for are picked by one more aggregation. No buffer holds a
+    group's values. ``approx=True`` takes the mergeable quantile sketch instead."""
+    from .windows import running_sum_in_groups
+    keys = [F.col(c) for c in by] or [F.lit(0).alias("__all")]
+    base = df.select(*keys, F.col(metric).cast("double").alias("__m"))
+    by_ = by or ["__all"]
+    basics = [F.count("__m").alias("n"), F.round(F.avg("__m"), 2).alias("avg"), F.round(F.min("__m"), 2).alias("min"),
+              F.round(F.max("__m"), 2).alias("max")]
+    if approx:
+        out = base.groupBy(*by_).agg(*basics, *[F.round(F.percentile_approx("__m", p, accuracy).cast("double"), 2).alias(n)
+                                                for n, p in TREND_POINTS.items()])
+    else:
+        counts = base.filter(F.col("__m").isNotNull()).groupBy(*by_, "__m").agg(F.count(F.lit(1)).alias("__c"))
+        scale = F.signum("__m") * F.floor(F.log2(F.abs("__m") + 1) * 8)
+        upto = running_sum_in_groups(counts, by_, ["__m"], "__c", "__upto", [scale])
+        total = base.groupBy(*by_).agg(*basics)
+        t = total.select(*[F.col(c).alias(f"__t_{c}") for c in by_], F.col("n").alias("__n"))
+        same = None
+        for c in by_:
+            e = F.col(c).eqNullSafe(F.col(f"__t_{c}"))
+            same = e if same is None else same & e
+        x = upto.join(t, same)
+
+        def at(p: float, up: bool) -> Column:
+            place = F.lit(p) * (F.col("__n") - 1)
+            rank = F.ceil(place) if up else F.floor(place)
+            return F.max(F.when((F.col("__upto") > rank) & (F.col("__upto") - F.col("__c") <= rank), F.col("__m")))
+
+        picks = x.groupBy(*by_).agg(F.max("__n").alias("__n"), *[at(p, u).alias(f"__{n}_{int(u)}")
+                                                                 for n, p in TREND_POINTS.items() for u in (False, True)])
+        part = lambda p: F.lit(p) * (F.col("__n") - 1) - F.floor(F.lit(p) * (F.col("__n") - 1))
+        picks = picks.select(*[F.col(c).alias(f"__p_{c}") for c in by_], *[
+            F.round(F.col(f"__{n}_0") + part(p) * (F.col(f"__{n}_1") - F.col(f"__{n}_0")), 2).alias(n)
+            for n, p in TREND_POINTS.items()])
+        same = None
+        for c in by_:
+            e = F.col(c).eqNullSafe(F.col(f"__p_{c}"))
+            same = e if same is None else same & e
+        out = total.join(picks, same, "left")
+    return out.select(*by, "n", "avg", "min", "med", "max", "p90", "p95", "p99")
 
 
 def slo(df: DataFrame, metric: str, ok: str, by: list[str], rate_min: float = 0.99,
         p95_max: float = 100.0, p99_max: float = 200.0) -> DataFrame:
-    t = trend(df, metric, by)
-    r = df.groupBy(*by).agg(F.round(F.avg(F.col(ok).cast("double")), 4).alias("success_rate"))
-    x = t.join(r, by) if by else t.crossJoin(r)  # no key: both sides are one row
+    t = trend(df.withColumn("__all", F.lit(0)), metric, by or ["__all"])
+    r = df.withColumn("__all", F.lit(0)).groupBy(*(by or ["__all"])).agg(
+        F.round(F.avg(F.col(ok).cast("double")), 4).alias("success_rate"))
+    x = t.join(r, by or ["__all"])
     return x.select(*by, "n", "success_rate", "p95", "p99",
                     (F.col("success_rate") > rate_min).alias("rate_ok"),
                     (F.col("p95") < p95_max).alias("p95_ok"),

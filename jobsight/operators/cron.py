@@ -78,9 +78,22 @@ def zone_ok(tz: Column) -> Column:
                       F.lit(False))
 
 
-def with_parsed(schedules: DataFrame, cron_col: str = "cron_expr", tz_col: str = "timezone") -> DataFrame:
-    return (schedules.withColumn("__cron", parse_cron(F.col(cron_col)))
-                     .withColumn("__tz_ok", zone_ok(F.col(tz_col))))
+LAST_DAY = "2099-12-31"   # of the year field's domain
+
+
+def parsed_pairs(schedules: DataFrame, cron_col: str = "cron_expr", tz_col: str = "timezone") -> DataFrame:
+    """One row per distinct (cron text, zone): ``__ce, __tz, __cron, __tz_ok``. All
+    calendar work is done once per pair; the exchange keeps the parsing from being
+    repeated in every later expression."""
+    pairs = schedules.filter(F.col(cron_col).isNotNull()) \
+        .select(F.col(cron_col).alias("__ce"), F.col(tz_col).alias("__tz")).distinct()
+    return pairs.withColumn("__cron", parse_cron(F.col("__ce"))).withColumn("__tz_ok", zone_ok(F.col("__tz"))) \
+        .repartition("__ce", "__tz")
+
+
+def _per_schedule(schedules: DataFrame, pairs: DataFrame, cron_col: str, tz_col: str) -> DataFrame:
+    """Each schedule with its pair's rows."""
+    return schedules.join(pairs, (F.col(cron_col) == F.col("__ce")) & F.col(tz_col).eqNullSafe(F.col("__tz")))
 
 
 # C2 ---------------------------------------------------------------------------
@@ -89,25 +102,25 @@ def _day_matches(c: Column, day: Column) -> Column:
             & F.array_contains(c["dow"], F.dayofweek(day)) & F.array_contains(c["year"], F.year(day)))
 
 
-def _fires(good: DataFrame, days: Column, t0: Column, t1: Column | None, id_col: str, tz_col: str) -> DataFrame:
-    """Explode candidate local days × times of day → UTC fire times in [t0, t1).
+def _fires(good: DataFrame, days: Column, t0: Column, t1: Column | None) -> DataFrame:
+    """Explode candidate local days × times of day → UTC fire times in [t0, t1) per pair.
 
     The zone offset is looked up twice per day (at local midnight and at the
     next midnight); on the usual day without a transition every fire is local
     time minus that offset. Only on a transition day is each time converted and
     round-tripped (DST gap skipped, ambiguous → earlier instant)."""
-    tz = F.col(tz_col)
+    tz = F.col("__tz")
     c = F.col("__cron")
     tod = F.flatten(F.transform(c["hour"], lambda h: F.flatten(F.transform(
         c["min"], lambda m: F.transform(c["sec"], lambda x: h * 3600 + m * 60 + x)))))
-    x = good.select(id_col, tz_col, "__cron", tod.alias("__tod"), F.explode(days).alias("__day"))
+    x = good.select("__ce", "__tz", "__cron", tod.alias("__tod"), F.explode(days).alias("__day"))
     x = x.filter(_day_matches(c, F.col("__day")))
     mid0 = F.col("__day").cast("timestamp")
     mid1 = F.date_add(F.col("__day"), 1).cast("timestamp")
-    x = x.select(id_col, tz_col, "__tod", mid0.alias("__mid"),
+    x = x.select("__ce", "__tz", "__tod", mid0.alias("__mid"),
                  (mid0 - F.to_utc_timestamp(mid0, tz)).alias("__off0"),
                  (mid1 - F.to_utc_timestamp(mid1, tz)).alias("__off1"))
-    local = (x.select(id_col, tz_col, "__mid", "__off0", "__off1", F.explode("__tod").alias("__s"))
+    local = (x.select("__ce", "__tz", "__mid", "__off0", "__off1", F.explode("__tod").alias("__s"))
               .withColumn("__local", F.col("__mid") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0),
                                                                          F.col("__s").cast("decimal(18,6)"))))
     stable = F.col("__off0") == F.col("__off1")
@@ -117,55 +130,58 @@ def _fires(good: DataFrame, days: Column, t0: Column, t1: Column | None, id_col:
     keep = exists & (F.col("__utc") >= t0)
     if t1 is not None:
         keep = keep & (F.col("__utc") < t1)
-    return local.filter(keep).select(id_col, F.col("__utc").cast("timestamp_ntz").alias("fire_time"))
-
-
-def _split(schedules: DataFrame, id_col: str, cron_col: str, tz_col: str):
-    s = with_parsed(schedules.filter(F.col(cron_col).isNotNull()), cron_col, tz_col)
-    rejects = s.filter(~F.col("__cron.ok") | ~F.col("__tz_ok")).select(
-        id_col, F.when(~F.col("__cron.ok"), "bad_cron").otherwise("bad_timezone").alias("reason"))
-    return s.filter(F.col("__cron.ok") & F.col("__tz_ok")), rejects
+    return local.filter(keep).select("__ce", "__tz", F.col("__utc").cast("timestamp_ntz").alias("fire_time"))
 
 
 def occurrences(schedules: DataFrame, start, end, id_col: str = "schedule_id",
                 cron_col: str = "cron_expr", tz_col: str = "timezone"):
     """Fire times in [start, end) (UTC wall clock) for every schedule with a cron
     expression. Returns (fires(id, fire_time, occurrence_key), rejects(id, reason))."""
-    good, rejects = _split(schedules, id_col, cron_col, tz_col)
-    tz = F.col(tz_col)
+    pairs = parsed_pairs(schedules, cron_col, tz_col)
+    good = pairs.filter(F.col("__cron.ok") & F.col("__tz_ok"))
+    bad = pairs.filter(~F.col("__cron.ok") | ~F.col("__tz_ok")).select(
+        "__ce", "__tz", F.when(~F.col("__cron.ok"), "bad_cron").otherwise("bad_timezone").alias("reason"))
+    tz = F.col("__tz")
     t0, t1 = ts(start).cast("timestamp"), ts(end).cast("timestamp")
     d0 = F.date_sub(F.to_date(F.from_utc_timestamp(t0, tz)), 1)
     d1 = F.date_add(F.to_date(F.from_utc_timestamp(t1, tz)), 1)
-    fires = _fires(good, F.sequence(d0, d1, F.expr("INTERVAL 1 DAY")), t0, t1, id_col, tz_col)
+    fires = _per_schedule(schedules, _fires(good, F.sequence(d0, d1, F.expr("INTERVAL 1 DAY")), t0, t1), cron_col, tz_col) \
+        .select(id_col, "fire_time")
+    rejects = _per_schedule(schedules, bad, cron_col, tz_col).select(id_col, "reason")
     return fires.withColumn("occurrence_key", G.occurrence_key(id_col, "fire_time")), rejects
 
 
 # C3 ---------------------------------------------------------------------------
 def next_fire(schedules: DataFrame, now, id_col: str = "schedule_id", cron_col: str = "cron_expr",
-              tz_col: str = "timezone", horizon_days: int = 5 * 366) -> DataFrame:
-    """First fire strictly after ``now`` per valid cron schedule, in one pass:
-    the first four matching local days within the horizon are found with an
-    array filter (no explode), then only those days are expanded."""
-    good, _ = _split(schedules, id_col, cron_col, tz_col)
-    tz = F.col(tz_col)
+              tz_col: str = "timezone") -> DataFrame:
+    """First fire strictly after ``now`` per valid cron schedule, up to the end of the
+    year field's domain. Per (cron, zone) the first four matching local days of a near
+    range are tried first (a day can lose its only fire to a DST gap); a pair that finds
+    nothing there is searched over every matching day that is left."""
+    good = parsed_pairs(schedules, cron_col, tz_col).filter(F.col("__cron.ok") & F.col("__tz_ok"))
+    tz = F.col("__tz")
     t0 = (ts(now) + F.expr("INTERVAL 1 MICROSECOND")).cast("timestamp")
     d0 = F.date_sub(F.to_date(F.from_utc_timestamp(t0, tz)), 1)
-    # Candidates start the day before local today (zone offsets) and need two
-    # matching days after today: a DST gap can remove a day's only fire time.
-    def first4(days):
-        return F.slice(F.filter(F.sequence(d0, F.date_add(d0, days), F.expr("INTERVAL 1 DAY")),
-                                lambda day: _day_matches(F.col("__cron"), day)), 1, 4)
-    # a short search first; the long horizon is evaluated only for rare calendars
-    short = first4(40)
-    cands = F.when(F.size(short) >= 4, short).otherwise(first4(horizon_days))
-    fires = _fires(good, cands, t0, None, id_col, tz_col)
-    return fires.groupBy(id_col).agg(F.min("fire_time").alias("next_fire_at"))
+
+    def matching(last: Column) -> Column:
+        return F.filter(F.sequence(d0, F.greatest(d0, last), F.expr("INTERVAL 1 DAY")),
+                        lambda day: _day_matches(F.col("__cron"), day))
+
+    def first(fires: DataFrame) -> DataFrame:
+        return fires.groupBy("__ce", "__tz").agg(F.min("fire_time").alias("next_fire_at"))
+
+    short = F.slice(matching(F.date_add(d0, 40)), 1, 4)
+    near = first(_fires(good, short, t0, None))
+    found = near.select(F.col("__ce").alias("__fe"), F.col("__tz").alias("__ft"))
+    left = good.join(found, (F.col("__ce") == F.col("__fe")) & F.col("__tz").eqNullSafe(F.col("__ft")), "left_anti")
+    far = first(_fires(left, matching(F.lit(LAST_DAY).cast("date")), t0, None))
+    return _per_schedule(schedules, near.unionByName(far), cron_col, tz_col).select(id_col, "next_fire_at")
 
 
 def advance(schedules: DataFrame, now, queues: DataFrame | None = None, id_col: str = "schedule_id") -> DataFrame:
     """next_fire_at after ``now`` for every schedule. A run-once schedule keeps
     run_once_at until it has fired (``last_fired_at``), then goes inactive; a bad
-    cron or zone, no fire within the horizon, or a missing queue deactivates
+    cron or zone, no fire until the last year, or a missing queue deactivates
     the schedule."""
     base = schedules.drop("next_fire_at")
     found = next_fire(base, now, id_col)

@@ -147,22 +147,30 @@ def cycles(edges: DataFrame, max_rounds: int = 10_000):
 
 
 # D5 ---------------------------------------------------------------------------
-def ancestors(edges: DataFrame, max_depth: int = 100) -> DataFrame:
-    """(node_id, ancestor_id, depth) with the shortest depth, up to max_depth.
-    Each round extends only the pairs first found in the previous round; the
-    new pairs are persisted once and counted, so a round is one Spark job."""
+def ancestors(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """(node_id, ancestor_id, depth) with the shortest depth, to any depth.
+
+    Each round extends only the pairs first found in the round before; a pair's round is
+    its shortest depth. Rounds end when nothing is new; reaching ``max_rounds`` raises
+    instead of returning a partial closure."""
     e = edges.select("parent_id", "child_id").distinct().persist(StorageLevel.MEMORY_AND_DISK)
     frontier = e.select(F.col("child_id").alias("node_id"), F.col("parent_id").alias("ancestor_id"))
     found = frontier.withColumn("depth", F.lit(1).cast("long"))
-    for depth in range(2, max_depth + 1):
+    kept: list[DataFrame] = []
+    for depth in range(2, max_rounds + 1):
         step = (frontier.join(e, frontier.ancestor_id == e.child_id)
                         .select("node_id", F.col("parent_id").alias("ancestor_id")).distinct())
         new = step.join(found.select("node_id", "ancestor_id"), ["node_id", "ancestor_id"], "left_anti")
         new = cut_lineage(new) if depth % CHECKPOINT_EVERY == 0 else new.persist(StorageLevel.MEMORY_AND_DISK)
         if new.count() == 0:
-            break
+            return found
         found = found.unionByName(new.withColumn("depth", F.lit(depth).cast("long")))
         if depth % CHECKPOINT_EVERY == 0:
             found = cut_lineage(found)
+            for old in kept:
+                old.unpersist()
+            kept = []
+        else:
+            kept.append(new)
         frontier = new
-    return found
+    raise RoundLimitExceeded(f"ancestor closure did not end in {max_rounds} rounds")

@@ -1,105 +1,57 @@
-"""Handler registry (X1): user functions per payload type, applied in one pass.
+"""Outcome rules per payload type (X1): what a job's handler reports, as columns.
 
-``apply_handlers`` runs a ``mapInPandas`` over the jobs: each Arrow batch is
-split by payload type and every registered handler receives its rows as one
-pandas DataFrame (vectorised), returning outcome columns. Jobs whose type has
-no handler get a permanent ``no_handler`` failure. The result feeds the
-completion (B7) and failure (B8) transitions."""
+Each type has a rule, a struct column (outcome, result, error_message, error_kind) over
+the job's payload and attempt; a type without one is a permanent ``no_handler`` failure.
+The result feeds the completion (B7) and failure (B8) transitions."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import payload_force_unknown, payload_secs, payload_type
 
-OUTCOMES = ("ok", "retry", "permanent", "unknown")
-RESULT_SCHEMA = ("job_id long, type string, outcome string, result string, "
-                 "error_message string, error_kind string")
-
-Handler = Callable[[pd.DataFrame], pd.DataFrame]
-
-
-# ---- fixed values: outcome texts of the built-in handlers ----------------------
+# ---- fixed values: outcome texts of the built-in rules --------------------------
 ALWAYS_FAIL_MESSAGE = "intentional test failure"
 ALWAYS_FAIL_KIND = "test_failure"
 UNKNOWN_MESSAGE = "payment request sent but response timeout - unknown if succeeded"
 UNKNOWN_KIND = "external_timeout"
-NO_HANDLER_MESSAGE = "no handler registered for job type '{}'"
+NO_HANDLER_MESSAGE = "no handler registered for job type '%s'"
 NO_HANDLER_KIND = "no_handler"
 # -------------------------------------------------------------------------------
 
 
-def _json(obj) -> str:
-    """Compact JSON with keys in sorted order (the reference's serializer sorts keys)."""
-    return json.dumps(obj, separators=(",", ":"), sort_keys=True)
-
-
-def _ok(df: pd.DataFrame, result: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame({"outcome": "ok", "result": result.values, "error_message": None,
-                         "error_kind": None}, index=df.index)
-
-
-def echo_handler(df: pd.DataFrame) -> pd.DataFrame:
-    return _ok(df, df["attempt"].map(lambda a: _json({"echoed": True, "attempt": int(a)})))
+def outcome(kind: str, result: Column | None = None, message: str | Column | None = None,
+            error: str | None = None) -> Column:
+    text = lambda v: v if isinstance(v, Column) else F.lit(v).cast("string")
+    return F.struct(F.lit(kind).alias("outcome"), text(result).alias("result"),
+                    text(message).alias("error_message"), text(error).alias("error_kind"))
 
 
-def sleep_handler(df: pd.DataFrame) -> pd.DataFrame:
-    return _ok(df, df["secs"].map(lambda s: _json({"slept_secs": int(s)})))
+def default_rules() -> dict[str, Column]:
+    """By payload type; JSON keys in sorted order."""
+    paid = outcome("ok", F.to_json(F.struct(F.col("job_id").alias("idempotency"), F.lit("confirmed").alias("payment"))))
+    return {
+        "echo": outcome("ok", F.to_json(F.struct("attempt", F.lit(True).alias("echoed")))),
+        "sleep": outcome("ok", F.to_json(F.struct(payload_secs("payload").alias("slept_secs")))),
+        "always_fail": outcome("retry", None, ALWAYS_FAIL_MESSAGE, ALWAYS_FAIL_KIND),
+        "external_payment": F.when(payload_force_unknown("payload") | (F.col("attempt") == 1),
+                                   outcome("unknown", None, UNKNOWN_MESSAGE, UNKNOWN_KIND)).otherwise(paid),
+    }
 
 
-def always_fail_handler(df: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"outcome": "retry", "result": None, "error_message": ALWAYS_FAIL_MESSAGE,
-                         "error_kind": ALWAYS_FAIL_KIND}, index=df.index)
-
-
-def external_payment_handler(df: pd.DataFrame) -> pd.DataFrame:
-    unknown = df["force_unknown"].astype(bool) | (df["attempt"] == 1)
-    ok_result = df["job_id"].map(lambda j: _json({"payment": "confirmed", "idempotency": int(j)}))
-    return pd.DataFrame({
-        "outcome": unknown.map({True: "unknown", False: "ok"}),
-        "result": ok_result.where(~unknown, None),
-        "error_message": unknown.map({True: UNKNOWN_MESSAGE, False: None}),
-        "error_kind": unknown.map({True: UNKNOWN_KIND, False: None})}, index=df.index)
-
-
-DEFAULT_HANDLERS: dict[str, Handler] = {
-    "echo": echo_handler, "sleep": sleep_handler, "always_fail": always_fail_handler,
-    "external_payment": external_payment_handler,
-}
-
-
-def apply_handlers(jobs: DataFrame, handlers: dict[str, Handler] | None = None) -> DataFrame:
+def apply_handlers(jobs: DataFrame, rules: dict[str, Column] | None = None) -> DataFrame:
     """(job_id, type, outcome, result, error_message, error_kind) per job."""
-    registry = dict(DEFAULT_HANDLERS if handlers is None else handlers)
-    x = jobs.select("job_id", "payload", "attempt", payload_type("payload").alias("type"),
-                    payload_secs("payload").alias("secs"),
-                    payload_force_unknown("payload").alias("force_unknown"))
-
-    def run(batches):
-        for pdf in batches:
-            parts = []
-            for typ, grp in pdf.groupby("type", sort=False):
-                fn = registry.get(typ)
-                if fn is None:
-                    res = pd.DataFrame({"outcome": "permanent", "result": None,
-                                        "error_message": NO_HANDLER_MESSAGE.format(typ),
-                                        "error_kind": NO_HANDLER_KIND}, index=grp.index)
-                else:
-                    res = fn(grp)
-                parts.append(pd.concat([grp[["job_id", "type"]], res], axis=1))
-            if parts:
-                yield pd.concat(parts)[["job_id", "type", "outcome", "result", "error_message", "error_kind"]]
-
-    return x.mapInPandas(run, RESULT_SCHEMA)
+    x = jobs.withColumn("type", payload_type("payload"))
+    rule = F.when(F.lit(False), outcome("ok"))
+    for name, value in (default_rules() if rules is None else rules).items():
+        rule = rule.when(F.col("type") == name, value)
+    rule = rule.otherwise(outcome("permanent", None, F.format_string(NO_HANDLER_MESSAGE, "type"), NO_HANDLER_KIND))
+    return x.select("job_id", "type", rule.alias("__o")).select("job_id", "type", "__o.*")
 
 
 def reports_from_results(results: DataFrame, jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Split handler results into completion and failure reports for B7/B8."""
+    """Split results into completion and failure reports for B7/B8."""
     j = jobs.select("job_id", F.col("lease_owner").alias("worker_id"), F.col("lease_epoch").alias("epoch"))
     r = results.join(j, "job_id")
     done = r.filter(F.col("outcome") == "ok").select("job_id", "worker_id", "epoch", "result")

@@ -40,6 +40,14 @@ def visible_to(df: DataFrame, queues: DataFrame, projects: DataFrame,
     return ctx.join(m, "org_id")
 
 
+def visible_counts(df: DataFrame, queues: DataFrame, projects: DataFrame,
+                   memberships: DataFrame) -> DataFrame:
+    """(user_id, queue_id, entries): rows visible to each user, counted by queue before
+    the membership fan-out."""
+    per_queue = df.groupBy("queue_id").agg(F.count(F.lit(1)).alias("entries"))
+    return visible_to(per_queue, queues, projects, memberships).select("user_id", "queue_id", "entries")
+
+
 def orgs_visible_to(organizations: DataFrame, memberships: DataFrame) -> DataFrame:
     return organizations.join(memberships.select("org_id", "user_id", "role"), "org_id")
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as G
 from ..session import secs, ts
 from .filters import due_condition
-from .joins import abandon, fence, with_context
+from .joins import fence
 
 OUTBOX_COLUMNS = ["event_id", "job_id", "queue_id", "org_id", "project_id", "subject", "payload",
                   "priority", "nats_msg_id", "created_at", "published_at"]
@@ -22,9 +22,9 @@ OUTBOX_COLUMNS = ["event_id", "job_id", "queue_id", "org_id", "project_id", "sub
 def outbox_for(changed: DataFrame, queues: DataFrame, projects: DataFrame, now, reason: str) -> DataFrame:
     """Outbox rows for jobs that became QUEUED: tenant context, sharded subject
     (the job's own shard), derived event id."""
-    q = queues.select("queue_id", "project_id", F.col("shard_count").alias("__sc"))
-    c = with_context(changed.select("job_id", "queue_id", "shard_id", "payload", "priority"), q, projects)
-    c = c.join(q.select("queue_id", "__sc"), "queue_id")
+    ctx = queues.select("queue_id", "project_id", F.col("shard_count").alias("__sc")) \
+        .join(projects.select("project_id", "org_id"), "project_id")
+    c = changed.select("job_id", "queue_id", "shard_id", "payload", "priority").join(ctx, "queue_id")
     eid = G.derived_id(F.lit("outbox"), F.lit(reason), F.col("job_id"), F.lit(str(now)))
     return c.select(
         eid.alias("event_id"), "job_id", "queue_id", "org_id", "project_id",
@@ -46,6 +46,15 @@ def _set(df: DataFrame, **cols) -> DataFrame:
     return df.withColumns(cols)
 
 
+def free_tokens(tokens: DataFrame, jobs: DataFrame) -> DataFrame:
+    """The tokens held by ``jobs``, released: no job, worker or lease; the epoch stays."""
+    t = tokens.join(jobs.select("job_id").distinct(), "job_id", "left_semi")
+    gone = {"worker_id": F.lit(None).cast("long"), "job_id": F.lit(None).cast("long")}
+    if "lease_until" in tokens.columns:
+        gone["lease_until"] = F.lit(None).cast("timestamp_ntz")
+    return t.withColumns(gone)
+
+
 # B3 / B4 ----------------------------------------------------------------------
 def promote(jobs: DataFrame, queues: DataFrame, projects: DataFrame, now):
     """SCHEDULED → QUEUED when due. Returns (changed, outbox)."""
@@ -74,11 +83,9 @@ def reclaim(jobs: DataFrame, execs: DataFrame, tokens: DataFrame, queues: DataFr
     changed = _set(stale, status=F.lit("QUEUED"), lease_owner=F.lit(None).cast("long"),
                    lease_expires_at=F.lit(None).cast("timestamp_ntz"), queued_at=n, updated_at=n)
     ids = stale.select("job_id")
-    ex = abandon(execs.join(ids, "job_id", "left_semi"), ids, now).filter(F.col("finished_at") == n)
-    freed = (tokens.join(ids, "job_id", "left_semi")
-                   .withColumn("worker_id", F.lit(None).cast("long"))
-                   .withColumn("job_id", F.lit(None).cast("long")))
-    return changed, ex, freed, outbox_for(changed, queues, projects, now, "reclaim")
+    ex = _set(execs.filter(F.col("status") == "STARTED").join(ids, "job_id", "left_semi"),
+              status=F.lit("ABANDONED"), finished_at=n)
+    return changed, ex, free_tokens(tokens, ids), outbox_for(changed, queues, projects, now, "reclaim")
 
 
 # B6 ---------------------------------------------------------------------------
@@ -115,14 +122,11 @@ def apply_completions(jobs: DataFrame, execs: DataFrame, tokens: DataFrame, repo
     e = execs.join(ok.select("execution_id"), "execution_id", "left_semi")
     e = _set(e, status=F.lit("COMPLETED"), finished_at=n,
              duration_ms=G.duration_ms(F.col("started_at"), n))
-    freed = (tokens.join(ok.select("job_id"), "job_id", "left_semi")
-                   .withColumn("worker_id", F.lit(None).cast("long"))
-                   .withColumn("job_id", F.lit(None).cast("long")))
-    return changed, e, freed, verdicts
+    return changed, e, free_tokens(tokens, ok), verdicts
 
 
 # B8 ---------------------------------------------------------------------------
-def apply_failures(jobs: DataFrame, execs: DataFrame, reports: DataFrame, now):
+def apply_failures(jobs: DataFrame, execs: DataFrame, tokens: DataFrame, reports: DataFrame, now):
     """Failure reports (job_id, worker_id, epoch, execution_id, outcome,
     error_message, error_kind) with outcome ``retry`` / ``permanent`` / ``unknown``.
 
@@ -130,7 +134,8 @@ def apply_failures(jobs: DataFrame, execs: DataFrame, reports: DataFrame, now):
     is); ``unknown`` also requires RUNNING. attempt < max_attempts and not
     permanent → RETRY_WAIT at now + retry delay; otherwise FAILED plus a DLQ row
     with the real reason; unknown → UNKNOWN_EXTERNAL_RESULT with the execution
-    ABANDONED. Returns (jobs, executions, dlq, outcomes)."""
+    ABANDONED. Every accepted report frees the job's capacity token.
+    Returns (jobs, executions, dlq, outcomes, freed tokens)."""
     n = ts(now)
     v = fence(reports, jobs, require_running=False)
     j = jobs.select("job_id", F.col("status").alias("__st"))
@@ -167,7 +172,7 @@ def apply_failures(jobs: DataFrame, execs: DataFrame, reports: DataFrame, now):
              error_kind=F.col("__kind")).drop("__es", "__msg", "__kind")
     outcomes = v.join(changed.select("job_id", F.col("__new").alias("new_status")), "job_id", "left")
     changed = changed.drop("__new", "__msg", "__kind", "outcome", "execution_id")
-    return changed, e, dlq, outcomes
+    return changed, e, dlq, outcomes, free_tokens(tokens, ok)
 
 
 # B9 ---------------------------------------------------------------------------
@@ -211,13 +216,58 @@ def manual_retry(jobs: DataFrame, ids: DataFrame, queues: DataFrame, projects: D
 
 
 # B1 / B2 ----------------------------------------------------------------------
+def _without_conflicts(r: DataFrame, existing: DataFrame | None, request_id: str) -> DataFrame:
+    """Marks every request after the first of its (queue, key), and all of them where
+    ``existing`` has the key, as ``idempotency_conflict``. Null keys never conflict and do
+    not enter the grouping."""
+    open_ = F.col("__reject").isNull() & F.col("__key").isNotNull()
+    first = r.filter(open_).groupBy(F.col("queue_id").alias("__wq"), F.col("__key").alias("__wk")) \
+        .agg(F.min(F.struct("__pos", request_id)).alias("__win"))
+    if existing is not None:
+        held = existing.filter(F.col("idempotency_key").isNotNull()) \
+            .select(F.col("queue_id").alias("__wq"), F.col("idempotency_key").alias("__wk")).distinct() \
+            .withColumn("__held", F.lit(True))
+        first = first.join(held, ["__wq", "__wk"], "left")
+    else:
+        first = first.withColumn("__held", F.lit(None).cast("boolean"))
+    keyed = r.filter(open_).join(first, (F.col("queue_id") == F.col("__wq")) & (F.col("__key") == F.col("__wk")))
+    lost = F.coalesce(F.col("__held"), F.lit(False)) | (F.struct("__pos", request_id) != F.col("__win"))
+    keyed = keyed.withColumn("__reject", F.when(lost, "idempotency_conflict")).drop("__wq", "__wk", "__win", "__held")
+    return keyed.unionByName(r.filter(~open_))
+
+
+def _limited(r: DataFrame, queues: DataFrame, arrivals: DataFrame | None, now, request_id: str) -> DataFrame:
+    """``r`` with ``__over``: the request's place among its queue's requests, on top of the
+    arrivals already in the trailing window, passes the queue's rate limit."""
+    from .windows import id_range, row_number_in_groups
+    lim = queues.select("queue_id", F.col("rate_limit").alias("__lim"), F.col("rate_window_secs").alias("__rw"))
+    x = r.join(lim, "queue_id", "left")
+    if arrivals is None:
+        x = x.withColumn("__had", F.lit(0).cast("long"))
+    else:
+        n = ts(now)
+        had = arrivals.join(lim, "queue_id").filter((F.col("event_ts") >= n - secs(F.col("__rw"))) & (F.col("event_ts") <= n)) \
+            .groupBy("queue_id").agg(F.count(F.lit(1)).alias("__had"))
+        x = x.join(had, "queue_id", "left").withColumn("__had", F.coalesce("__had", F.lit(0).cast("long")))
+    x = row_number_in_groups(x, ["queue_id"], ["__pos", request_id], [id_range("__pos")], "__place")
+    over = F.coalesce(F.col("__had") + F.col("__place") > F.col("__lim"), F.lit(False))
+    return x.withColumn("__over", over).drop("__lim", "__rw", "__had", "__place")
+
+
 def create_jobs(requests: DataFrame, queues: DataFrame, projects: DataFrame, now,
-                request_id: str = "request_id"):
+                request_id: str = "request_id", existing: DataFrame | None = None,
+                arrivals: DataFrame | None = None, rate_limits: bool = False):
     """Job creation from request rows (request_id, queue_id, payload, priority,
     kind, job_type, header_key, body_key, max_attempts, retry_strategy,
     base_delay_secs, max_delay_secs, scheduled_for, batch_id; missing columns
     take defaults). Priority item > queue default; key header > body; status
-    SCHEDULED when scheduled_for is set. Returns (jobs, outbox, rejects)."""
+    SCHEDULED when scheduled_for is set.
+
+    Of requests with one (queue, key) the first by request id creates a job, unless a
+    job of ``existing`` holds the key; the others are rejected as
+    ``idempotency_conflict``. With ``rate_limits`` requests beyond the queue's limit in
+    its window (``arrivals(queue_id, event_ts)`` count first) are rejected as
+    ``rate_limited``. Returns (jobs, outbox, rejects)."""
     n = ts(now)
 
     def col(name, dtype):
@@ -230,7 +280,13 @@ def create_jobs(requests: DataFrame, queues: DataFrame, projects: DataFrame, now
     r = r.withColumns({"__key": key, "__prio": prio})
     reason = (F.when(F.col("default_priority").isNull(), "queue_not_found")
                .when((F.col("__prio") < 0) | (F.col("__prio") > 100), "priority_out_of_range"))
-    r = r.withColumn("__reject", reason)
+    pos = F.col(request_id).try_cast("long")
+    r = r.withColumns({"__reject": reason, "__pos": F.coalesce(pos, F.lit(0).cast("long"))})
+    if rate_limits:
+        good = _limited(r.filter(F.col("__reject").isNull()), queues, arrivals, now, request_id)
+        r = good.withColumn("__reject", F.when(F.col("__over"), "rate_limited")).drop("__over") \
+            .unionByName(r.filter(F.col("__reject").isNotNull()))
+    r = _without_conflicts(r, existing, request_id)
     rejects = r.filter(F.col("__reject").isNotNull()).select(request_id, "queue_id", F.col("__reject").alias("reason"))
     ok = r.filter(F.col("__reject").isNull())
     routing = F.coalesce(F.col("__key"), F.concat(F.lit("req-"), F.col(request_id).cast("string")))
@@ -255,13 +311,14 @@ def create_jobs(requests: DataFrame, queues: DataFrame, projects: DataFrame, now
 
 
 def create_batches(batch_requests: DataFrame, queues: DataFrame, projects: DataFrame, now,
-                   items_col: str = "items", max_items: int = 1000):
+                   items_col: str = "items", max_items: int = 1000, existing: DataFrame | None = None,
+                   arrivals: DataFrame | None = None, rate_limits: bool = False):
     """Batch requests (batch_request_id, queue_id, items: array<struct(payload,
     priority, idempotency_key)>, optional request-level priority, max_attempts,
     retry_strategy) → 1..max_items jobs of kind ``batch`` per batch. Item
     priority falls back to the request's, then the queue default. A batch is
-    all-or-nothing: an empty or oversized batch, or one with any invalid item,
-    creates nothing and is reported once. Returns (batches, jobs, outbox, rejects)."""
+    all-or-nothing: an empty or oversized batch, or one with any invalid, conflicting
+    or rate-limited item, creates nothing and is reported once. Returns (batches, jobs, outbox, rejects)."""
     size = F.size(items_col)
     bad = batch_requests.filter((size < 1) | (size > max_items))
     good = batch_requests.filter((size >= 1) & (size <= max_items))
@@ -281,7 +338,8 @@ def create_batches(batch_requests: DataFrame, queues: DataFrame, projects: DataF
          else F.lit(None).cast("string")).alias("body_key"),
         F.coalesce(item_prio, req_prio).alias("priority"), F.lit("batch").alias("kind"),
         *[F.col(f"__req_{c}").alias(c) for c in req_level if c != "priority"])
-    jobs, outbox, item_rejects = create_jobs(req, queues, projects, now)
+    jobs, outbox, item_rejects = create_jobs(req, queues, projects, now, existing=existing, arrivals=arrivals,
+                                             rate_limits=rate_limits)
     failed = (item_rejects.join(req.select("request_id", "batch_request_id", "batch_id"), "request_id")
                           .groupBy("batch_request_id", "batch_id").agg(F.min("reason").alias("reason")))
     jobs = jobs.join(failed.select("batch_id"), "batch_id", "left_anti")

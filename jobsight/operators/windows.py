@@ -11,11 +11,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.columns import epoch_micros, failure_prompt
 from ..schema import DECLARED_TRANSITIONS, DEFAULT_LEASE_SECS, OUTBOX_BATCH, OUTBOX_LOCK_SECS
-from ..session import bounded_broadcast, cut_lineage, secs, ts
+from ..session import secs, ts
 from .filters import due_condition
 
 
@@ -39,147 +38,119 @@ def latest_logs(logs: DataFrame, n: int = 100, key: str = "job_id", ts_col: str
 
 
 # skew-safe numbering ------------------------------------------------------------
-MAX_GROUP_ROWS = 2_000_000  # a group this size sorts comfortably inside one task
-
-
-def groups_bounded(df: DataFrame, group: list[str], max_rows: int = MAX_GROUP_ROWS) -> bool:
-    """True when no group holds more than ``max_rows`` rows. One partial
-    aggregation over the key columns only; it stops at the first oversized group."""
-    if not group:
-        return df.limit(max_rows + 1).count() <= max_rows
-    big = df.groupBy(*group).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > max_rows)
-    return big.limit(1).count() == 0
-
-
-def row_number_in_groups(df: DataFrame, group: list[str], order, name: str = "rn",
-                         partitions: int | None = None, max_group_rows: int | None = MAX_GROUP_ROWS) -> DataFrame:
-    """``row_number() over (partition by group order by order)`` without sending a
-    whole group to one task.
-
-    Rows are range-partitioned and sorted on (group, order), so a hot group is
-    split over several partitions. Inside a sorted partition the rows of a group
-    are contiguous and ``monotonically_increasing_id`` counts them; a small
-    table of (partition, group) → first id and size gives, by a running sum over
-    partitions (at most #partitions rows per group), each piece's offset.
-    The numbered frame is checkpointed once, so every use sees one partitioning.
-    When a size probe shows every group within ``max_group_rows`` the plain
-    window is used instead (``max_group_rows=None`` forces the split path)."""
-    if max_group_rows and groups_bounded(df, group, max_group_rows):
-        w = (Window.partitionBy(*group) if group else Window).orderBy(*_order(order))
-        return df.withColumn(name, F.row_number().over(w).cast("long"))
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = [F.col(g).asc_nulls_first() for g in group] + _order(order)
-    s = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-           .withColumn("__pid", F.spark_partition_id()).withColumn("__mono", F.monotonically_increasing_id()))
-    # The range bounds come from sampling, so two evaluations of this frame could
-    # cut different partitions: pin one evaluation with a reliable checkpoint
-    # (it also survives executor loss) and derive stats and rows from it.
-    s = cut_lineage(s)
-    stats = s.groupBy("__pid", *group).agg(F.min("__mono").alias("__first"), F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*group).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    stats = stats.withColumn("__off", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-    st = stats.select(*[F.col(c).alias(f"__s_{c}") for c in ["__pid", *group]], "__first", "__off")
-    cond = reduce(lambda a, b: a & b, [s[c].eqNullSafe(st[f"__s_{c}"]) for c in ["__pid", *group]])
-    out = s.join(st, cond)
-    return (out.withColumn(name, (F.col("__mono") - F.col("__first") + 1 + F.col("__off")).cast("long"))
-               .drop("__pid", "__mono", "__first", "__off", *[f"__s_{c}" for c in ["__pid", *group]]))
-
-
-def running_sum_in_groups(df: DataFrame, group: list[str], order, value: str, name: str,
-                          partitions: int | None = None, max_group_rows: int | None = MAX_GROUP_ROWS) -> DataFrame:
-    """``sum(value) over (partition by group order by order rows unbounded
-    preceding)`` without a per-group window: range-partition and sort, one Arrow
-    pass per partition for the local running sums, then add each piece's offset
-    (sum of the same group's earlier pieces, from a small per-(partition, group)
-    table). The locally summed frame is checkpointed once."""
-    if max_group_rows and groups_bounded(df, group, max_group_rows):
-        w = ((Window.partitionBy(*group) if group else Window).orderBy(*_order(order))
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        return df.withColumn(name, F.coalesce(F.sum(value).over(w), F.lit(0)).cast("long"))
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = [F.col(g).asc_nulls_first() for g in group] + _order(order)
-    s = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("__pid", F.spark_partition_id())
-    schema = T.StructType(list(s.schema.fields) + [T.StructField("__cum", T.LongType())])
-
-    def local(batches):
-        cur, acc = None, 0
-        for pdf in batches:
-            ks = list(zip(*[pdf[g] for g in group])) if group else [()] * len(pdf)
-            vals = pdf[value].fillna(0).astype("int64").tolist()
-            out = []
-            for k, v in zip(ks, vals):
-                if k != cur:
-                    cur, acc = k, 0
-                acc += v
-                out.append(acc)
-            yield pdf.assign(__cum=out)
-
-    s = cut_lineage(s.mapInPandas(local, schema))
-    stats = s.groupBy("__pid", *group).agg(F.max("__cum").alias("__tot"))
-    before = Window.partitionBy(*group).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    stats = stats.withColumn("__off", F.coalesce(F.sum("__tot").over(before), F.lit(0)))
-    st = stats.select(*[F.col(c).alias(f"__s_{c}") for c in ["__pid", *group]], "__off")
-    cond = reduce(lambda a, b: a & b, [s[c].eqNullSafe(st[f"__s_{c}"]) for c in ["__pid", *group]])
-    return (s.join(st, cond).withColumn(name, (F.col("__cum") + F.col("__off")).cast("long"))
-             .drop("__pid", "__cum", "__off", *[f"__s_{c}" for c in ["__pid", *group]]))
-
-
-def lag_in_groups(df: DataFrame, group: list[str], order, cols: list[str], prefix: str = "prev_",
-                  rn: str = "__rn", max_group_rows: int | None = MAX_GROUP_ROWS) -> DataFrame:
-    """``lag(col) over (partition by group order by order)`` for ``cols`` without a
-    per-group window: skew-safe row numbers, then an equi-join of each row with
-    its predecessor on (group, rn) — hash-partitioned on the pair, so a hot
-    group is spread over all tasks."""
-    if max_group_rows and groups_bounded(df, group, max_group_rows):
-        w = (Window.partitionBy(*group) if group else Window).orderBy(*_order(order))
-        return df.withColumns({rn: F.row_number().over(w), **{prefix + c: F.lag(c).over(w) for c in cols}})
-    r = row_number_in_groups(df, group, order, rn, max_group_rows=None)
-    prev = r.select(*group, (F.col(rn) + 1).alias(rn), *[F.col(c).alias(prefix + c) for c in cols])
-    return r.join(prev, [*group, rn], "left")
+# A group is cut into buckets that rise with its order (days of a timestamp, ranges of
+# an id): windows run inside (group, bucket), and what lies before a bucket comes from a
+# small table with one row per (group, bucket). One lazy plan for every size: no probe, no
+# job while building, and a hot group spreads over as many tasks as it has buckets.
+def _cut_groups(df: DataFrame, bucket) -> tuple[DataFrame, list[str], list[Column]]:
+    spec = [(c, "asc") if not isinstance(c, tuple) else c for c in bucket]
+    names = [f"__b{i}" for i in range(len(spec))]
+    df = df.withColumns({n: (F.expr(c) if isinstance(c, str) else c) for n, (c, _) in zip(names, spec)})
+    return df, names, _order([(n, d) for n, (_, d) in zip(names, spec)])
+
+
+def _with_offsets(x: DataFrame, offsets: DataFrame, keys: list[str]) -> DataFrame:
+    """Null-safe equi-join of each row with its (group, bucket) line."""
+    o = offsets.select(*[F.col(k).alias(f"__o_{k}") for k in keys],
+                       *[c for c in offsets.columns if c not in keys])
+    cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__o_{k}")) for k in keys])
+    return x.join(o, cond).drop(*[f"__o_{k}" for k in keys])
+
+
+def day(c: str) -> Column:
+    return F.to_date(F.col(c))
+
+
+def id_range(c: str, width: int = 1_000_000) -> Column:
+    return F.floor(F.col(c) / width)
+
+
+def row_number_in_groups(df: DataFrame, group: list[str], order, bucket, name: str = "rn") -> DataFrame:
+    """``row_number() over (partition by group order by order)``. ``bucket``: columns or
+    expressions, or (either, "desc"), that never fall along ``order``."""
+    x, names, rising = _cut_groups(df, bucket)
+    keys = [*group, *names]
+    before = Window.partitionBy(*group).orderBy(*rising).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    offsets = sizes.withColumn("__off", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    inside = Window.partitionBy(*keys).orderBy(*_order(order))
+    out = _with_offsets(x.withColumn("__i", F.row_number().over(inside)), offsets, keys)
+    return out.withColumn(name, (F.col("__i") + F.col("__off")).cast("long")).drop("__i", "__off", *names)
+
+
+def running_sum_in_groups(df: DataFrame, group: list[str], order, value: str, name: str, bucket) -> DataFrame:
+    """``sum(value) over (partition by group order by order rows unbounded preceding)``;
+    nulls count as 0."""
+    x, names, rising = _cut_groups(df, bucket)
+    keys = [*group, *names]
+    before = Window.partitionBy(*group).orderBy(*rising).rowsBetween(Window.unboundedPreceding, -1)
+    sums = x.groupBy(*keys).agg(F.sum(value).alias("__t"))
+    offsets = sums.withColumn("__off", F.coalesce(F.sum("__t").over(before), F.lit(0))).drop("__t")
+    inside = (Window.partitionBy(*keys).orderBy(*_order(order))
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    out = _with_offsets(x.withColumn("__cum", F.coalesce(F.sum(value).over(inside), F.lit(0))), offsets, keys)
+    return out.withColumn(name, (F.col("__cum") + F.col("__off")).cast("long")).drop("__cum", "__off", *names)
+
+
+def lag_in_groups(df: DataFrame, group: list[str], order: list[str], cols: list[str], bucket,
+                  prefix: str = "prev_", rn: str = "__rn") -> DataFrame:
+    """``lag(col) over (partition by group order by order)`` for ``cols`` and the row
+    number; ascending order only. A bucket's first row takes the last row of the bucket
+    before it."""
+    x, names, rising = _cut_groups(df, bucket)
+    keys = [*group, *names]
+    by = Window.partitionBy(*group).orderBy(*rising)
+    lines = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"),
+                                 F.max_by(F.struct(*cols), F.struct(*order)).alias("__last"))
+    lines = lines.withColumns({
+        "__off": F.coalesce(F.sum("__n").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        "__prev": F.lag("__last").over(by)}).drop("__n", "__last")
+    inside = Window.partitionBy(*keys).orderBy(*_order(order))
+    x = x.withColumns({"__i": F.row_number().over(inside), **{f"__l_{c}": F.lag(c).over(inside) for c in cols}})
+    out = _with_offsets(x, lines, keys)
+    out = out.withColumns({rn: (F.col("__i") + F.col("__off")).cast("long"), **{
+        prefix + c: F.when(F.col("__i") == 1, F.col("__prev")[c]).otherwise(F.col(f"__l_{c}")) for c in cols}})
+    return out.drop("__i", "__off", "__prev", *[f"__l_{c}" for c in cols], *names)
 
 
 # W2 ---------------------------------------------------------------------------
 DISPATCH_ORDER = [("priority", "desc"), ("created_at", "asc"), ("job_id", "asc")]
+DISPATCH_BUCKET = [("priority", "desc"), ("to_date(created_at)", "asc")]
 
 
 def dispatch_rank(jobs: DataFrame, statuses=("QUEUED",), top: int | None = None) -> DataFrame:
     """Rank of each waiting job inside its queue: priority desc, created_at, id.
 
     ``top`` bounds the rank (constant), which turns the window into a partial
-    top-k before the shuffle. Without it every waiting job is ranked with the
-    skew-safe numbering (a hot queue is split over many tasks)."""
+    top-k before the shuffle. Without it every waiting job is ranked, a hot queue
+    cut by priority and day of creation."""
     waiting = jobs.filter(F.col("status").isin(*statuses))
     if top:
         w = Window.partitionBy("queue_id").orderBy(*_order(DISPATCH_ORDER))
         out = waiting.withColumn("dispatch_rank", F.row_number().over(w).cast("long"))
         return out.filter(F.col("dispatch_rank") <= top)
-    return row_number_in_groups(waiting, ["queue_id"], DISPATCH_ORDER, "dispatch_rank")
+    return row_number_in_groups(waiting, ["queue_id"], DISPATCH_ORDER, DISPATCH_BUCKET, "dispatch_rank")
 
 
 # W3 ---------------------------------------------------------------------------
-MAX_SLOTS = 1000  # max_concurrency is at most 1000 (rule F7), so at most 1000 claims per queue
-
-
 def allocate(queues: DataFrame, tokens: DataFrame, jobs: DataFrame, now, worker_id=None,
              lease_secs: int = DEFAULT_LEASE_SECS):
     """Claim the first free_slots claimable jobs of every unpaused queue.
 
     Claimable: QUEUED or RETRY_WAIT with no live lease. Jobs ranked by priority
     desc, created_at, id are matched to free slots ranked by slot_index on
-    (queue, rank). Returns (claimed jobs, updated tokens, STARTED executions)."""
+    (queue, rank); a queue claims exactly as many jobs as it has free slots. A taken
+    token gets the job, the worker, the next epoch and the lease's end. Returns
+    (claimed jobs, updated tokens, STARTED executions)."""
     n = ts(now)
     live = queues.filter(~F.col("is_paused")).select("queue_id")
     claimable = (jobs.filter(F.col("status").isin("QUEUED", "RETRY_WAIT"))
                      .filter(F.col("lease_expires_at").isNull() | (F.col("lease_expires_at") < n))
                      .join(live, "queue_id", "left_semi"))
-    wj = Window.partitionBy("queue_id").orderBy(*_order(DISPATCH_ORDER))
-    ranked = claimable.withColumn("__rank", F.row_number().over(wj)).filter(F.col("__rank") <= MAX_SLOTS)
-    ws = Window.partitionBy("queue_id").orderBy("slot_index")
-    free = (tokens.filter(F.col("worker_id").isNull() & F.col("job_id").isNull())
-                  .join(live, "queue_id", "left_semi")
-                  .select("queue_id", "slot_index", F.row_number().over(ws).alias("__rank")))
+    empty = (tokens.filter(F.col("worker_id").isNull() & F.col("job_id").isNull())
+                   .join(live, "queue_id", "left_semi").select("queue_id", "slot_index"))
+    free = row_number_in_groups(empty, ["queue_id"], ["slot_index"], [id_range("slot_index")], "__rank")
+    ranked = row_number_in_groups(claimable, ["queue_id"], DISPATCH_ORDER, DISPATCH_BUCKET, "__rank")
     owner = F.lit(worker_id).cast("long") if worker_id is not None else F.lit(None).cast("long")
     m = ranked.join(free, ["queue_id", "__rank"]).drop("__rank")
     claimed = (m.withColumn("status", F.lit("CLAIMED"))
@@ -189,12 +160,15 @@ def allocate(queues: DataFrame, tokens: DataFrame, jobs: DataFrame, now, worker_
                 .withColumn("lease_expires_at", n + secs(lease_secs))
                 .withColumn("claimed_at", n).withColumn("updated_at", n))
     taken = claimed.select("queue_id", "slot_index", F.col("job_id").alias("__job"),
-                           F.col("lease_owner").alias("__worker"))
-    new_tokens = (tokens.join(taken, ["queue_id", "slot_index"], "left")
-                        .withColumn("job_id", F.coalesce("__job", "job_id"))
-                        .withColumn("worker_id", F.when(F.col("__job").isNotNull(), F.col("__worker"))
-                                    .otherwise(F.col("worker_id")))
-                        .drop("__job", "__worker"))
+                           F.col("lease_owner").alias("__worker"), F.col("lease_expires_at").alias("__until"))
+    got = F.col("__job").isNotNull()
+    new_tokens = tokens.join(taken, ["queue_id", "slot_index"], "left").withColumns({
+        "job_id": F.coalesce("__job", "job_id"),
+        "worker_id": F.when(got, F.col("__worker")).otherwise(F.col("worker_id")),
+        **({"epoch": F.when(got, F.coalesce("epoch", F.lit(0)) + 1).otherwise(F.col("epoch"))}
+           if "epoch" in tokens.columns else {}),
+        **({"lease_until": F.when(got, F.col("__until")).otherwise(F.col("lease_until"))}
+           if "lease_until" in tokens.columns else {})}).drop("__job", "__worker", "__until")
     execs = claimed.select(
         F.sha2(F.concat_ws(":", F.lit("exec"), F.col("job_id").cast("string"),
                            F.col("attempt").cast("string")), 256).alias("execution_id"),
@@ -243,23 +217,19 @@ INITIAL_STATUSES = ("QUEUED", "SCHEDULED", "WAITING")
 
 
 def transition_matrix(spark, pairs=DECLARED_TRANSITIONS) -> DataFrame:
-    return spark.createDataFrame(list(pairs), "from_status string, to_status string")
+    """The allowed edges as inline values, so the planner knows how small they are."""
+    values = ", ".join(f"('{a}', '{b}')" for a, b in pairs)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t(from_status, to_status)")
 
 
 def audit_transitions(events: DataFrame, matrix: DataFrame, key: str = "job_id", ts_col: str = "event_ts",
-                      id_col: str = "event_id", skew_safe: bool = True) -> DataFrame:
+                      id_col: str = "event_id") -> DataFrame:
     """Previous status per job and whether the step is an allowed edge. A job's
-    first event is allowed when it enters a creation state. ``skew_safe`` finds
-    the previous event with range-partitioned numbering instead of a per-job
-    window (one job may own a large share of the events)."""
-    if skew_safe:
-        x = lag_in_groups(events, [key], [ts_col, id_col], ["status"]).withColumnRenamed(
-            "prev_status", "from_status").drop("__rn")
-    else:
-        w = Window.partitionBy(key).orderBy(ts_col, id_col)
-        x = events.withColumn("from_status", F.lag("status").over(w))
-    m = bounded_broadcast(matrix.select("from_status", F.col("to_status").alias("status"))
-                          .withColumn("__ok", F.lit(True)), 10_000)  # a transition matrix: proven small
+    first event is allowed when it enters a creation state. A job's events are cut
+    by day (one job may own a large share of them)."""
+    x = lag_in_groups(events, [key], [ts_col, id_col], ["status"], [day(ts_col)]) \
+        .withColumnRenamed("prev_status", "from_status").drop("__rn")
+    m = matrix.select("from_status", F.col("to_status").alias("status")).withColumn("__ok", F.lit(True))
     x = x.join(m, ["from_status", "status"], "left")
     allowed = F.when(F.col("from_status").isNull(), F.col("status").isin(*INITIAL_STATUSES)) \
         .otherwise(F.coalesce(F.col("__ok"), F.lit(False)))
@@ -268,15 +238,10 @@ def audit_transitions(events: DataFrame, matrix: DataFrame, key: str = "job_id",
 
 # W6 ---------------------------------------------------------------------------
 def lease_epochs(claims: DataFrame, key: str = "job_id", ts_col: str = "event_ts",
-                 id_col: str = "event_id", skew_safe: bool = True) -> DataFrame:
+                 id_col: str = "event_id") -> DataFrame:
     """epoch = claim ordinal per job, previous owner, takeover flag."""
-    if skew_safe:
-        x = (lag_in_groups(claims, [key], [ts_col, id_col], ["worker_id"], rn="epoch")
-             .withColumn("epoch", F.col("epoch").cast("long")).withColumnRenamed("prev_worker_id", "prev_owner"))
-    else:
-        w = Window.partitionBy(key).orderBy(ts_col, id_col)
-        x = (claims.withColumn("epoch", F.row_number().over(w).cast("long"))
-                   .withColumn("prev_owner", F.lag("worker_id").over(w)))
+    x = lag_in_groups(claims, [key], [ts_col, id_col], ["worker_id"], [day(ts_col)], rn="epoch") \
+        .withColumnRenamed("prev_worker_id", "prev_owner")
     return x.withColumn("takeover", F.coalesce(F.col("prev_owner") != F.col("worker_id"), F.lit(False)))
 
 
@@ -313,10 +278,10 @@ def listing(df: DataFrame, order) -> DataFrame:
 
 
 def listing_ranked(df: DataFrame, order, group: str | None = None) -> DataFrame:
-    """Listing position as a column (per group when given; global otherwise),
-    numbered with the skew-safe range-partitioned scheme."""
-    out = row_number_in_groups(df, [group] if group else [], order, "position")
-    return out.withColumn("position", F.col("position").cast("long"))
+    """Listing position as a column (per group when given; global otherwise), cut by the
+    day of the leading timestamp."""
+    first, direction = order[0] if isinstance(order[0], tuple) else (order[0], "asc")
+    return row_number_in_groups(df, [group] if group else [], order, [(day(first), direction)], "position")
 
 
 # L3 ---------------------------------------------------------------------------

@@ -172,11 +172,10 @@ def d4(spark, d):
 
 @register("d5_ancestors", with_views("""
 WITH RECURSIVE anc(node_id, ancestor_id, depth) AS (SELECT child_id, parent_id, 1 FROM workflow_edges
-  UNION SELECT a.node_id, e.parent_id, a.depth + 1 FROM anc a JOIN workflow_edges e ON e.child_id = a.ancestor_id
-  WHERE a.depth < 100)
+  UNION SELECT a.node_id, e.parent_id, a.depth + 1 FROM anc a JOIN workflow_edges e ON e.child_id = a.ancestor_id)
 SELECT node_id, ancestor_id, CAST(min(depth) AS BIGINT) AS depth FROM anc GROUP BY ALL""", "workflow_edges"))
 def d5(spark, d):
-    return D.ancestors(Ops(spark, d).workflow_edges, 100)
+    return D.ancestors(Ops(spark, d).workflow_edges)
 
 
 @register("d1_workflow_edges", with_views(f"""

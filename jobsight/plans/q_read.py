@@ -491,7 +491,7 @@ _TREND_SQL = """count(duration_ms) AS n, round(avg(duration_ms), 2) AS avg, roun
 SELECT status, {_TREND_SQL.replace('duration_ms', 'CAST(duration_ms AS DOUBLE)')} FROM executions GROUP BY status""",
     "executions"))
 def a10(spark, d):
-    return A.trend(Ops(spark, d).executions, "duration_ms", ["status"])
+    return A.trend(Ops(spark, d).execution_facts, "duration_ms", ["status"])
 
 
 @register("a11_worker_slo", with_views("""
@@ -502,7 +502,7 @@ SELECT worker_id, count(duration_ms) AS n, round(avg(CASE WHEN status = 'COMPLET
   round(quantile_cont(CAST(duration_ms AS DOUBLE), 0.99), 2) < 100000.0 AS p99_ok
 FROM executions GROUP BY worker_id""", "executions"))
 def a11(spark, d):
-    e = Ops(spark, d).executions.withColumn("ok", F.col("status") == "COMPLETED")
+    e = Ops(spark, d).execution_facts.withColumn("ok", F.col("status") == "COMPLETED")
     return A.slo(e, "duration_ms", "ok", ["worker_id"], 0.99, 100000.0, 100000.0)
 
 
@@ -544,6 +544,49 @@ def w2(spark, d):
     return W.dispatch_rank(Ops(spark, d).jobs).select("job_id", "queue_id", "dispatch_rank")
 
 
+_CLAIMS_SQL = f"""live AS (SELECT queue_id FROM queues WHERE NOT is_paused),
+c AS (SELECT *, row_number() OVER (PARTITION BY queue_id ORDER BY priority DESC, created_at, job_id) AS rk FROM jobs
+  WHERE status IN ('QUEUED', 'RETRY_WAIT') AND (lease_expires_at IS NULL OR lease_expires_at < {NOW_SQL})
+    AND queue_id IN (SELECT queue_id FROM live)),
+f AS (SELECT queue_id, slot_index, row_number() OVER (PARTITION BY queue_id ORDER BY slot_index) AS rk FROM capacity_tokens
+  WHERE worker_id IS NULL AND job_id IS NULL AND queue_id IN (SELECT queue_id FROM live)),
+m AS (SELECT c.*, f.slot_index FROM c JOIN f ON f.queue_id = c.queue_id AND f.rk = c.rk)"""
+
+
+@register("w3_allocate_tokens", with_views(f"""
+WITH {_CLAIMS_SQL}
+SELECT t.queue_id, t.slot_index, coalesce(m.job_id, t.job_id) AS job_id,
+  CASE WHEN m.job_id IS NOT NULL THEN 7 ELSE t.worker_id END AS worker_id,
+  t.epoch + CASE WHEN m.job_id IS NOT NULL THEN 1 ELSE 0 END AS epoch,
+  CASE WHEN m.job_id IS NOT NULL THEN {NOW_SQL} + INTERVAL 30 SECOND ELSE t.lease_until END AS lease_until
+FROM capacity_tokens t LEFT JOIN m ON m.queue_id = t.queue_id AND m.slot_index = t.slot_index""",
+    "queues", "jobs", "capacity_tokens"))
+def w3t(spark, d):
+    o = Ops(spark, d)
+    return W.allocate(o.queues, o.capacity_tokens, o.jobs, JOBS_NOW, worker_id=7)[1].select(
+        "queue_id", "slot_index", "job_id", "worker_id", "epoch", "lease_until")
+
+
+@register("w3_allocate_executions", with_views(f"""
+WITH {_CLAIMS_SQL}
+SELECT sha256('exec:' || CAST(job_id AS VARCHAR) || ':' || CAST(attempt + 1 AS VARCHAR)) AS execution_id, job_id,
+  CAST(7 AS BIGINT) AS worker_id, attempt + 1 AS attempt, lease_epoch + 1 AS lease_epoch, 'STARTED' AS status,
+  {NOW_SQL} AS started_at FROM m""", "queues", "jobs", "capacity_tokens"))
+def w3e(spark, d):
+    o = Ops(spark, d)
+    return W.allocate(o.queues, o.capacity_tokens, o.jobs, JOBS_NOW, worker_id=7)[2]
+
+
+@register("j8_renewed_tokens", with_views(f"""
+SELECT t.queue_id, t.slot_index, {NOW_SQL} + INTERVAL 30 SECOND AS lease_until FROM capacity_tokens t
+JOIN jobs j ON j.job_id = t.job_id AND j.lease_owner = t.worker_id AND j.status = 'RUNNING' AND j.job_id % 3 <> 0""",
+    "jobs", "capacity_tokens"))
+def j8t(spark, d):
+    o = Ops(spark, d)
+    _, tokens, ok = J.apply_renewals(o.jobs, o.capacity_tokens, _renewals(o), JOBS_NOW)
+    return tokens.join(ok.select("job_id"), "job_id", "left_semi").select("queue_id", "slot_index", "lease_until")
+
+
 @register("w3_allocate_claims", with_views(f"""
 WITH live AS (SELECT queue_id FROM queues WHERE NOT is_paused),
 c AS (SELECT *, row_number() OVER (PARTITION BY queue_id ORDER BY priority DESC, created_at, job_id) AS rk FROM jobs
@@ -789,5 +832,4 @@ GROUP BY m.user_id, d.queue_id""", "dead_letter_entries", "queues", "projects",
 def j2d(spark, d):
     """DLQ rows visible to each user (membership-scoped), counted per queue."""
     o = Ops(spark, d)
-    v = J.visible_to(o.dead_letter_entries.select("dlq_id", "queue_id"), o.queues, o.projects, o.org_memberships)
-    return v.groupBy("user_id", "queue_id").agg(F.count(F.lit(1)).alias("entries"))
+    return J.visible_counts(o.dead_letter_entries, o.queues, o.projects, o.org_memberships)

@@ -169,7 +169,7 @@ SELECT job_id, new_status AS status,
 FROM {_FAIL_SQL} f""", "jobs"))
 def b8(spark, d):
     o = Ops(spark, d)
-    ch, _, _, _ = B.apply_failures(o.jobs, o.executions, _failures(o), JOBS_NOW)
+    ch, *_ = B.apply_failures(o.jobs, o.executions, o.capacity_tokens, _failures(o), JOBS_NOW)
     return ch.select("job_id", "status", "next_retry_at", "error_message", "failed_at")
 
 
@@ -181,7 +181,7 @@ SELECT {derived_id_sql("'dlq'", "job_id", "attempt")} AS dlq_id, job_id, queue_i
 FROM {_FAIL_SQL} f WHERE new_status = 'FAILED'""", "jobs"))
 def b8d(spark, d):
     o = Ops(spark, d)
-    return B.apply_failures(o.jobs, o.executions, _failures(o), JOBS_NOW)[2]
+    return B.apply_failures(o.jobs, o.executions, o.capacity_tokens, _failures(o), JOBS_NOW)[2]
 
 
 @register("b8_fail_executions", with_views(f"""
@@ -190,10 +190,37 @@ SELECT e.execution_id, e.job_id, CASE WHEN f.outcome = 'unknown' THEN 'ABANDONED
     "executions", "jobs"))
 def b8e(spark, d):
     o = Ops(spark, d)
-    ex = B.apply_failures(o.jobs, o.executions, _failures(o), JOBS_NOW)[1]
+    ex = B.apply_failures(o.jobs, o.executions, o.capacity_tokens, _failures(o), JOBS_NOW)[1]
     return ex.select("execution_id", "job_id", "status", "error_kind")
 
 
+@register("b8_freed_tokens", with_views(f"""
+SELECT t.queue_id, t.slot_index, t.epoch, CAST(NULL AS BIGINT) AS job_id, CAST(NULL AS TIMESTAMP) AS lease_until
+FROM capacity_tokens t WHERE t.job_id IN (SELECT job_id FROM {_FAIL_SQL} f)""", "capacity_tokens", "jobs"))
+def b8t(spark, d):
+    o = Ops(spark, d)
+    return B.apply_failures(o.jobs, o.executions, o.capacity_tokens, _failures(o), JOBS_NOW)[4].select(
+        "queue_id", "slot_index", "epoch", "job_id", "lease_until")
+
+
+@register("b8_outcomes", with_views(f"""
+SELECT j.job_id, CASE WHEN j.job_id % 3 = 2 AND j.status <> 'RUNNING' THEN 'not_running' ELSE 'accepted' END AS verdict,
+  f.new_status FROM jobs j LEFT JOIN {_FAIL_SQL} f ON f.job_id = j.job_id WHERE j.status IN ('RUNNING', 'CLAIMED')""", "jobs"))
+def b8v(spark, d):
+    o = Ops(spark, d)
+    return B.apply_failures(o.jobs, o.executions, o.capacity_tokens, _failures(o), JOBS_NOW)[3].select(
+        "job_id", "verdict", "new_status")
+
+
+@register("b7_freed_tokens", with_views("""
+SELECT queue_id, slot_index, CAST(NULL AS BIGINT) AS job_id FROM capacity_tokens
+WHERE job_id IN (SELECT job_id FROM jobs WHERE status = 'RUNNING' AND job_id % 4 <> 0)""", "capacity_tokens", "jobs"))
+def b7t(spark, d):
+    o = Ops(spark, d)
+    return B.apply_completions(o.jobs, o.executions, o.capacity_tokens, _completions(o), JOBS_NOW)[2].select(
+        "queue_id", "slot_index", "job_id")
+
+
 # B9 ---------------------------------------------------------------------------
 _REPLAY_ID = derived_id_sql("'replay'", "dlq_id", f"'{JOBS_NOW}'")
 
@@ -280,7 +307,9 @@ _CREATED_SQL = f"""(SELECT {derived_id_sql("'job'", "r.request_id")} AS job_id,
     % CAST(greatest(q.shard_count, 1) AS UHUGEINT) AS BIGINT) AS shard_id, r.payload
   FROM (SELECT *, coalesce(header_key, body_key, 'req-' || CAST(request_id AS VARCHAR)) AS rk FROM {_REQ_SQL}) r
   JOIN queues q ON q.queue_id = r.queue_id
-  WHERE coalesce(r.priority, q.default_priority) BETWEEN 0 AND 100)"""
+  WHERE coalesce(r.priority, q.default_priority) BETWEEN 0 AND 100
+  QUALIFY coalesce(r.header_key, r.body_key) IS NULL
+    OR row_number() OVER (PARTITION BY r.queue_id, coalesce(r.header_key, r.body_key) ORDER BY r.request_id) = 1)"""
 
 
 @register("b1_created_jobs", with_views(f"""
@@ -300,10 +329,41 @@ def b1o(spark, d):
     return B.create_jobs(_requests(spark, d), o.queues, o.projects, JOBS_NOW)[1]
 
 
-@register("b1_create_rejects", with_views(f"""
-SELECT r.request_id, r.queue_id, CASE WHEN q.queue_id IS NULL THEN 'queue_not_found' ELSE 'priority_out_of_range' END AS reason
+_REJECTS_SQL = f"""(SELECT r.request_id, r.queue_id, CASE WHEN q.queue_id IS NULL THEN 'queue_not_found' ELSE 'priority_out_of_range' END AS reason
 FROM {_REQ_SQL} r LEFT JOIN queues q ON q.queue_id = r.queue_id
-WHERE q.queue_id IS NULL OR NOT (coalesce(r.priority, q.default_priority) BETWEEN 0 AND 100)""", "queues"))
+WHERE q.queue_id IS NULL OR NOT (coalesce(r.priority, q.default_priority) BETWEEN 0 AND 100))"""
+_VALID_SQL = f"""(SELECT r.request_id, r.queue_id, coalesce(r.header_key, r.body_key) AS k, q.rate_limit FROM {_REQ_SQL} r
+  JOIN queues q ON q.queue_id = r.queue_id WHERE coalesce(r.priority, q.default_priority) BETWEEN 0 AND 100)"""
+
+
+@register("b1_create_conflicts", with_views(f"""
+SELECT request_id, queue_id FROM (SELECT *, row_number() OVER (PARTITION BY queue_id, k ORDER BY request_id) AS rn
+  FROM {_VALID_SQL} v WHERE k IS NOT NULL) x WHERE rn > 1 OR (queue_id, k) IN (SELECT queue_id, idempotency_key FROM held)
+""".replace("held", "(SELECT o_custkey AS queue_id, 'h' || CAST(o_orderkey % 7 AS VARCHAR) AS idempotency_key FROM orders WHERE o_orderkey % 50 = 0) h"),
+    "queues"))
+def b1x(spark, d):
+    """Conflicts with keys already held by other jobs and inside the requests."""
+    o = Ops(spark, d)
+    src = read(spark, d, "orders").filter("o_orderkey % 50 = 0")
+    held = src.select(F.col("o_custkey").alias("queue_id"),
+                      F.concat(F.lit("h"), (F.col("o_orderkey") % 7).cast("string")).alias("idempotency_key"))
+    rej = B.create_jobs(_requests(spark, d), o.queues, o.projects, JOBS_NOW, existing=held)[2]
+    return rej.filter("reason = 'idempotency_conflict'").select("request_id", "queue_id")
+
+
+@register("b1_rate_limited", with_views(f"""
+SELECT request_id, queue_id FROM (SELECT *, row_number() OVER (PARTITION BY queue_id ORDER BY request_id) AS rn FROM {_VALID_SQL} v) x
+WHERE rn > rate_limit""", "queues"))
+def b1l(spark, d):
+    o = Ops(spark, d)
+    rej = B.create_jobs(_requests(spark, d), o.queues, o.projects, JOBS_NOW, rate_limits=True)[2]
+    return rej.filter("reason = 'rate_limited'").select("request_id", "queue_id")
+
+
+@register("b1_create_rejects", with_views(f"""
+SELECT * FROM {_REJECTS_SQL} a UNION ALL
+SELECT request_id, queue_id, 'idempotency_conflict' FROM (SELECT *, row_number() OVER (PARTITION BY queue_id, k ORDER BY request_id) AS rn
+  FROM {_VALID_SQL} v WHERE k IS NOT NULL) x WHERE rn > 1""", "queues"))
 def b1r(spark, d):
     o = Ops(spark, d)
     return B.create_jobs(_requests(spark, d), o.queues, o.projects, JOBS_NOW)[2]

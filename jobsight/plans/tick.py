@@ -1,8 +1,8 @@
 """Backlog maintenance tick (T8): reclaim → backfill → promote → requeue → fire
 due cron, in the reference's order, as one composition of set operators.
 
-``run_tick`` returns the changed/derived frames of one tick; ``merge_tick``
-applies them to the tables; ``tick_batch`` is the ``foreachBatch`` form that
+``run_tick`` returns the changed/derived frames of one tick (callers merge them with
+``merge.upsert``); ``tick_batch`` is the ``foreachBatch`` form that
 writes one tick per micro-batch into epoch-keyed folders (idempotent retries)."""
 
 from __future__ import annotations
@@ -50,6 +50,6 @@ def tick_batch(ops_for_batch, out_dir: str):
         if row is None or row["now"] is None:
             return
         res = run_tick(ops_for_batch(batch), str(row["now"]))
-        for name in ("outbox", "reclaimed", "promoted", "requeued", "cron_jobs"):
+        for name in res:
             res[name].write.mode("overwrite").parquet(f"{out_dir}/{name}/epoch={epoch}")
     return handle

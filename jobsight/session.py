@@ -1,10 +1,11 @@
-"""Session settings, time literals, checkpoint location and size-checked broadcast."""
+"""Session settings, time literals, checkpoint location, shipping the package to workers."""
 
 from __future__ import annotations
 
 import datetime as _dt
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,7 @@ def build_session(master: str | None = None, app: str = "jobsight",
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
@@ -82,13 +84,22 @@ def secs(n) -> Column:
     return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), c.cast("decimal(18,6)"))
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Broadcast ``df`` only after proving it has at most ``max_rows`` rows.
-
-    The probe reads at most ``max_rows + 1`` rows. Larger inputs are returned
-    unchanged so the planner picks a shuffle join (AQE may still convert it)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+def ship_package(spark: SparkSession) -> None:
+    """Make the package importable in Python workers wherever they run: a zip of its
+    sources goes to all executors with Spark's own file distribution, once a session."""
+    sc = spark.sparkContext
+    if getattr(sc, "_jobsight_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="jobsight-code-"), "jobsight.zip")   # read by the driver only
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, files in os.walk(root):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.join("jobsight", os.path.relpath(full, root)))
+    sc.addPyFile(path)
+    sc._jobsight_shipped = True
 
 
 def env_int(name: str, default: int) -> int:

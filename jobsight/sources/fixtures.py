@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import contextvars
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import JOB_STATUSES, MEMBER_ROLES, RETRY_STRATEGIES, DLQ_REASONS
@@ -147,25 +147,37 @@ def _jobs(spark, d):
         F.when(failed, F.col("ek")).alias("error_kind"))
 
 
+_EXEC_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_returnflag",
+                 "l_linestatus", "l_linenumber", "l_quantity"]
+
+
+def _execution_status() -> Column:
+    rf = F.col("l_returnflag")
+    return (F.when(rf == "A", "COMPLETED").when(rf == "R", "FAILED")
+            .when(F.col("l_linestatus") == "O", "STARTED").otherwise("ABANDONED"))
+
+
+def _execution_facts(spark, d):
+    """Executions without their number inside the job, for uses that need none."""
+    return read(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("job_id"), F.col("l_suppkey").alias("worker_id"),
+        _execution_status().alias("status"), F.col("l_shipdate").alias("started_at"),
+        F.floor("l_extendedprice").cast("long").alias("duration_ms"))
+
+
 def _executions(spark, d):
     from ..operators.windows import row_number_in_groups
-    li = read(spark, d, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_returnflag",
-        "l_linestatus", "l_linenumber", "l_quantity")
-    rf = F.col("l_returnflag")
-    # attempt = position of the line inside its order; numbered with the size
-    # probe (plain window for ordinary orders, range-split path for a huge one)
+    li = read(spark, d, "lineitem").select(*_EXEC_COLUMNS)
+    # attempt = position of the line inside its order; an order's lines are cut by year
     x = row_number_in_groups(li, ["l_orderkey"], ["l_shipdate", "l_partkey", "l_suppkey", "l_linenumber",
-                                                  "l_quantity", "l_extendedprice"], "attempt")
+                                                  "l_quantity", "l_extendedprice"], [F.year("l_shipdate")], "attempt")
     return x.select(
         (F.col("l_orderkey") * 100 + F.col("attempt")).alias("execution_id"),
         F.col("l_orderkey").alias("job_id"), F.col("l_suppkey").alias("worker_id"),
-        "attempt", F.col("attempt").alias("lease_epoch"),
-        F.when(rf == "A", "COMPLETED").when(rf == "R", "FAILED")
-         .when(F.col("l_linestatus") == "O", "STARTED").otherwise("ABANDONED").alias("status"),
+        "attempt", F.col("attempt").alias("lease_epoch"), _execution_status().alias("status"),
         F.col("l_shipdate").alias("started_at"),
         F.floor("l_extendedprice").cast("long").alias("duration_ms"),
-        F.when(rf == "R", _pick(ERROR_KINDS, F.col("l_linenumber") % 7)).alias("error_kind"))
+        F.when(F.col("l_returnflag") == "R", _pick(ERROR_KINDS, F.col("l_linenumber") % 7)).alias("error_kind"))
 
 
 def _outbox_events(spark, d):
@@ -238,7 +250,8 @@ def _status_events(spark, d):
         .when(et == "click", "RUNNING").when(et == "purchase", "COMPLETED").otherwise("FAILED")
     x = e.select(F.col("event_id"), F.col("user_id").alias("job_id"), st.alias("status"),
                  F.col("ts").alias("event_ts"), F.when(et == "view", 1).otherwise(0).alias("__v"))
-    return running_sum_in_groups(x, ["job_id"], ["event_ts", "event_id"], "__v", "epoch").drop("__v")
+    return running_sum_in_groups(x, ["job_id"], ["event_ts", "event_id"], "__v", "epoch",
+                                 [F.to_date("event_ts")]).drop("__v")
 
 
 def _arrivals(spark, d):
@@ -285,9 +298,9 @@ def _workflow_edges(spark, d):
 
     Positions come from skew-safe numbering (a customer may own a large share of
     all orders) and predecessors from equi-joins on (customer, position)."""
-    from ..operators.windows import row_number_in_groups
+    from ..operators.windows import id_range, row_number_in_groups
     o = read(spark, d, "orders").select("o_orderkey", "o_custkey")
-    r = row_number_in_groups(o, ["o_custkey"], ["o_orderkey"], "__rn")
+    r = row_number_in_groups(o, ["o_custkey"], ["o_orderkey"], [id_range("o_orderkey")], "__rn")
     parts = []
     for lag in (1, 2):
         prev = r.select("o_custkey", (F.col("__rn") + lag).alias("__rn"), F.col("o_orderkey").alias("parent_id"))
@@ -305,15 +318,17 @@ def _cyclic_edges(spark, d):
 
 
 def _capacity_tokens(spark, d):
+    """Slots of every queue; CLAIMED and RUNNING jobs hold the first ones by job id, with
+    their job's epoch and lease end."""
+    from ..operators.windows import id_range, row_number_in_groups
     q = build(spark, d, "queues").select("queue_id", "max_concurrency")
     slots = q.select("queue_id", F.explode(F.sequence(_L(0), F.col("max_concurrency") - 1)).alias("slot_index"))
-    held = build(spark, d, "jobs").filter(F.col("status").isin("CLAIMED", "RUNNING"))
-    w = Window.partitionBy("queue_id").orderBy("job_id")
-    h = (held.select("queue_id", "job_id", "lease_owner", F.row_number().over(w).alias("rn"))
-         .filter(F.col("rn") <= 1000)
-         .select("queue_id", (F.col("rn") - 1).cast("long").alias("slot_index"),
-                 F.col("lease_owner").alias("worker_id"), "job_id"))
-    return slots.join(h, ["queue_id", "slot_index"], "left")
+    held = build(spark, d, "jobs").filter(F.col("status").isin("CLAIMED", "RUNNING")) \
+        .select("queue_id", "job_id", "lease_owner", "lease_epoch", "lease_expires_at")
+    h = row_number_in_groups(held, ["queue_id"], ["job_id"], [id_range("job_id")]) \
+        .select("queue_id", (F.col("rn") - 1).alias("slot_index"), F.col("lease_owner").alias("worker_id"),
+                "job_id", F.col("lease_epoch").alias("epoch"), F.col("lease_expires_at").alias("lease_until"))
+    return slots.join(h, ["queue_id", "slot_index"], "left").withColumn("epoch", F.coalesce("epoch", _L(0)))
 
 
 def _batches(spark, d):
@@ -325,7 +340,7 @@ def _batches(spark, d):
 _BUILDERS = {
     "organizations": _organizations, "projects": _projects, "queues": _queues, "users": _users,
     "org_memberships": _org_memberships, "project_memberships": _project_memberships,
-    "jobs": _jobs, "executions": _executions, "outbox_events": _outbox_events,
+    "jobs": _jobs, "executions": _executions, "execution_facts": _execution_facts, "outbox_events": _outbox_events,
     "dead_letter_entries": _dead_letter_entries, "failure_summaries": _failure_summaries,
     "workers": _workers, "worker_heartbeats": _worker_heartbeats, "job_logs": _job_logs,
     "status_events": _status_events, "arrivals": _arrivals, "lease_events": _lease_events,
@@ -469,10 +484,10 @@ VIEW_SQL: dict[str, str] = {
     "cyclic_edges": """SELECT parent_id, child_id FROM workflow_edges UNION ALL
         SELECT max(o_orderkey) AS parent_id, min(o_orderkey) AS child_id FROM orders
         WHERE o_custkey % 10 = 0 GROUP BY o_custkey HAVING count(*) > 1""",
-    "capacity_tokens": """SELECT s.queue_id, s.slot_index, h.worker_id, h.job_id
+    "capacity_tokens": """SELECT s.queue_id, s.slot_index, h.worker_id, h.job_id, coalesce(h.epoch, 0) AS epoch, h.lease_until
       FROM (SELECT queue_id, CAST(unnest(range(0, max_concurrency)) AS BIGINT) AS slot_index FROM queues) s
       LEFT JOIN (SELECT queue_id, CAST(row_number() OVER (PARTITION BY queue_id ORDER BY job_id) - 1 AS BIGINT) AS slot_index,
-                        lease_owner AS worker_id, job_id
+                        lease_owner AS worker_id, job_id, lease_epoch AS epoch, lease_expires_at AS lease_until
                  FROM jobs WHERE status IN ('CLAIMED', 'RUNNING')) h
       ON s.queue_id = h.queue_id AND s.slot_index = h.slot_index""",
     "batches": "SELECT o_orderkey // 20 AS batch_id, count(*) AS total_jobs FROM orders GROUP BY o_orderkey // 20",

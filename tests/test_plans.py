@@ -31,17 +31,30 @@ def test_filter_reaches_the_scan(spark):
     assert "DataFilters" in p and "o_totalprice" not in p
 
 
-def test_claims_use_partial_top_k(spark):
+def test_claims_rank_queues_in_buckets(spark):
     p = _plan(all_queries()["w3_allocate_claims"].fn(spark, SF))
-    assert "WindowGroupLimit" in p and "Partial" in p
+    assert re.search(r"Window \[row_number\(\).*\], \[queue_id#\d+L, __b0", p)
 
 
-def test_split_path_has_no_window_over_the_group(spark):
+def test_numbering_windows_stay_inside_buckets(spark):
     rows = [(i, i % 2, i) for i in range(200)]
     df = spark.createDataFrame(rows, "id long, g long, t long")
-    out = W.row_number_in_groups(df, ["g"], ["t"], "rn", max_group_rows=None)
+    out = W.row_number_in_groups(df, ["g"], ["t"], [W.id_range("t", 10)], "rn")
     p = _plan(out)
-    # rows come from the checkpointed range-partitioned frame; no window numbers a whole group
-    assert "scan existingrdd" in p.lower()
-    assert not re.search(r"Window \[row_number", p)
+    assert re.search(r"Window \[row_number\(\).*\], \[g#\d+L, __b0", p)
+    assert not re.search(r"Window \[row_number\(\)[^\]]*\], \[g#\d+L\]", p)
     assert out.filter(F.col("rn") > 100).count() == 0 and out.select("rn").distinct().count() == 100
+
+
+def test_building_a_view_runs_no_job(spark):
+    from jobsight.sources.fixtures import Ops
+    o = Ops(spark, SF)
+    o.jobs.schema, o.outbox_events.schema                       # footers are read here
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("views", "building")
+    W.dispatch_rank(o.jobs)
+    W.lease_epochs(o.lease_events)
+    W.audit_transitions(o.status_events, W.transition_matrix(spark))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("views")]
+    assert len(jobs) <= 2 and all(len(j.stageIds) == 1 for j in jobs)   # footers of the events file only
