@@ -290,7 +290,7 @@ def _scheduled_jobs(spark, d):
                     F.lit(None).cast("timestamp_ntz").alias("run_once_at"),
                     ((k % 6) != 0).alias("is_active"), (F.col("p_size") % 10).cast("long").alias("priority"),
                     F.lit('{"type":"echo"}').alias("payload"),
-                    F.lit(None).cast("timestamp_ntz").alias("next_fire_at"))
+                    F.when(k % 3 == 0, ts(JOBS_NOW) - secs((k % 7) * 3600)).alias("next_fire_at"))
 
 
 def _workflow_edges(spark, d):
@@ -474,7 +474,7 @@ VIEW_SQL: dict[str, str] = {
         {_sql_list(FIXTURE_ZONES)}[p_partkey % 4 + 1] AS timezone,
         CAST(NULL AS TIMESTAMP) AS run_once_at, (p_partkey % 6 <> 0) AS is_active,
         CAST(p_size % 10 AS BIGINT) AS priority, '{{"type":"echo"}}' AS payload,
-        CAST(NULL AS TIMESTAMP) AS next_fire_at FROM part""",
+        CASE WHEN p_partkey % 3 = 0 THEN TIMESTAMP '{JOBS_NOW}' - to_seconds((p_partkey % 7) * 3600) END AS next_fire_at FROM part""",
     "workflow_edges": """SELECT parent_id, child_id FROM (
         SELECT lag(o_orderkey, 1) OVER w AS parent_id, o_orderkey AS child_id FROM orders
           WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)

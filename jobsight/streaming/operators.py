@@ -17,6 +17,13 @@ from ..schema import DECLARED_TRANSITIONS
 from ..operators.windows import INITIAL_STATUSES
 
 
+def _whole(pdfs: Iterator[pd.DataFrame], *order: str) -> pd.DataFrame | None:
+    """All rows of a group in this micro-batch, sorted: they come in Arrow chunks of any
+    order. Rows behind the watermark do not come at all."""
+    parts = [p for p in pdfs if len(p)]
+    return pd.concat(parts).sort_values(list(order)) if parts else None
+
+
 # T1 ---------------------------------------------------------------------------
 def dedup_messages(stream: DataFrame, ts_col: str = "ts", key: str = "msg_id",
                    window: str = "2 minutes") -> DataFrame:
@@ -30,18 +37,19 @@ DELTA_SCHEMA = "job_id long, scope long, status string, delta long"
 
 
 def _latest_status(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
-    cur = state.get if state.exists else None  # (ts_micros, event_id, status, scope)
-    for pdf in pdfs:
-        for t, eid, st, sc in zip(pdf["__t"], pdf["event_id"], pdf["status"], pdf["__scope"]):
-            if cur is None or (t, eid) > (cur[0], cur[1]):
-                prev = cur
-                sc = None if pd.isna(sc) else int(sc)
-                cur = (int(t), int(eid), st, sc)
-                if prev is None or prev[2] != st or prev[3] != sc:
-                    rows = [(key[0], sc, st, 1)] + ([(key[0], prev[3], prev[2], -1)] if prev is not None else [])
-                    yield pd.DataFrame(rows, columns=["job_id", "scope", "status", "delta"])
-    if cur is not None:
-        state.update(cur)
+    """Only the group's latest row of the micro-batch can matter: one change at most."""
+    prev = state.get if state.exists else None  # (ts_micros, event_id, status, scope)
+    pdf = _whole(pdfs, "__t", "event_id")
+    if pdf is None:
+        return
+    r = pdf.iloc[-1]
+    cur = (int(r["__t"]), int(r["event_id"]), r["status"], None if pd.isna(r["__scope"]) else int(r["__scope"]))
+    if prev is not None and cur[:2] <= tuple(prev[:2]):
+        return
+    state.update(cur)
+    if prev is None or (prev[2], prev[3]) != cur[2:]:
+        rows = [(key[0], cur[3], cur[2], 1)] + ([(key[0], prev[3], prev[2], -1)] if prev is not None else [])
+        yield pd.DataFrame(rows, columns=["job_id", "scope", "status", "delta"])
 
 
 def status_deltas(events: DataFrame, ts_col: str = "event_ts", scope: str | None = None) -> DataFrame:
@@ -87,17 +95,18 @@ ADMIT_SCHEMA = "arrival_id long, queue_id string, event_ts timestamp, accepted b
 def _admit_state(limit: int, window_us: int):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
         acc = list(state.get[0]) if state.exists else []
-        for pdf in pdfs:
-            pdf = pdf.sort_values(["__t", "arrival_id"])
-            out = []
-            for t, aid, ts_ in zip(pdf["__t"], pdf["arrival_id"], pdf["event_ts"]):
-                acc = [a for a in acc if a >= t - window_us]
-                ok = len(acc) + 1 <= limit
-                if ok:
-                    acc.append(int(t))
-                out.append((int(aid), key[0], ts_, ok))
-            yield pd.DataFrame(out, columns=["arrival_id", "queue_id", "event_ts", "accepted"])
+        pdf = _whole(pdfs, "__t", "arrival_id")
+        if pdf is None:
+            return
+        out = []
+        for t, aid, ts_ in zip(pdf["__t"], pdf["arrival_id"], pdf["event_ts"]):
+            acc = [a for a in acc if a >= t - window_us]
+            ok = len(acc) + 1 <= limit
+            if ok:
+                acc.append(int(t))
+            out.append((int(aid), key[0], ts_, ok))
         state.update((acc,))
+        yield pd.DataFrame(out, columns=["arrival_id", "queue_id", "event_ts", "accepted"])
     return fn
 
 
@@ -120,22 +129,23 @@ LIFECYCLE_SCHEMA = "event_id long, job_id long, from_status string, status strin
 def _lifecycle(allowed: frozenset):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
         cur, ep = state.get if state.exists else (None, -1)
-        for pdf in pdfs:
-            pdf = pdf.sort_values(["__t", "event_id"])
-            out = []
-            for eid, st, e in zip(pdf["event_id"], pdf["status"], pdf["epoch"]):
-                e = int(e) if not pd.isna(e) else ep
-                if e < ep:
-                    verdict = "stale_epoch"
-                elif (cur is None and st in INITIAL_STATUSES) or (cur, st) in allowed:
-                    verdict = "accepted"
-                else:
-                    verdict = "invalid_transition"
-                out.append((int(eid), key[0], cur, st, e, verdict))
-                if verdict == "accepted":
-                    cur, ep = st, max(ep, e)
-            yield pd.DataFrame(out, columns=["event_id", "job_id", "from_status", "status", "epoch", "verdict"])
+        pdf = _whole(pdfs, "__t", "event_id")
+        if pdf is None:
+            return
+        out = []
+        for eid, st, e in zip(pdf["event_id"], pdf["status"], pdf["epoch"]):
+            e = int(e) if not pd.isna(e) else ep
+            if e < ep:
+                verdict = "stale_epoch"
+            elif (cur is None and st in INITIAL_STATUSES) or (cur, st) in allowed:
+                verdict = "accepted"
+            else:
+                verdict = "invalid_transition"
+            out.append((int(eid), key[0], cur, st, e, verdict))
+            if verdict == "accepted":
+                cur, ep = st, max(ep, e)
         state.update((cur, ep))
+        yield pd.DataFrame(out, columns=["event_id", "job_id", "from_status", "status", "epoch", "verdict"])
     return fn
 
 
@@ -157,33 +167,41 @@ def _lease_monitor(lease_us: int, grace_us: int):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
         wm_us = state.getCurrentWatermarkMs() * 1000
         cur = state.get if state.exists else None
-        if not state.hasTimedOut:
-            for pdf in pdfs:
-                for kind, w, t in sorted(zip(pdf["kind"], pdf["worker_id"], pdf["__t"]), key=lambda r: r[2]):
-                    if kind == "complete":
-                        cur = None
-                    elif kind == "claim" or (cur is not None and kind == "renew" and cur[0] == w):
-                        cur = (int(w), int(t) + lease_us)
-        if cur is None:
-            if state.exists:
-                state.remove()
-            return
-        if cur[1] + grace_us < wm_us or state.hasTimedOut:
+        rows = []
+
+        def lapse(before: int) -> None:
+            """Emit the open lease if its expiry + grace lies before a time."""
+            nonlocal cur
+            if cur is not None and cur[1] + grace_us < before:
+                rows.append((key[0], cur[0], pd.Timestamp(cur[1], unit="us")))
+                cur = None
+
+        pdf = None if state.hasTimedOut else _whole(pdfs, "__t", "event_id")
+        if pdf is not None:
+            for kind, w, t in zip(pdf["kind"], pdf["worker_id"], pdf["__t"]):
+                lapse(int(t))
+                if kind == "complete":
+                    cur = None
+                elif kind == "claim" or (cur is not None and kind == "renew" and cur[0] == w):
+                    cur = (int(w), int(t) + lease_us)
+        lapse(wm_us)
+        if cur is not None:
+            state.update(cur)
+            state.setTimeoutTimestamp((cur[1] + grace_us) // 1000 + 1)
+        elif state.exists:
             state.remove()
-            yield pd.DataFrame([(key[0], cur[0], pd.Timestamp(cur[1], unit="us"))],
-                               columns=["job_id", "worker_id", "expired_at"])
-            return
-        state.update(cur)
-        state.setTimeoutTimestamp((cur[1] + grace_us) // 1000 + 1)
+        if rows:
+            yield pd.DataFrame(rows, columns=["job_id", "worker_id", "expired_at"])
     return fn
 
 
 def lease_stream(events: DataFrame, lease_secs: int = 30, grace_secs: int = 10, ts_col: str = "event_ts",
                  watermark: str = "0 seconds") -> DataFrame:
     """Open leases per job (claim opens, same-worker renew extends, complete
-    closes); when the watermark passes expiry + grace a reclaim row is emitted."""
+    closes); a lease past expiry + grace gives a reclaim row when a later event of the
+    job or the watermark shows it, however the events are cut into micro-batches."""
     x = (events.withColumn("__ts", F.col(ts_col).cast("timestamp")).withWatermark("__ts", watermark)
-               .select("job_id", "worker_id", "kind", "__ts", F.unix_micros("__ts").alias("__t")))
+               .select("job_id", "worker_id", "event_id", "kind", "__ts", F.unix_micros("__ts").alias("__t")))
     return x.groupBy("job_id").applyInPandasWithState(
         _lease_monitor(lease_secs * 1_000_000, grace_secs * 1_000_000), RECLAIM_SCHEMA,
         "worker long, until long", "append", GroupStateTimeout.EventTimeTimeout)
@@ -198,12 +216,15 @@ def _dag_state(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
     done = state.get[1] if state.exists else False
     need = None
     for pdf in pdfs:
+        if done:
+            return                       # a released child keeps a marker, not its parents
         seen.update(int(p) for p in pdf["parent_id"])
         need = int(pdf["needed"].iloc[0])
-    if not done and need is not None and len(seen) >= need:
-        done = True
+    if need is not None and len(seen) >= need:
+        state.update(([], True))
         yield pd.DataFrame([(key[0], len(seen))], columns=["child_id", "parents"])
-    state.update((sorted(seen), done))
+    else:
+        state.update((sorted(seen), False))
 
 
 def dag_stream(completions: DataFrame, edges: DataFrame) -> DataFrame:
@@ -238,24 +259,22 @@ def _liveness_state(online_us: int, stale_us: int):
         wm_us = state.getCurrentWatermarkMs() * 1000
         last, status = state.get if state.exists else (None, None)
         rows = []
-        if not state.hasTimedOut:
-            for pdf in pdfs:
-                for t in sorted(int(x) for x in pdf["__t"]):
-                    if last is not None and t > last:
-                        if t > last + online_us and status == "ONLINE":
-                            rows.append((w, last + online_us, "ONLINE", "STALE"))
-                        if t > last + stale_us and status in ("ONLINE", "STALE"):
-                            rows.append((w, last + stale_us, "STALE", "OFFLINE"))
-                        if t > last + online_us:
-                            rows.append((w, t, "OFFLINE" if t > last + stale_us else "STALE", "ONLINE"))
-                    if last is None or t > last:
-                        last, status = t, "ONLINE"
+        pdf = None if state.hasTimedOut else _whole(pdfs, "__t")
+        if pdf is not None:
+            for t in pdf["__t"].astype("int64").tolist():
+                if last is not None and t > last:
+                    if t > last + online_us and status == "ONLINE":
+                        rows.append((w, last + online_us, "ONLINE", "STALE"))
+                    if t > last + stale_us and status in ("ONLINE", "STALE"):
+                        rows.append((w, last + stale_us, "STALE", "OFFLINE"))
+                    if t > last + online_us:
+                        rows.append((w, t, "OFFLINE" if t > last + stale_us else "STALE", "ONLINE"))
+                if last is None or t > last:
+                    last, status = t, "ONLINE"
         more, status = due_edges(w, last, status, wm_us)
         rows += more
-        if status == "OFFLINE":
-            state.remove()
-        else:
-            state.update((last, status))
+        state.update((last, status))     # OFFLINE stays: the next heartbeat's edge starts from it
+        if status != "OFFLINE":
             state.setTimeoutTimestamp((last + (online_us if status == "ONLINE" else stale_us)) // 1000 + 1)
         if rows:
             yield _edges_frame(rows)

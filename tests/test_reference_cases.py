@@ -303,14 +303,61 @@ def test_tick_per_micro_batch(spark, tmp_path):
     assert spark.read.parquet(out + "/outbox").count() > 0
 
 
-def test_stream_timers_agree_with_batch_twins(spark):
-    q = all_queries()
-    s = q["t3_liveness_stream"].fn(spark, SF)
-    b = q["t3_liveness_edges"].fn(spark, SF)
-    assert s.count() > 0 and s.exceptAll(b.select(*s.columns)).count() == 0
-    s6 = q["t6_lease_stream"].fn(spark, SF).select("job_id", "worker_id", "expired_at")
-    b6 = q["t6_lease_expiries"].fn(spark, SF).select("job_id", "worker_id", "expired_at")
-    assert s6.count() > 0 and s6.exceptAll(b6).count() == 0
+def _unsorted_files(spark, path, n=6):
+    """The events in ``n`` files, the rows of each in no order; file i holds the i-th time span."""
+    ev = spark.read.parquet(f"{SF}/events.parquet")
+    rows = ev.count()
+    for i in range(n):
+        ev.filter((F.col("event_id") >= i * rows // n) & (F.col("event_id") < (i + 1) * rows // n)) \
+            .orderBy(F.xxhash64("event_id")).coalesce(1).write.mode("append").parquet(path)
+    return ev.schema
+
+
+@pytest.mark.parametrize("files", [None, 1])
+def test_streams_do_not_depend_on_order_or_batching(spark, tmp_path, files):
+    """T4 and T6 over unsorted files, in one micro-batch and in one per file, both ways."""
+    from jobsight.operators.admission import admit
+    from jobsight.streaming import operators as T
+    from jobsight.streaming.liveness import lease_expiries
+    from jobsight.streaming.runner import run_to_table
+    path = str(tmp_path / "events")
+    schema = _unsorted_files(spark, path)
+    src = spark.readStream.schema(schema)
+    src = (src.option("maxFilesPerTrigger", files) if files else src).parquet(path)
+    whole = spark.read.parquet(path)
+    arr = lambda e: e.select(F.col("event_id").alias("arrival_id"), F.col("event_type").alias("queue_id"), F.col("ts").alias("event_ts"))
+    a = admit(arr(whole), 3, 3600).select("arrival_id", "accepted")
+    s = run_to_table(T.admit_stream(arr(src), 3, 3600), "t4-order").select("arrival_id", "accepted")
+    assert a.exceptAll(s).count() == 0 and s.exceptAll(a).count() == 0
+    kinds = F.when(F.col("event_type") == "view", "claim").when(F.col("event_type") == "click", "renew").otherwise("complete")
+    lease = lambda e: e.select("event_id", (F.col("user_id") % 3).alias("job_id"), (F.col("event_id") % 2).alias("worker_id"),
+                               kinds.alias("kind"), F.col("ts").alias("event_ts"))
+    now = str(whole.agg(F.max("ts")).first()[0])
+    b = lease_expiries(lease(whole), now, 1200, 60).select("job_id", "worker_id", "expired_at")
+    t = run_to_table(T.lease_stream(lease(src), 1200, 60), "t6-order") \
+        .withColumn("expired_at", F.col("expired_at").cast("timestamp_ntz"))
+    assert b.count() > 0 and b.exceptAll(t).count() == 0 and t.exceptAll(b).count() == 0
+
+
+def test_renewal_after_expiry_and_grace_does_not_count(spark):
+    from jobsight.streaming.liveness import lease_expiries
+    t0 = dt.datetime(2024, 1, 1)
+    at = lambda s: t0 + dt.timedelta(seconds=s)
+    rows = [(1, 1, 5, "claim", at(0)), (2, 1, 5, "renew", at(35)), (3, 1, 6, "renew", at(50)), (4, 1, 5, "renew", at(80)),
+            (5, 1, 5, "complete", at(90)), (6, 2, 5, "claim", at(0)), (7, 2, 5, "complete", at(39)), (8, 3, 5, "claim", at(0))]
+    e = spark.createDataFrame(rows, "event_id long, job_id long, worker_id long, kind string, event_ts timestamp_ntz")
+    got = sorted((r.job_id, r.event_id, r.expired_at) for r in lease_expiries(e, "2024-01-01 00:10:00").collect())
+    assert got == [(1, 2, at(65)), (3, 8, at(30))]
+
+
+def test_second_tick_fires_nothing(spark):
+    from jobsight.sources.fixtures import JOBS_NOW, Ops
+    o = Ops(spark, SF)
+    none = spark.createDataFrame([], "schedule_id long, fire_time timestamp_ntz")
+    jobs, _, occ, moved = C.fire(o.scheduled_jobs, none, o.queues, o.projects, JOBS_NOW)
+    assert jobs.count() > 0
+    again, _, occ2, _ = C.fire(moved, occ.select("schedule_id", "fire_time"), o.queues, o.projects, JOBS_NOW)
+    assert again.count() == 0 and occ2.count() == 0
 
 
 def test_stream_admission_equals_batch(spark):
