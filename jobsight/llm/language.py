@@ -30,7 +30,7 @@ PIECE = 1 << 20
 # length band, and never above REJECT_MOST: far outside anything seen, so that texts of a
 # known language stay, repetitive ones too.
 REJECT_PART = 0.6
-REJECT_MOST = 0.2
+REJECT_MOST = 0.1
 _BANDS = 24
 
 UNKNOWN = "und"
