@@ -27,49 +27,40 @@ MONTH_NAMES = ["JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "O
 DOW_NAMES = ["SUN", "MON", "TUE", "WED", "THU", "FRI", "SAT"]
 # -------------------------------------------------------------------------------
 
-def _names(f: Column, names: list[str]) -> Column:
-    return reduce(lambda acc, iv: F.regexp_replace(acc, rf"\b{iv[1]}\b", str(iv[0] + 1)),
-                  enumerate(names), F.upper(f))
-
-
-def parse_field(f: Column, lo: int, hi: int) -> Column:
-    """struct(ok, vals): allowed values of one cron field, or ok = false."""
-    def item(it):
-        parts = F.split(it, "/")
-        base = F.try_element_at(parts, F.lit(1))
-        has_step = F.size(parts) == 2
-        step = F.when(has_step, F.try_element_at(parts, F.lit(2)).try_cast("int")).otherwise(F.lit(1))
-        rng = F.split(base, "-")
-        star = base.isin("*", "?")
-        a = F.when(star, F.lit(lo)).otherwise(F.try_element_at(rng, F.lit(1)).try_cast("int"))
-        b = (F.when(star, F.lit(hi)).when(F.size(rng) == 2, F.try_element_at(rng, F.lit(2)).try_cast("int"))
-              .when(has_step, F.lit(hi)).otherwise(a))
-        ok = ((F.size(parts) <= 2) & (F.size(rng) <= 2) & a.isNotNull() & b.isNotNull() & step.isNotNull()
-              & (step >= 1) & (a >= lo) & (b <= hi) & (a <= b))
-        return F.when(ok, F.sequence(a, b, step))
-
-    vals = F.transform(F.split(f, ","), item)
-    ok = f.isNotNull() & F.forall(vals, lambda v: v.isNotNull())
-    return F.struct(F.coalesce(ok, F.lit(False)).alias("ok"),
-                    F.when(ok, F.array_sort(F.array_distinct(F.flatten(vals)))).alias("vals"))
-
-
-def parse_cron(expr: Column) -> Column:
-    """struct(ok, sec, min, hour, dom, month, dow, year) of a cron text."""
-    toks = F.split(F.trim(expr), r"\s+")
-    n = F.size(toks)
-    parsed = {}
+def _field_sql(tok: str, lo: int, hi: int) -> str:
+    """SQL text: the sorted allowed values of the field ``tok``, null where it is
+    malformed (one bad item makes the whole list null)."""
+    num = lambda pattern: f"try_cast(nullif(regexp_extract(it, r'{pattern}', 1), '') AS INT)"
+    part = f"""it -> named_struct('ok', it RLIKE r'^(?:[*?]|\\d+(?:-\\d+)?)(?:/\\d+)?$', 'star', it RLIKE r'^[*?]',
+        'stepped', contains(it, '/'), 'a', {num('^(\\d+)')}, 'b', {num('-(\\d+)')}, 's', {num('/(\\d+)$')})"""
+    bounds = f"""r -> named_struct('ok', r.ok, 'a', CASE WHEN r.star THEN {lo} ELSE r.a END,
+        'b', CASE WHEN r.star OR (r.stepped AND r.b IS NULL) THEN {hi} ELSE coalesce(r.b, r.a) END,
+        's', CASE WHEN r.stepped THEN r.s ELSE 1 END)"""
+    values = f"r -> CASE WHEN r.ok AND r.s >= 1 AND r.a >= {lo} AND r.b <= {hi} AND r.a <= r.b THEN sequence(r.a, r.b, r.s) END"
+    return f"array_sort(array_distinct(flatten(transform(transform(transform(split({tok}, ','), {part}), {bounds}), {values}))))"
+
+
+def _named_sql(tok: str, names: list[str]) -> str:
+    """SQL text: month or weekday names of ``tok`` as numbers; only fields with letters."""
+    out = f"upper({tok})"
+    for i, name in enumerate(names):
+        out = f"regexp_replace({out}, r'\\b{name}\\b', '{i + 1}')"
+    return f"CASE WHEN {tok} RLIKE '[A-Za-z]' THEN {out} ELSE {tok} END"
+
+
+def parse_cron(expr: str) -> Column:
+    """struct(sec, min, hour, dom, month, dow, year) of the cron text in column ``expr``;
+    a field is null where it is malformed or missing. Written as SQL text: one expression
+    to parse instead of thousands of calls to build it."""
+    toks = f"split(trim({expr}), r'\\s+')"
+    fields = []
     for i, (name, lo, hi) in enumerate(FIELDS):
-        tok = F.try_element_at(toks, F.lit(i + 1)) if i < 6 else F.when(n == 7, F.try_element_at(toks, F.lit(7))).otherwise(F.lit("*"))
-        if name in ("month", "dow"):  # names are rare: only rewrite fields that have letters
-            tok = F.when(tok.rlike("[A-Za-z]"), _names(tok, MONTH_NAMES if name == "month" else DOW_NAMES)) \
-                   .otherwise(tok)
-        parsed[name] = parse_field(tok, lo, hi)
-    ok = expr.isNotNull() & n.isin(6, 7)
-    for p in parsed.values():
-        ok = ok & p["ok"]
-    return F.struct(F.coalesce(ok, F.lit(False)).alias("ok"),
-                    *[parsed[name]["vals"].alias(name) for name, _, _ in FIELDS])
+        tok = f"CASE WHEN size({toks}) IN (6, 7) THEN get({toks}, {i}) END" if i < 6 else \
+            f"CASE WHEN size({toks}) = 7 THEN get({toks}, 6) ELSE '*' END"
+        if name in ("month", "dow"):
+            tok = _named_sql(tok, MONTH_NAMES if name == "month" else DOW_NAMES)
+        fields.append(f"'{name}', {_field_sql(tok, lo, hi)}")
+    return F.expr(f"named_struct({', '.join(fields)})")
 
 
 def zone_ok(tz: Column) -> Column:
@@ -87,8 +78,9 @@ def parsed_pairs(schedules: DataFrame, cron_col: str = "cron_expr", tz_col: str
     repeated in every later expression."""
     pairs = schedules.filter(F.col(cron_col).isNotNull()) \
         .select(F.col(cron_col).alias("__ce"), F.col(tz_col).alias("__tz")).distinct()
-    return pairs.withColumn("__cron", parse_cron(F.col("__ce"))).withColumn("__tz_ok", zone_ok(F.col("__tz"))) \
+    parsed = pairs.withColumn("__cron", parse_cron("__ce")).withColumn("__tz_ok", zone_ok(F.col("__tz"))) \
         .repartition("__ce", "__tz")
+    return parsed.withColumn("__ok", reduce(lambda a, b: a & b, [F.col(f"__cron.{f}").isNotNull() for f, _, _ in FIELDS]))
 
 
 def _per_schedule(schedules: DataFrame, pairs: DataFrame, cron_col: str, tz_col: str) -> DataFrame:
@@ -111,8 +103,8 @@ def _fires(good: DataFrame, days: Column, t0: Column, t1: Column | None) -> Data
     round-tripped (DST gap skipped, ambiguous → earlier instant)."""
     tz = F.col("__tz")
     c = F.col("__cron")
-    tod = F.flatten(F.transform(c["hour"], lambda h: F.flatten(F.transform(
-        c["min"], lambda m: F.transform(c["sec"], lambda x: h * 3600 + m * 60 + x)))))
+    tod = F.expr("flatten(transform(__cron.hour, h -> flatten(transform(__cron.min, "
+                 "m -> transform(__cron.sec, x -> h * 3600 + m * 60 + x)))))")
     x = good.select("__ce", "__tz", "__cron", tod.alias("__tod"), F.explode(days).alias("__day"))
     x = x.filter(_day_matches(c, F.col("__day")))
     mid0 = F.col("__day").cast("timestamp")
@@ -138,9 +130,9 @@ def occurrences(schedules: DataFrame, start, end, id_col: str = "schedule_id",
     """Fire times in [start, end) (UTC wall clock) for every schedule with a cron
     expression. Returns (fires(id, fire_time, occurrence_key), rejects(id, reason))."""
     pairs = parsed_pairs(schedules, cron_col, tz_col)
-    good = pairs.filter(F.col("__cron.ok") & F.col("__tz_ok"))
-    bad = pairs.filter(~F.col("__cron.ok") | ~F.col("__tz_ok")).select(
-        "__ce", "__tz", F.when(~F.col("__cron.ok"), "bad_cron").otherwise("bad_timezone").alias("reason"))
+    good = pairs.filter(F.col("__ok") & F.col("__tz_ok"))
+    bad = pairs.filter(~F.col("__ok") | ~F.col("__tz_ok")).select(
+        "__ce", "__tz", F.when(~F.col("__ok"), "bad_cron").otherwise("bad_timezone").alias("reason"))
     tz = F.col("__tz")
     t0, t1 = ts(start).cast("timestamp"), ts(end).cast("timestamp")
     d0 = F.date_sub(F.to_date(F.from_utc_timestamp(t0, tz)), 1)
@@ -158,7 +150,7 @@ def next_fire(schedules: DataFrame, now, id_col: str = "schedule_id", cron_col:
     year field's domain. Per (cron, zone) the first four matching local days of a near
     range are tried first (a day can lose its only fire to a DST gap); a pair that finds
     nothing there is searched over every matching day that is left."""
-    good = parsed_pairs(schedules, cron_col, tz_col).filter(F.col("__cron.ok") & F.col("__tz_ok"))
+    good = parsed_pairs(schedules, cron_col, tz_col).filter(F.col("__ok") & F.col("__tz_ok"))
     tz = F.col("__tz")
     t0 = (ts(now) + F.expr("INTERVAL 1 MICROSECOND")).cast("timestamp")
     d0 = F.date_sub(F.to_date(F.from_utc_timestamp(t0, tz)), 1)

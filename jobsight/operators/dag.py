@@ -147,30 +147,26 @@ def cycles(edges: DataFrame, max_rounds: int = 10_000):
 
 
 # D5 ---------------------------------------------------------------------------
-def ancestors(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def ancestors(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(node_id, ancestor_id, depth) with the shortest depth, to any depth.
 
-    Each round extends only the pairs first found in the round before; a pair's round is
-    its shortest depth. Rounds end when nothing is new; reaching ``max_rounds`` raises
-    instead of returning a partial closure."""
-    e = edges.select("parent_id", "child_id").distinct().persist(StorageLevel.MEMORY_AND_DISK)
-    frontier = e.select(F.col("child_id").alias("node_id"), F.col("parent_id").alias("ancestor_id"))
-    found = frontier.withColumn("depth", F.lit(1).cast("long"))
-    kept: list[DataFrame] = []
-    for depth in range(2, max_rounds + 1):
-        step = (frontier.join(e, frontier.ancestor_id == e.child_id)
-                        .select("node_id", F.col("parent_id").alias("ancestor_id")).distinct())
-        new = step.join(found.select("node_id", "ancestor_id"), ["node_id", "ancestor_id"], "left_anti")
-        new = cut_lineage(new) if depth % CHECKPOINT_EVERY == 0 else new.persist(StorageLevel.MEMORY_AND_DISK)
-        if new.count() == 0:
-            return found
-        found = found.unionByName(new.withColumn("depth", F.lit(depth).cast("long")))
-        if depth % CHECKPOINT_EVERY == 0:
-            found = cut_lineage(found)
-            for old in kept:
-                old.unpersist()
-            kept = []
-        else:
-            kept.append(new)
-        frontier = new
+    Rounds double the depth: with all pairs up to depth k known, a pair of depth k + d
+    (d up to k) is a pair of depth exactly k joined with one of depth d, so only those at
+    the rim are extended. A round pairs nothing up twice and the closure ends when no pair
+    has depth k; ``max_rounds`` (depth 2 ** max_rounds) raises instead of returning a
+    partial closure."""
+    e = edges.select("parent_id", "child_id").distinct()
+    known = e.select(F.col("child_id").alias("node_id"), F.col("parent_id").alias("ancestor_id"),
+                     F.lit(1).cast("long").alias("depth")).persist(StorageLevel.MEMORY_AND_DISK)
+    k = 1
+    for _ in range(max_rounds):
+        rim = known.filter(F.col("depth") == k).select("node_id", F.col("ancestor_id").alias("mid"))
+        if rim.isEmpty():
+            return known
+        onward = known.select(F.col("node_id").alias("mid"), "ancestor_id", "depth")
+        step = rim.join(onward, "mid").groupBy("node_id", "ancestor_id").agg((F.min("depth") + k).alias("depth"))
+        new = step.join(known.select("node_id", "ancestor_id"), ["node_id", "ancestor_id"], "left_anti")
+        bigger = cut_lineage(known.unionByName(new))
+        known.unpersist()
+        known, k = bigger, 2 * k
     raise RoundLimitExceeded(f"ancestor closure did not end in {max_rounds} rounds")

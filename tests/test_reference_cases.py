@@ -562,7 +562,7 @@ def test_ancestors_of_a_long_chain(spark):
     out = D.ancestors(edges)
     assert out.count() == n * (n - 1) // 2 and out.agg(F.max("depth")).first()[0] == n - 1
     with pytest.raises(D.RoundLimitExceeded):
-        D.ancestors(edges, max_rounds=12)
+        D.ancestors(edges, max_rounds=3)
 
 
 def test_next_fire_of_rare_calendars(spark):
