@@ -44,6 +44,19 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions") or 200)
 
 
+def unit_hash(*cols: str) -> Column:
+    """A number in [0, 1) from the hash of the columns."""
+    return F.xxhash64(*cols).bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
+
+
+def smallest_hashes(df: DataFrame, col: str, k: int) -> DataFrame:
+    """At most ``k`` distinct values of ``col``, those of smallest hash. Only the values
+    below a bound that about ``4 k`` rows pass are sorted, however many partitions there are."""
+    n = df.count()
+    few = df.where(F.col(col).isNotNull()).where(unit_hash(col) < min(1.0, 4.0 * k / max(1, n)))
+    return few.select(col).distinct().orderBy(unit_hash(col), col).limit(k)
+
+
 def utf8(c: str | Column) -> Column:
     """A text column as UTF-8 bytes; null becomes empty."""
     c = F.col(c) if isinstance(c, str) else c

@@ -6,8 +6,8 @@ hashed words and a few shape numbers; a bidirectional LSTM in numpy reads the wh
 sequence of a page and labels every block as article text or not. Kept blocks are joined.
 
 The labeller is trained when a query is built, on ``TRAIN_PAGES`` generated pages: layouts
-are drawn from ``ROLES``, the words are at most ``WORDS`` of the table's (smallest hash).
-Its size does not depend on the data.
+are drawn from ``ROLES``, the words are at most ``WORDS`` from ``WORD_PAGES`` of the table's
+pages (smallest hashes). Its size does not depend on the data.
 """
 
 from __future__ import annotations
@@ -23,11 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import smallest_hashes
+
 PATH_DIM, WORD_DIM, SHAPES = 256, 64, 8
 INPUT = PATH_DIM + WORD_DIM + SHAPES
 HIDDEN = 20
 TRAIN_PAGES = 1_200
 WORDS = 4_000
+WORD_PAGES = 60
 EPOCHS = 8
 BATCH = 16
 DEPTH = 12           # innermost path elements that give tokens
@@ -412,8 +415,10 @@ def fit(words: list[str], pages: int = TRAIN_PAGES, seed: int = 11) -> Labeller:
 
 
 def sample_words(pages: DataFrame, limit: int = WORDS) -> list[str]:
-    """At most ``limit`` different words of the pages' blocks, those of smallest hash."""
-    source = pages.where(F.col("html").isNotNull()).select(F.col("html").cast("string").alias("h"))
+    """At most ``limit`` different words of ``WORD_PAGES`` whole pages (smallest hashes)."""
+    ids = smallest_hashes(pages.select("page_id"), "page_id", WORD_PAGES)
+    source = pages.where(F.col("html").isNotNull()).join(F.broadcast(ids), "page_id", "left_semi") \
+        .select(F.col("html").cast("string").alias("h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, utf8
+from .common import unit_hash
 
 DIM = 1 << 12
 SAMPLE = 300
@@ -156,9 +156,12 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Mo
                        & ~held_out()).select("doc_id", "lang", "text")
     n, df = document_frequency(train)
     idf = (np.log((1.0 + n) / (1.0 + df)) + 1.0).astype(np.float32)
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = train.select("doc_id", "lang").withColumn("rn", F.row_number().over(w)) \
-        .where(F.col("rn") <= sample).select("doc_id", "lang").distinct()
+    # a bound that about 4 x sample rows of each language pass, then the smallest hashes
+    sizes = train.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    few = train.select("doc_id", "lang").join(sizes, "lang") \
+        .where(unit_hash("doc_id") < 4.0 * sample / F.col("n"))
+    w = Window.partitionBy("lang").orderBy(unit_hash("doc_id"), "doc_id")
+    ids = few.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= sample).select("doc_id", "lang").distinct()
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
