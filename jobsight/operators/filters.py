@@ -176,6 +176,16 @@ def _rules() -> dict[str, dict[str, Column]]:
     "org_memberships": {"role_domain": _domain("role", MEMBER_ROLES)},
     "users": {"email_length_3_255": _len_between("email", 3, 255)},
     "organizations": {"name_length_1_100": _len_between("name", 1, 100)},
+    "projects": {
+        "name_length_1_100": _len_between("name", 1, 100),
+        "slug_length_2_50": _len_between("slug", 2, 50),
+    },
+    "retry_policies": {
+        "max_attempts_1_100": _between("max_attempts", 1, 100),
+        "base_delay_nonnegative": F.col("base_delay_secs") >= 0,
+        "base_delay_le_max": F.col("base_delay_secs") <= F.col("max_delay_secs"),
+        "strategy_domain": _domain("strategy", RETRY_STRATEGIES),
+    },
   }
 
 

@@ -187,19 +187,58 @@ def f7(spark, d):
     return W.union_all(parts)
 
 
+_POLICIES_SQL = """(SELECT c_custkey AS policy_id, CAST(c_nationkey AS BIGINT) AS project_id, 'policy-' || CAST(c_custkey % 40 AS VARCHAR) AS name,
+  c_custkey % 103 AS max_attempts, c_custkey % 50 - 2 AS base_delay_secs, (c_custkey % 7) * 10 AS max_delay_secs,
+  ['fixed', 'linear', 'exponential', 'never'][c_custkey % 4 + 1] AS strategy FROM customer)"""
+
+
+@register("f7_policy_violations", f"""
+SELECT 'retry_policies' AS tbl, policy_id AS id, r AS rule FROM (SELECT policy_id, unnest([
+    CASE WHEN NOT (max_attempts BETWEEN 1 AND 100) THEN 'max_attempts_1_100' END,
+    CASE WHEN NOT (base_delay_secs >= 0) THEN 'base_delay_nonnegative' END,
+    CASE WHEN NOT (base_delay_secs <= max_delay_secs) THEN 'base_delay_le_max' END,
+    CASE WHEN strategy NOT IN ('fixed', 'linear', 'exponential') THEN 'strategy_domain' END]) AS r FROM {_POLICIES_SQL} p) x
+  WHERE r IS NOT NULL
+UNION ALL SELECT 'retry_policies', policy_id, 'duplicate_name' FROM {_POLICIES_SQL} p WHERE (project_id, name) IN
+  (SELECT project_id, name FROM {_POLICIES_SQL} q GROUP BY ALL HAVING count(*) > 1)
+UNION ALL SELECT 'projects', CAST(n_nationkey AS BIGINT), 'slug_length_2_50' FROM nation
+  WHERE NOT (length(lower(substr(n_name, 1, CAST(n_nationkey % 4 AS INTEGER)))) BETWEEN 2 AND 50)""")
+def f7p(spark, d):
+    """Retry policies (one per customer row) and project slugs against their rules."""
+    k = F.col("c_custkey")
+    strategies = F.array(*[F.lit(v) for v in ("fixed", "linear", "exponential", "never")])
+    pol = read(spark, d, "customer").select(
+        k.alias("policy_id"), F.col("c_nationkey").cast("long").alias("project_id"),
+        F.concat(F.lit("policy-"), (k % 40).cast("string")).alias("name"), (k % 103).alias("max_attempts"),
+        (k % 50 - 2).alias("base_delay_secs"), ((k % 7) * 10).alias("max_delay_secs"),
+        F.get(strategies, (k % 4).cast("int")).alias("strategy"))
+    n = F.col("n_nationkey")
+    projects = read(spark, d, "nation").select(n.cast("long").alias("project_id"), F.col("n_name").alias("name"),
+                                               F.lower(F.substr("n_name", F.lit(1), (n % 4).cast("int"))).alias("slug"))
+    parts = [(Fl.violations(pol, Fl.rules("retry_policies"), "policy_id"), "retry_policies", "policy_id"),
+             (Fl.unique_violations(pol, ["project_id", "name"], "policy_id", "duplicate_name"), "retry_policies", "policy_id"),
+             (Fl.violations(projects, Fl.rules("projects"), "project_id"), "projects", "project_id")]
+    return W.union_all([v.select(F.lit(t).alias("tbl"), F.col(c).alias("id"), "rule") for v, t, c in parts])
+
+
 @register("f8_orphans", with_views("""
 SELECT 'jobs.lease_owner' AS fk, job_id AS id FROM jobs WHERE lease_owner IS NOT NULL
   AND lease_owner NOT IN (SELECT worker_id FROM workers)
 UNION ALL SELECT 'dead_letter_entries.replayed_to_job_id', dlq_id FROM dead_letter_entries
-  WHERE replayed_to_job_id IS NOT NULL AND replayed_to_job_id NOT IN (SELECT job_id FROM jobs)""",
-    "jobs", "workers", "dead_letter_entries"))
+  WHERE replayed_to_job_id IS NOT NULL AND replayed_to_job_id NOT IN (SELECT job_id FROM jobs)
+UNION ALL SELECT 'schedules.schedule_id as queue', schedule_id FROM scheduled_jobs
+  WHERE schedule_id NOT IN (SELECT queue_id FROM queues)""",
+    "jobs", "workers", "dead_letter_entries", "scheduled_jobs", "queues"))
 def f8(spark, d):
     o = Ops(spark, d)
     a = Fl.orphans(o.jobs, "lease_owner", o.workers, "worker_id").select(
         F.lit("jobs.lease_owner").alias("fk"), F.col("job_id").alias("id"))
     b = Fl.orphans(o.dead_letter_entries, "replayed_to_job_id", o.jobs, "job_id").select(
         F.lit("dead_letter_entries.replayed_to_job_id").alias("fk"), F.col("dlq_id").alias("id"))
-    return a.unionByName(b)
+    # a positive case: schedule ids run past the queue ids
+    c = Fl.orphans(o.scheduled_jobs.select(F.col("schedule_id").alias("queue_id")), "queue_id", o.queues, "queue_id") \
+        .select(F.lit("schedules.schedule_id as queue").alias("fk"), F.col("queue_id").alias("id"))
+    return a.unionByName(b).unionByName(c)
 
 
 # ---------------------------------------------------------------- J

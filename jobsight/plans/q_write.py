@@ -244,6 +244,15 @@ def b9o(spark, d):
     return B.replay(o.dead_letter_entries, o.queues, o.projects, JOBS_NOW)[2]
 
 
+@register("b9_replay_marks", with_views(f"""
+SELECT dlq_id, {_REPLAY_ID} AS replayed_to_job_id, {NOW_SQL} AS replayed_at FROM dead_letter_entries
+WHERE replayed_to_job_id IS NULL""", "dead_letter_entries"))
+def b9m(spark, d):
+    o = Ops(spark, d)
+    return B.replay(o.dead_letter_entries, o.queues, o.projects, JOBS_NOW)[1].select(
+        "dlq_id", "replayed_to_job_id", "replayed_at")
+
+
 # B10 --------------------------------------------------------------------------
 _RETRY_IDS = """(SELECT job_id FROM dead_letter_entries UNION SELECT replayed_to_job_id FROM dead_letter_entries
   WHERE replayed_to_job_id IS NOT NULL)"""
@@ -273,6 +282,13 @@ def b10c(spark, d):
     return B.manual_retry(o.jobs, _retry_ids(o), o.queues, o.projects, JOBS_NOW)[2]
 
 
+@register("b10_manual_retry_outbox", with_views(outbox_sql(f"""(SELECT * FROM jobs WHERE status IN ('FAILED', 'RETRY_WAIT')
+  AND job_id IN {_RETRY_IDS})""", "manual_retry"), *_CTX, "dead_letter_entries"))
+def b10o(spark, d):
+    o = Ops(spark, d)
+    return B.manual_retry(o.jobs, _retry_ids(o), o.queues, o.projects, JOBS_NOW)[1]
+
+
 # B1 / B2 ----------------------------------------------------------------------
 def _requests(spark, d):
     o = read(spark, d, "orders")
