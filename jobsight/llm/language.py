@@ -156,9 +156,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Mo
                        & ~held_out()).select("doc_id", "lang", "text")
     n, df = document_frequency(train)
     idf = (np.log((1.0 + n) / (1.0 + df)) + 1.0).astype(np.float32)
-    # a bound that about 4 x sample rows of each language pass, then the smallest hashes
+    # a bound that about 4 x sample rows of each language pass, then the smallest hashes;
+    # one size a label, fewer values than the model itself has
     sizes = train.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    few = train.select("doc_id", "lang").join(sizes, "lang") \
+    few = train.select("doc_id", "lang").join(F.broadcast(sizes), "lang") \
         .where(unit_hash("doc_id") < 4.0 * sample / F.col("n"))
     w = Window.partitionBy("lang").orderBy(unit_hash("doc_id"), "doc_id")
     ids = few.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= sample).select("doc_id", "lang").distinct()
