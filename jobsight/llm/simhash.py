@@ -217,6 +217,20 @@ def links(fps: DataFrame, bits: int = MAX_BITS, trie_limit: int = TRIE_LIMIT) ->
     return done.distinct()
 
 
+def _classes(docs: DataFrame, shingle: int, bits: int, trie_limit: int, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` columns (doc_id among them), ``fp``, ``component_id`` and ``root`` for every
+    row; ``root`` tells classes apart also where they share a doc_id or have none."""
+    base = cut(fingerprints(docs, shingle, keep))
+    nodes = base.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    edges = links(nodes.select("fp"), bits, trie_limit)
+    comp = cut(components(edges))
+    named = nodes.join(comp.select(F.col("node").alias("fp"), "root"), "fp", "left") \
+        .withColumn("root", F.coalesce("root", "fp"))
+    lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    classes = cut(named.join(lows, "root").select("fp", "component_id", "root"))
+    return base.join(classes, "fp").select(*keep, "fp", "component_id", "root")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = MAX_BITS,
                     trie_limit: int = TRIE_LIMIT) -> DataFrame:
     """``doc_id, fp, component_id`` for every row of ``docs``.
@@ -225,15 +239,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = MAX_BIT
     differing bits. A null or blank text has fingerprint zero and links like any other;
     rows with equal doc_id are separate members; a null doc_id is ignored as a class id
     unless the whole class has none (then the id is null). Other columns are ignored."""
-    base = cut(fingerprints(docs, shingle))
-    nodes = base.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    edges = links(nodes.select("fp"), bits, trie_limit)
-    comp = cut(components(edges))
-    named = nodes.join(comp.select(F.col("node").alias("fp"), "root"), "fp", "left") \
-        .withColumn("root", F.coalesce("root", "fp"))
-    lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = cut(named.join(lows, "root").select("fp", "component_id"))
-    return base.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return _classes(docs, shingle, bits, trie_limit).select("doc_id", "fp", "component_id")
 
 
 def hex_fp(c: str = "fp") -> Column:
@@ -247,16 +253,22 @@ def op2(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without all but one document of each near-duplicate class.
 
-    The class representative is the document with the class id; among rows of equal
-    doc_id the one with the smallest text hash stays, equal rows collapse to one."""
-    cols = docs.columns
-    cls = near_duplicates(docs).select(F.col("doc_id").alias("__near_d"), F.col("component_id").alias("__near_c"))
-    first = cls.where(F.col("__near_d").eqNullSafe(F.col("__near_c"))).select("__near_d").distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["__near_d"]), "left_semi")
-    if kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
-        return kept
-    h = F.xxhash64(*[F.col(f"`{c}`") for c in cols])
-    low = kept.groupBy("doc_id").agg(F.min(h).alias("__near_h")).withColumnRenamed("doc_id", "__near_d")
-    return kept.withColumn("__near_x", h).join(low, kept["doc_id"].eqNullSafe(low["__near_d"]) & (F.col("__near_x") == F.col("__near_h")),
-                                         "left_semi").select(*[F.col(f"`{c}`") for c in cols]) \
-        .dropDuplicates(["doc_id"])
+    The class representative is the row of smallest doc_id (nulls last), then of smallest
+    row hash; rows equal to it collapse to one. Classes are told apart by fingerprints, so
+    rows of one doc_id or without any each count in their own class."""
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    # nulls leave a hash unchanged, so which columns are null is hashed as well
+    rows = docs.withColumn("__near_h", F.xxhash64(*cols, *[c.isNull() for c in cols]))
+    same = _classes(rows, SHINGLE, MAX_BITS, TRIE_LIMIT, ("doc_id", "__near_h")) \
+        .groupBy("root", "doc_id", "__near_h").agg(F.count(F.lit(1)).alias("n"))
+    first = cut(same.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__near_h", "n")).alias("r"))
+                .select(F.col("r.doc_id").alias("__near_d"), F.col("r.__near_h").alias("__near_x"), F.col("r.n").alias("__near_n")))
+
+    def kept(which: DataFrame) -> DataFrame:
+        return rows.join(which, rows["doc_id"].eqNullSafe(which["__near_d"]) & (F.col("__near_h") == F.col("__near_x")), "left_semi")
+
+    again = first.where(F.col("__near_n") > 1)
+    if again.isEmpty():
+        return kept(first).select(*cols)
+    return kept(first.where(F.col("__near_n") == 1)).select(*cols) \
+        .unionByName(kept(again).dropDuplicates(["doc_id", "__near_h"]).select(*cols))

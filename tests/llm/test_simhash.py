@@ -87,6 +87,25 @@ def test_near_duplicates_edge_rows(docs_of):
     assert kept.columns == docs_of(rows).columns
 
 
+def test_one_row_of_each_class_is_kept(docs_of):
+    """Different texts without doc_id or of one doc_id all stay; each class keeps one row."""
+    words = lambda seed: " ".join(random.Random(seed).choices([f"w{i}" for i in range(500)], k=300))
+    rows = [(None, words(i)) for i in range(6)] + [(None, words(0)), (None, words(1).upper())]
+    for i in range(10, 16):          # doc_id i: one text of its own, one that doc 2 .. 7 has as well
+        rows += [(i, words(i)), (i, words(i + 100)), (i - 8, words(i + 100))]
+    rows += [(20, words(20)), (20, words(20)), (None, words(20))]
+    kept = [(r.doc_id, r.text) for r in S.keep_one(docs_of(rows)).collect()]
+    codes = [brute_fp(t) for _, t in rows]
+    classes = {}
+    for (d, t), c in zip(rows, codes):
+        classes.setdefault(next((k for k in classes if (k ^ c).bit_count() <= 2), c), []).append((d, t))
+    assert len(classes) == 6 + 12 + 1 and len(kept) == len(classes)
+    assert sorted(brute_fp(t) for _, t in kept) == sorted(classes)
+    for d, t in kept:
+        members = classes[brute_fp(t)]
+        assert (d, t) in members and d == min((x for x, _ in members if x is not None), default=None)
+
+
 def test_empty(docs_of):
     none = docs_of([(1, "a")]).limit(0)
     assert S.op2(none).collect() == [] and S.keep_one(none).collect() == []
