@@ -4,8 +4,7 @@ Strict patterns give the base spans, which are also the seeds. Loose shapes (an
 without a top-level domain, a number without country code or check digit, ...) give
 candidates that are not personal data by themselves. The one or two words before an
 identifier form a lexical pattern; a pattern's confidence is the share of all places where
-those words occur (in the documents that hold any identifier or candidate) at which a known
-identifier of the kind follows. Candidates gain the noisy-or of the confidences of their
+those words occur, in any document, at which a known identifier of the kind follows. Candidates gain the noisy-or of the confidences of their
 patterns; those above ``ACCEPT`` become known, sharpen the patterns and the next round
 repeats this until nothing new is found. Only identifiers and contexts are shuffled.
 """
@@ -37,6 +36,7 @@ LOOSE = {
     "card": r"(?<!\w)[0-9](?:[ .-]?[0-9]){12,18}(?!\w)",
     "phone": r"(?<![\w+])\(?[0-9](?:[ ().-]{0,2}[0-9]){6,14}(?!\w)",
 }
+SMALL = 1 << 18    # patterns that are sent to every executor
 SIGNS = "[0-9@]"   # no match of any pattern lacks both
 
 
@@ -134,20 +134,21 @@ def _discover(docs: DataFrame, ids: DataFrame, rounds: int = ROUNDS) -> DataFram
     seen = cut(_patterns(known.withColumn("sure", F.lit(True)).unionByName(loose.withColumn("sure", F.lit(False))),
                          "kind", "value", "sure")
                .groupBy("kind", "value", "pattern").agg(F.max("sure").alias("sure"), F.count(F.lit(1)).alias("n")))
-    # every place of the words, in the documents that hold an identifier or a candidate
-    held = ids.where((F.size("base") > 0) | (F.size("loose") > 0)).select("doc_id", "_th").distinct()
-    text = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text")) \
-        .where(F.col("_text").rlike(SIGNS)).withColumn("_th", F.xxhash64("_text"))
-    here = text.alias("t").join(held.alias("h"), F.col("t.doc_id").eqNullSafe(F.col("h.doc_id"))
-                                & (F.col("t._th") == F.col("h._th")), "left_semi")
-    w = F.split(F.lower(F.trim(F.regexp_replace("_text", r"\s+", " "))), " ")
-    words = here.select(w.alias("w"))
-    ones = words.select(F.explode("w").alias("pattern"))
-    twos = words.where(F.size("w") > 1).select(F.explode(F.zip_with(
-        F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b))).alias("pattern"))
-    wanted = seen.select("pattern").distinct()
-    places = cut(ones.union(twos).groupBy("pattern").agg(F.count(F.lit(1)).alias("places"))
-                 .join(wanted, "pattern", "left_semi"))
+    # every place of the words in any document. A pattern that fewer than SUPPORT values
+    # follow is never in use, so its places are not counted
+    wanted = cut(seen.groupBy("kind", "pattern").agg(F.count_distinct("value").alias("values"))
+                 .where(F.col("values") >= SUPPORT).select("pattern").distinct())
+    w = F.split(F.lower(F.trim(F.regexp_replace(F.col("text").cast("string"), r"\s+", " "))), " ")
+    words = docs.where(F.col("text").isNotNull()).select(w.alias("w"))
+    pairs = F.when(F.size("w") > 1, F.zip_with(
+        F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1),
+        lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
+    every = words.select(F.explode(F.concat("w", pairs)).alias("pattern"))
+    if wanted.count() <= SMALL:      # the same count either way; here only wanted words are shuffled
+        places = every.join(F.broadcast(wanted), "pattern", "left_semi").groupBy("pattern").agg(F.count(F.lit(1)).alias("places"))
+    else:
+        places = every.groupBy("pattern").agg(F.count(F.lit(1)).alias("places")).join(wanted, "pattern", "left_semi")
+    places = cut(places)
     got = seen.where("sure").select("kind", "value")
     sure = cut(got.distinct())
     for _ in range(rounds):

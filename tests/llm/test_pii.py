@@ -102,6 +102,17 @@ def test_confidences_by_counting():
     assert conf["contact:"] == 6 / 7 and conf["mail contact:"] == 1.0     # above CONFIDENCE and ACCEPT
 
 
+def test_places_of_a_pattern_are_counted_in_all_documents(docs_of, monkeypatch):
+    """A frequent word promotes nothing, though most of its places have no digits around."""
+    calls = [(i, f"n{i}x ref +1 (555) 010-{1000 + i}") for i in range(5)] + [(9, "nx ref 555 010 8888")]
+    plain = [(20 + i, f"see the ref again, the p{'x' * i} ref too") for i in range(20)]
+    spans = lambda rows: next(r.spans for r in P.op10(docs_of(rows)).collect() if r.doc_id == 9)
+    assert spans(calls) == "phone:7:19" and spans(calls + plain) == ""
+    assert {r.doc_id: r.text for r in P.mask(docs_of(calls + plain)).collect()}[9] == calls[-1][1]
+    monkeypatch.setattr(P, "SMALL", 0)
+    assert spans(calls) == "phone:7:19" and spans(calls + plain) == ""
+
+
 def test_masking(docs_of):
     rows = boot_rows() + [(30, "card 4111 1111 1111 1111, ip 10.0.0.1 é"), (31, None), (32, "plain"), (None, "x@y.z"), (30, "a@b.cc a@b.cc")]
     df = docs_of(rows)
