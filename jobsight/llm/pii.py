@@ -20,7 +20,7 @@ KINDS = ("email", "ip", "card", "phone")
 SUPPORT = 3        # distinct known values that must follow a pattern
 CONFIDENCE = 0.5   # least confidence of a pattern in use
 ACCEPT = 0.6       # least score of a promoted candidate
-ROUNDS = 4
+ROUNDS = 1000      # never reached in practice: running out of rounds raises
 
 # The strict patterns. Possessive loops and run starts give the same leftmost matches as
 # the plain forms, in linear time and without deep recursion on long runs.
@@ -126,11 +126,13 @@ def _patterns(rows: DataFrame, *keep: str) -> DataFrame:
 
 
 def _discover(docs: DataFrame, ids: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """``kind, value, l1, l2`` of promoted candidates: a value counts where its own patterns carry it."""
+    """``kind, value`` of promoted candidates: a value counts where its own patterns carry it.
+    Known values only ever grow, so the rounds end; running out of them raises instead of
+    returning a part."""
     known = ids.select(F.explode("base").alias("r")).select("r.*")
     loose = ids.select(F.explode("loose").alias("r")).select("r.*")
     if loose.isEmpty() or known.isEmpty():
-        return loose.select("kind", "value", "l1", "l2").limit(0)
+        return loose.select("kind", "value").limit(0)
     seen = cut(_patterns(known.withColumn("sure", F.lit(True)).unionByName(loose.withColumn("sure", F.lit(False))),
                          "kind", "value", "sure")
                .groupBy("kind", "value", "pattern").agg(F.max("sure").alias("sure"), F.count(F.lit(1)).alias("n")))
@@ -163,9 +165,9 @@ def _discover(docs: DataFrame, ids: DataFrame, rounds: int = ROUNDS) -> DataFram
             .where(F.col("score") >= ACCEPT).select("kind", "value")
         new = cut(new)
         if new.isEmpty():
-            break
+            return loose.select("kind", "value").distinct().join(sure, ["kind", "value"], "left_semi")
         sure = cut(sure.union(new))
-    return loose.select("kind", "value").distinct().join(sure, ["kind", "value"], "left_semi")
+    raise RuntimeError(f"bootstrapping did not settle in {rounds} rounds")
 
 
 def find(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:

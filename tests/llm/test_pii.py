@@ -3,6 +3,7 @@
 import hashlib
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from jobsight.llm import pii as P
@@ -113,6 +114,24 @@ def test_places_of_a_pattern_are_counted_in_all_documents(docs_of, monkeypatch):
     assert spans(calls) == "phone:7:19" and spans(calls + plain) == ""
 
 
+def test_rounds_go_on_until_nothing_is_found(docs_of):
+    """Each round's values carry the pattern of the next; running out of rounds raises."""
+    depth, rows = 7, []
+    def say(pattern, value):
+        rows.append((len(rows), f"t{len(rows)}x {pattern} {value} end"))
+    for i in range(6):
+        say("p0:", f"user{i}@site{i}.org")
+    for k in range(depth):
+        for i in range(3):
+            say(f"p{k}:", f"v{k}n{i}@host")
+            say(f"p{k + 1}:", f"v{k}n{i}@host")
+            say(f"p{k + 1}:", f"v{k}n{i}@host")
+    out = {r.doc_id: r.spans for r in P.op10(docs_of(rows)).collect()}
+    assert all(out[d] for d, _ in rows)
+    with pytest.raises(RuntimeError, match="settle"):
+        P.find(docs_of(rows), rounds=4)
+
+
 def test_masking(docs_of):
     rows = boot_rows() + [(30, "card 4111 1111 1111 1111, ip 10.0.0.1 é"), (31, None), (32, "plain"), (None, "x@y.z"), (30, "a@b.cc a@b.cc")]
     df = docs_of(rows)
