@@ -2,8 +2,10 @@
 
 A text becomes a hashed TF-IDF vector of letter 1- to 3-grams (lower case, everything but
 letters acts as a word boundary). Every language keeps several centroids (spherical
-k-means), a text goes to the language of its nearest centroid by cosine, and is rejected
-when it lies much farther from it than training texts of like length do.
+k-means), a text goes to the language of its nearest centroid by cosine. It is rejected
+when it lies farther from it than training texts of like length do and its grams are also
+rarer (mean IDF) than those of any training text of the language: short or repetitive texts
+of a known language are far from every centroid too, but made of its common grams.
 
 Document frequencies count all training rows. Only the centroids are fitted on a bounded
 sample, ``SAMPLE`` documents a language (smallest hash of the doc_id).
@@ -27,10 +29,11 @@ CENTROIDS = 4
 ROUNDS = 12
 PIECE = 1 << 20
 # A text is rejected below this part of the lowest cosine of the training sample in its
-# length band, and never above REJECT_MOST: far outside anything seen, so that texts of a
-# known language stay, repetitive ones too.
-REJECT_PART = 0.6
-REJECT_MOST = 0.1
+# length band, if its mean IDF is also above the sample's highest in the language and so
+# much above its median. The mean of few grams strays by STRAY over the root of their number.
+REJECT_PART = 0.7
+REJECT_RARE = 0.45
+STRAY = 2.0
 _BANDS = 24
 
 UNKNOWN = "und"
@@ -77,12 +80,14 @@ def gram_counts(text: str, dim: int = DIM) -> np.ndarray | None:
 @dataclass
 class Model:
     """``centroids`` rows (unit length) belong to ``languages[owner]``; ``floor`` is the
-    smallest accepted cosine for each band of log2(text length)."""
+    smallest accepted cosine for each band of log2(text length), unless the grams are no
+    rarer than the language's ``ceiling``."""
     languages: list[str]
     idf: np.ndarray
     centroids: np.ndarray
     owner: np.ndarray
     floor: np.ndarray
+    ceiling: np.ndarray
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """``(language, cosine, accepted)``; ``und`` with score 0 for null or letterless texts."""
@@ -93,7 +98,8 @@ class Model:
         sims = self.centroids @ v
         at = int(np.argmax(sims))
         score = float(min(1.0, max(0.0, sims[at])))
-        return self.languages[self.owner[at]], score, score >= self.floor[_band(len(text))]
+        known = score >= self.floor[_band(len(text))] or rarity(counts, self.idf) <= self.ceiling[self.owner[at]]
+        return self.languages[self.owner[at]], score, bool(known)
 
 
 def _band(chars: int) -> int:
@@ -106,6 +112,12 @@ def weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return v / n if n else v
 
 
+def rarity(counts: np.ndarray, idf: np.ndarray) -> float:
+    """Mean IDF of a text's grams, less what the mean of so few may stray."""
+    n = float(counts.sum())
+    return float(counts @ idf) / n - STRAY / n ** 0.5
+
+
 def held_out(c: str = "doc_id") -> Column:
     """crc32 of the doc_id as text leaves remainder 2 by 4 (a null doc_id: false)."""
     return F.coalesce(F.crc32(F.col(c).cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -182,30 +194,32 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Mo
         .mapInArrow(vectors, "lang string, chars long, at binary, n binary") \
         .orderBy("lang", "chars", "at", "n").collect()   # bounded: sample x languages
     languages = sorted({r["lang"] for r in rows})
-    found, owner, dense, chars, own = [], [], [], [], []
+    found, owner, dense, chars, own, ceiling = [], [], [], [], [], np.zeros(len(languages))
     for i, lang in enumerate(languages):
-        x = []
+        x, rare = [], []
         for r in rows:
             if r["lang"] == lang:
                 g = np.zeros(DIM, np.float32)
                 g[np.frombuffer(r["at"], np.uint16)] = np.expm1(np.frombuffer(r["n"], np.float16).astype(np.float32))
                 x.append(weigh(g, idf))
+                rare.append(rarity(g, idf))
                 chars.append(r["chars"])
                 own.append(i)
+        ceiling[i] = max(max(rare), float(np.median(rare)) + REJECT_RARE)
         x = np.stack(x).astype(np.float32)
         dense.append(x)
         found.append(_kmeans(x, centroids))
         owner += [i] * len(found[-1])
     if not languages:
-        return Model([], idf, np.zeros((0, DIM), np.float32), np.zeros(0, int), np.zeros(_BANDS))
+        return Model([], idf, np.zeros((0, DIM), np.float32), np.zeros(0, int), np.zeros(_BANDS), ceiling)
     cent = np.concatenate(found)
     floor = _floors(np.concatenate(dense), np.array(own), np.array(chars), cent, np.array(owner))
-    return Model(languages, idf, cent, np.array(owner), floor)
+    return Model(languages, idf, cent, np.array(owner), floor, ceiling)
 
 
 def _floors(x, own, chars, cent, owner) -> np.ndarray:
-    """Smallest accepted cosine per length band; a band without samples takes the lowest
-    bound of the nearest bands, and no band asks for more than a longer one."""
+    """Smallest accepted cosine per length band. No band asks for more than a longer one; a
+    band without samples takes the bound of the next longer band, or of the longest one."""
     sims = x @ cent.T
     best = np.where(owner[None, :] == own[:, None], sims, -1).max(axis=1)
     band = np.array([_band(c) for c in chars])
@@ -214,9 +228,7 @@ def _floors(x, own, chars, cent, owner) -> np.ndarray:
     floor = np.minimum.accumulate(floor[::-1])[::-1]      # shorter texts never face more
     last = floor[np.isfinite(floor)]
     floor[~np.isfinite(floor)] = last[-1] if len(last) else 0.0
-    low = int(np.min(band)) if len(band) else 0
-    floor[:low] = 0.0                                     # shorter than any training text
-    return np.minimum(floor, REJECT_MOST)
+    return floor
 
 
 _OUT = "lang_pred string, score double, accepted boolean"

@@ -1,5 +1,7 @@
 """Language identification: held-out accuracy, rejection, edge rows."""
 
+import base64
+import random
 import zlib
 
 from jobsight.llm import language as L
@@ -30,6 +32,28 @@ def test_edge_rows(small, docs_of):
     assert kept.columns == docs_of(rows).columns
 
 
+POLISH = """Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni
+rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa. Każdy człowiek posiada wszystkie prawa i
+wolności zawarte w niniejszej Deklaracji bez względu na jakiekolwiek różnice rasy, koloru, płci, języka, wyznania."""
+FINNISH = """Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki
+ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. Jokainen on oikeutettu kaikkiin tässä
+julistuksessa esitettyihin oikeuksiin ja vapauksiin ilman minkäänlaista rotuun, väriin, sukupuoleen perustuvaa erotusta."""
+
+
+def test_other_latin_texts_go_and_labelled_rows_stay(spark, docs_of):
+    from jobsight.llm.common import table
+    docs = table(spark, "/root/testdata/sf0.1", "documents")
+    model = L.fit(docs)
+    r = random.Random(5)
+    junk = [" ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randrange(2, 10))) for _ in range(n)) for n in (20, 100, 400, 4000)]
+    junk += [base64.b64encode(r.randbytes(n)).decode() for n in (120, 600, 3000, 30_000)]
+    junk += [POLISH, FINNISH, POLISH * 20, FINNISH * 20]
+    got = {x.doc_id: x.accepted for x in L.identify(docs_of(list(enumerate(junk))), model).collect()}
+    assert not [junk[i][:40] for i, ok in got.items() if ok]
+    assert L.keep_known(docs_of([(i, t) for i, t in enumerate(junk)]), model).count() == 0
+    assert L.identify(docs, model).where("not accepted").collect() == []
+
+
 def test_lang_source_and_id_do_not_matter(small, docs_of):
     model = L.fit(small("documents"))
     a = L.identify(docs_of([(1, "ist die und der", "en", "a")]), model).first()
