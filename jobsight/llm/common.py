@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
@@ -57,6 +57,23 @@ def smallest_hashes(df: DataFrame, col: str, k: int) -> DataFrame:
     return few.select(col).distinct().orderBy(unit_hash(col), col).limit(k)
 
 
+def few_rows(picked: DataFrame, group: list[str], k: int) -> DataFrame:
+    """At most ``k`` different rows of each group of ``picked(doc_id, text, *group)``: one
+    text of every doc_id first, then its further texts. A doc_id with a great many rows is
+    thinned by text hash before anything is sorted."""
+    key = [*group, "doc_id", "_th"]
+    rows = picked.withColumn("_th", F.xxhash64("text"))
+    keys = cut(rows.select(*key))
+    sizes = keys.groupBy(*key[:-1]).agg(F.approx_count_distinct("_th").alias("_n"))
+    thin = keys.join(F.broadcast(sizes), key[:-1]).where(unit_hash("_th") < 4.0 * k / F.col("_n")).select(*key).distinct()
+    first = thin.withColumn("_k", F.row_number().over(Window.partitionBy(*key[:-1]).orderBy("_th")))
+    own = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
+    kept = first.where(F.col("_k") <= k) \
+        .withColumn("_rn", F.row_number().over(own.orderBy("_k", unit_hash("doc_id"), "doc_id", "_th"))) \
+        .where(F.col("_rn") <= k).select(*key)
+    return rows.join(F.broadcast(kept), key, "left_semi").dropDuplicates(key).drop("_th")
+
+
 def utf8(c: str | Column) -> Column:
     """A text column as UTF-8 bytes; null becomes empty."""
     c = F.col(c) if isinstance(c, str) else c

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import unit_hash
+from .common import few_rows, unit_hash
 
 DIM = 1 << 12
 SAMPLE = 300
@@ -168,13 +168,13 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Mo
                        & ~held_out()).select("doc_id", "lang", "text")
     n, df = document_frequency(train)
     idf = (np.log((1.0 + n) / (1.0 + df)) + 1.0).astype(np.float32)
-    # a bound that about 4 x sample rows of each language pass, then the smallest hashes;
+    # a bound that about 4 x sample ids of each language pass, then the smallest hashes;
     # one size a label, fewer values than the model itself has
-    sizes = train.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    sizes = train.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n"))
     few = train.select("doc_id", "lang").join(F.broadcast(sizes), "lang") \
-        .where(unit_hash("doc_id") < 4.0 * sample / F.col("n"))
+        .where(unit_hash("doc_id") < 4.0 * sample / F.col("n")).distinct()
     w = Window.partitionBy("lang").orderBy(unit_hash("doc_id"), "doc_id")
-    ids = few.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= sample).select("doc_id", "lang").distinct()
+    ids = few.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= sample).select("doc_id", "lang")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -190,7 +190,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Mo
                  enumerate((pa.string(), pa.int64(), pa.binary(), pa.binary()))],
                 names=["lang", "chars", "at", "n"])
 
-    rows = train.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").select("lang", "text") \
+    picked = train.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")
+    rows = few_rows(picked, ["lang"], sample).select("lang", "text") \
         .mapInArrow(vectors, "lang string, chars long, at binary, n binary") \
         .orderBy("lang", "chars", "at", "n").collect()   # bounded: sample x languages
     languages = sorted({r["lang"] for r in rows})

@@ -68,6 +68,24 @@ def test_counts_in_pieces(monkeypatch):
     assert (L.gram_counts(t) == whole).all()
 
 
+def test_sample_is_bounded_in_rows(docs_of):
+    """A doc_id with very many rows neither fills the sample nor pushes others out."""
+    from jobsight.llm.common import few_rows
+    rows = [(7, f"text {i}") for i in range(3000)] + [(7, "text 1")] * 500 + [(i, f"own {i}") for i in range(20, 40)]
+    for group in (["lang"], []):
+        got = [(r.doc_id, r.text) for r in few_rows(docs_of(rows).select("doc_id", "text", "lang"), group, 30).collect()]
+        assert len(got) == len(set(got)) == 30 and set(got) <= set(rows)
+        assert {d for d, _ in got} == {7, *range(20, 40)}
+
+
+def test_rows_sent_to_the_driver_are_bounded(docs_of, monkeypatch):
+    seen = []
+    monkeypatch.setattr(L, "_kmeans", lambda x, k, kmeans=L._kmeans: seen.append(len(x)) or kmeans(x, k))
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2]
+    L.fit(docs_of([(ids[0], f"the text of {'a' * i}") for i in range(1, 400)] + [(i, f"another {'b' * i}") for i in ids]), sample=20)
+    assert seen == [20]
+
+
 def test_no_training_rows(docs_of):
     none = docs_of([(1, "a b c", "en")]).limit(0)
     assert L.op3(none).collect() == []
