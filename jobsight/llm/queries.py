@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, dedup_spans, html_text, language, packing, pii, quality, simhash, token_counts
+from . import chat, decontaminate, dedup_spans, fim, html_text, language, mixing, packing, pii, quality, simhash, token_counts
 from .common import table
 
 
@@ -49,6 +49,14 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.op10(table(spark, sf_dir, "documents"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.op11(table(spark, sf_dir, "documents"))
+
+
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.op12(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_suffix_dedup, op2_simhash, op3_language, op4_chat, op5_decontaminate, op6_packing,
-    op7_quality, op8_token_counts, op9_html_text, op10_pii)}
+    op7_quality, op8_token_counts, op9_html_text, op10_pii, op11_mixing, op12_fim)}
