@@ -5,7 +5,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, dedup_spans, fim, html_text, language, mixing, packing, pii, quality, simhash, token_counts
+from . import (
+    chat, decontaminate, dedup_spans, fim, html_text, language, mixing, packing, pii, prefix_trie, quality, simhash, token_counts,
+)
 from .common import table
 
 
@@ -57,6 +59,10 @@ def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.op12(table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.op13(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_suffix_dedup, op2_simhash, op3_language, op4_chat, op5_decontaminate, op6_packing,
-    op7_quality, op8_token_counts, op9_html_text, op10_pii, op11_mixing, op12_fim)}
+    op7_quality, op8_token_counts, op9_html_text, op10_pii, op11_mixing, op12_fim, op13_prefix_trie)}
