@@ -45,17 +45,17 @@ def partitions(spark: SparkSession) -> int:
 
 
 def positions(df: DataFrame, order: list[Column], name: str = "_at") -> DataFrame:
-    """``df`` with the 0-based place of every row in ``order`` over the whole table. One
-    range-partitioned sort and one line per partition: no group and no range of equal keys
-    is held by a task, as long as ``order`` tells rows apart. The sorted rows are
-    checkpointed, so that places do not change when tasks run again."""
+    """``df`` with the 0-based place of every row in ``order`` over the whole table, and the
+    number ``_part`` of its range. One range-partitioned sort and one line per partition: no
+    group and no range of equal keys is held by a task, as long as ``order`` tells rows
+    apart. The sorted rows are checkpointed, so that places do not change when tasks run again."""
     x = cut(df.orderBy(*order).withColumn(name, F.monotonically_increasing_id()))
     part, inside = F.shiftright(name, 33), F.col(name).bitwiseAND(F.lit((1 << 33) - 1))
     lines = x.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     lines = lines.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
     joined = x.withColumn("_part", part).join(F.broadcast(lines), "_part")    # a line per partition
-    return joined.withColumn(name, F.col("_before") + inside).drop("_part", "_before")
+    return joined.withColumn(name, F.col("_before") + inside).drop("_before")
 
 
 def unit_hash(*cols: str | Column) -> Column:

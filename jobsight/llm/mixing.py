@@ -40,7 +40,7 @@ def with_targets(sources: DataFrame, weights=WEIGHTS, most: float = MOST) -> Dat
     sources in code point order, null last; an empty table stays empty."""
     ranked = positions(sources, _by_source())
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_at") % len(weights) + 1).cast("int"))
-    x = cut(ranked.withColumn("_w", weight).withColumn("_full", F.lit(False)).drop("_at"))
+    x = cut(ranked.withColumn("_w", weight).withColumn("_full", F.lit(False)).drop("_at", "_part"))
     whole = float(x.agg(F.sum("source_size")).first()[0] or 0)
     limit, stopped = F.lit(float(most)) * F.col("source_size"), 0
     while True:
@@ -68,16 +68,19 @@ def copies(docs: DataFrame, size: Column, weights=WEIGHTS, most: float = MOST, s
                            every.alias("_hash"), *[c.alias(n) for n, c in carry.items()]))
     placed = positions(rows, [*_by_source(), F.col("size"), F.col("_hash"), *[F.col(n) for n in carry]])
     sources = with_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-    first = placed.groupBy("source").agg(F.min("_at").alias("_first"))
+    # one line per source and range of places: a source that holds most rows has many
+    lines = placed.groupBy("_part", "source").agg(F.min("_at").alias("_first"))
+    first = lines.groupBy("source").agg(F.min("_first").alias("_first"))
     key = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
     sources = sources.join(first.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))) \
-        .withColumn("_offset", unit_hash(F.lit(seed), key)) \
-        .select(F.col("source").alias("_s"), "source_size", "target", "_first", "_offset")
-    joined = placed.join(sources, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+        .withColumn("_offset", unit_hash(F.lit(seed), key)).drop("_s")
+    lines = lines.select(F.col("_part").alias("_p"), F.col("source").alias("_s"))
+    lines = lines.join(sources, F.col("source").eqNullSafe(F.col("_s"))).drop("source")
+    joined = placed.join(lines, (F.col("_part") == F.col("_p")) & F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "_p")
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
     at = F.col("_at") - F.col("_first")
     crossed = F.floor((at + 1) * rate + F.col("_offset")) - F.floor(at * rate + F.col("_offset"))
-    return joined.withColumn("copies", crossed.cast("long")).drop("_at", "_first", "_offset", "_hash")
+    return joined.withColumn("copies", crossed.cast("long")).drop("_at", "_part", "_first", "_offset", "_hash")
 
 
 def mix(docs: DataFrame, text_col: str = "text", weights=WEIGHTS, most: float = MOST, seed: int = SEED) -> DataFrame:
