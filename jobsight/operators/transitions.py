@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as G
 from ..session import secs, ts
+from .creation import decide_batches, decide_jobs, in_order, room
 from .filters import due_condition
 from .joins import fence
 
@@ -216,42 +217,14 @@ def manual_retry(jobs: DataFrame, ids: DataFrame, queues: DataFrame, projects: D
 
 
 # B1 / B2 ----------------------------------------------------------------------
-def _without_conflicts(r: DataFrame, existing: DataFrame | None, request_id: str) -> DataFrame:
-    """Marks every request after the first of its (queue, key), and all of them where
-    ``existing`` has the key, as ``idempotency_conflict``. Null keys never conflict and do
-    not enter the grouping."""
-    open_ = F.col("__reject").isNull() & F.col("__key").isNotNull()
-    first = r.filter(open_).groupBy(F.col("queue_id").alias("__wq"), F.col("__key").alias("__wk")) \
-        .agg(F.min(F.struct("__pos", request_id)).alias("__win"))
-    if existing is not None:
-        held = existing.filter(F.col("idempotency_key").isNotNull()) \
-            .select(F.col("queue_id").alias("__wq"), F.col("idempotency_key").alias("__wk")).distinct() \
-            .withColumn("__held", F.lit(True))
-        first = first.join(held, ["__wq", "__wk"], "left")
-    else:
-        first = first.withColumn("__held", F.lit(None).cast("boolean"))
-    keyed = r.filter(open_).join(first, (F.col("queue_id") == F.col("__wq")) & (F.col("__key") == F.col("__wk")))
-    lost = F.coalesce(F.col("__held"), F.lit(False)) | (F.struct("__pos", request_id) != F.col("__win"))
-    keyed = keyed.withColumn("__reject", F.when(lost, "idempotency_conflict")).drop("__wq", "__wk", "__win", "__held")
-    return keyed.unionByName(r.filter(~open_))
-
-
-def _limited(r: DataFrame, queues: DataFrame, arrivals: DataFrame | None, now, request_id: str) -> DataFrame:
-    """``r`` with ``__over``: the request's place among its queue's requests, on top of the
-    arrivals already in the trailing window, passes the queue's rate limit."""
-    from .windows import id_range, row_number_in_groups
-    lim = queues.select("queue_id", F.col("rate_limit").alias("__lim"), F.col("rate_window_secs").alias("__rw"))
-    x = r.join(lim, "queue_id", "left")
-    if arrivals is None:
-        x = x.withColumn("__had", F.lit(0).cast("long"))
-    else:
-        n = ts(now)
-        had = arrivals.join(lim, "queue_id").filter((F.col("event_ts") >= n - secs(F.col("__rw"))) & (F.col("event_ts") <= n)) \
-            .groupBy("queue_id").agg(F.count(F.lit(1)).alias("__had"))
-        x = x.join(had, "queue_id", "left").withColumn("__had", F.coalesce("__had", F.lit(0).cast("long")))
-    x = row_number_in_groups(x, ["queue_id"], ["__pos", request_id], [id_range("__pos")], "__place")
-    over = F.coalesce(F.col("__had") + F.col("__place") > F.col("__lim"), F.lit(False))
-    return x.withColumn("__over", over).drop("__lim", "__rw", "__had", "__place")
+def _checked(requests: DataFrame, queues: DataFrame) -> DataFrame:
+    """Requests with their queue's defaults, priority ``__prio`` and, where the queue is
+    missing or the priority out of range, ``__reject``."""
+    r = requests.join(queues.select("queue_id", "default_priority", "shard_count"), "queue_id", "left")
+    asked = F.col("priority") if "priority" in requests.columns else F.lit(None).cast("long")
+    r = r.withColumn("__prio", G.first_present(asked, F.col("default_priority")))
+    return r.withColumn("__reject", F.when(F.col("default_priority").isNull(), "queue_not_found")
+                        .when((F.col("__prio") < 0) | (F.col("__prio") > 100), "priority_out_of_range"))
 
 
 def create_jobs(requests: DataFrame, queues: DataFrame, projects: DataFrame, now,
@@ -263,30 +236,21 @@ def create_jobs(requests: DataFrame, queues: DataFrame, projects: DataFrame, now
     take defaults). Priority item > queue default; key header > body; status
     SCHEDULED when scheduled_for is set.
 
-    Of requests with one (queue, key) the first by request id creates a job, unless a
-    job of ``existing`` holds the key; the others are rejected as
-    ``idempotency_conflict``. With ``rate_limits`` requests beyond the queue's limit in
-    its window (``arrivals(queue_id, event_ts)`` count first) are rejected as
-    ``rate_limited``. Returns (jobs, outbox, rejects)."""
+    Requests are taken in order of request id. Of those with one (queue, key) the first
+    creates a job, unless a job of ``existing`` holds the key; the others are rejected as
+    ``idempotency_conflict``. With ``rate_limits`` requests that find the queue's limit in
+    its window used up (by ``arrivals(queue_id, event_ts)`` and the jobs created before
+    them) are rejected as ``rate_limited``. Returns (jobs, outbox, rejects)."""
     n = ts(now)
 
     def col(name, dtype):
         return F.col(name) if name in requests.columns else F.lit(None).cast(dtype)
 
-    q = queues.select("queue_id", "default_priority", "shard_count")
-    r = requests.join(q, "queue_id", "left")
     key = G.first_present(col("header_key", "string"), col("body_key", "string"))
-    prio = G.first_present(col("priority", "long"), F.col("default_priority"))
-    r = r.withColumns({"__key": key, "__prio": prio})
-    reason = (F.when(F.col("default_priority").isNull(), "queue_not_found")
-               .when((F.col("__prio") < 0) | (F.col("__prio") > 100), "priority_out_of_range"))
-    pos = F.col(request_id).try_cast("long")
-    r = r.withColumns({"__reject": reason, "__pos": F.coalesce(pos, F.lit(0).cast("long"))})
-    if rate_limits:
-        good = _limited(r.filter(F.col("__reject").isNull()), queues, arrivals, now, request_id)
-        r = good.withColumn("__reject", F.when(F.col("__over"), "rate_limited")).drop("__over") \
-            .unionByName(r.filter(F.col("__reject").isNotNull()))
-    r = _without_conflicts(r, existing, request_id)
+    r = in_order(_checked(requests, queues).withColumn("__key", key), request_id)
+    valid = decide_jobs(r.filter(F.col("__reject").isNull()).drop("__reject"), request_id, existing,
+                        room(queues, arrivals, now) if rate_limits else None)
+    r = valid.unionByName(r.filter(F.col("__reject").isNotNull()))
     rejects = r.filter(F.col("__reject").isNotNull()).select(request_id, "queue_id", F.col("__reject").alias("reason"))
     ok = r.filter(F.col("__reject").isNull())
     routing = F.coalesce(F.col("__key"), F.concat(F.lit("req-"), F.col(request_id).cast("string")))
@@ -317,8 +281,10 @@ def create_batches(batch_requests: DataFrame, queues: DataFrame, projects: DataF
     priority, idempotency_key)>, optional request-level priority, max_attempts,
     retry_strategy) → 1..max_items jobs of kind ``batch`` per batch. Item
     priority falls back to the request's, then the queue default. A batch is
-    all-or-nothing: an empty or oversized batch, or one with any invalid, conflicting
-    or rate-limited item, creates nothing and is reported once. Returns (batches, jobs, outbox, rejects)."""
+    all-or-nothing: an empty or oversized batch, or one with an invalid item, with a key
+    that is held or repeated, or with more items than the rate limit leaves room for,
+    creates nothing, holds no key, counts against no limit and is reported once. Batches
+    are taken in order of their id. Returns (batches, jobs, outbox, rejects)."""
     size = F.size(items_col)
     bad = batch_requests.filter((size < 1) | (size > max_items))
     good = batch_requests.filter((size >= 1) & (size <= max_items))
@@ -338,12 +304,18 @@ def create_batches(batch_requests: DataFrame, queues: DataFrame, projects: DataF
          else F.lit(None).cast("string")).alias("body_key"),
         F.coalesce(item_prio, req_prio).alias("priority"), F.lit("batch").alias("kind"),
         *[F.col(f"__req_{c}").alias(c) for c in req_level if c != "priority"])
-    jobs, outbox, item_rejects = create_jobs(req, queues, projects, now, existing=existing, arrivals=arrivals,
-                                             rate_limits=rate_limits)
-    failed = (item_rejects.join(req.select("request_id", "batch_request_id", "batch_id"), "request_id")
-                          .groupBy("batch_request_id", "batch_id").agg(F.min("reason").alias("reason")))
-    jobs = jobs.join(failed.select("batch_id"), "batch_id", "left_anti")
-    outbox = outbox.join(jobs.select("job_id"), "job_id", "left_semi")
+    keys = req.select("batch_request_id", "queue_id", F.col("body_key").alias("__key"))
+    invalid = _checked(req, queues).filter(F.col("__reject").isNotNull()).groupBy("batch_request_id").agg(F.min("__reject").alias("reason"))
+    valid = good.select("batch_request_id", "queue_id", size.cast("long").alias("__n")) \
+        .join(invalid.select("batch_request_id"), "batch_request_id", "left_anti")
+    failed = invalid
+    if "idempotency_key" in fields or rate_limits:
+        decided = decide_batches(valid, keys.join(valid.select("batch_request_id"), "batch_request_id", "left_semi"),
+                                 "batch_request_id", existing, room(queues, arrivals, now) if rate_limits else None)
+        failed = failed.unionByName(decided.filter(F.col("__reject").isNotNull())
+                                    .select("batch_request_id", F.col("__reject").alias("reason")))
+    failed = failed.withColumn("batch_id", G.derived_id(F.lit("batch"), F.col("batch_request_id")))
+    jobs, outbox, _ = create_jobs(req.join(failed.select("batch_id"), "batch_id", "left_anti"), queues, projects, now)
     batches = (good.select(bid.alias("batch_id"), "queue_id", size.cast("long").alias("total_jobs"),
                            F.lit("QUEUED").alias("status"), ts(now).alias("created_at"))
                    .join(failed.select("batch_id"), "batch_id", "left_anti"))

@@ -367,15 +367,46 @@ def b1x(spark, d):
     return rej.filter("reason = 'idempotency_conflict'").select("request_id", "queue_id")
 
 
+def _sequential_sql(valid: str) -> str:
+    """Request by request over ``valid(request_id, queue_id, k, rate_limit)``: the number of
+    jobs made and their keys travel along."""
+    reason = """CASE WHEN made >= rate_limit THEN 'rate_limited' WHEN list_contains(keys, k) THEN 'idempotency_conflict' END"""
+    return f"""WITH RECURSIVE v AS (SELECT *, row_number() OVER (PARTITION BY queue_id ORDER BY request_id) AS rn FROM {valid} x),
+step(queue_id, rn, request_id, reason, made, keys) AS (
+  SELECT DISTINCT queue_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(0 AS BIGINT), CAST([] AS VARCHAR[]) FROM v
+  UNION ALL
+  SELECT queue_id, rn, request_id, why, CASE WHEN why IS NULL THEN made + 1 ELSE made END,
+    CASE WHEN why IS NULL AND k IS NOT NULL THEN list_append(keys, k) ELSE keys END
+  FROM (SELECT v.*, s.made, s.keys, {reason} AS why FROM step s JOIN v ON v.queue_id = s.queue_id AND v.rn = s.rn + 1) n)
+SELECT request_id, queue_id, reason FROM step WHERE rn > 0 AND reason IS NOT NULL"""
+
+
 @register("b1_rate_limited", with_views(f"""
-SELECT request_id, queue_id FROM (SELECT *, row_number() OVER (PARTITION BY queue_id ORDER BY request_id) AS rn FROM {_VALID_SQL} v) x
-WHERE rn > rate_limit""", "queues"))
+SELECT request_id, queue_id FROM ({_sequential_sql(_VALID_SQL)}) s WHERE reason = 'rate_limited'""", "queues"))
 def b1l(spark, d):
     o = Ops(spark, d)
     rej = B.create_jobs(_requests(spark, d), o.queues, o.projects, JOBS_NOW, rate_limits=True)[2]
     return rej.filter("reason = 'rate_limited'").select("request_id", "queue_id")
 
 
+_TIGHT_SQL = """(SELECT o_orderkey AS request_id, o_custkey AS queue_id, CASE WHEN o_orderkey % 5 <> 0 THEN 'k' || CAST(o_orderkey % 3 AS VARCHAR) END AS k,
+  CASE WHEN o_custkey % 4 <> 0 THEN CAST(o_custkey % 4 + 1 AS BIGINT) END AS rate_limit FROM orders WHERE o_custkey IN (SELECT queue_id FROM queues))"""
+
+
+@register("b1_limits_with_conflicts", with_views(_sequential_sql(_TIGHT_SQL), "queues"))
+def b1t(spark, d):
+    """Few keys and low limits: a conflict creates nothing, so it leaves room for another."""
+    o = Ops(spark, d)
+    k = F.col("o_orderkey")
+    reqs = read(spark, d, "orders").select(
+        k.alias("request_id"), F.col("o_custkey").alias("queue_id"), F.lit(1).cast("long").alias("priority"),
+        F.when(k % 5 != 0, F.concat(F.lit("k"), (k % 3).cast("string"))).alias("body_key"))
+    c = F.col("queue_id")
+    tight = o.queues.withColumn("rate_limit", F.when(c % 4 != 0, c % 4 + 1))
+    rej = B.create_jobs(reqs, tight, o.projects, JOBS_NOW, rate_limits=True)[2]
+    return rej.filter("reason <> 'queue_not_found'").select("request_id", "queue_id", "reason")
+
+
 @register("b1_create_rejects", with_views(f"""
 SELECT * FROM {_REJECTS_SQL} a UNION ALL
 SELECT request_id, queue_id, 'idempotency_conflict' FROM (SELECT *, row_number() OVER (PARTITION BY queue_id, k ORDER BY request_id) AS rn
@@ -417,3 +448,34 @@ def b2j(spark, d):
     o = Ops(spark, d)
     _, jobs, _, _ = B.create_batches(_batch_requests(spark, d), o.queues, o.projects, JOBS_NOW)
     return jobs.select("job_id", "batch_id", "queue_id", "priority", "kind", "status")
+
+
+_KEYED_ITEMS_SQL = """(SELECT o_orderkey // 4 AS b, CAST(1 + (o_orderkey // 4) % 20 AS BIGINT) AS queue_id, o_orderkey,
+  CASE WHEN o_orderkey % 3 <> 0 THEN 'k' || CAST(o_orderkey * 7 % 101 AS VARCHAR) END AS k FROM orders)"""
+
+
+@register("b2_keyed_rejects", with_views(f"""
+WITH RECURSIVE bs AS (SELECT b, i.queue_id, count(*) AS n, list(k) FILTER (k IS NOT NULL) AS ks, any_value(lim) AS lim,
+    row_number() OVER (PARTITION BY i.queue_id ORDER BY b) AS rn FROM {_KEYED_ITEMS_SQL} i
+    JOIN (SELECT queue_id, CASE WHEN queue_id % 3 <> 0 THEN 40 + queue_id END AS lim FROM queues) q ON q.queue_id = i.queue_id
+    GROUP BY b, i.queue_id),
+step(queue_id, rn, b, reason, made, keys) AS (
+  SELECT DISTINCT queue_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(0 AS HUGEINT), CAST([] AS VARCHAR[]) FROM bs
+  UNION ALL
+  SELECT queue_id, rn, b, why, CASE WHEN why IS NULL THEN made + n ELSE made END, CASE WHEN why IS NULL THEN list_concat(keys, coalesce(ks, [])) ELSE keys END
+  FROM (SELECT bs.*, s.made, s.keys, CASE WHEN s.made + n > lim THEN 'rate_limited'
+      WHEN len(list_distinct(ks)) < len(ks) OR list_has_any(s.keys, coalesce(ks, [])) THEN 'idempotency_conflict' END AS why
+    FROM step s JOIN bs ON bs.queue_id = s.queue_id AND bs.rn = s.rn + 1) m)
+SELECT b AS batch_request_id, reason FROM step WHERE rn > 0 AND reason IS NOT NULL""", "queues"))
+def b2k(spark, d):
+    """Batches that share keys: only accepted ones hold them, and only they fill the limit."""
+    o = Ops(spark, d)
+    k = F.col("o_orderkey")
+    b = F.expr("o_orderkey div 4")
+    item = F.struct(k.alias("k"), F.lit("{}").alias("payload"), F.lit(1).cast("long").alias("priority"),
+                    F.when(k % 3 != 0, F.concat(F.lit("k"), (k * 7 % 101).cast("string"))).alias("idempotency_key"))
+    reqs = read(spark, d, "orders").groupBy(b.alias("batch_request_id")).agg(F.sort_array(F.collect_list(item)).alias("items")) \
+        .withColumn("queue_id", 1 + F.col("batch_request_id") % 20)
+    c = F.col("queue_id")
+    tight = o.queues.withColumn("rate_limit", F.when(c % 3 != 0, 40 + c))
+    return B.create_batches(reqs, tight, o.projects, JOBS_NOW, rate_limits=True)[3]
