@@ -2,7 +2,7 @@
 
 Iterative operators (D4, D5) loop on the driver over distributed joins; each
 round only reads a count. Lineage is cut with a reliable checkpoint into the
-shared ``spark.checkpoint.dir`` every few rounds, so lost executors recompute
+shared ``spark.checkpoint.dir`` in each round, so lost executors recompute
 from the last checkpoint, not from the start."""
 
 from __future__ import annotations
@@ -16,9 +16,6 @@ from ..session import cut_lineage, ts
 from .merge import insert_ignore
 from .transitions import outbox_for
 
-CHECKPOINT_EVERY = 4
-
-
 class RoundLimitExceeded(RuntimeError):
     """Raised instead of returning a partial result."""
 
@@ -111,38 +108,70 @@ def release(jobs: DataFrame, edges: DataFrame, satisfaction: DataFrame, queues:
 
 
 # D4 ---------------------------------------------------------------------------
-def _peel(edges: DataFrame, src: str, dst: str, max_rounds: int) -> DataFrame:
-    """Repeatedly drop edges whose ``src`` node has no incoming edge (Kahn).
-    Each round's edge set is persisted (recomputable from lineage if an executor
-    is lost) and a reliable checkpoint cuts the lineage every few rounds."""
-    cur = edges.persist(StorageLevel.MEMORY_AND_DISK)
-    count = cur.count()
-    for r in range(1, max_rounds + 1):
-        alive = cur.select(F.col(dst).alias(src)).distinct()
-        nxt = cur.join(alive, src, "left_semi")
-        nxt = cut_lineage(nxt) if r % CHECKPOINT_EVERY == 0 else nxt.persist(StorageLevel.MEMORY_AND_DISK)
-        n = nxt.count()
-        cur.unpersist()
+def _ends_of_chains(pointers: DataFrame) -> DataFrame:
+    """``node, root``: where the pointers ``(node, to)`` (one per node) lead in the end. Each
+    step jumps four times as far, so steps grow with the logarithm of the longest chain.
+    Nodes whose pointers run into a ring have no row: once a step ends no further chain,
+    only those are left."""
+    domain = pointers.select(F.col("node").alias("to"), F.lit(True).alias("open"))
+    cur = cut_lineage(pointers.join(domain, "to", "left").select("node", "to", F.coalesce("open", F.lit(False)).alias("open")))
+    left = None
+    while True:
+        n = cur.filter("open").count()
+        if n == left or n == 0:
+            return cur.filter("NOT open").select("node", F.col("to").alias("root"))
+        left = n
+        nxt = cur
+        for _ in range(2):
+            onward = nxt.select(F.col("node").alias("to"), F.col("to").alias("__to"), F.col("open").alias("__open"))
+            moved = nxt.filter("open").join(onward, "to").select("node", F.col("__to").alias("to"), F.col("__open").alias("open"))
+            nxt = nxt.filter("NOT open").unionByName(moved)
+        cur = cut_lineage(nxt)
+
+
+def _behind_cycles(edges: DataFrame, src: str, dst: str, max_rounds: int) -> DataFrame:
+    """Nodes on or behind (along src -> dst) a cycle: what is left when nodes without an
+    incoming edge are taken away until there are none.
+
+    A node with a single incoming edge shares the fate of the edge's source. Each round
+    takes the open ends away, follows such edges to where they begin, however long the
+    chain, and lets that node take over the edges of the whole chain (as two ways that
+    meet again then come from one node, they fold up as well). So rounds follow the depth
+    of what is left after folding, not the length of paths."""
+    e = cut_lineage(edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).distinct())
+    count, folded = e.count(), []
+    for _ in range(max_rounds):
+        kept = cut_lineage(e.join(e.select(F.col("d").alias("s")).distinct(), "s", "left_semi"))
+        n = kept.count()
         if n == count:
-            return nxt
-        cur, count = nxt, n
-    raise RoundLimitExceeded(f"peeling did not converge in {max_rounds} rounds")
+            break
+        single = kept.groupBy("d").agg(F.count(F.lit(1)).alias("__n"), F.min("s").alias("to")) \
+            .filter((F.col("__n") == 1) & (F.col("to") != F.col("d"))).select(F.col("d").alias("node"), "to")
+        roots = cut_lineage(_ends_of_chains(single))
+        folded.append(roots)
+        rest = kept.join(roots.select(F.col("node").alias("d")), "d", "left_anti")
+        moved = rest.join(roots.withColumnRenamed("node", "s"), "s", "left")
+        e = cut_lineage(moved.select(F.coalesce("root", "s").alias("s"), "d").distinct())
+        count = e.count()
+    else:
+        raise RoundLimitExceeded(f"cycle search did not end in {max_rounds} rounds")
+    found = e.select(F.col("d").alias("node")).distinct()
+    for roots in reversed(folded):
+        more = roots.join(found.withColumnRenamed("node", "root"), "root", "left_semi").select("node")
+        found = found.unionByName(more)
+    return cut_lineage(found)
 
 
 def cycles(edges: DataFrame, max_rounds: int = 10_000):
-    """Two node sets: on or downstream of a cycle (forward peel of zero in-degree
-    nodes), and on a cycle or on a path between cycles (then a backward peel of
-    zero out-degree nodes). Rounds equal the longest acyclic path."""
-    e = edges.select("parent_id", "child_id").distinct()
-    fwd = _peel(e, "parent_id", "child_id", max_rounds)
-    both = _peel(fwd, "child_id", "parent_id", max_rounds)
-
-    def nodes(x):
-        return x.select(F.col("parent_id").alias("node_id")).unionByName(
-            x.select(F.col("child_id").alias("node_id"))).distinct()
-
-    downstream = nodes(fwd).select("node_id", F.lit("cycle_or_downstream").alias("kind"))
-    between = nodes(both).select("node_id", F.lit("cycle_or_between").alias("kind"))
+    """Two node sets: on or downstream of a cycle, and on a cycle or on a path between
+    cycles (of those, the ones that also lead to a cycle). An edge from a node to itself is
+    a cycle; nodes without an id and their edges are ignored."""
+    e = cut_lineage(edges.select("parent_id", "child_id").dropna().distinct())
+    fwd = _behind_cycles(e, "parent_id", "child_id", max_rounds)
+    inner = e.join(fwd.withColumnRenamed("node", "parent_id"), "parent_id", "left_semi")
+    both = _behind_cycles(inner, "child_id", "parent_id", max_rounds)
+    downstream = fwd.select(F.col("node").alias("node_id"), F.lit("cycle_or_downstream").alias("kind"))
+    between = both.select(F.col("node").alias("node_id"), F.lit("cycle_or_between").alias("kind"))
     return downstream, between
 
 
