@@ -37,22 +37,22 @@ _RANK_BITS = 44
 
 class Ids:
     """Token ids of ``byte_bpe_50k.json``. The same vocabulary as a rank file is encoded
-    by tiktoken, several times faster with equal ids (tested). Its splitter runs out of
-    stack on very long white space, so such texts go to the tokenizers library."""
+    by tiktoken, several times faster with equal ids (tested). Two kinds of text go to the
+    tokenizers library itself: very long white space, on which tiktoken's splitter runs out
+    of stack, and texts that spell an added token, which has an id of its own."""
 
     BLANK = re.compile(r"\s{500}")
 
     def __init__(self, ranks: bytes, path: str):
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
-        self.path = path
+        self.slow = Tokenizer.from_file(path)
+        self.added = [t.content for t in self.slow.get_added_tokens_decoder().values()]
         self.fast = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN,
                                       mergeable_ranks=table, special_tokens={})
 
     def __call__(self, text: str) -> np.ndarray:
-        if len(text) >= 500 and self.BLANK.search(text):
-            slow = Tokenizer.from_file(self.path)
-            slow.encode_special_tokens = True
-            ids = slow.encode(text, add_special_tokens=False).ids
+        if any(t in text for t in self.added) or (len(text) >= 500 and self.BLANK.search(text)):
+            ids = self.slow.encode(text, add_special_tokens=False).ids
         else:
             ids = self.fast.encode_ordinary(text)
         return np.array(ids, dtype="<u4")

@@ -13,7 +13,6 @@ from jobsight.llm import packing as K
 @pytest.fixture(scope="module")
 def encode():
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda s: t.encode(s or "", add_special_tokens=False).ids + [0]
 
 
@@ -47,7 +46,8 @@ def test_whole_table(spark, small, encode):
 
 def test_edge_rows(docs_of, encode):
     rows = [(1, None), (2, ""), (3, "a"), (3, "a"), (None, "null id"), (4, "word " * 5000), (5, "x" * 30_000),
-            (6, " " * 4000 + "end"), (7, "<|endoftext|> is text"), (8, "héllo 漢字 \U0001f600")]
+            (6, " " * 4000 + "end"), (7, "<|endoftext|> is a token"), (9, "a <|endoftext|> b"), (8, "héllo 漢字 \U0001f600")]
+    assert encode("a <|endoftext|> b") == [64, 220, 50256, 275, 0]
     check(rows, K.pack(docs_of(rows)).collect(), encode)
     assert K.pack(docs_of(rows).limit(0)).collect() == []
 
