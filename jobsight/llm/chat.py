@@ -6,12 +6,13 @@ transcript, first line of a row, later line), its length and whether it asks. Th
 are (role, first line of a turn) and (role, later line). Start, transition and emission
 counts come from all rows with a known role; Viterbi recovers the roles, turns are rendered.
 
-A conversation may be of any length: it is cut into blocks of ``BLOCK`` turn numbers. A
-block becomes a max-plus matrix (best log-probability from each state before it to each
+A conversation may be of any length: it is cut into blocks of ``BLOCK`` rows, by their place
+in the conversation. A block becomes a max-plus matrix (best log-probability from each state before it to each
 state at its end); matrices are joined ``FAN`` at a time, level by level, until one group a
 conversation is left; the best path through the groups fixes the states at their borders,
-level by level down again, and each block is decoded between its border states. No task
-ever holds more than one block or ``FAN`` matrices of a conversation.
+level by level down again, and each block is decoded between its border states. The parts
+of a turn that goes on over borders are put together before it is rendered. No task
+holds more than one block, ``FAN`` matrices of a conversation, or one turn.
 """
 
 from __future__ import annotations
@@ -25,7 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions
+from pyspark.sql.pandas.types import to_arrow_type
+
+from ..operators.windows import id_range, lag_in_groups, running_sum_in_groups
+from .common import cut, partitions, positions
 
 ROLES = ("system", "user", "assistant")
 STATES = 2 * len(ROLES)          # role * 2 + (0: first line of a turn, 1: later line)
@@ -61,13 +65,14 @@ def symbol(line: str, place: int) -> int:
     return ((marker(line)[0] * 3 + place) * 4 + size) * 2 + line.rstrip().endswith("?")
 
 
-def _lines(rows) -> tuple[list[tuple[int, int, str]], np.ndarray]:
-    """(row, line number, line) of a block's rows ``(turn, role, text)`` and their symbols."""
+def _lines(rows, block: int) -> tuple[list[tuple[int, int, str]], np.ndarray]:
+    """(row, line number, line) of a block's rows ``(turn, role, text)`` and their symbols;
+    block 0 begins the transcript."""
     out, syms = [], []
-    for k, (turn, _, text) in enumerate(rows):
+    for k, (_, _, text) in enumerate(rows):
         for j, line in enumerate((text or "").split("\n")):
             out.append((k, j, line))
-            syms.append(symbol(line, 2 if j else 1 if k or turn not in (0, None) else 0))
+            syms.append(symbol(line, 2 if j else 1 if k or block else 0))
     return out, np.array(syms)
 
 
@@ -86,25 +91,43 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tupl
 
 
 def _blocked(turns: DataFrame) -> DataFrame:
-    """Rows dealt by (conversation, block) and sorted by turn inside; ties by text and role."""
-    n = partitions(turns.sparkSession)
-    return turns.select("conv_id", F.floor(F.coalesce(F.col("turn").cast("long"), F.lit(0)) / BLOCK).alias("block"),
-                        F.col("turn").cast("long").alias("turn"), F.lower(F.col("role").cast("string")).alias("role"),
-                        F.col("text").cast("string").alias("text")) \
-        .repartition(n, "conv_id", "block").sortWithinPartitions("conv_id", "block", "turn", "text", "role")
+    """``conv_id, block, turn, role, text``: ``BLOCK`` rows a block by their place in the
+    conversation; rows in order of turn (null first), ties by text and role. Places come from
+    one sort of all rows, so rows of one turn number, or of none, spread like any others."""
+    x = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.lower(F.col("role").cast("string")).alias("role"),
+                     F.col("text").cast("string").alias("text"))
+    x = positions(x, [F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "text", "role")])
+    lines = x.groupBy("_part", "conv_id").agg(F.min("_at").alias("_f"))
+    first = lines.groupBy(F.col("conv_id").alias("_g")).agg(F.min("_f").alias("_first"))
+    lines = lines.join(first, F.col("conv_id").eqNullSafe(F.col("_g"))).select(F.col("_part").alias("_p"), F.col("conv_id").alias("_c"), "_first")
+    x = x.join(lines, (F.col("_part") == F.col("_p")) & F.col("conv_id").eqNullSafe(F.col("_c")))
+    return x.select("conv_id", F.floor((F.col("_at") - F.col("_first")) / BLOCK).alias("block"), "turn", "role", "text")
+
+
+def _dealt(rows: DataFrame, *also: str) -> DataFrame:
+    """Blocks dealt to tasks, their rows in order."""
+    n = partitions(rows.sparkSession)
+    return rows.select("conv_id", "block", *also, "turn", "role", "text").repartition(n, F.xxhash64("conv_id", "block")) \
+        .sortWithinPartitions("conv_id", "block", "turn", "text", "role")
 
 
 def fit(turns: DataFrame) -> dict[str, np.ndarray]:
-    """Log start, transition and emission tables from all rows whose role is known.
-    Transitions are counted inside blocks. Without any such row the pseudo-counts speak."""
+    """Log start, transition and emission tables from all rows whose role is known, over
+    block borders too. Without any such row the pseudo-counts speak."""
+    conv_type = to_arrow_type(turns.schema["conv_id"].dataType)
+    schema = pa.schema([("cell", pa.int64()), ("n", pa.float64()), ("conv_id", conv_type), ("block", pa.int64()),
+                        ("enters", pa.int32()), ("leaves", pa.int32())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, move, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, SYMBOLS))
-        for (_, block), rows in _groups(batches, 2):
-            lines, syms = _lines(rows)
-            before = None
-            for (k, j, _), y in zip(lines, syms):
+        ends: list[dict] = []
+        for (conv, block), rows in _groups(batches, 2):
+            lines, syms = _lines(rows, block)
+            before, first = None, None
+            for i, ((k, j, _), y) in enumerate(zip(lines, syms)):
                 role = rows[k][1]
                 s = ROLES.index(role) * 2 + (j > 0) if role in ROLES else None
+                first = s if i == 0 else first
                 if s is not None:
                     emit[s, y] += 1
                     if before is not None:
@@ -112,10 +135,19 @@ def fit(turns: DataFrame) -> dict[str, np.ndarray]:
                     elif block == 0 and k == 0 and j == 0:
                         start[s] += 1
                 before = s
+            ends.append({"conv_id": conv, "block": block, "enters": first, "leaves": before})
+            if len(ends) >= 2000:
+                yield pa.RecordBatch.from_pylist(ends, schema=schema)
+                ends = []
         flat = np.concatenate([start, move.ravel(), emit.ravel()])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], names=["cell", "n"])
+        yield pa.RecordBatch.from_pylist(ends + [{"cell": i, "n": v} for i, v in enumerate(flat.tolist()) if v], schema=schema)
 
-    rows = _blocked(turns).mapInArrow(run, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    kind = turns.schema["conv_id"].dataType.simpleString()
+    seen = cut(_dealt(_blocked(turns)).mapInArrow(run, f"cell long, n double, conv_id {kind}, block long, enters int, leaves int"))
+    ends = lag_in_groups(seen.where("cell IS NULL"), ["conv_id"], ["block"], ["leaves"], [id_range("block", 4096)])
+    over = ends.where("prev_leaves IS NOT NULL AND enters IS NOT NULL") \
+        .select((STATES + F.col("prev_leaves") * STATES + F.col("enters")).cast("long").alias("cell"), F.lit(1.0).alias("n"))
+    rows = seen.where("cell IS NOT NULL").select("cell", "n").unionByName(over).groupBy("cell").agg(F.sum("n").alias("n")).collect()
     flat = np.zeros(STATES + STATES * STATES + STATES * SYMBOLS)
     for r in rows:                       # one row a cell: a few hundred
         flat[r["cell"]] = r["n"]
@@ -186,9 +218,8 @@ def _by(df: DataFrame, *keys: str, order: str | None = None) -> DataFrame:
 
 
 def decode(turns: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
-    """``conv_id, turn, line, begins, role, text, rendered``: one row per recovered turn, at
-    the row's turn number and line where it begins. ``begins`` is false where a turn goes on
-    over a block border. Markers are left out of the text.
+    """``conv_id, turn, line, role, text, rendered``: one row per recovered turn, at the row's
+    turn number and line where it begins. Markers are left out of the text.
 
     A null text is one empty line; a null role is recovered like any other; a null turn
     counts as 0 and comes first, a null conv_id is one conversation; equal rows are parsed
@@ -196,12 +227,12 @@ def decode(turns: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     spark = turns.sparkSession
     shared = spark.sparkContext.broadcast(model)
     kind = turns.schema["conv_id"].dataType.simpleString()
-    rows = _blocked(turns)
+    rows = cut(_blocked(turns))
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for (conv, block), own in _groups(batches, 2):
-            a = _matrix(m, _lines(own)[1])
+            a = _matrix(m, _lines(own, block)[1])
             yield pa.RecordBatch.from_pylist([{"conv_id": conv, "block": block, "m": a.ravel().tolist()}], schema=node_schema)
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,14 +251,14 @@ def decode(turns: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
             yield pa.RecordBatch.from_pylist([{"conv_id": conv, "block": b, "enter": i, "leave": j} for (b, _), i, j
                                               in zip(own, [enter, *s[:-1]], s)], schema=state_schema)
 
-    conv_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
+    conv_type = to_arrow_type(turns.schema["conv_id"].dataType)
     node_schema = pa.schema([("conv_id", conv_type), ("block", pa.int64()), ("m", pa.list_(pa.float64()))])
     state_schema = pa.schema([("conv_id", conv_type), ("block", pa.int64()), ("enter", pa.int32()), ("leave", pa.int32())])
-    last = turns.agg(F.max(F.floor(F.col("turn").cast("long") / BLOCK))).first()[0]
+    last = rows.agg(F.max("block")).first()[0]
     whole = not last                     # every conversation is one block: no borders to find
     states = None
     if not whole:
-        levels = [cut(rows.mapInArrow(ends, _NODE.format(kind)))]
+        levels = [cut(_dealt(rows).mapInArrow(ends, _NODE.format(kind)))]
         for _ in range(8):
             top = levels[-1]
             if top.agg(F.max("block")).first()[0] < FAN:
@@ -247,45 +278,60 @@ def decode(turns: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
             if depth:
                 states = states.withColumnRenamed("block", "up")
         edge = states.select(F.col("conv_id").alias("c"), F.col("block").alias("k"), "enter", "leave")
-        rows = rows.join(edge, rows["conv_id"].eqNullSafe(edge["c"]) & (rows["block"] == edge["k"])) \
-            .select("conv_id", "block", "enter", "leave", "turn", "role", "text")
-        rows = _by(rows, "conv_id", "block").sortWithinPartitions("conv_id", "block", "turn", "text", "role")
+        rows = rows.join(edge, rows["conv_id"].eqNullSafe(edge["c"]) & (rows["block"] == edge["k"]))
     else:
-        rows = rows.select("conv_id", "block", F.lit(STATES).alias("enter"), F.lit(-1).alias("leave"), "turn", "role", "text")
+        rows = rows.withColumns({"enter": F.lit(STATES), "leave": F.lit(-1)})
+    rows = _dealt(rows, "enter", "leave")
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Parts of turns; the last part of a block and one that goes on from the block
+        before stay open (with their texts as they are), all others are whole turns."""
         m = shared.value
         out: list[dict] = []
-        for (conv, _, enter, leave), own in _groups(batches, 4):
-            lines, syms = _lines(own)
+        for (conv, block, enter, leave), own in _groups(batches, 4):
+            lines, syms = _lines(own, block)
             path = _path(m, syms, enter, leave)
-            now: dict | None = None
+            role, parts = ROLES[enter // 2] if enter < STATES else None, []
             for (k, j, line), s in zip(lines, path.tolist()):
+                begins = s % 2 == 0 or ROLES[s // 2] != role
+                role = ROLES[s // 2]
                 text = line[marker(line)[1]:] if s % 2 == 0 else line
-                if now is None or s % 2 == 0 or ROLES[s // 2] != now["role"]:
-                    if now:
-                        out.append(now)
-                    now = {"conv_id": conv, "turn": own[k][0], "line": j, "begins": s % 2 == 0 or now is not None or enter == STATES,
-                           "role": ROLES[s // 2], "text": [text]}
+                if begins or not parts:
+                    parts.append({"conv_id": conv, "block": block, "part": len(parts), "turn": own[k][0], "line": j,
+                                  "begins": begins, "open": not begins, "role": role, "text": [text]})
                 else:
-                    now["text"].append(text)
-            if now:
-                out.append(now)
+                    parts[-1]["text"].append(text)
+            parts[-1]["open"] = not whole or parts[-1]["open"]
+            for p in parts:
+                p["text"] = "\n".join(p["text"]) if p["open"] else "\n".join(p["text"]).strip()
+            out += parts
             if len(out) >= 2000:
-                yield _turns(out)
+                yield pa.RecordBatch.from_pylist(out, schema=part_schema)
                 out = []
         if out:
-            yield _turns(out)
-
-    def _turns(rows_: list[dict]) -> pa.RecordBatch:
-        for r in rows_:
-            r["text"] = "\n".join(r["text"]).strip()
-            r["rendered"] = f"<|{r['role']}|>\n{r['text']}\n<|end|>\n"
-        return pa.RecordBatch.from_pylist(rows_, schema=turn_schema)
-
-    turn_schema = pa.schema([("conv_id", conv_type), ("turn", pa.int64()), ("line", pa.int64()), ("begins", pa.bool_()),
-                             ("role", pa.string()), ("text", pa.string()), ("rendered", pa.string())])
-    return rows.mapInArrow(label, f"conv_id {kind}, turn long, line long, begins boolean, role string, text string, rendered string")
+            yield pa.RecordBatch.from_pylist(out, schema=part_schema)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = ["\n".join(t).strip() for t in b.column(b.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], names=b.schema.names)
+
+    part_schema = pa.schema([("conv_id", conv_type), ("block", pa.int64()), ("part", pa.int64()), ("turn", pa.int64()), ("line", pa.int64()),
+                             ("begins", pa.bool_()), ("open", pa.bool_()), ("role", pa.string()), ("text", pa.string())])
+    parts = rows.mapInArrow(label, f"conv_id {kind}, block long, part long, turn long, line long, begins boolean, open boolean, "
+                                   "role string, text string")
+    columns = ["conv_id", "turn", "line", "role", "text"]
+    if not whole:
+        parts = cut(parts)
+        number = running_sum_in_groups(parts.where("open").withColumn("_one", F.col("begins").cast("long")), ["conv_id"],
+                                       ["block", "part"], "_one", "_turn", [id_range("block", 4096)])
+        head = F.struct("block", "part", "turn", "line", "role")
+        joined = number.groupBy("conv_id", "_turn").agg(
+            F.min(head).alias("_h"), F.transform(F.sort_array(F.collect_list(F.struct("block", "part", "text"))), lambda p: p["text"]).alias("text"))
+        joined = joined.select("conv_id", F.col("_h.turn").alias("turn"), F.col("_h.line").alias("line"), F.col("_h.role").alias("role"), "text") \
+            .mapInArrow(join, f"conv_id {kind}, turn long, line long, role string, text string")
+        parts = parts.where("NOT open").select(*columns).unionByName(joined)
+    return parts.select(*columns, F.concat(F.lit("<|"), "role", F.lit("|>\n"), "text", F.lit("\n<|end|>\n")).alias("rendered"))
 
 
 def held_out(c: str = "conv_id"):

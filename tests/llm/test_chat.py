@@ -53,15 +53,33 @@ def test_markers_in_a_raw_transcript(spark, model):
                                                 ("assistant", "fine"), ("user", "ok")]
 
 
-def test_long_conversation_in_blocks(spark, model, monkeypatch):
+@pytest.mark.parametrize("block,fan", [(1, 3), (4, 3), (7, 256), (64, 256)])
+def test_long_conversation_in_blocks(spark, model, monkeypatch, block, fan):
+    """Whole rendered turns are the same however the rows are cut."""
     text = ["yes", "What is that?", "a b c " * 30, "line\nline two", None]
-    rows = [(1, i, None, text[i % 5]) for i in range(90)] + [(2, 0, "user", "Hi"), (None, 3, None, "x")]
+    rows = [(1, i, None, text[i % 5]) for i in range(130)] + [(2, 0, "user", "Hi"), (None, 3, None, "x")]
+    rows += [(3, None if i % 2 else 5, None, f"User: part {i}\n goes on {i}") for i in range(20)]
+    rows += [(4, i, None, "user: a\nb" if i == 0 else "and so on") for i in range(70)]
     df = spark.createDataFrame(rows, TURNS)
-    key = lambda out: sorted(((r.conv_id or -1, r.turn, r.line, r.role) for r in out if r.begins))
-    whole = key(C.decode(df, model).collect())
-    monkeypatch.setattr(C, "BLOCK", 4)
-    monkeypatch.setattr(C, "FAN", 3)
-    assert key(C.decode(df, model).collect()) == whole
+    model = dict(model, emit=model["emit"] + np.tile([-14.0, 0.0], len(C.ROLES))[:, None])   # turns go on more often
+    key = lambda out: sorted(map(str, out.collect()))
+    monkeypatch.setattr(C, "BLOCK", 10_000)
+    whole = C.decode(df, model)
+    want = key(whole)
+    assert whole.where("conv_id = 4").count() < 60                 # some turns span many rows
+    monkeypatch.setattr(C, "BLOCK", block)
+    monkeypatch.setattr(C, "FAN", fan)
+    assert key(C.decode(df, model)) == want
+
+
+def test_counts_over_borders(spark, monkeypatch):
+    rows = [(1, i, ("user", "assistant")[i % 2], "x" if i % 3 else "x\ny") for i in range(50)] + [(2, None, "user", "q")] * 9
+    df = spark.createDataFrame(rows, "conv_id short, turn long, role string, text string")
+    whole = C.fit(df)
+    monkeypatch.setattr(C, "BLOCK", 3)
+    cut = C.fit(df)
+    assert all(np.allclose(whole[k], cut[k]) for k in whole)
+    assert C.decode(df, cut).schema["conv_id"].dataType.simpleString() == "smallint"
 
 
 def test_edge_rows(spark, model):
