@@ -158,8 +158,8 @@ def _behind_cycles(edges: DataFrame, src: str, dst: str, max_rounds: int) -> Dat
     found = e.select(F.col("d").alias("node")).distinct()
     for roots in reversed(folded):
         more = roots.join(found.withColumnRenamed("node", "root"), "root", "left_semi").select("node")
-        found = found.unionByName(more)
-    return cut_lineage(found)
+        found = cut_lineage(found.unionByName(more))
+    return found
 
 
 def cycles(edges: DataFrame, max_rounds: int = 10_000):

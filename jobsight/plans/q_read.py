@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
 from ..operators import joins as J
+from ..session import checkpoint_dir
 from ..sources.fixtures import Ops, with_views
+from ..sources.tables import load_ops, save_ops
 from .registry import register
 
 # ---------------------------------------------------------------- S1 typed scans
@@ -286,6 +288,17 @@ def j4(spark, d):
     return J.role_allows(_pairs(o), o.org_memberships)
 
 
+@register("j4_role_writers", with_views(f"""
+SELECT r.user_id, r.org_id,
+  CASE WHEN m.role IS NULL THEN 'not_in_org' WHEN m.role IN ('owner', 'admin', 'member') THEN 'ok' ELSE 'insufficient' END AS reason,
+  coalesce(m.role IN ('owner', 'admin', 'member'), false) AS allowed
+FROM {_PAIRS_SQL} r LEFT JOIN org_memberships m ON m.user_id = r.user_id AND m.org_id = r.org_id""",
+    "jobs", "queues", "projects", "org_memberships"))
+def j4w(spark, d):
+    o = Ops(spark, d)
+    return J.role_allows(_pairs(o), o.org_memberships, J.WRITER_ROLES)
+
+
 @register("j5_queued_without_outbox", with_views(f"""
 SELECT job_id, queue_id FROM jobs j WHERE status = 'QUEUED' AND queued_at < {NOW_SQL} - INTERVAL 30 SECOND
   AND NOT EXISTS (SELECT 1 FROM outbox_events e WHERE e.job_id = j.job_id)""", "jobs", "outbox_events"))
@@ -872,3 +885,44 @@ def j2d(spark, d):
     """DLQ rows visible to each user (membership-scoped), counted per queue."""
     o = Ops(spark, d)
     return J.visible_counts(o.dead_letter_entries, o.queues, o.projects, o.org_memberships)
+
+
+_VISIBLE_SQL = """JOIN queues q ON q.queue_id = x.queue_id JOIN projects p ON p.project_id = q.project_id
+  JOIN org_memberships m ON m.org_id = p.org_id"""
+
+
+@register("j2_visible_failed_jobs", with_views(f"""
+SELECT m.user_id, x.job_id, x.queue_id, p.org_id FROM (SELECT * FROM jobs WHERE status = 'FAILED') x {_VISIBLE_SQL}""",
+    "jobs", "queues", "projects", "org_memberships"))
+def j2j(spark, d):
+    o = Ops(spark, d)
+    failed = o.jobs.filter("status = 'FAILED'").select("job_id", "queue_id")
+    return J.visible_to(failed, o.queues, o.projects, o.org_memberships).select("user_id", "job_id", "queue_id", "org_id")
+
+
+@register("j2_visible_schedules", with_views(f"""
+SELECT m.user_id, x.schedule_id, x.queue_id, x.cron_expr FROM scheduled_jobs x {_VISIBLE_SQL}""",
+    "scheduled_jobs", "queues", "projects", "org_memberships"))
+def j2s(spark, d):
+    o = Ops(spark, d)
+    s = o.scheduled_jobs.select("schedule_id", "queue_id", "cron_expr")
+    return J.visible_to(s, o.queues, o.projects, o.org_memberships).select("user_id", "schedule_id", "queue_id", "cron_expr")
+
+
+@register("j2_visible_queues", with_views(f"""
+SELECT m.user_id, q.queue_id, p.project_id, p.org_id FROM queues x {_VISIBLE_SQL}""", "queues", "projects", "org_memberships"))
+def j2q(spark, d):
+    o = Ops(spark, d)
+    return J.visible_to(o.queues.select("queue_id"), o.queues, o.projects, o.org_memberships) \
+        .select("user_id", "queue_id", "project_id", "org_id")
+
+
+@register("s1_stored_jobs", with_views("""
+SELECT j.job_id, j.status, j.priority, q.max_concurrency FROM jobs j JOIN queues q ON q.queue_id = j.queue_id""", "jobs", "queues"))
+def s1s(spark, d):
+    """Tables stored as typed folders and read back with their declared schemas."""
+    import uuid
+    path = f"{checkpoint_dir(spark)}/stored-{uuid.uuid4().hex}"
+    save_ops(Ops(spark, d), path, ["jobs", "queues"])
+    t = load_ops(spark, path)
+    return t.jobs.join(t.queues, "queue_id").select("job_id", "status", "priority", "max_concurrency")

@@ -12,7 +12,7 @@ from ..schema import DECLARED_TRANSITIONS
 from ..session import checkpoint_dir
 from ..sources.fixtures import EVENTS_NOW, JOBS_NOW, Ops, build, with_views
 from ..streaming import operators as T
-from ..streaming.runner import append_events, publish_once, run_to_table
+from ..streaming.runner import append_events, arrivals_stream, publish_once, run_to_table
 from ..functions.columns import derived_id_sql
 from .registry import register
 from .tick import run_tick
@@ -29,7 +29,7 @@ def t1(spark, d):
 SELECT status, count(*) AS n FROM (SELECT job_id, arg_max(status, (event_ts, event_id)) AS status FROM status_events
   GROUP BY job_id) x GROUP BY status""", "status_events"))
 def t2(spark, d):
-    return T.snapshot_stream(_status_stream(spark, d), "t2")
+    return run_to_table(T.snapshot_stream(_status_stream(spark, d)), "t2", mode="complete")
 
 
 def _status_stream(spark, d):
@@ -280,4 +280,14 @@ def t2p(spark, d):
     jobs = build(spark, d, "jobs", stream=True).select(
         "job_id", "queue_id", "status", F.col("updated_at").alias("event_ts"), F.col("job_id").alias("event_id"))
     ctx = with_context(jobs, o.queues, o.projects)
-    return T.snapshot_stream(ctx, "t2p", scope="project_id")
+    return run_to_table(T.snapshot_stream(ctx, scope="project_id"), "t2p", mode="complete")
+
+
+@register("s2_arrivals", with_views("SELECT msg_id, header_job_id, body FROM messages", "messages"))
+def s2(spark, d):
+    """Messages dropped as files into a folder, picked up a few files a trigger."""
+    import uuid
+    path = f"{checkpoint_dir(spark)}/inbox-{uuid.uuid4().hex}"
+    sent = Ops(spark, d).messages.select("msg_id", "header_job_id", "body")
+    sent.write.parquet(path)
+    return run_to_table(arrivals_stream(spark, path, sent.schema, max_files=4), "s2")

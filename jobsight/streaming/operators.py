@@ -63,14 +63,12 @@ def status_deltas(events: DataFrame, ts_col: str = "event_ts", scope: str | None
         GroupStateTimeout.NoTimeout)
 
 
-def snapshot_stream(events: DataFrame, name: str = "snapshot", scope: str | None = None) -> DataFrame:
-    """Counts of jobs by latest status (per ``scope`` when given): deltas come from
-    a stateful step keyed by job and are summed in a second step over the
-    written deltas; returns the final snapshot."""
-    from .runner import run_to_table
-    deltas = run_to_table(status_deltas(events, scope=scope), f"{name}-deltas")
+def snapshot_stream(events: DataFrame, scope: str | None = None) -> DataFrame:
+    """Live counts of jobs by latest status (per ``scope`` when given): one query of two
+    chained stateful steps, the latest status of each job and the sum of its ±1 changes.
+    To be written in complete or update mode; counts that fell to 0 are left out."""
     keys = (["scope"] if scope else []) + ["status"]
-    out = (deltas.groupBy(*keys).agg(F.sum("delta").cast("long").alias("n")).filter(F.col("n") != 0))
+    out = status_deltas(events, scope=scope).groupBy(*keys).agg(F.sum("delta").cast("long").alias("n")).filter(F.col("n") != 0)
     return out.withColumnRenamed("scope", scope) if scope else out
 
 
