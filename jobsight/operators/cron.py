@@ -7,7 +7,8 @@ from ``sequence`` over the window, filtered by day-of-month, month, weekday (bot
 day fields must match; Sunday = 1) and year; each kept day is crossed with the
 schedule's times of day as **local** wall-clock time, then converted to UTC.
 A local time that does not exist (DST gap) fails the round trip and is skipped;
-an ambiguous local time maps to its earlier instant."""
+an ambiguous local time maps to its earlier instant. The next fire (C3) needs no days
+or times: it is the successor of an instant, field by field."""
 
 from __future__ import annotations
 
@@ -69,9 +70,6 @@ def zone_ok(tz: Column) -> Column:
                       F.lit(False))
 
 
-LAST_DAY = "2099-12-31"   # of the year field's domain
-
-
 def parsed_pairs(schedules: DataFrame, cron_col: str = "cron_expr", tz_col: str = "timezone") -> DataFrame:
     """One row per distinct (cron text, zone): ``__ce, __tz, __cron, __tz_ok``. All
     calendar work is done once per pair; the exchange keeps the parsing from being
@@ -94,7 +92,7 @@ def _day_matches(c: Column, day: Column) -> Column:
             & F.array_contains(c["dow"], F.dayofweek(day)) & F.array_contains(c["year"], F.year(day)))
 
 
-def _fires(good: DataFrame, days: Column, t0: Column, t1: Column | None) -> DataFrame:
+def _fires(good: DataFrame, days: Column, t0: Column, t1: Column) -> DataFrame:
     """Explode candidate local days × times of day → UTC fire times in [t0, t1) per pair.
 
     The zone offset is looked up twice per day (at local midnight and at the
@@ -119,10 +117,7 @@ def _fires(good: DataFrame, days: Column, t0: Column, t1: Column | None) -> Data
     utc = F.when(stable, F.col("__local") - F.col("__off0")).otherwise(F.to_utc_timestamp(F.col("__local"), tz))
     local = local.withColumn("__utc", utc)
     exists = stable | (F.from_utc_timestamp(F.col("__utc"), tz) == F.col("__local"))
-    keep = exists & (F.col("__utc") >= t0)
-    if t1 is not None:
-        keep = keep & (F.col("__utc") < t1)
-    return local.filter(keep).select("__ce", "__tz", F.col("__utc").cast("timestamp_ntz").alias("fire_time"))
+    return local.filter(exists & (F.col("__utc") >= t0) & (F.col("__utc") < t1)).select("__ce", "__tz", F.col("__utc").cast("timestamp_ntz").alias("fire_time"))
 
 
 def occurrences(schedules: DataFrame, start, end, id_col: str = "schedule_id",
@@ -144,30 +139,94 @@ def occurrences(schedules: DataFrame, start, end, id_col: str = "schedule_id",
 
 
 # C3 ---------------------------------------------------------------------------
+# Local and UTC times are whole seconds since 1970 here, so no session zone is involved.
+def _let(value: str, name: str, body: str) -> str:
+    """SQL text: ``body`` with ``name`` standing for ``value``, evaluated once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _to_local(utc: str) -> str:
+    return f"unix_seconds(from_utc_timestamp(timestamp_seconds({utc}), __tz))"
+
+
+def _to_utc(local: str) -> str:
+    return f"unix_seconds(to_utc_timestamp(timestamp_seconds({local}), __tz))"
+
+
+def _next_day(day: str) -> str:
+    """SQL text: the first matching date at or after ``day``, null after the last year.
+    Year, then month, then day carry; later values are not looked at once one is found."""
+    in_month = f"""get(filter(transform(__cron.dom, k -> date_add(make_date(y, m, 1), k - 1)),
+        x -> month(x) = m AND x >= {day} AND array_contains(__cron.dow, dayofweek(x))), 0)"""
+    in_year = f"""aggregate(filter(__cron.month, m -> y > year({day}) OR m >= month({day})), CAST(NULL AS DATE),
+        (found_m, m) -> coalesce(found_m, {in_month}))"""
+    return f"""aggregate(filter(__cron.year, y -> y >= year({day})), CAST(NULL AS DATE),
+        (found_y, y) -> coalesce(found_y, {in_year}))"""
+
+
+def _next_time(sod: str) -> str:
+    """SQL text: the first matching second of the day at or after ``sod``, null if none:
+    in the same minute, else in the same hour, else in a later hour."""
+    h, m, x = f"CAST({sod} div 3600 AS INT)", f"CAST({sod} div 60 % 60 AS INT)", f"{sod} % 60"
+    return f"""CASE WHEN array_contains(__cron.hour, {h}) THEN coalesce(
+            CASE WHEN array_contains(__cron.min, {m}) THEN {sod} div 60 * 60 + get(filter(__cron.sec, v -> v >= {x}), 0) END,
+            {h} * 3600 + get(filter(__cron.min, v -> v > {m}), 0) * 60 + __cron.sec[0]) END"""
+
+
+def _next_local(low: str) -> str:
+    """SQL text: the first local time at or after ``low`` that matches all fields."""
+    later_hour = """get(filter(__cron.hour, v -> v > sod div 3600), 0) * 3600 + __cron.min[0] * 60 + __cron.sec[0]"""
+    today = f"coalesce({_next_time('sod')}, {later_hour})"
+    first = "__cron.hour[0] * 3600 + __cron.min[0] * 60 + __cron.sec[0]"
+    at = lambda d, t: f"unix_date({d}) * 86400L + {t}"
+    return _let(f"date_from_unix_date(CAST(floor({low} / 86400D) AS INT))", "today",
+                _let(_next_day("today"), "day",
+                     f"""CASE WHEN day > today THEN {at('day', first)} ELSE coalesce(
+                     {_let(f'pmod({low}, 86400L)', 'sod', at('day', today))},
+                     {_let(_next_day('date_add(today, 1)'), 'following', at('following', first))}) END"""))
+
+
+def _shift(lo: str, hi: str) -> str:
+    """SQL text: the instant in (lo, hi] from which the zone's offset is that at ``hi``;
+    one offset change lies between, at most a day wide."""
+    mid = "(w.lo + w.hi) div 2"
+    return f"""aggregate(sequence(1, 18), named_struct('lo', {lo}, 'hi', {hi}), (w, i) ->
+        CASE WHEN {_to_local(mid)} - {mid} = {_to_local(hi)} - {hi}
+             THEN named_struct('lo', w.lo, 'hi', {mid}) ELSE named_struct('lo', {mid}, 'hi', w.hi) END).hi"""
+
+
+# Each further step of the search leaves an offset change behind; zones have at most four a year.
+SEARCH_STEPS = 4 * (FIELDS[-1][2] - FIELDS[-1][1] + 1)
+
+
+def _first_fire() -> Column:
+    """Seconds of the first fire at or after ``__t0``, null if there is none. A local time
+    that does not exist moves the search to the gap's end, one whose instant (the earlier
+    of two) is past moves it to the end of the repeated span."""
+    gap_end = _let(_shift(f"u - ({_to_local('u')} - t)", "u"), "g", f"g + {_to_local('u')} - u")
+    repeat_end = f"{_shift('u', '__t0')} + t - u"
+    state = lambda low, fire, done: f"named_struct('low', {low}, 'fire', {fire}, 'done', {done})"
+    step = _let(_next_local("s.low"), "t", f"""CASE WHEN t IS NULL THEN {state('s.low', 'CAST(NULL AS BIGINT)', 'true')}
+        ELSE {_let(_to_utc('t'), 'u', f"""CASE WHEN {_to_local('u')} <> t THEN {state(gap_end, 'CAST(NULL AS BIGINT)', 'false')}
+            WHEN u < __t0 THEN {state(repeat_end, 'CAST(NULL AS BIGINT)', 'false')}
+            ELSE {state('s.low', 'u', 'true')} END""")} END""")
+    return F.expr(f"""aggregate(sequence(1, {SEARCH_STEPS}),
+        {state(_to_local('__t0'), 'CAST(NULL AS BIGINT)', 'false')},
+        (s, i) -> CASE WHEN s.done THEN s ELSE {step} END,
+        s -> CASE WHEN s.done THEN s.fire ELSE raise_error('next fire: more offset changes than expected') END)""")
+
+
 def next_fire(schedules: DataFrame, now, id_col: str = "schedule_id", cron_col: str = "cron_expr",
               tz_col: str = "timezone") -> DataFrame:
     """First fire strictly after ``now`` per valid cron schedule, up to the end of the
-    year field's domain. Per (cron, zone) the first four matching local days of a near
-    range are tried first (a day can lose its only fire to a DST gap); a pair that finds
-    nothing there is searched over every matching day that is left."""
-    good = parsed_pairs(schedules, cron_col, tz_col).filter(F.col("__ok") & F.col("__tz_ok"))
-    tz = F.col("__tz")
-    t0 = (ts(now) + F.expr("INTERVAL 1 MICROSECOND")).cast("timestamp")
-    d0 = F.date_sub(F.to_date(F.from_utc_timestamp(t0, tz)), 1)
-
-    def matching(last: Column) -> Column:
-        return F.filter(F.sequence(d0, F.greatest(d0, last), F.expr("INTERVAL 1 DAY")),
-                        lambda day: _day_matches(F.col("__cron"), day))
-
-    def first(fires: DataFrame) -> DataFrame:
-        return fires.groupBy("__ce", "__tz").agg(F.min("fire_time").alias("next_fire_at"))
-
-    short = F.slice(matching(F.date_add(d0, 40)), 1, 4)
-    near = first(_fires(good, short, t0, None))
-    found = near.select(F.col("__ce").alias("__fe"), F.col("__tz").alias("__ft"))
-    left = good.join(found, (F.col("__ce") == F.col("__fe")) & F.col("__tz").eqNullSafe(F.col("__ft")), "left_anti")
-    far = first(_fires(left, matching(F.lit(LAST_DAY).cast("date")), t0, None))
-    return _per_schedule(schedules, near.unionByName(far), cron_col, tz_col).select(id_col, "next_fire_at")
+    year field's domain; a schedule without one has no row. Per distinct (cron, zone) the
+    successor is searched field by field with carry, so no days, times or fires are listed
+    and a rare calendar costs as little as a common one."""
+    good = parsed_pairs(schedules, cron_col, tz_col).filter(F.col("__ok") & F.col("__tz_ok")) \
+        .withColumn("__t0", F.unix_seconds(ts(now).cast("timestamp")) + 1)
+    fires = good.select("__ce", "__tz", _first_fire().alias("__fire")).filter(F.col("__fire").isNotNull()) \
+        .select("__ce", "__tz", F.timestamp_seconds("__fire").cast("timestamp_ntz").alias("next_fire_at"))
+    return _per_schedule(schedules, fires, cron_col, tz_col).select(id_col, "next_fire_at")
 
 
 def advance(schedules: DataFrame, now, queues: DataFrame | None = None, id_col: str = "schedule_id") -> DataFrame:
