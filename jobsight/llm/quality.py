@@ -1,14 +1,20 @@
 """Quality rules by robust multivariate outliers.
 
 Each text gives a vector of transformed statistics. Per language and source the minimum
-covariance determinant is estimated by concentration steps: from a median/quartile start,
-the ``H_PART`` of rows nearest by Mahalanobis distance gives the next mean and covariance.
-Documents beyond ``CUTOFF`` squared units of the final estimate are rejected.
-
-Vectors are integers (256ths), so sums are exact and results do not depend on the order of
-rows. A step is one aggregation of moments by (group, distance bin) over all rows; the
-nearest part is read off the bins, whose number is bounded, so a hot group is added up
-map-side like any other. Groups with few rows are pooled by language, then altogether.
+covariance determinant is estimated: among halves of the rows, the one whose covariance has
+the smallest determinant. Four starts (quartile spreads, spatial signs, hyperbolic tangents,
+the nearest quarter) each take two concentration steps; the best two go on until their
+determinant falls no more. The rows inside the 97.5 % ellipsoid of the best one give the
+final mean and covariance, and documents beyond ``CUTOFF`` squared units are rejected.
+
+A step replaces an estimate by the moments of the ``H_PART`` of rows nearest to it: one
+aggregation by (group, start, distance bin) over all rows, whole bins up to the half and the
+missing part of the next. Vectors are integers (256ths), so sums are exact and results do
+not depend on the order of rows. Rows meet their group's estimate by (group, bucket), so a
+hot group spreads. Covariances are scaled to be consistent for normal rows, and a small
+diagonal (``FEATURES``) is added to all, so statistics that are constant in most texts do
+not reject every text that differs a little. Groups with few rows are pooled by language,
+then altogether.
 """
 
 from __future__ import annotations
@@ -27,19 +33,26 @@ SYMBOLS = "#*$%&|<>"
 BLANK = " \t\n\x0b\x0c\r"
 MIN_WORDS = 50
 SCALE = 256
-# Names of the vector's parts, with the smallest spread taken for each: statistics that are
-# constant in most texts (symbols, repeats) would otherwise reject any that differs a little.
-FEATURES = {"log_words": 0.5, "word_length": 0.25, "log_symbols": 0.5, "root_dup_lines": 0.2,
-            "root_repeats": 0.2, "root_upper": 0.1, "log_marks": 0.5}
+# Names of the vector's parts, with the smallest spread taken for each. All but root_repeats,
+# which the base rule bounds at sqrt(0.5), can reject alone.
+FEATURES = {"log_words": 0.5, "word_length": 0.25, "log_symbols": 0.5, "root_dup_lines": 0.12,
+            "root_repeats": 0.15, "root_upper": 0.1, "log_marks": 0.5}
 D = len(FEATURES)
 FLOOR = np.array(list(FEATURES.values())) * SCALE
-H_PART = 0.75
-STEPS = 4
+H_PART = 0.5
+NEAR_PART = 0.25     # rows of the start from the nearest ones
+BEST = 2             # starts that go on after two steps
+FALL = 1e-3          # least fall of the log determinant for which a start goes on
 CUTOFF = 45.0        # chi-squared with 7 degrees of freedom, tail about 1e-7
-CHI_MEDIAN = 6.346   # its median
+INSIDE = 16.012764   # its 97.5 % point
+# Consistency factors part / P(chi-squared with 9 degrees <= point), for the half (point
+# 6.345811) and for the 97.5 %.
+C_HALF = 1.694174
+C_INSIDE = 1.044586
 MIN_GROUP = 200
 MIN_POOL = 50
-_BIN = 8             # distance bins per doubling
+_BIN = 32            # distance bins per doubling
+_UNIT = 1024         # of signs and tangents, kept as integers
 
 
 def text_stats(raw: bytes) -> tuple[list[int], list[float]]:
@@ -116,91 +129,167 @@ def stats(docs: DataFrame) -> DataFrame:
     return source.mapInArrow(run, schema)
 
 
+def _meet(rows: DataFrame, small: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the columns of ``small`` (few rows a key), joined by (key, bucket)."""
+    pairs = rows.select(key, "bucket").distinct().join(small, key)
+    return rows.join(pairs, [key, "bucket"])
+
+
 def _pooled(rows: DataFrame) -> DataFrame:
-    """Adds ``grp``: (language, source) where it has enough rows, else a pool."""
+    """Adds ``grp``, (language, source) where it has enough rows, else a pool, and ``n``, its rows."""
     own = F.to_json(F.array(F.coalesce("lang", F.lit("\0")), F.coalesce("source", F.lit("\0"))))
     pool = F.to_json(F.array(F.coalesce("lang", F.lit("\0"))))
     rows = rows.withColumn("own", own).withColumn("pool", pool)
     n1 = rows.groupBy("own", "pool").agg(F.count(F.lit(1)).alias("n"))
-    small = n1.where(F.col("n") < MIN_GROUP)
-    n2 = small.groupBy("pool").agg(F.sum("n").alias("m"))
+    n2 = n1.where(F.col("n") < MIN_GROUP).groupBy("pool").agg(F.sum("n").alias("m"))
     keys = n1.join(n2, "pool", "left").select(
-        "own", F.when(F.col("n") >= MIN_GROUP, F.col("own")).when(F.col("m") >= MIN_GROUP, F.col("pool"))
+        "own", "n", F.when(F.col("n") >= MIN_GROUP, F.col("own")).when(F.col("m") >= MIN_GROUP, F.col("pool"))
         .otherwise(F.lit("[]")).alias("grp"))
-    return rows.join(keys, "own").drop("own", "pool")
+    sizes = keys.groupBy("grp").agg(F.sum("n").alias("n"))
+    return _meet(rows.drop("pool"), keys.drop("n").join(sizes, "grp"), "own").drop("own")
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    """``grp, n, mean, prec``: medians, and quartile distances as spreads, exact from the
-    counts of each integer value."""
-    long_ = rows.select("grp", F.posexplode(F.array(*[F.col(f"x{i}") for i in range(D)])).alias("i", "v"))
-    counts = long_.groupBy("grp", "i", "v").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("grp", "i")
-    ranked = counts.withColumn("upto", F.sum("n").over(w.orderBy("v"))).withColumn("all", F.sum("n").over(w))
-    q = lambda p: F.min(F.when(F.col("upto") >= p * F.col("all"), F.col("v")))
-    quart = ranked.groupBy("grp", "i").agg(q(0.25).alias("q1"), q(0.5).alias("q2"), q(0.75).alias("q3"),
-                                           F.max("all").alias("n"))
-    flat = quart.groupBy("grp").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(
-        F.struct("i", "q1", "q2", "q3"))).alias("q"))
+_X = [f"x{i}" for i in range(D)]
+_PAIRS = [(i, j) for i in range(D) for j in range(i, D)]
+_MODEL = "grp string, start int, mean array<double>, prec array<double>, logdet double"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            mean, prec = [], []
-            for q_ in b["q"]:
-                mean.append([float(r["q2"]) for r in q_])
-                sd = np.maximum([(r["q3"] - r["q1"]) / 1.349 for r in q_], FLOOR)
-                prec.append(np.diag(1 / sd ** 2).ravel().tolist())
-            yield pd.DataFrame({"grp": b["grp"], "n": b["n"], "mean": mean, "prec": prec})
 
-    return flat.mapInPandas(run, "grp string, n long, mean array<double>, prec array<double>")
+def _moments(x: list[Column]) -> Column:
+    """The sums of ``x`` and of their products, as decimals: exact at any number of rows."""
+    terms = [*x, *[x[i] * x[j] for i, j in _PAIRS]]
+    return F.array(*[F.sum(t.cast("decimal(20,0)")) for t in terms])
 
 
-def _distance(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """``rows`` with ``d2``, the squared Mahalanobis distance to its group's estimate."""
-    joined = rows.join(model.select("grp", "mean", "prec"), "grp")
-    diff = [F.col(f"x{i}") - F.col("mean")[i] for i in range(D)]
-    joined = joined.withColumns({f"e{i}": d for i, d in enumerate(diff)})
-    d2: Column = F.lit(0.0)
-    for i in range(D):
-        for j in range(i, D):
-            d2 = d2 + F.col("prec")[i * D + j] * F.col(f"e{i}") * F.col(f"e{j}") * (1.0 if i == j else 2.0)
-    return joined.withColumn("d2", d2).drop("mean", "prec", *[f"e{i}" for i in range(D)])
+def _covariance(h: float, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    m = s[:D] / h
+    cov = np.zeros((D, D))
+    for (i, j), v in zip(_PAIRS, s[D:]):
+        cov[i, j] = cov[j, i] = v / h - m[i] * m[j]
+    return m, cov
 
 
-_PAIRS = [(i, j) for i in range(D) for j in range(i, D)]
+def _model(grp: str, start: int, mean: np.ndarray, cov: np.ndarray) -> tuple:
+    cov = cov + np.diag(FLOOR ** 2)
+    return grp, start, mean.tolist(), np.linalg.inv(cov).ravel().tolist(), float(np.linalg.slogdet(cov)[1])
 
 
-def _bin(d2: str = "d2") -> Column:
-    return F.floor(F.log2(F.greatest(F.col(d2), F.lit(2.0 ** -10))) * _BIN).cast("int")
+def _models(frame: DataFrame, make) -> DataFrame:
+    """A model for each row of ``frame``: ``make(row)`` gives the tuples of ``_MODEL``."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = [m for r in b.itertuples() for m in make(r)]
+            yield pd.DataFrame(out, columns=["grp", "start", "mean", "prec", "logdet"])
 
+    return frame.mapInPandas(run, _MODEL)
 
-def _concentrate(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """One concentration step."""
-    binned = _distance(rows, model).withColumn("bin", _bin())
-    sums = [F.count(F.lit(1)).alias("n")] + [F.sum(f"x{i}").alias(f"s{i}") for i in range(D)] + \
-           [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i, j in _PAIRS]
-    moments = binned.groupBy("grp", "bin").agg(*sums)
-    w = Window.partitionBy("grp")
-    near = moments.withColumn("before", F.coalesce(F.sum("n").over(
-        w.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))) \
-        .withColumn("all", F.sum("n").over(w)).where(F.col("before") < H_PART * F.col("all"))
-    names = [f"s{i}" for i in range(D)] + [f"s{i}_{j}" for i, j in _PAIRS]
-    total = near.groupBy("grp").agg(F.max("all").alias("n"), F.sum("n").alias("h"),
-                                    F.array(*[F.sum(c).cast("double") for c in names]).alias("s"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            mean, prec = [], []
-            for h, s in zip(b["h"], b["s"]):
-                m = np.array(s[:D]) / h
-                cov = np.zeros((D, D))
-                for (i, j), v in zip(_PAIRS, s[D:]):
-                    cov[i, j] = cov[j, i] = v / h - m[i] * m[j]
-                prec.append(np.linalg.inv(cov + np.diag(FLOOR ** 2)).ravel().tolist())
-                mean.append(m.tolist())
-            yield pd.DataFrame({"grp": b["grp"], "n": b["n"], "mean": mean, "prec": prec})
+def _middle(rows: DataFrame) -> DataFrame:
+    """``grp, med, sd``: medians, and quartile distances as spreads, exact from the counts
+    of each integer value."""
+    long_ = rows.select("grp", F.posexplode(F.array(*_X)).alias("i", "v"))
+    counts = long_.groupBy("grp", "i", "v").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("grp", "i")
+    ranked = counts.withColumn("upto", F.sum("n").over(w.orderBy("v"))).withColumn("all", F.sum("n").over(w))
+    q = lambda p: F.min(F.when(F.col("upto") >= p * F.col("all"), F.col("v"))).cast("double")
+    quart = ranked.groupBy("grp", "i").agg(q(0.5).alias("med"), ((q(0.75) - q(0.25)) / 1.349).alias("sd"))
+    floor = F.array(*[F.lit(float(f)) for f in FLOOR])
+    parts = F.array_sort(F.collect_list(F.struct("i", "med", F.greatest("sd", floor[F.col("i")]).alias("sd"))))
+    return quart.groupBy("grp").agg(parts.alias("p")).select("grp", F.col("p.med").alias("med"), F.col("p.sd").alias("sd"))
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """The starting models of every group."""
+    middle = cut(_middle(rows))
+    z = [(F.col(x) - F.col("med")[i]) / F.col("sd")[i] for i, x in enumerate(_X)]
+    near = _meet(rows, middle, "grp").withColumns({f"z{i}": c for i, c in enumerate(z)})
+    norm = F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(D)), F.lit(0.0)))
+    near = near.withColumn("norm", F.when(norm > 0, norm).otherwise(1.0))
+    sign = [F.rint(F.col(f"z{i}") / F.col("norm") * _UNIT).cast("long") for i in range(D)]
+    tanh = [F.rint(F.tanh(f"z{i}") * _UNIT).cast("long") for i in range(D)]
+    sums = near.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), _moments(sign).alias("s"), _moments(tanh).alias("t"))
+
+    def make(r) -> list[tuple]:
+        med, sd = np.array(r.med, float), np.array(r.sd, float)
+        out = [_model(r.grp, 0, med, np.diag(sd ** 2))]
+        for k, s in ((1, r.s), (2, r.t)):
+            cov = _covariance(r.n, np.array(s, float) / np.repeat([_UNIT, _UNIT ** 2], [D, len(_PAIRS)]))[1]
+            scale = sd / np.sqrt(np.maximum(np.diag(cov), 1e-6))
+            out.append(_model(r.grp, k, med, cov * np.outer(scale, scale)))
+        return out
+
+    first = cut(_models(sums.join(middle, "grp"), make))
+    quarter = _concentrate(rows, first.where("start = 0"), NEAR_PART).withColumn("start", F.lit(3))
+    return cut(first.unionByName(quarter))
+
+
+def _distance(rows: DataFrame, models: DataFrame) -> DataFrame:
+    """``rows`` with ``start`` and ``d2``, the squared Mahalanobis distance to each of the
+    group's models."""
+    joined = _meet(rows, models.select("grp", "start", "mean", "prec"), "grp")
+    joined = joined.withColumns({f"e{i}": F.col(x) - F.col("mean")[i] for i, x in enumerate(_X)})
+    d2: Column = F.lit(0.0)
+    for i, j in _PAIRS:
+        d2 = d2 + F.col("prec")[i * D + j] * F.col(f"e{i}") * F.col(f"e{j}") * (1.0 if i == j else 2.0)
+    return joined.withColumn("d2", d2).drop("mean", "prec", *[f"e{i}" for i in range(D)])
+
 
-    return total.mapInPandas(run, "grp string, n long, mean array<double>, prec array<double>")
+def _concentrate(rows: DataFrame, models: DataFrame, part: float = H_PART) -> DataFrame:
+    """One concentration step of every model, to the moments of the nearest ``part``."""
+    bin_ = F.floor(F.log2(F.greatest("d2", F.lit(2.0 ** -10))) * _BIN).cast("int")
+    binned = _distance(rows, models).withColumn("bin", bin_).groupBy("grp", "start", "bin") \
+        .agg(F.max("n").alias("all"), F.count(F.lit(1)).alias("k"), _moments([F.col(x) for x in _X]).alias("s"))
+    w = Window.partitionBy("grp", "start").orderBy("bin")
+    binned = binned.withColumn("upto", F.sum("k").over(w)).withColumn("h", F.floor(F.col("all") * part + 0.5)) \
+        .where(F.col("upto") - F.col("k") < F.col("h")).withColumn("whole", F.col("upto") <= F.col("h"))
+    size = D + len(_PAIRS)
+    none = F.array(*[F.lit(0).cast("decimal(38,0)")] * size)
+    whole = F.array(*[F.sum(F.when(F.col("whole"), F.col("s")[i]).otherwise(0)) for i in range(size)])
+    near = binned.groupBy("grp", "start").agg(
+        F.max("h").alias("h"), F.sum(F.when(F.col("whole"), F.col("k")).otherwise(0)).alias("k"), whole.alias("s"),
+        F.coalesce(F.max(F.when(~F.col("whole"), F.col("k"))), F.lit(1)).alias("edge_k"),
+        F.coalesce(F.first(F.when(~F.col("whole"), F.col("s")), ignorenulls=True), none).alias("edge"))
+
+    def make(r) -> list[tuple]:
+        s = np.array(r.s, float) + np.array(r.edge, float) * ((r.h - r.k) / r.edge_k)
+        mean, cov = _covariance(r.h, s)
+        return [_model(r.grp, r.start, mean, cov * C_HALF)]
+
+    return _models(near, make)
+
+
+def estimate(rows: DataFrame) -> DataFrame:
+    """``grp, start, mean, prec, logdet``: the smallest determinant found in each group."""
+    models = _starts(rows)
+    for _ in range(2):
+        models = cut(_concentrate(rows, models))
+    best = Window.partitionBy("grp").orderBy("logdet", "start")
+    going = cut(models.withColumn("r", F.row_number().over(best)).where(F.col("r") <= BEST).drop("r"))
+    ended = []
+    # A start goes on only while its log determinant, which FEATURES bounds below, falls by
+    # FALL or more, so the rounds end.
+    while not going.isEmpty():
+        old = going.select("grp", "start", F.col("logdet").alias("was"))
+        new = cut(_concentrate(rows, going).join(old, ["grp", "start"]))
+        fell = F.col("logdet") < F.col("was") - FALL
+        stays = new.where(~fell).select("grp", "start")
+        ended.append(going.join(stays, ["grp", "start"], "left_semi"))
+        going = cut(new.where(fell).drop("was"))
+    out = ended[0] if ended else going
+    for e in ended[1:]:
+        out = out.unionByName(e)
+    return cut(out.withColumn("r", F.row_number().over(best)).where("r = 1").drop("r"))
+
+
+def _reweighted(rows: DataFrame, models: DataFrame) -> DataFrame:
+    """The model of the rows inside the 97.5 % ellipsoid of each group's estimate."""
+    inside = _distance(rows, models).where(F.col("d2") <= INSIDE)
+    sums = inside.groupBy("grp").agg(F.count(F.lit(1)).alias("k"), _moments([F.col(x) for x in _X]).alias("s"))
+
+    def make(r) -> list[tuple]:
+        mean, cov = _covariance(r.k, np.array(r.s, float))
+        return [_model(r.grp, 0, mean, cov * C_INSIDE)]
+
+    return _models(sums, make)
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -208,23 +297,18 @@ def judge(docs: DataFrame) -> DataFrame:
     method did not judge: base_failed, or fewer than MIN_POOL rows in the last pool).
 
     A null text has no words and fails; a null lang or source is a group of its own; a null
-    doc_id and repeated rows are judged each; an empty table gives an empty result."""
+    doc_id and repeated rows are judged each; very long texts are read whole; rows at equal
+    distances count alike, as a bin that only partly belongs to the nearest half counts by
+    its share; an empty table gives an empty result."""
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MIN_WORDS * F.col("n_words"))
-    all_rows = cut(stats(docs).withColumn("base_failed", failed))
+    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # written at once, so a bucket taken from a row's place stays what it is
+    all_rows = cut(stats(docs).withColumn("base_failed", failed)
+                   .withColumn("bucket", (F.monotonically_increasing_id() % spread).cast("int")))
     rows = cut(_pooled(all_rows.where(~F.col("base_failed"))))
-    model = cut(_start(rows))
-    for _ in range(STEPS):
-        model = cut(_concentrate(rows, model))
-    far = _distance(rows, model)
-    bins = far.groupBy("grp", _bin().alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("grp")
-    mid = bins.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("all", F.sum("n").over(w)) \
-        .groupBy("grp").agg(F.min(F.when(F.col("upto") >= 0.5 * F.col("all"), F.col("bin"))).alias("bin"),
-                            F.max("all").alias("n"))
-    unit = F.greatest(F.lit(1.0), F.pow(F.lit(2.0), (F.col("bin") + 1) / F.lit(_BIN)) / CHI_MEDIAN)
-    units = cut(mid.select("grp", "n", unit.alias("unit")))
-    scored = far.join(units, "grp") \
-        .withColumn("distance", F.when(F.col("n") >= MIN_POOL, F.col("d2") / F.col("unit"))) \
+    model = cut(_reweighted(rows, estimate(rows)))
+    far = F.when(F.col("n") >= MIN_POOL, F.col("d2"))
+    scored = _distance(rows, model).withColumn("distance", far) \
         .select("doc_id", *_COUNTS, "base_failed", (F.coalesce("distance", F.lit(0.0)) <= CUTOFF).alias("kept"), "distance")
     rest = all_rows.where("base_failed").select("doc_id", *_COUNTS, "base_failed", F.lit(False).alias("kept"),
                                                 F.lit(None).cast("double").alias("distance"))

@@ -50,28 +50,91 @@ def test_labelled_quality(spark):
     assert np.mean(good) > 0.99 and np.mean(bad) < 0.1
 
 
-def test_distances_follow_the_estimate(docs_of):
-    """One group: the distance is Mahalanobis under the central part's mean and covariance,
-    recomputed here from the definition."""
+def vectors(texts):
+    return np.array([[min(1 << 20, round(v * Q.SCALE)) for v in Q.text_stats(t.encode())[1]] for t in texts], float)
+
+
+def ordinary(r, n):
+    return [" ".join(r.choice(["alpha", "be", "gammas", "d"]) + str(r.randrange(99)) for _ in range(r.randrange(60, 400))) for _ in range(n)]
+
+
+def distances(x, mean, cov):
+    e = x - mean
+    return np.einsum("ij,jk,ik->i", e, np.linalg.inv(cov), e)
+
+
+def least_determinant(x, rng, starts=300):
+    """Minimum covariance determinant by many random starts on exact halves of the rows."""
+    h, best = int(np.floor(len(x) * Q.H_PART + 0.5)), (np.inf, None, None)
+    floor = np.diag(Q.FLOOR ** 2)
+    for _ in range(starts):
+        some = x[rng.choice(len(x), Q.D + 1, replace=False)]
+        mean, cov, last = some.mean(0), np.cov(some.T, bias=True) + floor, np.inf
+        while True:
+            near = np.argsort(distances(x, mean, cov), kind="stable")[:h]
+            mean, cov = x[near].mean(0), np.cov(x[near].T, bias=True) * Q.C_HALF + floor
+            det = np.linalg.slogdet(cov)[1]
+            if det >= last - 1e-9:
+                break
+            last = det
+        if last < best[0]:
+            best = (last, mean, cov)
+    return best
+
+
+def test_least_determinant_and_distances(spark, docs_of):
+    """Against random starts with exact halves; 45 % of the rows lie elsewhere."""
     r = random.Random(3)
-    rows = [(i, " ".join(r.choice(["alpha", "be", "gammas", "d"]) + str(r.randrange(99)) for _ in range(r.randrange(60, 400)))) for i in range(260)]
-    rows += [(1000 + i, " ".join(["###!!"] * 40 + [f"w{i}x{j}" for j in range(60)])) for i in range(12)]
-    out = {x.doc_id: x for x in Q.op7(docs_of(rows)).collect()}
-    x = np.array([[min(1 << 20, round(v * Q.SCALE)) for v in Q.text_stats(t.encode())[1]] for _, t in rows], float)
-    q1, q2, q3 = (np.sort(x, axis=0)[int(np.ceil(p * len(x))) - 1] for p in (0.25, 0.5, 0.75))
-    mean, prec = q2, np.diag(1 / np.maximum((q3 - q1) / 1.349, Q.FLOOR) ** 2)
-    dist = lambda: np.einsum("ij,jk,ik->i", x - mean, prec, x - mean)
-    bins = lambda d: np.floor(np.log2(np.maximum(d, 2.0 ** -10)) * Q._BIN)
-    for _ in range(Q.STEPS):
-        b = bins(dist())
-        near = np.array([(b < v).sum() < Q.H_PART * len(x) for v in b])
-        mean = x[near].mean(axis=0)
-        prec = np.linalg.inv(np.cov(x[near].T, bias=True) + np.diag(Q.FLOOR ** 2))
-    d = dist()
-    unit = max(1.0, 2 ** ((np.sort(bins(d))[int(np.ceil(len(x) / 2)) - 1] + 1) / Q._BIN) / Q.CHI_MEDIAN)
-    got = np.array([out[i].distance for i, _ in rows])
-    assert np.allclose(got, d / unit, rtol=1e-6)
-    assert all(out[i].kept for i, _ in rows[:260]) and not any(out[i].kept for i, _ in rows[260:])
+    good = ordinary(r, 260)
+    junk = [" ".join(["###!!"] * r.randrange(30, 60) + [f"W{i}x{j}" for j in range(r.randrange(60, 90))]) for i in range(210)]
+    rows = list(enumerate(good + junk))
+    x = vectors(t for _, t in rows)
+    det, mean, cov = least_determinant(x, np.random.default_rng(1))
+    frame = spark.createDataFrame([("g", len(rows), i % 4, *map(int, v)) for i, v in enumerate(x)],
+                                  "grp string, n long, bucket int, " + ", ".join(f"x{i} long" for i in range(Q.D)))
+    got = Q.estimate(frame).collect()
+    assert len(got) == 1 and got[0].logdet <= det + 0.05
+    inside = distances(x, np.array(got[0]["mean"]), np.linalg.inv(np.array(got[0].prec).reshape(Q.D, Q.D))) <= Q.INSIDE
+    final = distances(x, x[inside].mean(0), np.cov(x[inside].T, bias=True) * Q.C_INSIDE + np.diag(Q.FLOOR ** 2))
+    out = {o.doc_id: o for o in Q.op7(docs_of(rows)).collect()}
+    assert np.allclose([out[i].distance for i, _ in rows], final, rtol=1e-6)
+    assert all(out[i].kept for i in range(260)) and not any(out[i].kept for i in range(260, 470))
+
+
+def test_constants():
+    """Consistency factors, from draws of the chi-squared laws."""
+    g = np.random.default_rng(5)
+    c7, c9 = g.chisquare(7, 2_000_000), g.chisquare(9, 2_000_000)
+    assert abs(0.5 / (c9 <= np.median(c7)).mean() - Q.C_HALF) < 0.01
+    assert abs(np.quantile(c7, 0.975) - Q.INSIDE) < 0.05
+    assert abs(0.975 / (c9 <= Q.INSIDE).mean() - Q.C_INSIDE) < 0.002
+
+
+def test_repeated_lines_alone_reject(docs_of):
+    """Repeated lines without three-word windows pass the base rule and are rejected."""
+    r = random.Random(8)
+    rows = list(enumerate(ordinary(r, 300)))
+    for k in range(6):
+        lines = [f"be{i}" for i in range(8)]
+        seen = set(zip(lines, lines[1:], lines[2:]))
+        while len(lines) < 52:      # one-word lines in an order without a repeated window
+            word = f"be{r.randrange(8)}"
+            if (*lines[-2:], word) not in seen:
+                seen.add((*lines[-2:], word))
+                lines.append(word)
+        rows.append((1000 + k, "\n".join([*lines, *(" ".join(f"alpha{100 * k + 20 * j + i}" for i in range(14)) for j in range(5))])))
+    out = {o.doc_id: o for o in Q.op7(docs_of(rows)).collect()}
+    planted = [out[1000 + k] for k in range(6)]
+    assert all((o.n_dup_lines, o.base_failed, o.kept) == (44, False, False) for o in planted), planted
+    assert all(out[i].kept for i in range(300))
+
+
+def test_order_partitions_and_buckets_do_not_matter(spark, docs_of):
+    r = random.Random(4)
+    rows = list(enumerate(ordinary(r, 220) + ordinary(r, 40) * 2))
+    one = {o.doc_id: o.distance for o in Q.op7(docs_of(rows).coalesce(1)).collect()}
+    r.shuffle(rows)
+    assert {o.doc_id: o.distance for o in Q.op7(docs_of(rows).repartition(7)).collect()} == one
 
 
 def test_edge_rows(docs_of):
