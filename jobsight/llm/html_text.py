@@ -28,7 +28,7 @@ from .common import smallest_hashes
 PATH_DIM, WORD_DIM, SHAPES = 256, 64, 8
 INPUT = PATH_DIM + WORD_DIM + SHAPES
 HIDDEN = 20
-TRAIN_PAGES = 1_200
+TRAIN_PAGES = 2_400
 WORDS = 4_000
 WORD_PAGES = 60
 EPOCHS = 8
@@ -49,6 +49,7 @@ HOLDS = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
+    r"|<(?:svg|iframe)\b[^>]*+(?<=/)>"       # closed in itself: no content follows
     r"|<(?P<raw>script|style|noscript|template|svg|iframe|title)\b[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^\"'>]|\"[^\"]*\"|'[^']*')*+|[^>]*+)>"
     r"|<[!?/][^>]*+>", re.S | re.I)
@@ -254,10 +255,11 @@ class Labeller:
                 x, y, mask = _padded(groups[j])
                 g, loss = self.gradients(x, y, mask)
                 step += 1
+                now = rate * (1 - 0.9 * step / (epochs * len(groups)))
                 for k in self.p:
                     m1[k] = 0.9 * m1[k] + 0.1 * g[k]
                     m2[k] = 0.99 * m2[k] + 0.01 * g[k] * g[k]
-                    self.p[k] = (self.p[k] - rate * (m1[k] / (1 - 0.9 ** step))
+                    self.p[k] = (self.p[k] - now * (m1[k] / (1 - 0.9 ** step))
                                  / (np.sqrt(m2[k] / (1 - 0.99 ** step)) + 1e-8)).astype(np.float32)
         return loss
 
@@ -319,7 +321,11 @@ NEUTRAL = "wrap box col row inner outer block unit grid panel left right".split(
 
 
 def generated_page(words: list[str], r: np.random.Generator) -> str:
-    """A page with ``data-y`` marks: 1 on the article, 0 on everything else."""
+    """A page with ``data-y`` marks: 1 on the article, 0 on everything else. On an eighth of
+    the pages no name tells a part: elements are neutral, classes too or made up, and only the
+    kinds of parts appear that their text, links and place give away."""
+    plain = r.random() < 0.125
+
     def pick(seq):
         return seq[int(r.integers(len(seq)))]
 
@@ -329,8 +335,12 @@ def generated_page(words: list[str], r: np.random.Generator) -> str:
         return html.escape(" ".join(out).capitalize() + ("." if r.random() < 0.85 else ""))
 
     def attrs(names: str, bare: float = 0.25) -> str:
-        if r.random() < bare:
-            return "" if r.random() < 0.6 else f' class="{pick(NEUTRAL)}"'
+        if plain or r.random() < bare:
+            u = r.random()
+            if u < 0.5:
+                return ""
+            made_up = f"css-{int(r.integers(1000))}" if r.random() < 0.6 else "".join(pick("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+            return f' class="{pick(NEUTRAL) if u < 0.7 else made_up}"'
         key = "id" if r.random() < 0.3 else "class"
         return f' {key}="{" ".join({pick(names.split()) for _ in range(int(r.integers(1, 3)))})}{pick(["", "-" + pick(NEUTRAL)])}"'
 
@@ -346,7 +356,7 @@ def generated_page(words: list[str], r: np.random.Generator) -> str:
 
     def part(role: str) -> str:
         tags, names, phrases = ROLES[role]
-        tag = pick(tags)
+        tag = pick(tags) if not plain or role == "form" else "div"
         known = tag in ("nav", "header", "footer", "aside", "form")
         a = attrs(names, 0.7 if known else 0.1)
         body = []
@@ -355,7 +365,8 @@ def generated_page(words: list[str], r: np.random.Generator) -> str:
             listed = "".join(f"<li>{x}</li>" for x in items) if tag == "ul" or r.random() < 0.6 else " ".join(items)
             body.append(listed if tag == "ul" or not listed.startswith("<li") else f"<ul>{listed}</ul>")
         elif role == "comments":
-            body.append(f"<h3>{pick(phrases)}</h3>")
+            if r.random() < 0.6:
+                body.append(f"<h3>{pick(phrases)}</h3>")
             for _ in range(int(r.integers(1, 6))):
                 inner = f"<p>{say(1, 2)} {pick(phrases)}</p><p>{inline(say(4, 50))}</p>"
                 body.append(f"<li>{inner}</li>" if tag == "ol" else f"<div{attrs('comment reply response item', 0.3)}>{inner}</div>")
@@ -375,14 +386,20 @@ def generated_page(words: list[str], r: np.random.Generator) -> str:
 
     def article() -> str:
         tags, names = ARTICLE
-        tag = pick(tags)
+        tag = "div" if plain else pick(tags)
         a = attrs(names, 0.8 if tag in ("article", "main") else 0.15)
+        boxed = plain and r.random() < 0.5      # every paragraph in an element of its own
         body = [f"<h1>{say(3, 12)}</h1>"] if r.random() < 0.85 else []
         for _ in range(int(r.integers(1, 12))):
             u = r.random()
             if u < 0.72:
-                body.append(f"<p>{inline(say(2, 70))}" + ("</p>" if r.random() < 0.8 else ""))
+                text = f"<p>{inline(say(1, 4) if r.random() < 0.15 else say(2, 70))}" + ("</p>" if boxed or r.random() < 0.8 else "")
+                body.append(f"<div{attrs(names)}>{text}</div>" if boxed else text)
+            elif u < 0.76:
+                body.append(f"<pre>{say(2, 30)}</pre>" if r.random() < 0.5 else f"<pre><code>{say(2, 30)}</code></pre>")
             elif u < 0.8:
+                body.append(f"<figure><img src=x><figcaption>{say(2, 20)}</figcaption></figure>")
+            elif u < 0.83:
                 body.append(f"<h2>{say(1, 8)}</h2>")
             elif u < 0.86:
                 body.append("<ul>" + "".join(f"<li>{inline(say(2, 20))}</li>" for _ in range(int(r.integers(2, 6)))) + "</ul>")
@@ -391,14 +408,20 @@ def generated_page(words: list[str], r: np.random.Generator) -> str:
             elif u < 0.93:
                 body.append("<table>" + "".join(f"<tr><td>{say(1, 3)}</td><td>{say(1, 3)}</td></tr>" for _ in range(2)) + "</table>")
             else:
-                body.append(part(pick(["advert", "share", "sidebar", "form", "notice"])))
+                body.append(part(pick(["share", "form"] if plain else ["advert", "share", "sidebar", "form", "notice"])))
         return f"<{tag}{a} data-y=1>{''.join(body)}</{tag}>" if tag != "td" else \
             f"<table><tr><td{a} data-y=1>{''.join(body)}</td></tr></table>"
 
     before = [x for x in ("header", "menu", "notice", "advert", "sidebar", "form") if r.random() < 0.45]
     after = [x for x in ("share", "sidebar", "comments", "form", "notice", "advert", "menu") if r.random() < 0.35]
+    if plain:
+        before, after = ([x for x in some if x in ("menu", "form", "share")] for some in (before, after))
     body = "".join(map(part, before)) + (article() if r.random() < 0.95 else "") + "".join(map(part, after))
-    if r.random() < 0.75:
+    u = r.random()
+    if u < 0.2 or plain and u < 0.75:           # a bare line instead of a footer
+        tag = pick(["p", "div"])
+        body += f"<{tag} data-y=0>{pick(['&copy;', 'Copyright ©', '©'])} {int(r.integers(1999, 2030))} {say(1, 6)} {pick(ROLES['footer'][2][1:])}</{tag}>"
+    elif u < 0.75:
         body += part("footer")
     for _ in range(int(r.integers(0, 3))):
         body = f"<div{attrs('page site container wrapper layout', 0.4)}>{body}</div>"
@@ -432,8 +455,9 @@ def sample_words(pages: DataFrame, limit: int = WORDS) -> list[str]:
 def extract(pages: DataFrame, model: Labeller) -> DataFrame:
     """``page_id, url, text, n_chars`` of every page: the kept blocks joined by a blank line.
 
-    A null or blank page gives an empty text; null ids and repeated rows are answered each;
-    other columns are ignored."""
+    A null or blank page gives an empty text; null ids and repeated rows are answered each; a
+    very long page is read whole, its vectors made in slices; a score of just 0.5 drops the
+    block; an empty table gives an empty result; other columns are ignored."""
     shared = pages.sparkSession.sparkContext.broadcast(model)
     source = pages.select("page_id", "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("_html"))
     schema = source.select("page_id", "url", F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema

@@ -76,6 +76,49 @@ def test_other_templates(spark, model):
     assert all(t == want for t in out.values()), out
 
 
+def test_closed_in_themselves():
+    page = "<p>One</p><svg class='i'/><p>Two</p><iframe src='a/b' /><p>Three</p><svg><text>no</text></svg><iframe>no</iframe><p>Four</p>"
+    assert [b.text for b in H.blocks(page)] == ["One", "Two", "Three", "Four"]
+
+
+PROSE = [f"Paragraph {i} has enough words to look like prose, and it ends." for i in range(6)]
+
+
+@pytest.mark.parametrize("page, dropped", [
+    ("<div class='css-1'><div class='css-9'><a href=/a>News</a> <a href=/b>Sport</a></div><div class='css-77'><h1>A headline of some length</h1>"
+     + "".join(f"<div class='css-77'><p>{x}</p></div>" for x in PROSE) + "</div><div class='css-3'>© 2024 Some Company. All rights reserved</div></div>",
+     ["News Sport", "© 2024 Some Company. All rights reserved"]),
+    ("<div><div><div>" + "".join(f"<p>{x}</p>" for x in PROSE) + "</div></div></div>", []),
+    ("<article>" + "".join(f"<p>{x}</p>" for x in PROSE) + "<pre>x = run(y) print(x)</pre><figure><img src=a><figcaption>A picture of a house</figcaption></figure>"
+     f"<p>{PROSE[0]}</p></article>", []),
+    ("<header>Site</header><article>" + "".join(f"<p>{x}</p>" for x in PROSE) + "</article><p>© 2024 Company name</p>", ["Site", "© 2024 Company name"]),
+])
+def test_layouts_without_telling_names(model, page, dropped):
+    read = H.blocks(f"<html><body>{page}</body></html>")
+    assert [b.text for b, ok in zip(read, model.keep([read])[0]) if not ok] == dropped
+
+
+def test_network_step_by_step(model, small):
+    """The labels of whole pages, recomputed block by block with no batches, masks or slices."""
+    sig = lambda a: 1 / (1 + np.exp(-a))
+
+    def states(x, d):
+        h, c, out = np.zeros(H.HIDDEN), np.zeros(H.HIDDEN), []
+        for v in x if d == "f" else x[::-1]:
+            i, f, o, g = np.split(v @ model.p[f"x{d}"] + model.p[f"c{d}"] + h @ model.p[f"h{d}"], 4)
+            c = sig(f) * c + sig(i) * np.tanh(g)
+            h = sig(o) * np.tanh(c)
+            out.append(h)
+        return np.array(out if d == "f" else out[::-1])
+
+    pages = [H.blocks(r.html) for r in small("pages").collect()] + [H.blocks("<article>" + "<p>some words here.</p>" * 5000 + "</article>")]
+    for page, kept in zip(pages, model.keep(pages)):
+        x = H.vectors(page).astype(np.float64)
+        s = sig(np.concatenate([states(x, "f"), states(x, "b")], axis=1) @ model.p["o"] + model.p["ob"])[:, 0]
+        sure = abs(s - 0.5) > 1e-3
+        assert (kept == (s > 0.5))[sure].all() and sure.mean() > 0.99
+
+
 def test_edge_rows(spark, model):
     long_ = "<article>" + "<p>some words in a paragraph.</p>" * 6000 + "</article>"
     rows = [(1, "u", None), (2, None, ""), (None, "u", "<p>"), (3, "u", "<article><p>The same text, twice over.</article>"),
