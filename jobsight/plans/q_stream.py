@@ -12,7 +12,7 @@ from ..schema import DECLARED_TRANSITIONS
 from ..session import checkpoint_dir
 from ..sources.fixtures import EVENTS_NOW, JOBS_NOW, Ops, build, with_views
 from ..streaming import operators as T
-from ..streaming.runner import append_events, arrivals_stream, publish_once, run_to_table
+from ..streaming.runner import append_events, arrivals_stream, publish_once, published, run_to_table
 from ..functions.columns import derived_id_sql
 from .registry import register
 from .tick import run_tick
@@ -240,7 +240,7 @@ def s4(spark, d):
     msgs = Ops(spark, d).messages
     publish_once(msgs, target)
     publish_once(msgs, target)  # a redelivered batch appends nothing
-    return spark.read.parquet(target).select("msg_id", "header_job_id", "body")
+    return published(spark, target, msgs).select("msg_id", "header_job_id", "body")
 
 
 @register("s5_append_events", with_views("""

@@ -9,10 +9,12 @@ complete) still land idempotently: every batch write is keyed by epoch id."""
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, StructField, StructType
 
 from ..session import checkpoint_dir
 
@@ -73,18 +75,55 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append", keys: list[
 
 
 # S4 ---------------------------------------------------------------------------
-def publish_once(batch: DataFrame, target: str, key: str = "msg_id") -> None:
-    """At-least-once delivery made idempotent: rows whose key is already in the
-    target folder (or repeated in the batch) are not appended again."""
-    spark = batch.sparkSession
-    batch.limit(0).write.mode("append").parquet(target)  # creates the target on first use
-    existing = spark.read.parquet(target).select(key)
-    fresh = batch.dropDuplicates([key]).join(existing, key, "left_anti")
-    fresh.write.mode("append").parquet(target)
+PUBLISH_DAY = "publish_day"
+
+
+def _days_near(batch: DataFrame, ts_col: str, horizon_days: int):
+    """The days on which a copy of one of the batch's rows can stand; a null time has the
+    null day. At most one value per calendar day comes to the driver, whatever the batch's size."""
+    days = {r[0] for r in batch.select(F.to_date(ts_col)).distinct().toLocalIterator()}
+    near = sorted({d + dt.timedelta(k) for d in days if d is not None for k in range(-horizon_days, horizon_days + 1)})
+    return near, None in days
 
 
-def publish_stream(stream: DataFrame, target: str, key: str = "msg_id", checkpoint: str | None = None):
-    return (stream.writeStream.foreachBatch(lambda b, _e: publish_once(b, target, key))
+def publish_once(batch: DataFrame, target: str, key: str = "msg_id", ts_col: str = "ts",
+                 horizon_days: int = 1) -> None:
+    """At-least-once delivery made idempotent: rows whose key already stands in the target
+    folder within ``horizon_days`` of their day, or earlier in the batch, are not appended.
+
+    The target is partitioned by the day of ``ts_col``, and only the days that the batch's
+    rows can meet are read, so the work follows the batch and not the target's age. Of
+    several copies in a batch the earliest is kept (null times first). A null key equals no
+    other: such rows are appended each."""
+    spark = batch.sparkSession
+    near, has_null = _days_near(batch, ts_col, horizon_days)
+    if not near and not has_null:
+        return
+    cols = batch.columns
+    keyed = batch.filter(F.col(key).isNotNull())
+    rest = [c for c in cols if c not in (key, ts_col)]
+    first = keyed.groupBy(key).agg(F.min(F.struct(ts_col, *rest)).alias("__first")) \
+        .select(*[F.col(key) if c == key else F.col("__first")[c].alias(c) for c in cols])
+    fresh = first.join(published(spark, target, batch, near, has_null).select(key), key, "left_anti") \
+        .select(*cols).unionByName(batch.filter(F.col(key).isNull()))
+    # whole days in few files, a day with many rows in several
+    fresh.withColumn(PUBLISH_DAY, F.to_date(ts_col)).hint("rebalance", PUBLISH_DAY) \
+        .write.mode("append").partitionBy(PUBLISH_DAY).parquet(target)
+
+
+def published(spark: SparkSession, target: str, like: DataFrame, days=None, null_day: bool = False) -> DataFrame:
+    """The rows of the target, of the given days only if any are named; empty before the first batch."""
+    like.limit(0).withColumn(PUBLISH_DAY, F.lit(None).cast("date")).write.mode("append").partitionBy(PUBLISH_DAY).parquet(target)
+    rows = spark.read.schema(StructType([*like.schema.fields, StructField(PUBLISH_DAY, DateType())])).parquet(target)
+    if days is None:
+        return rows.drop(PUBLISH_DAY)
+    wanted = F.col(PUBLISH_DAY).isin(days) if days else F.lit(False)
+    return rows.filter(wanted | F.col(PUBLISH_DAY).isNull() if null_day else wanted).drop(PUBLISH_DAY)
+
+
+def publish_stream(stream: DataFrame, target: str, key: str = "msg_id", checkpoint: str | None = None,
+                   ts_col: str = "ts", horizon_days: int = 1):
+    return (stream.writeStream.foreachBatch(lambda b, _e: publish_once(b, target, key, ts_col, horizon_days))
             .option("checkpointLocation", checkpoint or target + "-checkpoint").trigger(availableNow=True).start())
 
 
