@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -33,6 +34,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def own_names(docs: DataFrame, used: tuple[str, ...], step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``step(docs)``, a step that returns the columns it gets, with all columns but those it
+    uses under numbered names meanwhile: no name in ``docs`` can clash with its helpers."""
+    names = [c if c in used else f"c{i}" for i, c in enumerate(docs.columns)]
+    return step(docs.toDF(*names)).toDF(*docs.columns)
+
+
 def rewritten(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet into the shared checkpoint folder and read again."""
     path = f"{checkpoint_dir(df.sparkSession)}/rewritten-{uuid.uuid4().hex}"

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, own_names
 
 KINDS = ("email", "ip", "card", "phone")
 SUPPORT = 3        # distinct known values that must follow a pattern
@@ -232,7 +232,11 @@ def masked(text: Column, spans: Column) -> Column:
 def mask(docs: DataFrame) -> DataFrame:
     """``docs`` with all found spans of ``text`` masked; every row and column stays, and
     ``n_chars``, where there is one, follows the new text. Rows without digits or @ are
-    passed on without a shuffle."""
+    passed on without a shuffle. Other columns may have any names."""
+    return own_names(docs, ("doc_id", "text", "n_chars"), _mask)
+
+
+def _mask(docs: DataFrame) -> DataFrame:
     cols = docs.columns
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     hits = find(docs).where((F.size("base") > 0) | (F.size("found") > 0)) \

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, cut, partitions, utf8
+from .common import batch, cut, own_names, partitions, utf8
 from .components import components
 
 SHINGLE = 3
@@ -255,7 +255,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     The class representative is the row of smallest doc_id (nulls last), then of smallest
     row hash; rows equal to it collapse to one. Classes are told apart by fingerprints, so
-    rows of one doc_id or without any each count in their own class."""
+    rows of one doc_id or without any each count in their own class. Other columns may have
+    any names."""
+    return own_names(docs, ("doc_id", "text"), _keep_one)
+
+
+def _keep_one(docs: DataFrame) -> DataFrame:
     cols = [F.col(f"`{c}`") for c in docs.columns]
     # nulls leave a hash unchanged, so which columns are null is hashed as well
     rows = docs.withColumn("__near_h", F.xxhash64(*cols, *[c.isNull() for c in cols]))
