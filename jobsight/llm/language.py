@@ -260,7 +260,8 @@ def op3(docs: DataFrame) -> DataFrame:
 
     Null or letterless text: ``und``, score 0, not accepted. A null lang trains nothing; a
     null doc_id is never held out and trains nothing. Repeated rows are answered each; an
-    empty table gives an empty result. Ties go to the first language by name."""
+    empty table gives an empty result. Ties go to the first language by name. Very long texts
+    are read whole."""
     model = fit(docs)
     return identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "accepted")
 

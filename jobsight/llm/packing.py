@@ -188,7 +188,9 @@ def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None, ranks_p
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Every row of ``docs`` is a document of its own, also when a doc_id repeats or is null;
-    other columns are ignored; an empty table gives an empty result."""
+    other columns are ignored; an empty table gives an empty result. Very long texts are cut at
+    multiples of the window; pieces of one length are told apart by doc_id, start and checksum,
+    and any order of pieces equal in these packs alike."""
     spark = docs.sparkSession
     slots = max(64, partitions(spark))   # splits the ranking of one length over many tasks
     rows = cut(pieces(docs, path, ranks_path, window)

@@ -175,7 +175,8 @@ def find(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     (kind, start, end), sorted; ``_th`` is the xxhash64 of the text (null: empty).
 
     A null text holds nothing; a null doc_id or repeated rows are answered each; ties do
-    not arise, as spans are sorted by kind, start and end."""
+    not arise, as spans are sorted by kind, start and end. Very long texts are read whole; an
+    empty table gives an empty result."""
     ids = cut(_identifiers(docs))
     new = _discover(docs, ids, rounds)
     spans = lambda a: F.array_sort(F.transform(a, lambda r: F.struct(

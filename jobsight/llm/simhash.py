@@ -238,7 +238,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = MAX_BIT
     ``component_id`` is the smallest doc_id reachable over links of at most ``bits``
     differing bits. A null or blank text has fingerprint zero and links like any other;
     rows with equal doc_id are separate members; a null doc_id is ignored as a class id
-    unless the whole class has none (then the id is null). Other columns are ignored."""
+    unless the whole class has none (then the id is null). A bit set in exactly half the
+    shingles is 0. Very long texts are taken whole; an empty table gives an empty result; other
+    columns are ignored."""
     return _classes(docs, shingle, bits, trie_limit).select("doc_id", "fp", "component_id")
 
 

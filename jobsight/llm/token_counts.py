@@ -116,7 +116,9 @@ class _Counts(dict):
 
 def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id, n_words, n_tokens`` of every row; a null text has none; null doc_ids and
-    repeated rows are answered each; other columns are ignored."""
+    repeated rows are answered each; very long texts and words are read whole; no ties arise,
+    since of equally long pieces there is one; an empty table gives an empty result; other
+    columns are ignored."""
     shared = docs.sparkSession.sparkContext.broadcast(Automaton(read_vocabulary(path)))   # the vocabulary's size
     source = docs.select("doc_id", utf8("text").alias("_text"))
     zero = F.lit(0).cast("long")
