@@ -7,6 +7,10 @@ from the last checkpoint, not from the start."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +20,9 @@ from ..session import cut_lineage, ts
 from .merge import insert_ignore
 from .transitions import outbox_for
 
+WHOLE = 1 << 18                     # edges of a component that one task may solve
+
+
 class RoundLimitExceeded(RuntimeError):
     """Raised instead of returning a partial result."""
 
@@ -162,16 +169,97 @@ def _behind_cycles(edges: DataFrame, src: str, dst: str, max_rounds: int) -> Dat
     return found
 
 
-def cycles(edges: DataFrame, max_rounds: int = 10_000):
+def _components(edges: DataFrame, max_rounds: int) -> DataFrame:
+    """``node, root`` for the nodes that are not their connected component's root. Each round
+    points every node at its smallest neighbour if that is smaller, follows the pointers to
+    their ends and draws the edges together there: at least half of the nodes that still have
+    edges vanish in a round."""
+    def undirected(e, a, b):
+        return cut_lineage(e.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u <> v").distinct())
+
+    e, labels = undirected(edges, F.col("parent_id"), F.col("child_id")), None
+    for _ in range(max_rounds):
+        if e.isEmpty():
+            return edges.select(F.col("parent_id").alias("node"), F.col("parent_id").alias("root")).limit(0) if labels is None else labels
+        both = e.select(F.col("u").alias("node"), F.col("v").alias("to")).unionByName(
+            e.select(F.col("v").alias("node"), F.col("u").alias("to")))
+        low = both.groupBy("node").agg(F.min("to").alias("to")).where("to < node")
+        new = _ends_of_chains(low)
+        if labels is None:
+            labels = new
+        else:
+            onward = new.select(F.col("node").alias("root"), F.col("root").alias("__new"))
+            labels = cut_lineage(labels.join(onward, "root", "left").select("node", F.coalesce("__new", "root").alias("root"))
+                                 .unionByName(new))
+        for end in ("u", "v"):
+            e = e.join(new.select(F.col("node").alias(end), F.col("root").alias(f"__{end}")), end, "left")
+        e = undirected(e, F.coalesce("__u", "u"), F.coalesce("__v", "v"))
+    raise RoundLimitExceeded(f"component search did not end in {max_rounds} rounds")
+
+
+def _left_over(src: np.ndarray, dst: np.ndarray, n: int) -> np.ndarray:
+    """Marks those of the nodes 0..n-1 that are left when nodes without an incoming edge are
+    taken away, with their edges, until there are none."""
+    order = np.argsort(src, kind="stable")
+    out, begin = dst[order], np.searchsorted(src[order], np.arange(n + 1))
+    open_in = np.bincount(dst, minlength=n)
+    ends = np.flatnonzero(open_in == 0)
+    while len(ends):
+        count = begin[ends + 1] - begin[ends]
+        first = np.repeat(begin[ends] - (np.cumsum(count) - count), count)
+        met, times = np.unique(out[first + np.arange(count.sum())], return_counts=True)
+        open_in[met] -= times
+        ends = met[open_in[met] == 0]
+    return open_in > 0
+
+
+def _solve(parent: np.ndarray, child: np.ndarray) -> pa.RecordBatch:
+    ids, at = np.unique(np.concatenate([parent, child]), return_inverse=True)
+    s, d = at[:len(parent)], at[len(parent):]
+    down = _left_over(s, d, len(ids))
+    inner = down[s]
+    both = _left_over(d[inner], s[inner], len(ids))
+    return pa.RecordBatch.from_arrays([pa.array(ids[down]), pa.array(both[down])], names=["node_id", "between"])
+
+
+def _solve_components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole components (rows sorted by root) are solved together, some ``WHOLE`` edges at a time."""
+    held, rows = [], 0
+    for b in batches:
+        held.append([c.to_numpy() for c in b.columns])
+        rows += b.num_rows
+        if rows >= WHOLE:
+            root, parent, child = (np.concatenate(c) for c in zip(*held))
+            n = int(np.searchsorted(root, root[-1]))         # the last one may go on
+            if n:
+                yield _solve(parent[:n], child[:n])
+            held, rows = [[root[n:], parent[n:], child[n:]]], len(root) - n
+    if rows:
+        yield _solve(*(np.concatenate(c) for c in list(zip(*held))[1:]))
+
+
+def cycles(edges: DataFrame, max_rounds: int = 10_000, whole: int = WHOLE):
     """Two node sets: on or downstream of a cycle, and on a cycle or on a path between
     cycles (of those, the ones that also lead to a cycle). An edge from a node to itself is
-    a cycle; nodes without an id and their edges are ignored."""
-    e = cut_lineage(edges.select("parent_id", "child_id").dropna().distinct())
-    fwd = _behind_cycles(e, "parent_id", "child_id", max_rounds)
-    inner = e.join(fwd.withColumnRenamed("node", "parent_id"), "parent_id", "left_semi")
-    both = _behind_cycles(inner, "child_id", "parent_id", max_rounds)
-    downstream = fwd.select(F.col("node").alias("node_id"), F.lit("cycle_or_downstream").alias("kind"))
-    between = both.select(F.col("node").alias("node_id"), F.lit("cycle_or_between").alias("kind"))
+    a cycle; nodes without an id and their edges are ignored.
+
+    Connected components of up to ``whole`` edges are solved whole, many in a task; larger
+    ones in distributed rounds (``_behind_cycles``)."""
+    e = cut_lineage(edges.select(F.col("parent_id").cast("long"), F.col("child_id").cast("long")).dropna().distinct())
+    roots = _components(e, max_rounds).withColumnRenamed("node", "parent_id")
+    tagged = cut_lineage(e.join(roots, "parent_id", "left").select(F.coalesce("root", "parent_id").alias("root"), "parent_id", "child_id"))
+    large = cut_lineage(tagged.groupBy("root").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > whole).select("root"))
+    small = tagged.join(large, "root", "left_anti").select("root", "parent_id", "child_id")
+    found = cut_lineage(small.repartition("root").sortWithinPartitions("root").mapInArrow(_solve_components, "node_id long, between boolean"))
+    if not large.isEmpty():
+        rest = cut_lineage(tagged.join(large, "root", "left_semi").select("parent_id", "child_id"))
+        fwd = _behind_cycles(rest, "parent_id", "child_id", max_rounds)
+        inner = rest.join(fwd.withColumnRenamed("node", "parent_id"), "parent_id", "left_semi")
+        both = _behind_cycles(inner, "child_id", "parent_id", max_rounds).withColumn("between", F.lit(True))
+        found = found.unionByName(fwd.join(both, "node", "left").select(
+            F.col("node").alias("node_id"), F.coalesce("between", F.lit(False)).alias("between")))
+    downstream = found.select("node_id", F.lit("cycle_or_downstream").alias("kind"))
+    between = found.where("between").select("node_id", F.lit("cycle_or_between").alias("kind"))
     return downstream, between
 
 

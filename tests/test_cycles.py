@@ -61,3 +61,27 @@ def test_long_chain_takes_few_jobs(spark, monkeypatch):
     assert len(cuts) <= 45
     with pytest.raises(D.RoundLimitExceeded):
         D.cycles(spark.createDataFrame([(1, 2), (2, 3)], "parent_id long, child_id long"), max_rounds=1)
+
+
+def test_many_short_chains_take_few_jobs(spark, monkeypatch):
+    """Every node of a chain has two parents, so that no chain folds up: few jobs all the same."""
+    edges = set()
+    for c in range(40):
+        at = 1_000 * c
+        edges |= {(at + i, at + i + lag) for i in range(60) for lag in (1, 2)}
+        if c % 4 == 0:
+            edges.add((at + 60, at + 3))
+    cuts, real = [], D.cut_lineage
+    monkeypatch.setattr(D, "cut_lineage", lambda df: cuts.append(1) or real(df))
+    assert run(spark, edges) == model(edges)
+    assert len(cuts) <= 15
+
+
+@pytest.mark.parametrize("whole", [0, 4, 30])
+def test_large_components_in_rounds(spark, monkeypatch, whole):
+    """Components above the bound take the distributed rounds; a small buffer cuts batches inside components."""
+    rng = random.Random(whole)
+    e = {(50 * (k % 6) + rng.randrange(25), 50 * (k % 6) + rng.randrange(25)) for k in range(130)} | {(7, 7), (900, 900), (901, 902)}
+    df = spark.createDataFrame(sorted(e), "parent_id long, child_id long")
+    down, between = D.cycles(df, whole=whole)
+    assert ({r.node_id for r in down.collect()}, {r.node_id for r in between.collect()}) == model(e)
