@@ -1,15 +1,18 @@
 """Structured Streaming operators (T1–T7).
 
-Stateful steps use ``applyInPandasWithState`` keyed by job / queue / child, so
+Stateful steps use ``applyInPandasWithState`` keyed by job or queue, so
 state is partitioned across executors and checkpointed with the query; each
-key's state is small (a status, a few timestamps, a set of parent ids)."""
+key's state is small (a status, a few timestamps). Where millions of keys have little to do
+each (T2, T7), they are dealt into ``BUCKETS`` groups by hash: a call answers a whole
+bucket, and the bucket's state is one array per field."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -24,6 +27,15 @@ def _whole(pdfs: Iterator[pd.DataFrame], *order: str) -> pd.DataFrame | None:
     return pd.concat(parts).sort_values(list(order)) if parts else None
 
 
+BUCKETS = 4096
+_LEAST = -(1 << 63)
+
+
+def _bucket(key: str) -> Column:
+    """A key's bucket; null keys have one of their own."""
+    return F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")).alias("__bucket")
+
+
 # T1 ---------------------------------------------------------------------------
 def dedup_messages(stream: DataFrame, ts_col: str = "ts", key: str = "msg_id",
                    window: str = "2 minutes") -> DataFrame:
@@ -33,39 +45,71 @@ def dedup_messages(stream: DataFrame, ts_col: str = "ts", key: str = "msg_id",
 
 
 # T2 ---------------------------------------------------------------------------
-DELTA_SCHEMA = "job_id long, scope long, status string, delta long"
+_STATUS_STATE = "job array<long>, t array<long>, eid array<long>, status array<string>, scope array<string>"
+
+
+def _newest(rows: pd.DataFrame) -> pd.DataFrame:
+    return rows.sort_values(["job", "t", "eid"], kind="stable").drop_duplicates("job", keep="last")
 
 
 def _latest_status(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
-    """Only the group's latest row of the micro-batch can matter: one change at most."""
-    prev = state.get if state.exists else None  # (ts_micros, event_id, status, scope)
-    pdf = _whole(pdfs, "__t", "event_id")
-    if pdf is None:
-        return
-    r = pdf.iloc[-1]
-    cur = (int(r["__t"]), int(r["event_id"]), r["status"], None if pd.isna(r["__scope"]) else int(r["__scope"]))
-    if prev is not None and cur[:2] <= tuple(prev[:2]):
+    """Only a job's latest row of the micro-batch can matter: one change at most. Of a
+    bucket's rows the latest of each job are kept while its chunks come in."""
+    names = ["job", "t", "eid", "status", "scope"]
+    new = None
+    for p in pdfs:
+        if len(p):
+            new = _newest(p[names] if new is None else pd.concat([new, p[names]]))
+    if new is None:
         return
-    state.update(cur)
-    if prev is None or (prev[2], prev[3]) != cur[2:]:
-        rows = [(key[0], cur[3], cur[2], 1)] + ([(key[0], prev[3], prev[2], -1)] if prev is not None else [])
-        yield pd.DataFrame(rows, columns=["job_id", "scope", "status", "delta"])
+    job, t, eid = (new[c].to_numpy(np.int64) for c in names[:3])
+    told = new[["status", "scope"]].to_numpy(object)                 # null is None in both
+    held = state.get if state.exists else ([], [], [], [], [])
+    was_job, was_t, was_eid = (np.array(v, np.int64) for v in held[:3])
+    was = np.empty((len(was_job), 2), object)
+    was[:, 0], was[:, 1] = held[3], held[4]
+    at = np.searchsorted(was_job, job)
+    known = np.zeros(len(job), bool)
+    known[at < len(was_job)] = was_job[at[at < len(was_job)]] == job[at < len(was_job)]
+    later = ~known
+    k = at[known]
+    later[known] = (t[known] > was_t[k]) | ((t[known] == was_t[k]) & (eid[known] > was_eid[k]))
+    moved, fresh = later & known, ~known
+    k = at[moved]
+    other = (told[moved] != was[k]).any(axis=1)
+    gone, gone_job = was[k][other], job[moved][other]
+    was_t[k], was_eid[k], was[k] = t[moved], eid[moved], told[moved]
+    come = fresh.copy()
+    come[np.flatnonzero(moved)[other]] = True
+    all_job = np.concatenate([was_job, job[fresh]])
+    order = np.argsort(all_job, kind="stable")
+    all_told = np.concatenate([was, told[fresh]])[order]
+    state.update((all_job[order].tolist(), np.concatenate([was_t, t[fresh]])[order].tolist(),
+                  np.concatenate([was_eid, eid[fresh]])[order].tolist(), all_told[:, 0].tolist(), all_told[:, 1].tolist()))
+    if come.any():
+        rows = np.concatenate([told[come], gone])
+        yield pd.DataFrame({"bucket": key[0], "job_id": np.concatenate([job[come], gone_job]), "scope": rows[:, 1], "status": rows[:, 0],
+                            "delta": np.repeat(np.array([1, -1], np.int64), [int(come.sum()), len(gone)])})
 
 
 def status_deltas(events: DataFrame, ts_col: str = "event_ts", scope: str | None = None) -> DataFrame:
-    """Per job, ±1 deltas whenever its latest status (by time, id) changes; an
-    optional ``scope`` column (e.g. project_id) travels with the deltas."""
+    """Per job, ±1 deltas whenever its latest status (by time, id; null is before any other)
+    changes; an optional ``scope`` column (e.g. project_id) travels with the deltas."""
     sc = F.col(scope).cast("long") if scope else F.lit(None).cast("long")
-    x = events.select("job_id", "event_id", "status", sc.alias("__scope"),
-                      F.unix_micros(F.col(ts_col).cast("timestamp")).alias("__t"))
-    return x.groupBy("job_id").applyInPandasWithState(
-        _latest_status, DELTA_SCHEMA, "t long, eid long, status string, scope long", "append",
+    least = F.lit(_LEAST)
+    x = events.select(_bucket("job_id"), F.coalesce(F.col("job_id").cast("long"), F.lit(0)).alias("job"), F.coalesce(
+        F.unix_micros(F.col(ts_col).cast("timestamp")), least).alias("t"), F.coalesce(F.col("event_id").cast("long"), least).alias("eid"),
+        "status", sc.cast("string").alias("scope"))                  # a null makes a pandas column of longs one of floats
+    out = x.groupBy("__bucket").applyInPandasWithState(
+        _latest_status, "bucket int, job_id long, scope string, status string, delta long", _STATUS_STATE, "append",
         GroupStateTimeout.NoTimeout)
+    return out.select(F.when(F.col("bucket") >= 0, F.col("job_id")).alias("job_id"), F.col("scope").cast("long").alias("scope"),
+                      "status", "delta")
 
 
 def snapshot_stream(events: DataFrame, scope: str | None = None) -> DataFrame:
     """Live counts of jobs by latest status (per ``scope`` when given): one query of two
-    chained stateful steps, the latest status of each job and the sum of its ±1 changes.
+    chained stateful steps, the latest status of each job and the sum of the ±1 changes.
     To be written in complete or update mode; counts that fell to 0 are left out."""
     keys = (["scope"] if scope else []) + ["status"]
     out = status_deltas(events, scope=scope).groupBy(*keys).agg(F.sum("delta").cast("long").alias("n")).filter(F.col("n") != 0)
