@@ -250,23 +250,24 @@ def lease_stream(events: DataFrame, lease_secs: int = 30, grace_secs: int = 10,
 
 
 # T7 ---------------------------------------------------------------------------
-READY_SCHEMA = "child_id long, parents long"
-
-
 def _dag_state(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
-    seen = set(state.get[0]) if state.exists else set()
-    done = state.get[1] if state.exists else False
-    need = None
-    for pdf in pdfs:
-        if done:
-            return                       # a released child keeps a marker, not its parents
-        seen.update(int(p) for p in pdf["parent_id"])
-        need = int(pdf["needed"].iloc[0])
-    if need is not None and len(seen) >= need:
-        state.update(([], True))
-        yield pd.DataFrame([(key[0], len(seen))], columns=["child_id", "parents"])
-    else:
-        state.update((sorted(seen), False))
+    """A bucket of children: the satisfied edges of those that wait, and those released (a
+    released child keeps a marker, not its parents)."""
+    child, parent, done = (np.array(v, np.int64) for v in (state.get if state.exists else ([], [], [])))
+    seen = pd.DataFrame({"child_id": child, "parent_id": parent})
+    need = pd.Series(dtype=np.int64)
+    for p in pdfs:
+        p = p[~p["child_id"].isin(done)]
+        seen = pd.concat([seen, p[["child_id", "parent_id"]]]).drop_duplicates()
+        own = p.drop_duplicates("child_id").set_index("child_id")["needed"]
+        need = pd.concat([need, own[~own.index.isin(need.index)]])
+    have = seen.groupby("child_id").size().reindex(need.index, fill_value=0)
+    ready = have[have >= need]
+    waits = seen[~seen["child_id"].isin(ready.index)].sort_values(["child_id", "parent_id"])
+    done = np.sort(np.concatenate([done, ready.index.to_numpy(np.int64)]))
+    state.update((waits["child_id"].tolist(), waits["parent_id"].tolist(), done.tolist()))
+    if len(ready):
+        yield pd.DataFrame({"child_id": ready.index.to_numpy(np.int64), "parents": ready.to_numpy(np.int64)})
 
 
 def dag_stream(completions: DataFrame, edges: DataFrame) -> DataFrame:
@@ -276,8 +277,9 @@ def dag_stream(completions: DataFrame, edges: DataFrame) -> DataFrame:
     sat = (completions.select(F.col("job_id").alias("parent_id"))
                       .join(edges.select("parent_id", "child_id"), "parent_id")
                       .join(indeg, "child_id"))
-    return sat.groupBy("child_id").applyInPandasWithState(
-        _dag_state, READY_SCHEMA, "seen array<long>, done boolean", "append", GroupStateTimeout.NoTimeout)
+    return sat.select(_bucket("child_id"), "child_id", "parent_id", "needed").groupBy("__bucket").applyInPandasWithState(
+        _dag_state, "child_id long, parents long", "child array<long>, parent array<long>, done array<long>", "append",
+        GroupStateTimeout.NoTimeout)
 
 
 # T3 (edges) -------------------------------------------------------------------
