@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..schema import DECLARED_TRANSITIONS
+from ..operators.admission import accept
 from ..operators.windows import INITIAL_STATUSES
 
 
@@ -131,37 +132,61 @@ def liveness_sessions(hb: DataFrame, gap: str = "1 hour", ts_col: str = "heartbe
 
 
 # T4 ---------------------------------------------------------------------------
-ADMIT_SCHEMA = "arrival_id long, queue_id string, event_ts timestamp, accepted boolean"
+_OUT_ROWS = 10_000
+
+
+def _accept_late(t: np.ndarray, kept: np.ndarray, limit: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """``accept`` where arrivals may lie before accepted ones of an earlier micro-batch: those
+    are decided one by one."""
+    late = int(np.searchsorted(t, kept.max(), side="left")) if len(kept) else 0
+    ok, acc = np.zeros(late, bool), kept.tolist()
+    for i, v in enumerate(t[:late].tolist()):
+        acc = [a for a in acc if a >= v - window]
+        ok[i] = len(acc) < limit
+        if ok[i]:
+            acc.append(v)
+    rest, kept = accept(t[late:], np.sort(np.array(acc, np.int64)), limit, window)
+    return np.concatenate([ok, rest]), kept
 
 
 def _admit_state(limit: int, window_us: int):
+    """A queue's arrivals of a micro-batch come in chunks of any order. They are held as two
+    numbers each, time and id, sorted, and answered in chunks."""
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
-        acc = list(state.get[0]) if state.exists else []
-        pdf = _whole(pdfs, "__t", "arrival_id")
-        if pdf is None:
+        kept = np.array(state.get[0] if state.exists else [], np.int64)
+        parts = [(p["__t"].to_numpy(np.int64), p["__id"].to_numpy(np.int64)) for p in pdfs if len(p)]
+        if not parts:
             return
-        out = []
-        for t, aid, ts_ in zip(pdf["__t"], pdf["arrival_id"], pdf["event_ts"]):
-            acc = [a for a in acc if a >= t - window_us]
-            ok = len(acc) + 1 <= limit
-            if ok:
-                acc.append(int(t))
-            out.append((int(aid), key[0], ts_, ok))
-        state.update((acc,))
-        yield pd.DataFrame(out, columns=["arrival_id", "queue_id", "event_ts", "accepted"])
+        t = np.concatenate([p[0] for p in parts])
+        ids = np.concatenate([p[1] for p in parts])
+        parts.clear()
+        order = np.lexsort((ids, t))
+        t, ids = t[order], ids[order]
+        del order
+        untimed = int(np.searchsorted(t, _LEAST, side="right"))      # not accepted, as in the batch form
+        ok = np.zeros(len(t), bool)
+        ok[untimed:], kept = _accept_late(t[untimed:], kept, limit, window_us)
+        if untimed < len(t):
+            kept = kept[kept >= t[-1] - window_us]
+        state.update((kept.tolist(),))
+        for at in range(0, len(t), _OUT_ROWS):
+            part = slice(at, at + _OUT_ROWS)
+            yield pd.DataFrame({"id": ids[part], "queue_id": key[0], "t": t[part], "accepted": ok[part]})
     return fn
 
 
 def admit_stream(arrivals: DataFrame, limit: int, window_secs: int, key: str = "queue_id",
                  ts_col: str = "event_ts") -> DataFrame:
     """Exact admission with list state per queue (accepted timestamps inside the
-    window, at most ``limit``)."""
-    x = arrivals.select("arrival_id", F.col(key).cast("string").alias("queue_id"),
-                        F.col(ts_col).cast("timestamp").alias("event_ts"),
-                        F.unix_micros(F.col(ts_col).cast("timestamp")).alias("__t"))
-    return x.groupBy("queue_id").applyInPandasWithState(
-        _admit_state(limit, window_secs * 1_000_000), ADMIT_SCHEMA, "acc array<long>", "append",
-        GroupStateTimeout.NoTimeout)
+    window, at most ``limit``). An arrival without a time is not accepted."""
+    least = F.lit(_LEAST)
+    x = arrivals.select(F.coalesce(F.col("arrival_id").cast("long"), least).alias("__id"), F.col(key).cast("string").alias("queue_id"),
+                        F.coalesce(F.unix_micros(F.col(ts_col).cast("timestamp")), least).alias("__t"))
+    out = x.groupBy("queue_id").applyInPandasWithState(
+        _admit_state(limit, window_secs * 1_000_000), "id long, queue_id string, t long, accepted boolean", "acc array<long>",
+        "append", GroupStateTimeout.NoTimeout)
+    return out.select(F.nullif("id", least).alias("arrival_id"), "queue_id",
+                      F.timestamp_micros(F.nullif("t", least)).alias("event_ts"), "accepted")
 
 
 # T5 ---------------------------------------------------------------------------
