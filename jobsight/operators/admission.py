@@ -1,7 +1,8 @@
 """Exact rate-limit admission (T4, batch form), in parallel within a queue.
 
 Only *accepted* arrivals count against a queue's trailing window, so each decision
-depends on earlier ones. A queue is cut at fixed times into pieces of many windows; what
+depends on earlier ones. A queue is cut into pieces of many windows and, where it has as
+many, of at least ``PIECE_ROWS`` arrivals, so most queues are one piece; what
 a piece needs of its past is the list of accepted times in the window before it. That
 list is guessed first: the last windows of each piece are run from an empty list, and
 two runs of the rule usually agree after a few windows. All pieces are then run from
@@ -9,7 +10,7 @@ their guesses at once. A piece whose guess differs from what its predecessor rea
 ended with is run again, in rounds, until none differs: by induction along the queue the
 result is that of the sequential rule. In each round the first wrong piece of every
 queue comes right, so the rounds end; arrivals whose runs never agree cost as many
-rounds as the queue has pieces.
+rounds as the queue has pieces, one for each ``PIECE_ROWS`` arrivals.
 
 A piece is streamed in time order by one task with O(limit) memory."""
 
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import epoch_micros
@@ -27,6 +28,7 @@ from ..session import cut_lineage
 
 PIECE_WINDOWS = 32                  # windows in a piece, at least
 PIECE_MICROS = 6 * 3_600_000_000    # and at least this long, so slow queues have few pieces
+PIECE_ROWS = 1 << 20                # arrivals of a piece, if the queue has as many
 TAIL_WINDOWS = 8                    # windows run for a guess
 
 _RUN = pa.schema([("__k", pa.string()), ("__piece", pa.int64()), ("__id", pa.int64()), ("__t", pa.int64()),
@@ -155,9 +157,21 @@ def _named(key: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")).alias("__k")
 
 
+def _joined(cells: DataFrame, rows: int) -> DataFrame:
+    """Queues' cells ``(__k, __cell, __n, __last)`` with their piece: consecutive cells with
+    ``rows`` arrivals together. Pieces are numbered without gaps; ``__end`` is the end of the
+    last cell, ``__more`` tells whether a piece follows."""
+    before = Window.partitionBy("__k").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    x = cells.withColumn("__at", F.floor(F.coalesce(F.sum("__n").over(before), F.lit(0)) / rows))
+    x = x.withColumn("__piece", F.dense_rank().over(Window.partitionBy("__k").orderBy("__at")).cast("long"))
+    x = x.withColumn("__end", F.max("__last").over(Window.partitionBy("__k", "__piece")))
+    return x.withColumn("__more", F.col("__piece") < F.max("__piece").over(Window.partitionBy("__k"))) \
+        .select("__k", "__cell", "__piece", "__end", "__more")
+
+
 def admit(arrivals: DataFrame, limit=None, window_secs=None, queues: DataFrame | None = None,
           key: str = "queue_id", ts_col: str = "event_ts", id_col: str = "arrival_id",
-          partitions: int | None = None, piece_micros: int = PIECE_MICROS) -> DataFrame:
+          partitions: int | None = None, piece_micros: int = PIECE_MICROS, piece_rows: int | None = None) -> DataFrame:
     """Accept/reject every arrival: accepted iff accepted arrivals of its queue in
     [ts - window, ts] plus itself stay within the limit. A NULL limit accepts all, one of 0
     or less none. Arrivals of a queue (null is one) are taken in order of time, then id; a
@@ -173,11 +187,18 @@ def admit(arrivals: DataFrame, limit=None, window_secs=None, queues: DataFrame |
             "__w", F.lit(int(window_secs) * 1_000_000).cast("long"))
     a = a.withColumn("__w", F.coalesce("__w", F.lit(0).cast("long")))
     length: Column = F.greatest(F.col("__w") * PIECE_WINDOWS, F.lit(piece_micros))
-    a = a.withColumn("__piece", F.floor(F.col("__t") / length)).withColumn("__end", (F.col("__piece") + 1) * length)
-    every = cut_lineage(a)
-    a = every.where("__t IS NOT NULL")
-
-    tail = a.where(F.col("__t") >= F.col("__end") - F.col("__w") * TAIL_WINDOWS)
+    every = cut_lineage(a.withColumns({"__cell": F.floor(F.col("__t") / length), "__len": length}))
+    # without a limit arrivals do not depend on each other: their cells stay apart
+    rows = piece_rows or PIECE_ROWS
+    n = F.count(F.lit(1))
+    cells = every.where("__t IS NOT NULL").groupBy("__k", "__cell").agg(
+        F.when(F.max("__lim").isNull(), F.greatest(n, F.lit(rows))).otherwise(n).alias("__n"),
+        F.max((F.col("__cell") + 1) * F.col("__len")).alias("__last"))
+    pieces = _joined(cells, rows)
+    a = cut_lineage(every.where("__t IS NOT NULL").join(pieces, ["__k", "__cell"])
+                    .select("__id", "__k", "__t", "__lim", "__w", "__piece", "__end", "__more"))
+
+    tail = a.where(F.col("__more") & (F.col("__t") >= F.col("__end") - F.col("__w") * TAIL_WINDOWS))
     guess = _run(tail, None, False, partitions).select("__k", (F.col("__piece") + 1).alias("__piece"), F.col("__out").alias("__state"))
     done = cut_lineage(_run(a, guess.where(F.size("__state") > 0), True, partitions))
     lines = done.where("__id IS NULL").select("__k", "__piece", "__first", "__w", "__used", "__out")
@@ -194,7 +215,7 @@ def admit(arrivals: DataFrame, limit=None, window_secs=None, queues: DataFrame |
     part = a.join(again, ["__k", "__piece"], "left_semi")
     states = lines.join(again, ["__k", "__piece"], "left_semi").select("__k", "__piece", F.col("__used").alias("__state"))
     fixed = _run(part, states, True, partitions).where("__id IS NOT NULL").select(*rows.columns)
-    untimed = every.where("__t IS NULL").withColumn("accepted", F.lit(False)).select(*rows.columns)
+    untimed = every.where("__t IS NULL").withColumns({"__piece": F.lit(None).cast("long"), "accepted": F.lit(False)}).select(*rows.columns)
     out = rows.join(again, ["__k", "__piece"], "left_anti").unionByName(fixed).unionByName(untimed)
     return out.select(F.col("__id").alias("arrival_id"), F.expr("nullif(substring(__k, 2), __k)").alias("queue_id"),
                       F.timestamp_micros("__t").cast("timestamp_ntz").alias("event_ts"), "accepted")

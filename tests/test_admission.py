@@ -102,3 +102,15 @@ def test_pieces_over_arrow_batches(spark, batch):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     assert got == model(rows, 2, 9)
+
+
+def test_queue_of_few_rows_is_one_piece(spark, monkeypatch):
+    """Dense arrivals whose runs do not agree, over a hundred long windows: no round at all;
+    with few rows a piece as many pieces as that takes, and the same decisions."""
+    rng = random.Random(6)
+    rows = [(i, q, rng.randrange(400 * 3600)) for i, q in enumerate(["a", "b"] * 3_000)]
+    seen = runs(monkeypatch)
+    got = {r.arrival_id: r.accepted for r in A.admit(frame(spark, rows), 3, 3600).collect()}
+    assert got == model(rows, 3, 3600) and len(seen) == 3
+    got = {r.arrival_id: r.accepted for r in A.admit(frame(spark, rows), 3, 3600, piece_rows=700).collect()}
+    assert got == model(rows, 3, 3600)
