@@ -114,3 +114,12 @@ def test_queue_of_few_rows_is_one_piece(spark, monkeypatch):
     assert got == model(rows, 3, 3600) and len(seen) == 3
     got = {r.arrival_id: r.accepted for r in A.admit(frame(spark, rows), 3, 3600, piece_rows=700).collect()}
     assert got == model(rows, 3, 3600)
+
+
+def test_pieces_of_single_cells_that_never_agree(spark, monkeypatch):
+    """As above, with a piece for each cell, so that the rounds run."""
+    rows = [(i, "q", 3 * i) for i in range(400)] + [(10_000 + i, "r", 3 * i + 1) for i in range(200)] + [(20_000, "r", 0)]
+    monkeypatch.setattr(A, "TAIL_WINDOWS", 1)
+    seen = runs(monkeypatch)
+    got = A.admit(frame(spark, rows), 1, 10, piece_micros=1, piece_rows=1).collect()
+    assert {r.arrival_id: r.accepted for r in got} == model(rows, 1, 10) and len(seen) > 3
