@@ -152,3 +152,27 @@ def test_empty_tables(small, docs_of, spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [r.contaminated for r in D.op5(docs_of([(1, "a b c")]), none).collect()] == [False]
     assert D.op5(docs_of([(1, "a")]).limit(0), small("benchmark")).collect() == []
+
+
+def test_basis_is_fitted_on_the_passages_of_all_documents(docs_of, spark, monkeypatch):
+    import numpy as np
+    r = random.Random(5)
+    texts = [" ".join(f"w{int(r.paretovariate(0.4)) % 3000}" for _ in range(r.choice([1, 5, 15, 16, 17, 40, 100]))) for _ in range(900)]
+    texts += [texts[0]] * 40 + [None, "", " . "]
+    ids = [None if i % 9 == 0 else i // 2 for i in range(len(texts))]
+    rows = []
+    for t in texts:
+        found = D.word_ids((t or "").encode())[2]
+        rows += [found[i:i + D.WINDOW] for i in D._starts(len(found), D.WINDOW)] if len(found) else []
+    monkeypatch.setattr(D, "CHUNK", 700)
+    monkeypatch.setattr(D, "BACKGROUND", 1000)
+    background = D._background(docs_of(list(zip(ids, texts))))
+    assert background.passages == len(rows) > 2000
+    a = np.zeros((len(rows), D.DIM))
+    for x, own in zip(a, rows):
+        v = background.idf[own]
+        np.add.at(x, own, v / np.sqrt((v * v).sum()))
+    g = np.random.default_rng(1).standard_normal((D.DIM, 3)).astype(np.float32)
+    none = spark.createDataFrame([], "ids binary, weight double")
+    got = D._gram_times(none, background, g)
+    assert np.allclose(got, a.T @ (a @ g) * 1000 / len(rows), atol=1e-3)
